@@ -169,4 +169,162 @@ def topk_text(spark, sf):
     q = load_table(spark, sf, "benchmark", ["item_id", "text"])
     top = R.topk_text(d, q, P.top_k, doc_id="doc_id", query_id="item_id", dim=P.text_dim)
     return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
-FLAGSHIP = "topk_batch"
+
+
+
+# --------------------------------------------------------------- extraction
+from kbweave.functions import html as H  # noqa: E402
+from kbweave.functions.urls import NETLOC_RE, run_stamp  # noqa: E402
+from kbweave.operators import entries as EN  # noqa: E402
+from kbweave.operators import extract as X  # noqa: E402
+from kbweave.operators import kb as K  # noqa: E402
+from kbweave.plans import sqlgen as S  # noqa: E402
+
+
+def _pages(spark, sf, cols=("page_id", "url", "html")):
+    from kbweave.operators.partitioning import spread
+    return spread(load_table(spark, sf, "pages", list(cols)))
+
+
+_TITLE_SQL = (f"CASE WHEN {S.rules(S.extract('html', H.TITLE_RE), H.INLINE_RULES)} <> '' "
+              f"THEN {S.rules(S.extract('html', H.TITLE_RE), H.INLINE_RULES)} "
+              f"ELSE {S.rules(S.extract('html', H.H1_RE), H.INLINE_RULES)} END")
+_MAIN_SQL = (f"CASE WHEN {S.extract('html', H.ARTICLE_RE)} <> '' THEN {S.extract('html', H.ARTICLE_RE)} "
+             f"WHEN {S.extract('html', H.BODY_RE)} <> '' THEN {S.extract('html', H.BODY_RE)} ELSE html END")
+_CONTENT_SQL = S.rules(f"({_MAIN_SQL})", H.TEXT_RULES)
+
+
+def _links_sql(src: str) -> str:
+    """Links of ``src`` (an html expression over table alias p) in order."""
+    lr = S.lit(H.LINK_RE)
+    return (f"SELECT page_id, CAST(i - 1 AS INTEGER) AS link_pos, "
+            f"{S.rules('inner_html[i]', H.INLINE_RULES)} AS text, urls[i] AS url FROM ("
+            f"SELECT page_id, urls, inner_html, unnest(generate_series(1, len(urls))) AS i FROM ("
+            f"SELECT page_id, regexp_extract_all({src}, {lr}, 1) AS urls, "
+            f"regexp_extract_all({src}, {lr}, 2) AS inner_html FROM pages))")
+
+
+@query("page_scan", """
+SELECT page_id, url, CAST(length(html) AS INTEGER) AS html_chars, md5(html) AS html_md5 FROM pages""")
+def page_scan(spark, sf):
+    return X.page_scan(load_table(spark, sf, "pages"))
+
+
+@query("page_source_key", f"""
+SELECT page_id, url, regexp_extract(url, {S.lit(NETLOC_RE)}, 1) AS netloc,
+  replace(regexp_extract(url, {S.lit(NETLOC_RE)}, 1), '.', '_') || '_{run_stamp(P.run_ts)}' AS source_key,
+  replace(regexp_extract(url, {S.lit(NETLOC_RE)}, 1), '.', '_') || '_{run_stamp(P.run_ts)}_' || CAST(page_id AS VARCHAR) AS page_key,
+  '{P.reader_prefix}' || url AS fetch_url
+FROM pages""")
+def page_source_key(spark, sf):
+    return X.source_keys(load_table(spark, sf, "pages", ["page_id", "url"]), P)
+
+
+@query("content_fingerprint", """
+SELECT doc_id, substr(md5(text), 1, 8) AS fingerprint FROM documents""")
+def content_fingerprint(spark, sf):
+    from kbweave.functions.text import fingerprint
+    d = load_table(spark, sf, "documents", ["doc_id", "text"])
+    return d.select("doc_id", fingerprint("text").alias("fingerprint"))
+
+
+@query("html_text", f"SELECT page_id, {S.rules('html', H.TEXT_RULES)} AS text FROM pages")
+def html_text(spark, sf):
+    return X.page_text(_pages(spark, sf, ("page_id", "html")))
+
+
+@query("html_markdown", f"SELECT page_id, {S.rules('html', H.MARKDOWN_RULES)} AS md FROM pages")
+def html_markdown(spark, sf):
+    return X.page_markdown(_pages(spark, sf, ("page_id", "html")))
+
+
+@query("page_title", f"SELECT page_id, {_TITLE_SQL} AS title FROM pages")
+def page_title(spark, sf):
+    return _pages(spark, sf, ("page_id", "html")).select("page_id", H.page_title("html").alias("title"))
+
+
+@query("main_content", f"SELECT page_id, {_CONTENT_SQL} AS content FROM pages")
+def main_content(spark, sf):
+    p = _pages(spark, sf, ("page_id", "html"))
+    return p.select("page_id", H.html_to_text(H.main_block("html")).alias("content"))
+
+
+@query("page_links", _links_sql("html"))
+def page_links(spark, sf):
+    return X.page_links(_pages(spark, sf, ("page_id", "html")))
+
+
+_NAV_ALL = f"array_to_string(regexp_extract_all(html, {S.lit(H.NAV_RE)}, 0), '')"
+_NO_NAV = f"regexp_replace(html, {S.lit(H.NAV_RE)}, '', 'g')"
+
+
+@query("nav_links", f"""
+SELECT page_id, true AS is_nav, link_pos, text, url FROM ({_links_sql(_NAV_ALL)})
+UNION ALL
+SELECT page_id, false AS is_nav, link_pos, text, url FROM ({_links_sql(_NO_NAV)})""")
+def nav_links(spark, sf):
+    return X.nav_links(_pages(spark, sf, ("page_id", "html")))
+
+
+_MD_MAIN_SQL = S.rules(f"({_MAIN_SQL})", H.MARKDOWN_RULES)
+
+
+@query("page_sections", f"""
+WITH m AS (SELECT page_id, string_split({_MD_MAIN_SQL}, chr(10)) AS lines FROM pages),
+ln AS (SELECT page_id, unnest(lines) AS line, unnest(generate_series(0, len(lines) - 1)) AS pos FROM m),
+lv AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}}) ', 1)) AS level FROM ln),
+h AS (SELECT page_id, pos, level, regexp_replace(line, '^#{{1,6}} ', '') AS title,
+             row_number() OVER (PARTITION BY page_id ORDER BY pos) AS sec_idx FROM lv WHERE level > 0),
+hp AS (SELECT h.*, coalesce((SELECT max(p.sec_idx) FROM h p WHERE p.page_id = h.page_id
+                              AND p.pos < h.pos AND p.level < h.level), 0) AS parent_idx FROM h),
+secs AS (SELECT page_id, 0 AS sec_idx, 0 AS level, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS INTEGER) AS parent_idx FROM m
+         UNION ALL SELECT page_id, CAST(sec_idx AS INTEGER), CAST(level AS INTEGER), title, CAST(parent_idx AS INTEGER) FROM hp),
+tagged AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS sec FROM lv),
+bodies AS (SELECT page_id, sec, string_agg(line, chr(10) ORDER BY pos) AS body FROM tagged WHERE level = 0 GROUP BY 1, 2)
+SELECT s.page_id, CAST(s.sec_idx AS INTEGER) AS sec_idx, CAST(s.level AS INTEGER) AS level, s.title,
+       CAST(s.parent_idx AS INTEGER) AS parent_idx,
+       regexp_replace(coalesce(b.body, ''), '^\\n+|\\n+$', '', 'g') AS body
+FROM secs s LEFT JOIN bodies b ON b.page_id = s.page_id AND b.sec = s.sec_idx""")
+def page_sections(spark, sf):
+    return X.page_sections(_pages(spark, sf, ("page_id", "html")))
+
+
+@query("text_chunks", f"""
+WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents),
+o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+               - (length(line) + 1) AS start FROM ln)
+SELECT doc_id, CAST(start // {P.chunk_chars} AS INTEGER) AS chunk_id, CAST(count(*) AS INTEGER) AS n_lines,
+       string_agg(line, chr(10) ORDER BY pos) AS text
+FROM o GROUP BY 1, 2""")
+def text_chunks(spark, sf):
+    from kbweave.operators.partitioning import spread
+    d = spread(load_table(spark, sf, "documents", ["doc_id", "text"]))
+    return X.text_chunks(d, "doc_id", "text", P.chunk_chars)
+
+
+# ------------------------------------------------------- entries and the KB
+
+_ENTRY_SQL = f"""
+SELECT page_id, {_TITLE_SQL} AS title, {_CONTENT_SQL} AS content,
+  (SELECT list({{'text': t, 'url': u}} ORDER BY i) FROM (
+     SELECT unnest(regexp_extract_all(html, {S.lit(H.LINK_RE)}, 1)) AS u,
+            unnest(regexp_extract_all(html, {S.lit(H.LINK_RE)}, 2)) AS raw_t,
+            unnest(generate_series(1, len(regexp_extract_all(html, {S.lit(H.LINK_RE)}, 1)))) AS i)
+     CROSS JOIN LATERAL (SELECT {S.rules('raw_t', H.INLINE_RULES)} AS t)) AS links
+FROM pages"""
+
+
+@query("kb_documents", f"""
+WITH e AS ({_ENTRY_SQL}),
+parts AS (
+  SELECT page_id, 0 AS ord, 'title' AS doc_type, title AS text, '' AS url FROM e
+  UNION ALL SELECT page_id, 1, 'content', content, '' FROM e
+  UNION ALL SELECT page_id, CAST(i + 1 AS INTEGER), 'link', links[i].text, links[i].url
+            FROM (SELECT page_id, links, unnest(generate_series(1, len(links))) AS i FROM e))
+SELECT page_id * {1 << K.ORD_BITS} + ord AS doc_id, page_id, CAST(ord AS INTEGER) AS ord, doc_type, text, url FROM parts""")
+def kb_documents(spark, sf):
+    """Flagship: pages -> entries -> typed knowledge-base rows."""
+    e = K.entries_struct(X.page_entries(_pages(spark, sf)))
+    return K.expand_entries(e)
+FLAGSHIP = "kb_documents"
