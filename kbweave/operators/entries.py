@@ -54,8 +54,9 @@ def parse_replies(df: DataFrame, reply_col: str = "reply") -> DataFrame:
 
 def split_quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good entries and the quarantine (every failure kept with its reason)."""
-    good = parsed.where(F.col("status") == "ok")
-    bad = parsed.where(F.col("status") != "ok")
+    from kbweave.operators.partitioning import gate
+    good = gate(parsed, F.col("status") == "ok")
+    bad = gate(parsed, F.col("status") != "ok")
     return good, bad
 
 
@@ -73,14 +74,22 @@ def damaged_replies(entries: DataFrame, key: str = "page_id") -> DataFrame:
     %13 first link loses its url, %17 null title, %7 no ``links`` key,
     %11 truncated to half, %5 wrapped in a code fence. Every row is kept."""
     k = F.col(key)
-    links = F.transform("links", lambda l, i: F.struct(
-        l["text"].alias("text"),
-        F.when((k % 13 == 0) & (i == 0), F.lit(None).cast("string")).otherwise(l["url"]).alias("url")))
-    title = F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("title"))
     opts = {"ignoreNullFields": "false"}
-    full = F.to_json(F.struct(title.alias("title"), F.col("content").alias("content"), links.alias("links")), opts)
-    nolinks = F.to_json(F.struct(title.alias("title"), F.col("content").alias("content")), opts)
-    j = F.when(k % 7 == 0, nolinks).otherwise(full)
-    j = F.when(k % 11 == 0, F.substring(j, 1, F.floor(F.length(j) / 2).cast("int"))).otherwise(j)
-    j = F.when(k % 5 == 0, F.concat(F.lit(FENCE + "json\n"), j, F.lit("\n" + FENCE))).otherwise(j)
-    return entries.select(key, j.alias("reply"))
+    # Staged projections: each stage refers to the previous one by name, so
+    # the expression tree never duplicates the extraction underneath.
+    r = entries.select(
+        key,
+        F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(F.col("title")).alias("_title"),
+        F.col("content").alias("_content"),
+        F.transform("links", lambda l, i: F.struct(
+            l["text"].alias("text"),
+            F.when((k % 13 == 0) & (i == 0), F.lit(None).cast("string")).otherwise(l["url"]).alias("url"))
+        ).alias("_links"))
+    r = r.select(key, F.when(k % 7 == 0, F.to_json(F.struct(F.col("_title").alias("title"),
+                                                           F.col("_content").alias("content")), opts))
+                 .otherwise(F.to_json(F.struct(F.col("_title").alias("title"), F.col("_content").alias("content"),
+                                               F.col("_links").alias("links")), opts)).alias("_j"))
+    r = r.select(key, F.when(k % 11 == 0, F.substring("_j", 1, F.floor(F.length("_j") / 2).cast("int")))
+                 .otherwise(F.col("_j")).alias("_j"))
+    return r.select(key, F.when(k % 5 == 0, F.concat(F.lit(FENCE + "json\n"), F.col("_j"), F.lit("\n" + FENCE)))
+                    .otherwise(F.col("_j")).alias("reply"))

@@ -41,9 +41,17 @@ def page_markdown(pages: DataFrame) -> DataFrame:
 def page_entries(pages: DataFrame) -> DataFrame:
     """Deterministic structured entry per page: title, main content, links."""
     links = F.transform(H.links("html"), lambda l: F.struct(l["text"].alias("text"), l["url"].alias("url")))
-    return pages.select("page_id", "url", H.page_title("html").alias("title"),
-                        H.html_to_text(H.main_block("html")).alias("content"),
-                        links.alias("links"))
+    staged = pages.select(
+        "page_id", "url", links.alias("links"),
+        H.inline_text(F.regexp_extract("html", H.TITLE_RE, 1)).alias("_t"),
+        H.inline_text(F.regexp_extract("html", H.H1_RE, 1)).alias("_h"),
+        F.regexp_extract("html", H.ARTICLE_RE, 1).alias("_a"),
+        F.regexp_extract("html", H.BODY_RE, 1).alias("_b"), "html")
+    staged = staged.select(
+        "page_id", "url", "links", F.when(F.col("_t") != "", F.col("_t")).otherwise(F.col("_h")).alias("title"),
+        F.when(F.col("_a") != "", F.col("_a")).when(F.col("_b") != "", F.col("_b"))
+        .otherwise(F.col("html")).alias("_main"))
+    return staged.select("page_id", "url", "title", H.html_to_text("_main").alias("content"), "links")
 
 
 def page_links(pages: DataFrame) -> DataFrame:

@@ -14,3 +14,16 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def gate(df: DataFrame, cond) -> DataFrame:
+    """Keep rows where ``cond`` holds, without a Filter node.
+
+    A Filter on a column computed by an expensive projection is pushed below
+    that projection by the optimizer, which then evaluates the expression in
+    both places. Emitting each kept row through a generator keeps the
+    condition where it is written, and the projection is evaluated once.
+    """
+    from pyspark.sql import functions as F
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.select(F.inline(F.filter(F.array(row), lambda _r: cond)))

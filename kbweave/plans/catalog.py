@@ -328,3 +328,116 @@ def kb_documents(spark, sf):
     e = K.entries_struct(X.page_entries(_pages(spark, sf)))
     return K.expand_entries(e)
 FLAGSHIP = "kb_documents"
+
+
+# ------------------------------------------------- model replies (JSON path)
+
+def _replies(spark, sf):
+    """Replies derived from every page's extracted entry (see damaged_replies)."""
+    return EN.damaged_replies(X.page_entries(_pages(spark, sf)))
+
+
+def _parsed(spark, sf):
+    return EN.parse_replies(_replies(spark, sf))
+
+
+_REPLY_SQL = f"""
+e AS ({_ENTRY_SQL}),
+r0 AS (SELECT page_id, content,
+         CASE WHEN page_id % 17 = 0 THEN NULL ELSE title END AS t,
+         list_transform(links, lambda x, i: {{'text': x.text,
+             'url': CASE WHEN page_id % 13 = 0 AND i = 1 THEN NULL ELSE x.url END}}) AS l FROM e),
+r1 AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN CAST(to_json({{'title': t, 'content': content}}) AS VARCHAR)
+                            ELSE CAST(to_json({{'title': t, 'content': content, 'links': l}}) AS VARCHAR) END AS j FROM r0),
+r2 AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN substr(j, 1, CAST(floor(length(j) / 2) AS BIGINT)) ELSE j END AS j FROM r1),
+replies AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '```json' || chr(10) || j || chr(10) || '```' ELSE j END AS reply FROM r2),
+cleaned AS (SELECT page_id, reply, CASE WHEN starts_with(reply, '```')
+               THEN array_to_string(list_filter(string_split(reply, chr(10)), lambda x: NOT starts_with(x, '```')), chr(10))
+               ELSE reply END AS json FROM replies),
+st AS (SELECT *, CASE
+          WHEN NOT coalesce(try(json_array_length('[' || json || ']')) = 1, false) THEN 'bad_json'
+          WHEN try(json_type(json)) <> 'OBJECT' THEN 'not_object'
+          WHEN NOT list_has_all(try(json_keys(json)), ['title', 'content', 'links']) THEN 'missing_fields'
+          ELSE 'ok' END AS status FROM cleaned)"""
+
+
+@query("json_fence_clean", f"""
+WITH {_REPLY_SQL}
+SELECT page_id, starts_with(reply, '```') AS fenced, CAST(length(json) AS INTEGER) AS json_chars,
+       md5(json) AS json_md5 FROM cleaned""")
+def json_fence_clean(spark, sf):
+    r = _replies(spark, sf).withColumn("json", EN.clean_fence("reply"))
+    return r.select("page_id", F.col("reply").startswith(EN.FENCE).alias("fenced"),
+                    F.length("json").alias("json_chars"), F.md5(F.encode("json", "UTF-8")).alias("json_md5"))
+
+
+@query("json_parse", f"""
+WITH {_REPLY_SQL}
+SELECT page_id, status, CASE WHEN status = 'ok' THEN json ->> 'title' END AS title,
+       CASE WHEN status = 'ok' THEN md5(json ->> 'content') END AS content_md5,
+       CASE WHEN status = 'ok' AND json_type(json, '$.links') = 'ARRAY'
+            THEN CAST(json_array_length(json, '$.links') AS INTEGER) END AS n_links
+FROM st""")
+def json_parse(spark, sf):
+    p = _parsed(spark, sf)
+    return p.select("page_id", "status", F.col("entry.title").alias("title"),
+                    F.md5(F.encode("entry.content", "UTF-8")).alias("content_md5"),
+                    F.when(F.col("entry.links").isNotNull(), F.size("entry.links")).alias("n_links"))
+
+
+@query("json_validate", f"""
+WITH {_REPLY_SQL}
+SELECT page_id, coalesce(list_has_all(try(json_keys(json)), ['title', 'content', 'links']), false) AS valid
+FROM cleaned""")
+def json_validate(spark, sf):
+    r = _replies(spark, sf).withColumn("json", EN.clean_fence("reply"))
+    return r.select("page_id", EN.has_fields("json").alias("valid"))
+
+
+@query("entry_quarantine", f"""
+WITH {_REPLY_SQL}
+SELECT page_id, status FROM st WHERE status <> 'ok'""")
+def entry_quarantine(spark, sf):
+    _, bad = EN.split_quarantine(_parsed(spark, sf))
+    return bad.select("page_id", "status")
+
+
+@query("batch_status", f"""
+WITH {_REPLY_SQL}
+SELECT status, count(*) AS n, sum(count(*)) OVER () AS total FROM st GROUP BY status""")
+def batch_status(spark, sf):
+    return EN.batch_status(_parsed(spark, sf))
+
+
+@query("page_entries", f"""
+WITH {_REPLY_SQL}
+SELECT page_id, json ->> 'title' AS title, CAST(length(json ->> 'content') AS INTEGER) AS content_chars,
+       CAST(json_array_length(json, '$.links') AS INTEGER) AS n_links
+FROM st WHERE status = 'ok'""")
+def page_entries(spark, sf):
+    """Batch job pages -> entries: successes only; submission order is the
+    ``page_id`` column (no global sort is paid for it)."""
+    good, _ = EN.split_quarantine(_parsed(spark, sf))
+    return (good.select("page_id", F.col("entry.title").alias("title"),
+                        F.length("entry.content").alias("content_chars"),
+                        F.size("entry.links").alias("n_links")))
+
+
+@query("kb_atomic", f"""
+WITH {_REPLY_SQL},
+ok AS (SELECT page_id, json ->> 'title' AS title, json ->> 'content' AS content, json -> '$.links' AS lj
+       FROM st WHERE status = 'ok'),
+li AS (SELECT page_id, i, lj -> ('$[' || (i - 1) || ']') AS lk
+       FROM (SELECT page_id, lj, unnest(generate_series(1, CASE WHEN json_type(lj) = 'ARRAY' THEN CAST(json_array_length(lj) AS BIGINT) ELSE 0 END)) AS i FROM ok)),
+bad AS (SELECT DISTINCT page_id FROM li WHERE lk ->> 'text' IS NULL OR lk ->> 'url' IS NULL),
+good AS (SELECT * FROM ok WHERE title IS NOT NULL AND content IS NOT NULL AND json_type(lj) = 'ARRAY'
+         AND page_id NOT IN (SELECT page_id FROM bad)),
+parts AS (SELECT page_id, 0 AS ord, 'title' AS doc_type, title AS text, '' AS url FROM good
+  UNION ALL SELECT page_id, 1, 'content', content, '' FROM good
+  UNION ALL SELECT li.page_id, CAST(i + 1 AS INTEGER), 'link', lk ->> 'text', lk ->> 'url' FROM li JOIN good USING (page_id))
+SELECT page_id * {1 << K.ORD_BITS} + ord AS doc_id, page_id, CAST(ord AS INTEGER) AS ord, doc_type, text, url FROM parts""")
+def kb_atomic(spark, sf):
+    """Entries from the JSON path; an entry with any bad part is rejected whole."""
+    good, _ = EN.split_quarantine(_parsed(spark, sf))
+    from kbweave.operators.partitioning import gate
+    return K.expand_entries(gate(good, K.entry_ok("entry")))
