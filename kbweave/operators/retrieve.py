@@ -29,6 +29,8 @@ from kbweave.config import Params
 from kbweave.functions import vectors as V
 from kbweave.functions.text import md5_bucket, tokens
 
+SIM_DECIMALS = 12
+
 
 def _rank_window(part_col: str | None, sim: str, ident: str):
     w = Window.orderBy(F.desc_nulls_last(sim), F.asc(ident))
@@ -45,7 +47,7 @@ def topk_single(docs: DataFrame, query_vec, k: int | None = None, *, id_col: str
     q = F.array(*[F.lit(float(x)) for x in query_vec]) if isinstance(query_vec, (list, tuple)) else query_vec
     keep = keep or []
     scored = (docs.select(id_col, vec_col, *keep).withColumn("_q", q)
-              .select(id_col, *keep, V.cosine(vec_col, "_q").alias("similarity")))
+              .select(id_col, *keep, F.round(V.cosine(vec_col, "_q"), SIM_DECIMALS).alias("similarity")))
     top = scored.orderBy(F.desc_nulls_last("similarity"), F.asc(id_col)).limit(k)
     return top.withColumn("rank", F.row_number().over(_rank_window(None, "similarity", id_col)))
 
@@ -101,7 +103,10 @@ def _score_block(docs: DataFrame, qids: np.ndarray, qmat: np.ndarray, qok: np.nd
                 continue
             d_ids = pdf[id_col].to_numpy(dtype=np.int64)
             d_unit, d_ok = _unit_rows(_matrix(pdf[vec_col], dim, kind))
-            s = d_unit @ q_unit.T                                   # (docs, queries)
+            # Ranking precision: similarities are compared at 12 decimals, so
+            # mathematically equal scores tie (then doc id decides) instead of
+            # being ordered by floating-point noise that differs per engine.
+            s = np.round(d_unit @ q_unit.T, SIM_DECIMALS)           # (docs, queries)
             s[~d_ok, :] = -np.inf
             s[:, ~q_ok] = -np.inf
             b = s.shape[0]

@@ -79,7 +79,7 @@ def cosine_pairs(spark, sf):
 
 @query("topk_single", f"""
 WITH q AS (SELECT {_QVEC} AS qv),
-s AS (SELECT e.vec_id, {_cos_sql('e.embedding', 'q.qv')} AS sim FROM embeddings e, q)
+s AS (SELECT e.vec_id, round({_cos_sql('e.embedding', 'q.qv')}, 12) AS sim FROM embeddings e, q)
 SELECT vec_id, CAST(row_number() OVER (ORDER BY sim DESC NULLS LAST, vec_id) AS INTEGER) AS rank,
        round(sim, 6) AS similarity
 FROM s ORDER BY sim DESC NULLS LAST, vec_id LIMIT {P.top_k}""")
@@ -91,7 +91,7 @@ def topk_single(spark, sf):
 
 _TOPK_SELF = f"""
 WITH s AS (
-  SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {_cos_sql('d.embedding', 'q.embedding')} AS sim
+  SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({_cos_sql('d.embedding', 'q.embedding')}, 12) AS sim
   FROM embeddings q, embeddings d
   WHERE len(q.embedding) = {P.dim} AND len(d.embedding) = {P.dim}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, doc_id) AS rn FROM s)
@@ -152,7 +152,7 @@ dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM dt GROUP BY 1),
 qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS n FROM qt GROUP BY 1),
 dots AS (SELECT qt.query_id, dt.doc_id, sum(qt.tf * dt.tf) AS dot FROM qt JOIN dt USING (bucket) GROUP BY 1, 2),
 s AS (SELECT q.{q_id} AS query_id, d.{d_id} AS doc_id,
-             coalesce(dots.dot, 0) / nullif(qn.n * dn.n, 0) AS sim
+             round(coalesce(dots.dot, 0) / nullif(qn.n * dn.n, 0), 12) AS sim
       FROM {q_table} q CROSS JOIN dsel d
       LEFT JOIN dots ON dots.query_id = q.{q_id} AND dots.doc_id = d.{d_id}
       LEFT JOIN qn ON qn.query_id = q.{q_id} LEFT JOIN dn ON dn.doc_id = d.{d_id}
@@ -441,3 +441,227 @@ def kb_atomic(spark, sf):
     good, _ = EN.split_quarantine(_parsed(spark, sf))
     from kbweave.operators.partitioning import gate
     return K.expand_entries(gate(good, K.entry_ok("entry")))
+
+
+# ---------------------------------------------------------------- dialogue
+from kbweave.functions.text import PY_SPACE_CLASS  # noqa: E402
+from kbweave.operators import dialog as D  # noqa: E402
+from kbweave.plans import answer as A  # noqa: E402
+from kbweave.plans.lookback import lookback  # noqa: E402
+
+# A second lexicon for the same operator, whose keywords occur in the
+# multilingual conversation table, so the template path runs on real rows.
+ALT_INTENTS = [
+    ("greeting", ["Hallo", "Bonjour", "Hello"]),
+    ("farewell", [" und "]),
+    ("small_talk", [" que "]),
+    ("off_topic", ["and"]),
+]
+
+
+def _conv(spark, sf):
+    return load_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+
+
+def _intent_sql(intents, col="text"):
+    whens = " ".join(
+        f"WHEN ({' OR '.join(f'contains({col}, {S.lit(w)})' for w in words)}) THEN {S.lit(name)}"
+        for name, words in intents)
+    return f"CASE {whens} ELSE NULL END"
+
+
+def _classified_sql(intents):
+    return (f"SELECT conv_id, turn, text, {_intent_sql(intents)} AS intent FROM conversations "
+            f"WHERE role = 'user'")
+
+
+def _cls_cols():
+    return ("CASE WHEN intent IS NULL THEN 'business' ELSE 'conversational' END AS intent_type, "
+            "intent, intent IS NULL AS requires_search")
+
+
+@query("intent_classify", f"""
+SELECT conv_id, turn, {_cls_cols()} FROM ({_classified_sql(D.DEFAULT_INTENTS)})""")
+def intent_classify(spark, sf):
+    u = _conv(spark, sf).where(F.col("role") == "user")
+    c = u.select("conv_id", "turn", D.classify("text").alias("c"))
+    return c.select("conv_id", "turn", "c.intent_type", "c.intent", "c.requires_search")
+
+
+@query("intent_classify_lexicon", f"""
+SELECT conv_id, turn, {_cls_cols()} FROM ({_classified_sql(ALT_INTENTS)})""")
+def intent_classify_lexicon(spark, sf):
+    u = _conv(spark, sf).where(F.col("role") == "user")
+    c = u.select("conv_id", "turn", D.classify("text", ALT_INTENTS).alias("c"))
+    return c.select("conv_id", "turn", "c.intent_type", "c.intent", "c.requires_search")
+
+
+@query("intent_route", f"""
+SELECT conv_id, turn, CASE WHEN intent IS NULL THEN 'retrieval' ELSE 'template' END AS route
+FROM ({_classified_sql(ALT_INTENTS)})""")
+def intent_route(spark, sf):
+    u = _conv(spark, sf).where(F.col("role") == "user")
+    c = u.select("conv_id", "turn", D.classify("text", ALT_INTENTS).alias("c"))
+    return c.select("conv_id", "turn", D.route("c.requires_search").alias("route"))
+
+
+def _template_sql(intent="intent"):
+    h = "(('0x' || substr(md5(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)), 1, 8))::BIGINT)"
+    def pick(vs):
+        return f"[{', '.join(S.lit(v) for v in vs)}][{h} % {len(vs)} + 1]"
+    whens = " ".join(f"WHEN {intent} = {S.lit(n)} THEN {pick(vs)}" for n, vs in D.DEFAULT_TEMPLATES.items())
+    return f"CASE {whens} ELSE {pick(D.DEFAULT_TEMPLATES['off_topic'])} END"
+
+
+@query("template_reply", f"""
+SELECT conv_id, turn, intent, {_template_sql()} AS reply
+FROM ({_classified_sql(ALT_INTENTS)}) WHERE intent IS NOT NULL""")
+def template_reply(spark, sf):
+    u = _conv(spark, sf).where(F.col("role") == "user")
+    c = u.select("conv_id", "turn", D.classify("text", ALT_INTENTS).alias("c"))
+    c = c.where(F.col("c.intent").isNotNull())
+    return c.select("conv_id", "turn", F.col("c.intent").alias("intent"),
+                    D.template_reply("c.intent", "conv_id", "turn").alias("reply"))
+
+
+@query("history_window", f"""
+SELECT conv_id, turn, CAST(len(h) AS INTEGER) AS hist_len, array_to_string(h, chr(10)) AS history FROM (
+  SELECT conv_id, turn, list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn
+         ROWS BETWEEN {P.history_len - 1} PRECEDING AND CURRENT ROW) AS h FROM conversations)""")
+def history_window(spark, sf):
+    """Bounded history (last 6 messages) of every message, skew-safe."""
+    h = lookback(_conv(spark, sf), "conv_id", "turn", {"h": P.history_len}, ["role", "text"],
+                 block_rows=P.lookback_block_rows)
+    return h.select("conv_id", "turn", F.size("h").alias("hist_len"),
+                    F.array_join(F.transform("h", lambda m: F.concat(m["role"], F.lit(": "), m["text"])),
+                                 "\n").alias("history"))
+
+
+@query("transcript", f"""
+SELECT conv_id, turn, array_to_string(h, chr(10)) AS transcript FROM (
+  SELECT conv_id, turn, role, list(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text)
+         OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {P.transcript_len - 1} PRECEDING AND CURRENT ROW) AS h
+  FROM conversations) WHERE role = 'user'""")
+def transcript(spark, sf):
+    """Prompt transcript of each user message: last 3 messages, itself included."""
+    h = lookback(_conv(spark, sf), "conv_id", "turn", {"s": P.transcript_len}, ["role", "text"],
+                 block_rows=P.lookback_block_rows)
+    return h.where(F.col("role") == "user").select("conv_id", "turn", D.transcript("s").alias("transcript"))
+
+
+_STRIP_SQL = f"regexp_replace(text, {S.lit('^' + PY_SPACE_CLASS + '+|' + PY_SPACE_CLASS + '+$')}, '', 'g')"
+
+
+@query("session_truncate", f"""
+WITH ex AS (SELECT conv_id, min(turn) AS first_exit FROM conversations
+            WHERE role = 'user' AND lower({_STRIP_SQL}) IN ('quit', 'exit') GROUP BY conv_id)
+SELECT c.conv_id, c.turn, c.role FROM conversations c LEFT JOIN ex USING (conv_id)
+WHERE ex.first_exit IS NULL OR c.turn < ex.first_exit""")
+def session_truncate(spark, sf):
+    return D.truncate_sessions(_conv(spark, sf)).select("conv_id", "turn", "role")
+
+
+# Retrieval for dialogue: user messages against the page-derived KB.
+
+def _kb(spark, sf):
+    return kb_documents(spark, sf)
+
+
+def _kb_sql():
+    return ORACLE["kb_documents"]
+
+
+def _topk_ctes(q_table, q_id, d_table, d_id, dim, k):
+    return f"""
+dt AS ({_tf_sql(d_table, d_id, dim, 'doc_id')}),
+qt AS ({_tf_sql(q_table, q_id, dim, 'query_id')}),
+dn AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM dt GROUP BY 1),
+qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS n FROM qt GROUP BY 1),
+dots AS (SELECT qt.query_id, dt.doc_id, sum(qt.tf * dt.tf) AS dot FROM qt JOIN dt USING (bucket) GROUP BY 1, 2),
+s AS (SELECT q.{q_id} AS query_id, d.{d_id} AS doc_id, round(coalesce(dots.dot, 0) / nullif(qn.n * dn.n, 0), 12) AS sim
+      FROM {q_table} q CROSS JOIN {d_table} d
+      LEFT JOIN dots ON dots.query_id = q.{q_id} AND dots.doc_id = d.{d_id}
+      LEFT JOIN qn ON qn.query_id = q.{q_id} LEFT JOIN dn ON dn.doc_id = d.{d_id}
+      WHERE q.text IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, doc_id) AS rn FROM s),
+top AS (SELECT query_id, rn AS rank, doc_id, sim FROM rk WHERE rn <= {k})"""
+
+
+def _dialog_ctes(intents):
+    return f"""
+kb AS ({_kb_sql()}),
+u AS (SELECT conv_id * 1000000 + turn AS qid, * FROM ({_classified_sql(intents)})),
+bq AS (SELECT qid, text FROM u WHERE intent IS NULL),
+{_topk_ctes('bq', 'qid', 'kb', 'doc_id', P.text_dim, P.top_k)},
+hits AS (SELECT top.query_id, top.rank, top.sim, kb.text, kb.url FROM top JOIN kb USING (doc_id)),
+agg AS (SELECT query_id, count(*) AS nh,
+          string_agg('{D.BULLET}' || text || ' (Similarity: ' || printf('%.2f', sim) || ')', chr(10) ORDER BY rank) AS context,
+          max(CASE WHEN rank = 1 THEN text END) AS answer,
+          coalesce(string_agg(CASE WHEN url <> '' THEN '{D.BULLET}' || text || ': ' || url END, chr(10) ORDER BY rank), '') AS refs
+        FROM hits GROUP BY 1),
+tr AS (SELECT conv_id, turn, array_to_string(list(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text)
+         OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {P.transcript_len - 1} PRECEDING AND CURRENT ROW), chr(10)) AS transcript
+       FROM conversations),
+d AS (SELECT u.conv_id, u.turn, u.text, u.intent, agg.nh, coalesce(agg.context, '') AS context,
+             coalesce(agg.answer, '') AS answer, agg.refs, tr.transcript
+      FROM u LEFT JOIN agg ON agg.query_id = u.qid JOIN tr ON tr.conv_id = u.conv_id AND tr.turn = u.turn)"""
+
+
+def _prompt_sql():
+    return (f"{S.lit('[Context]' + chr(10) + 'User Query: ')} || text || "
+            f"{S.lit(chr(10) + chr(10) + '[Relevant Information]' + chr(10))} || context || "
+            f"{S.lit(chr(10) + chr(10) + '[Previous Conversation]' + chr(10))} || transcript || "
+            f"{S.lit(chr(10) + chr(10) + D.DEFAULT_INSTRUCTIONS)}")
+
+
+def _reply_sql():
+    return (f"answer || chr(10) || chr(10) || CASE WHEN coalesce(nh, 0) > 0 THEN "
+            f"{S.lit(D.LINKS_HEADER + chr(10))} || refs ELSE '' END")
+
+
+def _answers(spark, sf, intents=D.DEFAULT_INTENTS):
+    return A.answer_messages(_conv(spark, sf), _kb(spark, sf), P, intents)
+
+
+@query("context_lines", f"""
+WITH {_dialog_ctes(D.DEFAULT_INTENTS)}
+SELECT conv_id, turn, context FROM d WHERE intent IS NULL""")
+def context_lines(spark, sf):
+    a = _answers(spark, sf)
+    return a.where(F.col("route") == "retrieval").select("conv_id", "turn", "context")
+
+
+@query("prompt_build", f"""
+WITH {_dialog_ctes(D.DEFAULT_INTENTS)}
+SELECT conv_id, turn, {_prompt_sql()} AS prompt FROM d WHERE intent IS NULL""")
+def prompt_build(spark, sf):
+    a = _answers(spark, sf)
+    return a.where(F.col("route") == "retrieval").select("conv_id", "turn", "prompt")
+
+
+@query("answer_extractive", f"""
+WITH {_dialog_ctes(D.DEFAULT_INTENTS)}
+SELECT conv_id, turn, answer FROM d WHERE intent IS NULL""")
+def answer_extractive(spark, sf):
+    a = _answers(spark, sf)
+    return a.where(F.col("route") == "retrieval").select("conv_id", "turn", "answer")
+
+
+@query("answer_format", f"""
+WITH {_dialog_ctes(D.DEFAULT_INTENTS)}
+SELECT conv_id, turn, {_reply_sql()} AS reply FROM d WHERE intent IS NULL""")
+def answer_format(spark, sf):
+    a = _answers(spark, sf)
+    return a.where(F.col("route") == "retrieval").select("conv_id", "turn", "reply")
+
+
+@query("dialog_answers", f"""
+WITH {_dialog_ctes(ALT_INTENTS)}
+SELECT conv_id, turn, CASE WHEN intent IS NULL THEN 'business' ELSE 'conversational' END AS intent_type, intent,
+       CASE WHEN intent IS NULL THEN 'retrieval' ELSE 'template' END AS route,
+       CASE WHEN intent IS NULL THEN {_reply_sql()} ELSE {_template_sql()} END AS reply
+FROM d""")
+def dialog_answers(spark, sf):
+    """End to end: every user message answered (template or retrieval)."""
+    a = _answers(spark, sf, ALT_INTENTS)
+    return a.select("conv_id", "turn", "intent_type", "intent", "route", "reply")
