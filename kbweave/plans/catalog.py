@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kbweave.config import Params
 from kbweave.functions import vectors as V
@@ -110,10 +111,10 @@ def topk_batch(spark, sf):
 @query("topk_blocked", _TOPK_SELF)
 def topk_blocked(spark, sf):
     """Same result as ``topk_batch`` with the query set forced into many
-    broadcast blocks (64 queries each): proves the blocked path is exact."""
+    broadcast blocks (256 queries each): proves the blocked path is exact."""
     e = load_table(spark, sf, "embeddings", ["vec_id", "embedding"])
     top = R.topk_batch(e, e, P.top_k, doc_id="vec_id", doc_vec="embedding",
-                       query_id="vec_id", query_vec="embedding", dim=P.dim, block_rows=64)
+                       query_id="vec_id", query_vec="embedding", dim=P.dim, block_rows=256)
     return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
 
 
@@ -665,3 +666,34 @@ def dialog_answers(spark, sf):
     """End to end: every user message answered (template or retrieval)."""
     a = _answers(spark, sf, ALT_INTENTS)
     return a.select("conv_id", "turn", "intent_type", "intent", "route", "reply")
+
+
+# ---------------------------------------------------------------- streaming
+from kbweave.streaming import jobs as ST  # noqa: E402
+
+
+@query("stream_kb", ORACLE["kb_documents"])
+def stream_kb(spark, sf):
+    """Incremental KB ingest (file stream, availableNow); equals kb_documents."""
+    out = ST.ingest_kb_stream(spark, f"{sf.rstrip('/')}/pages.parquet")
+    return spark.read.parquet(out).select("doc_id", "page_id", "ord", "doc_type", "text", "url")
+
+
+@query("stream_history", ORACLE["history_window"])
+def stream_history(spark, sf):
+    """Keyed-state bounded history; equals history_window on in-order input."""
+    out = ST.history_stream(spark, f"{sf.rstrip('/')}/conversations.parquet", P)
+    return spark.read.parquet(out).select("conv_id", "turn", "hist_len", "history")
+
+
+@query("stream_topk", ORACLE["topk_text"])
+def stream_topk(spark, sf):
+    """Benchmark queries as a stream against the documents snapshot."""
+    from kbweave.operators.partitioning import spread
+    docs = spread(load_table(spark, sf, "documents", ["doc_id", "text"]))
+    out = ST.topk_stream(spark, f"{sf.rstrip('/')}/benchmark.parquet",
+                         T.StructType([T.StructField("item_id", T.LongType()),
+                                       T.StructField("text", T.StringType())]),
+                         docs, "item_id", P)
+    return (spark.read.parquet(out)
+            .select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity")))
