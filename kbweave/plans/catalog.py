@@ -697,3 +697,16 @@ def stream_topk(spark, sf):
                          docs, "item_id", P)
     return (spark.read.parquet(out)
             .select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity")))
+
+
+@query("topk_by_type", f"""
+WITH kb0 AS ({_kb_sql()}),
+kb AS (SELECT * FROM kb0 WHERE doc_type = 'title'),
+{_topk_ctes('benchmark', 'item_id', 'kb', 'doc_id', P.text_dim, P.top_k)}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(sim, 6) AS similarity FROM top""")
+def topk_by_type(spark, sf):
+    """Retrieval scoped to one document type (titles) of the page-derived KB."""
+    kb = _kb(spark, sf).where(F.col("doc_type") == "title")
+    q = load_table(spark, sf, "benchmark", ["item_id", "text"])
+    top = R.topk_text(kb, q, P.top_k, doc_id="doc_id", query_id="item_id", dim=P.text_dim)
+    return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
