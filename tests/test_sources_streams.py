@@ -67,3 +67,42 @@ def test_stream_history_state_is_bounded(spark):
         "conv_id", "turn", F.size("h").alias("n"),
         F.array_join(F.transform("h", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("s"))
     assert got == {(r.conv_id, r.turn): (r.n, r.s) for r in want.collect()}
+
+
+def test_markdown_and_entry_sinks_roundtrip(spark):
+    from pyspark.sql import functions as F
+    from kbweave.functions.text import fingerprint
+    from kbweave.schemas import ENTRY
+    md = spark.createDataFrame([("host_x_20240101_000000", "# T\nés")], "source_key string, md string")
+    p = _tmp(spark, "mdsink")
+    FS.write_markdown(md, p)
+    assert spark.read.parquet(p).first().md == "# T\nés"
+    e = spark.createDataFrame([(("Tï", None, [("a", "u")]),)], f"entry {ENTRY.simpleString()}") \
+        .select("entry.*").withColumn("fingerprint", fingerprint("title"))
+    j = _tmp(spark, "jsonsink")
+    FS.write_entries_json(e, j)
+    raw = "".join(r.value for r in spark.read.text(j).collect())
+    assert "Tï" in raw and '"content":null' in raw          # UTF-8 kept, nulls written
+    back = FS.read_entries_json(spark, j).first()
+    assert back.title == "Tï" and back.links[0].url == "u"
+
+
+def test_dense_hashing_matches_sparse_counts(spark):
+    from pyspark.sql import functions as F
+    from kbweave.operators import kb as K
+    df = spark.createDataFrame([(1, "Apple apple, PEAR! 42 pear"), (2, ""), (3, None)], "doc_id long, text string")
+    sparse = {(r.doc_id, r.bucket): r.tf for r in K.hashed_tf(df, "doc_id", "text", 16).collect()}
+    dense = {r.doc_id: r.embedding for r in K.embed_hashed(df, "text", 16).collect()}
+    for (d, b), tf in sparse.items():
+        assert dense[d][b] == tf
+    assert sum(dense[1]) == 5 and sum(dense[2]) == 0
+
+
+def test_user_embedder_in_batches(spark):
+    from kbweave.operators import kb as K
+
+    def embed(texts):                     # runs in the Python worker
+        return [[float(len(t)), float(len(texts))] for t in texts]
+    df = spark.createDataFrame([(i, "x" * i) for i in range(1, 8)], "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r.embedding for r in K.embed_with(df, embed, "text", 2, batch_size=3).collect()}
+    assert out[5][0] == 5.0 and max(v[1] for v in out.values()) <= 3
