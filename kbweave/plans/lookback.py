@@ -56,11 +56,13 @@ def lookback(df: DataFrame, key: str, order: str, frames: dict[str, int], payloa
     width = max(frames.values())
     halo = width - 1
     blk = F.floor(F.col("_g") / F.lit(block_rows)).cast("long")
-    base = s.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
-    if halo > 0:
-        tail = gate(s, (F.col("_g") % F.lit(block_rows)) >= F.lit(block_rows - halo))
-        tail = tail.withColumn("_blk", blk + 1).withColumn("_halo", F.lit(True))
-        base = base.unionByName(tail)
+    # One scan: every row is emitted for its own block, and rows in the last
+    # n-1 positions of a block are emitted once more, as halo, for the next.
+    own = F.struct(blk.alias("_blk"), F.lit(False).alias("_halo"))
+    copy = F.struct((blk + 1).alias("_blk"), F.lit(True).alias("_halo"))
+    in_tail = (F.col("_g") % F.lit(block_rows)) >= F.lit(block_rows - halo)
+    targets = F.array(own) if halo == 0 else F.when(in_tail, F.array(own, copy)).otherwise(F.array(own))
+    base = s.select("*", F.inline(targets))
     w = Window.partitionBy("_blk").orderBy("_g")
     item = F.struct(F.col(key).alias("_k"), *[F.col(c) for c in [order] + payload])
     out = base
