@@ -38,7 +38,7 @@ def py_strip(col) -> Column:
 
 def tokens(col) -> Column:
     """Lower-cased letter/digit runs, empty pieces removed."""
-    return F.filter(F.split(F.lower(_c(col)), TOKEN_SPLIT), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.lower(_c(col)), TOKEN_SPLIT), "")
 
 
 def fmt2(col) -> Column:

@@ -16,8 +16,9 @@ ties by ascending document id.
 
 from __future__ import annotations
 
+import hashlib
 import math
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -66,13 +67,37 @@ def _local_topk(qidx: np.ndarray, sim: np.ndarray, did: np.ndarray, k: int):
     return qs[keep], ss[keep], ds[keep]
 
 
-def _matrix(col: pd.Series, dim: int, kind: str) -> np.ndarray:
-    """Dense float64 matrix from a vector column or from hashed-bucket lists."""
+class _Buckets:
+    """md5 token buckets (first 32 bits mod dim, same rule as ``md5_bucket``)
+    with a bounded memo: token frequencies are Zipf-like, so most lookups hit."""
+
+    def __init__(self, dim: int, cap: int = 1 << 20):
+        self.dim, self.cap, self.memo = dim, cap, {}
+
+    def __call__(self, toks) -> np.ndarray:
+        memo, dim = self.memo, self.dim
+        out = np.empty(len(toks), dtype=np.int64)
+        for i, t in enumerate(toks):
+            b = memo.get(t)
+            if b is None:
+                b = int.from_bytes(hashlib.md5(t.encode("utf-8")).digest()[:4], "big") % dim
+                if len(memo) < self.cap:
+                    memo[t] = b
+            out[i] = b
+        return out
+
+
+def _matrix(col: pd.Series, dim: int, kind: str, hasher: "_Buckets | None" = None) -> np.ndarray:
+    """Dense float64 matrix from a vector column, hashed-bucket lists or
+    token lists (hashed here)."""
     n = len(col)
     if kind == "dense":
         if n == 0:
             return np.zeros((0, dim))
         return np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
+    if kind == "tokens":
+        h = hasher or _Buckets(dim)
+        col = pd.Series([h(v) if v is not None and len(v) else np.zeros(0, np.int64) for v in col.values])
     lens = np.fromiter((len(v) for v in col.values), dtype=np.int64, count=n)
     m = np.zeros((n, dim), dtype=np.float64)
     if lens.sum():
@@ -89,20 +114,21 @@ def _unit_rows(m: np.ndarray):
     return out, ok
 
 
-def _score_block(docs: DataFrame, qids: np.ndarray, qmat: np.ndarray, qok: np.ndarray, k: int,
-                 id_col: str, vec_col: str, dim: int, kind: str) -> DataFrame:
+def _score_block(docs: DataFrame, qkeys: pd.DataFrame, qmat: np.ndarray, qok: np.ndarray, k: int,
+                 id_col: str, vec_col: str, dim: int, kind: str, key_fields) -> DataFrame:
     spark = docs.sparkSession
-    bq = spark.sparkContext.broadcast((qids, qmat, qok))
+    bq = spark.sparkContext.broadcast((qkeys, qmat, qok))
 
     def score(batches):
-        q_ids, q_unit, q_ok = bq.value
-        nq = q_ids.size
+        q_keys, q_unit, q_ok = bq.value
+        nq = len(q_keys)
+        hasher = _Buckets(dim) if kind == "tokens" else None
         acc_q = np.zeros(0, np.int64); acc_s = np.zeros(0); acc_d = np.zeros(0, np.int64)
         for pdf in batches:
             if len(pdf) == 0 or nq == 0:
                 continue
             d_ids = pdf[id_col].to_numpy(dtype=np.int64)
-            d_unit, d_ok = _unit_rows(_matrix(pdf[vec_col], dim, kind))
+            d_unit, d_ok = _unit_rows(_matrix(pdf[vec_col], dim, kind, hasher))
             # Ranking precision: similarities are compared at 12 decimals, so
             # mathematically equal scores tie (then doc id decides) instead of
             # being ordered by floating-point noise that differs per engine.
@@ -121,20 +147,23 @@ def _score_block(docs: DataFrame, qids: np.ndarray, qmat: np.ndarray, qok: np.nd
             acc_q, acc_s, acc_d = _local_topk(acc_q, acc_s, acc_d, k)
         if acc_q.size:
             sim = np.where(np.isneginf(acc_s), np.nan, acc_s)
-            yield pd.DataFrame({"query_id": q_ids[acc_q], "doc_id": acc_d,
-                                "similarity": sim})
+            res = q_keys.iloc[acc_q].reset_index(drop=True)
+            res["doc_id"] = acc_d
+            res["similarity"] = sim
+            yield res
 
-    out = T.StructType([T.StructField("query_id", T.LongType()),
-                        T.StructField("doc_id", T.LongType()),
-                        T.StructField("similarity", T.DoubleType())])
+    out = T.StructType(list(key_fields) + [T.StructField("doc_id", T.LongType()),
+                                           T.StructField("similarity", T.DoubleType())])
     return docs.select(id_col, vec_col).mapInPandas(score, out)
 
 
-def _collect_block(qdf: DataFrame, dim: int, kind: str):
-    pdf = qdf.toPandas()
-    ids = pdf["query_id"].to_numpy(dtype=np.int64)
+def _block_from_pandas(pdf: pd.DataFrame, keys: list[str], dim: int, kind: str):
     unit, ok = _unit_rows(_matrix(pdf["vec"], dim, kind))
-    return ids, unit, ok
+    return pdf[keys].reset_index(drop=True), unit, ok
+
+
+def _collect_block(qdf: DataFrame, keys: list[str], dim: int, kind: str):
+    return _block_from_pandas(qdf.toPandas(), keys, dim, kind)
 
 
 def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
@@ -152,38 +181,54 @@ def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
     k = params.top_k if k is None else k
     if k < 0:
         raise ValueError("k must be >= 0")
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"),
-                       F.col(query_vec).alias("vec"))
+    if isinstance(query_id, str):
+        keys = ["query_id"]
+        q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
+    else:
+        keys = list(query_id)
+        q = queries.select(*[F.col(c) for c in keys], F.col(query_vec).alias("vec"))
     d = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(doc_vec).alias(doc_vec))
     if kind == "dense":
         q = q.where(V.dim_ok("vec", dim))
         d = d.where(V.dim_ok(doc_vec, dim))
     else:
         q = q.where(F.col("vec").isNotNull())
-        d = d.withColumn(doc_vec, F.coalesce(F.col(doc_vec), F.array().cast("array<int>")))
-    n_q = q.count()
-    empty = docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, similarity double")
-    if n_q == 0 or k == 0:
+        d = d.withColumn(doc_vec, F.coalesce(F.col(doc_vec), F.array().cast(d.schema[doc_vec].dataType)))
+    key_fields = [q.schema[c] for c in keys]
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
+    empty = docs.sparkSession.createDataFrame([], f"{out_schema}, rank int, doc_id long, similarity double")
+    if k == 0:
         return empty
     # Size check of what is broadcast: a block holds at most rows_cap query
-    # vectors (dense float64 copy plus its unit-length copy).
+    # vectors (dense float64 copy plus its unit-length copy). The first probe
+    # collects at most rows_cap + 1 rows: if the whole set fits, that single
+    # bounded job is the only one; otherwise the set is split into hashed
+    # blocks whose sizes are counted before any of them is collected.
     rows_cap = block_rows or max(1, params.query_block_bytes // (dim * 8 * 2))
-    n_blocks = max(1, math.ceil(n_q / rows_cap))
-    while True:
-        blk = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-        sizes = {r[0]: r[1] for r in q.groupBy(blk.alias("b")).count().collect()} if n_blocks > 1 else {0: n_q}
-        if max(sizes.values()) <= rows_cap or n_blocks >= n_q:
-            break
-        n_blocks *= 2
+    probe = q.limit(rows_cap + 1).toPandas()
+    if len(probe) == 0:
+        return empty
+    if len(probe) <= rows_cap:
+        loaders = [lambda: _block_from_pandas(probe, keys, dim, kind)]
+    else:
+        del probe
+        n_q = q.count()
+        n_blocks = max(2, math.ceil(n_q / rows_cap))
+        while True:
+            blk = F.pmod(F.xxhash64(*keys), F.lit(n_blocks))
+            sizes = {r[0]: r[1] for r in q.groupBy(blk.alias("b")).count().collect()}
+            if max(sizes.values()) <= rows_cap or n_blocks >= n_q:
+                break
+            n_blocks *= 2
+        loaders = [partial(_collect_block, q.where(blk == b), keys, dim, kind) for b in sorted(sizes)]
     parts = []
-    for b in sorted(sizes):
-        qb = q if n_blocks == 1 else q.where(blk == b)
-        ids, unit, ok = _collect_block(qb, dim, kind)
-        parts.append(_score_block(d, ids, unit, ok, k, doc_id, doc_vec, dim, kind))
+    for load in loaders:
+        qkeys, unit, ok = load()
+        parts.append(_score_block(d, qkeys, unit, ok, k, doc_id, doc_vec, dim, kind, key_fields))
     local = reduce(lambda a, b: a.unionByName(b), parts)
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), F.asc("doc_id"))
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("similarity"), F.asc("doc_id"))
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "similarity"))
+            .select(*keys, F.col("rank").cast("int").alias("rank"), "doc_id", "similarity"))
 
 
 def token_buckets(text, dim: int) -> Column:
@@ -196,11 +241,14 @@ def topk_text(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
               query_id: str = "query_id", query_text: str = "text",
               dim: int = 256, params: Params | None = None) -> DataFrame:
     """Text-to-text retrieval over hashed term-frequency vectors."""
-    d = docs.select(F.col(doc_id).alias(doc_id), token_buckets(doc_text, dim).alias("_b"))
+    # Tokens are split JVM-side; md5 buckets are computed inside the Arrow
+    # scorer (memoised per task), the same rule as ``token_buckets``.
+    d = docs.select(F.col(doc_id).alias(doc_id), tokens(doc_text).alias("_b"))
     # A NULL query text has no embedding: it is dropped, like a failed embed.
-    q = queries.select(F.col(query_id).alias("query_id"), token_buckets(query_text, dim).alias("_b"))
-    return topk_batch(d, q, k, doc_id=doc_id, doc_vec="_b", query_id="query_id",
-                      query_vec="_b", dim=dim, kind="buckets", params=params)
+    qcols = [query_id] if isinstance(query_id, str) else list(query_id)
+    q = queries.select(*qcols, tokens(query_text).alias("_b"))
+    return topk_batch(d, q, k, doc_id=doc_id, doc_vec="_b", query_id=query_id,
+                      query_vec="_b", dim=dim, kind="tokens", params=params)
 
 
 def attach_hits(topk: DataFrame, docs: DataFrame, doc_id: str = "doc_id",

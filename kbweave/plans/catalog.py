@@ -405,7 +405,7 @@ def entry_quarantine(spark, sf):
 
 @query("batch_status", f"""
 WITH {_REPLY_SQL}
-SELECT status, count(*) AS n, sum(count(*)) OVER () AS total FROM st GROUP BY status""")
+SELECT status, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM st GROUP BY status""")
 def batch_status(spark, sf):
     return EN.batch_status(_parsed(spark, sf))
 

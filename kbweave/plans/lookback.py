@@ -47,12 +47,25 @@ def global_index(df: DataFrame, key: str, order: str, num_partitions: int | None
              .drop("_pid", "_mid", "_off"))
 
 
+def largest_group(df: DataFrame, key: str) -> int:
+    """Rows of the biggest key (partial aggregation; reads the key column only)."""
+    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(r or 0)
+
+
 def lookback(df: DataFrame, key: str, order: str, frames: dict[str, int], payload: list[str],
-             block_rows: int = 1_000_000, indexed: bool = False) -> DataFrame:
+             block_rows: int = 1_000_000, mode: str = "auto") -> DataFrame:
     """For each row, ``frames[name]`` = list of the last n rows of its key
     (itself included, oldest first) as structs of ``[order] + payload``.
-    Output keeps all input columns plus ``_g`` and one array per frame."""
-    s = df if indexed else global_index(df, key, order)
+
+    ``mode='auto'`` measures the largest key first: when every key fits in one
+    block the plain keyed window is used (one shuffle, a task never holds more
+    than a block's worth of one key); otherwise, or with ``mode='blocks'``,
+    the global-index block/halo plan runs. Output: input columns + frames.
+    """
+    if mode == "auto" and largest_group(df, key) <= block_rows:
+        return plain_lookback(df, key, order, frames, payload)
+    s = global_index(df, key, order)
     width = max(frames.values())
     halo = width - 1
     blk = F.floor(F.col("_g") / F.lit(block_rows)).cast("long")
@@ -73,7 +86,7 @@ def lookback(df: DataFrame, key: str, order: str, frames: dict[str, int], payloa
     for name in frames:
         out = out.withColumn(name, F.transform(F.filter(name, lambda m: m["_k"] == F.col(key)),
                                                lambda m: m.dropFields("_k")))
-    return out.drop("_blk", "_halo")
+    return out.drop("_blk", "_halo", "_g")
 
 
 def plain_lookback(df: DataFrame, key: str, order: str, frames: dict[str, int],
