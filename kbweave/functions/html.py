@@ -21,18 +21,15 @@ ENTITIES = [
     ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 ]
 
+# One pass drops the head, scripts, styles and comments.
 DROP_BLOCKS = [
-    (r"(?is)<head[^>]*>.*?</head>", ""),
-    (r"(?is)<script[^>]*>.*?</script>", ""),
-    (r"(?is)<style[^>]*>.*?</style>", ""),
-    (r"(?s)<!--.*?-->", ""),
+    (r"(?is)<head( [^>]*)?>.*?</head>|<script( [^>]*)?>.*?</script>|<style( [^>]*)?>.*?</style>|<!--.*?-->", ""),
 ]
 
 _BLOCK_TAGS = "p|div|h[1-6]|li|ul|ol|tr|table|thead|tbody|article|nav|section|header|footer|main|body|html|title|blockquote|pre"
 
 BREAKS = [
-    (r"(?i)<br[^>]*>", NL),
-    (rf"(?i)</?({_BLOCK_TAGS})( [^>]*)?>", NL),
+    (rf"(?i)<br( [^>]*)?/?>|</?({_BLOCK_TAGS})( [^>]*)?>", NL),
 ]
 
 STRIP_TAGS = [(r"<[^>]*>", "")]
