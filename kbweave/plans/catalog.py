@@ -710,3 +710,30 @@ def topk_by_type(spark, sf):
     q = load_table(spark, sf, "benchmark", ["item_id", "text"])
     top = R.topk_text(kb, q, P.top_k, doc_id="doc_id", query_id="item_id", dim=P.text_dim)
     return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
+
+
+_GEN_SQL = f"""
+WITH {_dialog_ctes(ALT_INTENTS)},
+rep AS (SELECT conv_id, turn, text, intent, context,
+               CASE WHEN intent IS NULL THEN {_reply_sql()} ELSE {_template_sql()} END AS reply FROM d),
+lagged AS (SELECT *, lag(text, 1) OVER w AS t1, lag(reply, 1) OVER w AS r1,
+                     lag(text, 2) OVER w AS t2, lag(reply, 2) OVER w AS r2
+           FROM rep WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ent AS (SELECT *, list_filter(['User: ' || t2, 'Assistant: ' || r2, 'User: ' || t1, 'Assistant: ' || r1,
+                               'User: ' || text], lambda x: x IS NOT NULL) AS e FROM lagged),
+gen AS (SELECT *, array_to_string(e[greatest(len(e) - 2, 1):len(e)], chr(10)) AS transcript FROM ent)
+SELECT conv_id, turn, {_prompt_sql()} AS prompt, reply FROM gen"""
+
+
+@query("dialog_generated", _GEN_SQL)
+def dialog_generated(spark, sf):
+    """Generating mode: prompts show generated replies, not recorded rows."""
+    g = A.generated_dialog(_conv(spark, sf), _kb(spark, sf), P, ALT_INTENTS)
+    return g.select("conv_id", "turn", "prompt", "reply")
+
+
+@query("stream_dialog", _GEN_SQL)
+def stream_dialog(spark, sf):
+    """Generating mode as two incremental stages with keyed history state."""
+    out = ST.dialog_stream(spark, f"{sf.rstrip('/')}/conversations.parquet", _kb(spark, sf), P, ALT_INTENTS)
+    return spark.read.parquet(out).select("conv_id", "turn", "prompt", "reply")
