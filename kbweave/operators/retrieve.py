@@ -254,6 +254,10 @@ def topk_text(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
 def attach_hits(topk: DataFrame, docs: DataFrame, doc_id: str = "doc_id",
                 cols: tuple[str, ...] = ("text", "url")) -> DataFrame:
     """Hit projection ``{text, url, similarity}``: join winners to their rows.
-    The winners side is small (k per query) while ``docs`` may be large, so
-    this is a plain equi-join; AQE picks broadcast when the winners fit."""
-    return topk.join(docs.select(doc_id, *cols), doc_id, "left")
+
+    Every winner's id comes from ``docs``, so an inner join is exact. Inner
+    (not left) matters at scale: the winners side (k per query) is the small
+    one and may be the broadcast build side, or feed a runtime filter on the
+    document scan, instead of shuffling the whole document table by id.
+    """
+    return docs.select(doc_id, *cols).join(topk, doc_id, "inner")
