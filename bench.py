@@ -17,8 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from kbweave.config import get_session  # noqa: E402
 from kbweave.plans import catalog  # noqa: E402
 
-HEADLINE = ["topk_batch", "topk_blocked", "topk_text", "kb_documents", "history_window",
-            "kb_atomic", "page_sections", "dialog_answers"]
+HEADLINE = ["topk_batch", "topk_blocked", "topk_text", "hash_embed", "kb_documents", "history_window",
+            "stream_history", "kb_atomic", "page_sections", "dialog_answers"]
 
 
 def main() -> None:
