@@ -31,6 +31,7 @@ from kbweave.functions import vectors as V
 from kbweave.functions.text import md5_bucket, tokens
 
 SIM_DECIMALS = 12
+SCORE_BYTES = 32 * 1024 * 1024   # bound on one (docs x queries) float64 score matrix
 
 
 def _rank_window(part_col: str | None, sim: str, ident: str):
@@ -124,27 +125,32 @@ def _score_block(docs: DataFrame, qkeys: pd.DataFrame, qmat: np.ndarray, qok: np
         nq = len(q_keys)
         hasher = _Buckets(dim) if kind == "tokens" else None
         acc_q = np.zeros(0, np.int64); acc_s = np.zeros(0); acc_d = np.zeros(0, np.int64)
-        for pdf in batches:
-            if len(pdf) == 0 or nq == 0:
+        # Slice each Arrow batch so one similarity matrix stays within
+        # SCORE_BYTES whatever the batch size, dimension or block size.
+        step = max(1, SCORE_BYTES // (8 * max(nq, dim, 1)))
+        for whole in batches:
+            if len(whole) == 0 or nq == 0:
                 continue
-            d_ids = pdf[id_col].to_numpy(dtype=np.int64)
-            d_unit, d_ok = _unit_rows(_matrix(pdf[vec_col], dim, kind, hasher))
-            # Ranking precision: similarities are compared at 12 decimals, so
-            # mathematically equal scores tie (then doc id decides) instead of
-            # being ordered by floating-point noise that differs per engine.
-            s = np.round(d_unit @ q_unit.T, SIM_DECIMALS)           # (docs, queries)
-            s[~d_ok, :] = -np.inf
-            s[:, ~q_ok] = -np.inf
-            b = s.shape[0]
-            if b > k:
-                kth = np.partition(s, b - k, axis=0)[b - k]          # k-th largest per query
-                rows, cols = np.nonzero(s >= kth)                    # ties kept, fixed below
-            else:
-                rows, cols = np.nonzero(np.ones_like(s, dtype=bool))
-            acc_q = np.concatenate([acc_q, cols.astype(np.int64)])
-            acc_s = np.concatenate([acc_s, s[rows, cols]])
-            acc_d = np.concatenate([acc_d, d_ids[rows]])
-            acc_q, acc_s, acc_d = _local_topk(acc_q, acc_s, acc_d, k)
+            for lo in range(0, len(whole), step):
+                pdf = whole.iloc[lo:lo + step]
+                d_ids = pdf[id_col].to_numpy(dtype=np.int64)
+                d_unit, d_ok = _unit_rows(_matrix(pdf[vec_col], dim, kind, hasher))
+                # Ranking precision: similarities are compared at 12 decimals, so
+                # mathematically equal scores tie (then doc id decides) instead of
+                # being ordered by floating-point noise that differs per engine.
+                s = np.round(d_unit @ q_unit.T, SIM_DECIMALS)       # (docs, queries)
+                s[~d_ok, :] = -np.inf
+                s[:, ~q_ok] = -np.inf
+                b = s.shape[0]
+                if b > k:
+                    kth = np.partition(s, b - k, axis=0)[b - k]      # k-th largest per query
+                    rows, cols = np.nonzero(s >= kth)                # ties kept, fixed below
+                else:
+                    rows, cols = np.nonzero(np.ones_like(s, dtype=bool))
+                acc_q = np.concatenate([acc_q, cols.astype(np.int64)])
+                acc_s = np.concatenate([acc_s, s[rows, cols]])
+                acc_d = np.concatenate([acc_d, d_ids[rows]])
+                acc_q, acc_s, acc_d = _local_topk(acc_q, acc_s, acc_d, k)
         if acc_q.size:
             sim = np.where(np.isneginf(acc_s), np.nan, acc_s)
             res = q_keys.iloc[acc_q].reset_index(drop=True)

@@ -52,8 +52,10 @@ def test_wrong_dimension_rejected(spark):
     assert {r.doc_id for r in R.topk_batch(d, q, 5, dim=2).collect()} == {1}
 
 
-@pytest.mark.parametrize("block_rows", [None, 7])
-def test_batch_equals_brute_force(spark, block_rows):
+@pytest.mark.parametrize("block_rows,score_bytes", [(None, None), (7, None), (None, 8 * 25 * 3)])
+def test_batch_equals_brute_force(spark, monkeypatch, block_rows, score_bytes):
+    if score_bytes:                      # tiny budget: every batch is scored in 3-row slices
+        monkeypatch.setattr(R, "SCORE_BYTES", score_bytes)
     rng = np.random.default_rng(3)
     base = rng.integers(-3, 4, size=(60, 4)).astype(float)   # small integers: many exact ties
     base[5] = 0.0
