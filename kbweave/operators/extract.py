@@ -69,6 +69,25 @@ def nav_links(pages: DataFrame) -> DataFrame:
             .select("page_id", "is_nav", F.col("l.pos").alias("link_pos"), "l.text", "l.url"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _parents(levels: pd.Series) -> pd.Series:
+    """Parent section of each heading: the nearest earlier heading of a lower
+    level, else the root (0). One stack pass per page, linear in headings."""
+    out = []
+    for lv in levels:
+        if lv is None:
+            out.append(None)
+            continue
+        stack, par = [], []
+        for i, level in enumerate(lv, start=1):
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            par.append(stack[-1][1] if stack else 0)
+            stack.append((level, i))
+        out.append(par)
+    return pd.Series(out)
+
+
 def sections(md_df: DataFrame, md_col: str = "md", key: str = "page_id") -> DataFrame:
     """Heading hierarchy of a markdown column, computed inside the row.
 
@@ -85,6 +104,7 @@ def sections(md_df: DataFrame, md_col: str = "md", key: str = "page_id") -> Data
     heads = F.transform(heads, lambda h, j: F.struct(h["pos"].alias("pos"), h["level"].alias("level"),
                                                      h["title"].alias("title"), (j + 1).alias("sec")))
     df = md_df.select(key, lines.alias("_lines"), heads.alias("_h"))
+    df = df.withColumn("_p", _parents(F.transform("_h", lambda h: h["level"])))
     n = F.size("_lines")
 
     def body(start0, stop0):  # lines [start0, stop0) joined, outer newlines trimmed
@@ -99,9 +119,7 @@ def sections(md_df: DataFrame, md_col: str = "md", key: str = "page_id") -> Data
                     body(F.lit(0), first).alias("body"))
     secs = F.transform("_h", lambda h, j: F.struct(
         (j + 1).alias("sec_idx"), h["level"].alias("level"), h["title"].alias("title"),
-        F.aggregate(F.slice("_h", 1, j), F.lit(0),
-                    lambda acc, p: F.when(p["level"] < h["level"], p["sec"]).otherwise(acc)
-                    ).alias("parent_idx"),
+        F.get("_p", j).alias("parent_idx"),
         body(h["pos"] + 1, F.coalesce(F.get("_h", j + 1)["pos"], n)).alias("body")))
     return df.select(key, F.inline(F.concat(F.array(root), secs)))
 
