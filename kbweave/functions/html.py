@@ -54,7 +54,10 @@ MARKDOWN_REWRITES = (
        (r"(?i)<t[dh]( [^>]*)?>", "| ")]
 )
 
-ENTITY_RULES = [(k, v) for k, v in ENTITIES]
+# Entities are literal replacements (no regex engine pass); the marker tells
+# both renderers to use a plain string replace.
+LITERAL = "literal:"
+ENTITY_RULES = [(LITERAL + k, v) for k, v in ENTITIES]
 
 TEXT_RULES = DROP_BLOCKS + BREAKS + STRIP_TAGS + ENTITY_RULES + SPACES
 MARKDOWN_RULES = DROP_BLOCKS + MARKDOWN_REWRITES + BREAKS + STRIP_TAGS + ENTITY_RULES + SPACES
@@ -75,7 +78,10 @@ def _c(x) -> Column:
 def apply_rules(col, rules) -> Column:
     out = _c(col)
     for pat, rep in rules:
-        out = F.regexp_replace(out, pat, rep)
+        if pat.startswith(LITERAL):
+            out = F.replace(out, F.lit(pat[len(LITERAL):]), F.lit(rep))
+        else:
+            out = F.regexp_replace(out, pat, rep)
     return out
 
 

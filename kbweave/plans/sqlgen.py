@@ -20,9 +20,13 @@ def _rep(r: str) -> str:
 
 
 def rules(expr: str, rule_list) -> str:
+    from kbweave.functions.html import LITERAL
     out = expr
     for pat, rep in rule_list:
-        out = f"regexp_replace({out}, {lit(pat)}, {lit(_rep(rep))}, 'g')"
+        if pat.startswith(LITERAL):
+            out = f"replace({out}, {lit(pat[len(LITERAL):])}, {lit(rep)})"
+        else:
+            out = f"regexp_replace({out}, {lit(pat)}, {lit(_rep(rep))}, 'g')"
     return out
 
 
