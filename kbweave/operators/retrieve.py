@@ -117,6 +117,8 @@ def _unit_rows(m: np.ndarray):
 
 def _score_block(docs: DataFrame, qkeys: pd.DataFrame, qmat: np.ndarray, qok: np.ndarray, k: int,
                  id_col: str, vec_col: str, dim: int, kind: str, key_fields) -> DataFrame:
+    """Score one broadcast query block against every document partition;
+    ``kind`` describes the document column (dense / buckets / tokens)."""
     spark = docs.sparkSession
     bq = spark.sparkContext.broadcast((qkeys, qmat, qok))
 
@@ -163,6 +165,26 @@ def _score_block(docs: DataFrame, qkeys: pd.DataFrame, qmat: np.ndarray, qok: np
     return docs.select(id_col, vec_col).mapInPandas(score, out)
 
 
+def _dense_udf(dim: int, kind: str):
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def to_dense(col: pd.Series) -> pd.Series:
+        m = _matrix(col, dim, kind, _Buckets(dim) if kind == "tokens" else None)
+        return pd.Series(list(m.astype(np.float32)))
+    return to_dense
+
+
+def _materialize_docs(d: DataFrame, doc_id: str, doc_vec: str, dim: int, kind: str) -> DataFrame:
+    """Document vectors written once to the shared checkpoint folder, so that
+    several query blocks scan compact dense vectors instead of re-deriving
+    (re-reading, re-tokenising, re-hashing) the documents per block."""
+    from kbweave.config import scratch_path
+    spark = d.sparkSession
+    path = scratch_path(spark, "docvec")
+    vec = F.col(doc_vec) if kind == "dense" else _dense_udf(dim, kind)(doc_vec)
+    d.select(doc_id, vec.alias(doc_vec)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _block_from_pandas(pdf: pd.DataFrame, keys: list[str], dim: int, kind: str):
     unit, ok = _unit_rows(_matrix(pdf["vec"], dim, kind))
     return pdf[keys].reset_index(drop=True), unit, ok
@@ -227,10 +249,13 @@ def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
                 break
             n_blocks *= 2
         loaders = [partial(_collect_block, q.where(blk == b), keys, dim, kind) for b in sorted(sizes)]
+    doc_kind = kind
+    if len(loaders) > 1:
+        d, doc_kind = _materialize_docs(d, doc_id, doc_vec, dim, kind), "dense"
     parts = []
     for load in loaders:
         qkeys, unit, ok = load()
-        parts.append(_score_block(d, qkeys, unit, ok, k, doc_id, doc_vec, dim, kind, key_fields))
+        parts.append(_score_block(d, qkeys, unit, ok, k, doc_id, doc_vec, dim, doc_kind, key_fields))
     local = reduce(lambda a, b: a.unionByName(b), parts)
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("similarity"), F.asc("doc_id"))
     return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -86,3 +86,16 @@ def test_cosine_column(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([1.0, 1.0], [2.0, 2.0])], "a array<double>, b array<double>")
     got = [r.c for r in df.select(V.cosine("a", "b").alias("c")).collect()]
     assert got[0] == 0.0 and math.isclose(got[1], 1.0)
+
+
+def test_text_retrieval_many_blocks_equals_one(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common {'x' * (i % 3)}") for i in range(40)],
+                                 "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"w{i % 7} common") for i in range(30)], "query_id long, text string")
+    one = {(r.query_id, r.rank): (r.doc_id, r.similarity) for r in R.topk_text(docs, q, 3, dim=32).collect()}
+    from kbweave.config import Params
+    many = R.topk_batch(docs.select("doc_id", R.tokens("text").alias("t")),
+                        q.select("query_id", R.tokens("text").alias("t")), 3, doc_vec="t", query_vec="t",
+                        dim=32, kind="tokens", block_rows=4, params=Params())
+    got = {(r.query_id, r.rank): (r.doc_id, r.similarity) for r in many.collect()}
+    assert got == one
