@@ -194,6 +194,30 @@ def _collect_block(qdf: DataFrame, keys: list[str], dim: int, kind: str):
     return _block_from_pandas(qdf.toPandas(), keys, dim, kind)
 
 
+def _pack_blocks(q: DataFrame, keys: list[str], rows_cap: int) -> list[DataFrame]:
+    """Split the query set into blocks of at most ``rows_cap`` rows with one
+    aggregation: rows are hashed into many small sub-buckets, whose counts
+    (one row per sub-bucket) are packed in order into blocks on the driver.
+    Few, full blocks mean few scans of the document side."""
+    n_sub = 1024
+    while True:
+        sub = F.pmod(F.xxhash64(*keys), F.lit(n_sub))
+        sizes = sorted((r[0], r[1]) for r in q.groupBy(sub.alias("s")).count().collect())
+        if max(c for _, c in sizes) <= rows_cap or n_sub >= (1 << 22):
+            break
+        n_sub *= 8
+    blocks, cur, filled = [], [], 0
+    for sid, c in sizes:
+        if cur and filled + c > rows_cap:
+            blocks.append(cur)
+            cur, filled = [], 0
+        cur.append(sid)
+        filled += c
+    if cur:
+        blocks.append(cur)
+    return [q.where(sub.isin(ids)) for ids in blocks]
+
+
 def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
                doc_id: str = "doc_id", doc_vec: str = "embedding",
                query_id: str = "query_id", query_vec: str = "embedding",
@@ -240,15 +264,7 @@ def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
         loaders = [lambda: _block_from_pandas(probe, keys, dim, kind)]
     else:
         del probe
-        n_q = q.count()
-        n_blocks = max(2, math.ceil(n_q / rows_cap))
-        while True:
-            blk = F.pmod(F.xxhash64(*keys), F.lit(n_blocks))
-            sizes = {r[0]: r[1] for r in q.groupBy(blk.alias("b")).count().collect()}
-            if max(sizes.values()) <= rows_cap or n_blocks >= n_q:
-                break
-            n_blocks *= 2
-        loaders = [partial(_collect_block, q.where(blk == b), keys, dim, kind) for b in sorted(sizes)]
+        loaders = [partial(_collect_block, qb, keys, dim, kind) for qb in _pack_blocks(q, keys, rows_cap)]
     doc_kind = kind
     if len(loaders) > 1:
         d, doc_kind = _materialize_docs(d, doc_id, doc_vec, dim, kind), "dense"
