@@ -9,6 +9,9 @@
   ``row_number() <= k`` (planned as WindowGroupLimit, partial before the
   shuffle) merges the local winners. No pair rows are ever materialised, and
   no cross join is planned; the document side is never shuffled or collected.
+  Blocks are packed from hashed sub-buckets counted in one aggregation; with
+  more than one block the document vectors are written once to the shared
+  checkpoint folder and every block scans that compact copy.
 
 Order rule for every form: similarity descending, NULL (zero vector) last,
 ties by ascending document id.
@@ -34,11 +37,6 @@ SIM_DECIMALS = 12
 SCORE_BYTES = 32 * 1024 * 1024   # bound on one (docs x queries) float64 score matrix
 
 
-def _rank_window(part_col: str | None, sim: str, ident: str):
-    w = Window.orderBy(F.desc_nulls_last(sim), F.asc(ident))
-    return Window.partitionBy(part_col).orderBy(F.desc_nulls_last(sim), F.asc(ident)) if part_col else w
-
-
 def topk_single(docs: DataFrame, query_vec, k: int | None = None, *, id_col: str = "doc_id",
                 vec_col: str = "embedding", keep: list[str] | None = None) -> DataFrame:
     """Top-k of one query over all documents. ``query_vec`` is a Python list or
@@ -50,8 +48,10 @@ def topk_single(docs: DataFrame, query_vec, k: int | None = None, *, id_col: str
     keep = keep or []
     scored = (docs.select(id_col, vec_col, *keep).withColumn("_q", q)
               .select(id_col, *keep, F.round(V.cosine(vec_col, "_q"), SIM_DECIMALS).alias("similarity")))
-    top = scored.orderBy(F.desc_nulls_last("similarity"), F.asc(id_col)).limit(k)
-    return top.withColumn("rank", F.row_number().over(_rank_window(None, "similarity", id_col)))
+    order = [F.desc_nulls_last("similarity"), F.asc(id_col)]
+    top = scored.orderBy(*order).limit(k)
+    # The window ranks the k winners only (a bounded, single-partition step).
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 # ---------------------------------------------------------------- batch form
