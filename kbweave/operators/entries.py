@@ -25,8 +25,14 @@ def clean_fence(s) -> Column:
 
 
 def strict_json(s) -> Column:
-    """Exactly one JSON value and nothing else (trailing text rejected)."""
-    return F.coalesce(F.json_array_length(F.concat(F.lit("["), _c(s), F.lit("]"))) == 1, F.lit(False))
+    """Exactly one JSON value and nothing else (trailing text rejected).
+
+    ``[s]`` must hold one element and ``[s,0]`` two: text that closes the
+    wrapper early (``{..}],[{..}``) makes both probes stop at the same first
+    array, so it cannot pass both."""
+    one = F.json_array_length(F.concat(F.lit("["), _c(s), F.lit("]")))
+    two = F.json_array_length(F.concat(F.lit("["), _c(s), F.lit(",0]")))
+    return F.coalesce((one == 1) & (two == 2), F.lit(False))
 
 
 def has_fields(s, fields=REQUIRED_ENTRY_FIELDS) -> Column:

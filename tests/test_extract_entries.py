@@ -23,10 +23,12 @@ def test_json_damage_statuses(spark):
     rows = [('{"title":"t","content":"c","links":[]}',), ('{"title":"t","content":"c","links":[]',),
             ('{"title":"t","content":"c","links":[]} trailing',), ('[1,2]',),
             ('{"title":"t","content":"c"}',), ('{"title":null,"content":"c","links":null}',),
-            ('{"title":"a","title":"b","content":"c","links":[]}',)]
+            ('{"title":"a","title":"b","content":"c","links":[]}',),
+            ('{"title":"t","content":"c","links":[]}],[{"x":1}',)]
     df = EN.parse_replies(spark.createDataFrame(rows, "reply string"))
     got = [(r.status, r.entry.title if r.entry else None) for r in df.collect()]
-    assert [g[0] for g in got] == ["ok", "bad_json", "bad_json", "not_object", "missing_fields", "ok", "ok"]
+    assert [g[0] for g in got] == ["ok", "bad_json", "bad_json", "not_object", "missing_fields", "ok", "ok",
+                                   "bad_json"]
     assert got[6][1] == "b"          # duplicate keys: the last one wins
 
 
