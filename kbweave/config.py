@@ -34,6 +34,9 @@ class Params:
     query_block_bytes: int = 64 * 1024 * 1024
     # Rows per block for the skew-safe bounded look-back windows.
     lookback_block_rows: int = 1_000_000
+    # Keyed streaming state of a conversation is dropped after this much
+    # processing time without new messages (bounds the state store).
+    state_idle_ms: int = 30 * 60 * 1000
     extra: dict = field(default_factory=dict)
 
 
