@@ -116,3 +116,29 @@ def test_foreach_batch_sink_is_idempotent(spark):
     ST.write_epoch(df.limit(1), p, 1)
     back = spark.read.parquet(p)
     assert back.count() == 3 and sorted(r.epoch for r in back.collect()) == [0, 0, 1]
+
+
+def test_continuous_history_stream_with_idle_timeout(spark):
+    from pyspark.sql import functions as F
+    from kbweave.config import Params
+    d = _tmp(spark, "conv-cont")
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for c in range(2) for t in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(d)
+    import time
+    out, q = ST.history_stream(spark, d, Params(state_idle_ms=60_000), processing_time="1 second")
+    # With pending idle timeouts the query keeps running no-data batches, so
+    # processAllAvailable() would not return: poll the sink instead.
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            try:
+                if spark.read.parquet(out).count() == 16:
+                    break
+            except Exception:  # noqa: BLE001 - sink not written yet
+                pass
+    finally:
+        q.stop()
+    got = spark.read.parquet(out)
+    assert got.count() == 16
+    assert got.where((F.col("conv_id") == 1) & (F.col("turn") == 7)).first().hist_len == 6
