@@ -20,7 +20,6 @@ ties by ascending document id.
 from __future__ import annotations
 
 import hashlib
-import math
 from functools import partial, reduce
 
 import numpy as np

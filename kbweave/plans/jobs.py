@@ -10,7 +10,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kbweave.config import Params, get_session
 from kbweave.operators import entries as EN
