@@ -86,12 +86,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``kbweave`` importable in Python workers on every executor by
-    shipping a zip of the package with the job (idempotent per context)."""
+    shipping a zip of the package with the job (idempotent per context).
+
+    The zip is a driver-side build artifact handed to ``addPyFile``; Spark
+    distributes it, no data goes through it. Deployments that already pass
+    the package with ``--py-files`` set ``kbweave.ship=false``."""
     import tempfile
     import zipfile
 
     sc = spark.sparkContext
-    if getattr(sc, "_kbweave_shipped", False):
+    if getattr(sc, "_kbweave_shipped", False) or spark.conf.get("kbweave.ship", "true") == "false":
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
