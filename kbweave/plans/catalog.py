@@ -738,3 +738,17 @@ def stream_dialog(spark, sf):
     """Generating mode as two incremental stages with keyed history state."""
     out = ST.dialog_stream(spark, f"{sf.rstrip('/')}/conversations.parquet", _kb(spark, sf), P, ALT_INTENTS)
     return spark.read.parquet(out).select("conv_id", "turn", "prompt", "reply")
+
+
+@query("entry_file_key", f"""
+SELECT page_id, substr(md5({S.rules('html', H.MARKDOWN_RULES)}), 1, 8) AS fingerprint,
+       '{run_stamp(P.run_ts)}_' || substr(md5({S.rules('html', H.MARKDOWN_RULES)}), 1, 8) AS entry_key
+FROM pages""")
+def entry_file_key(spark, sf):
+    """Key of each page's structured-entry file: run stamp + fingerprint of
+    the page's markdown (first 8 hex digits of its md5)."""
+    from kbweave.functions.text import fingerprint
+    md = X.page_markdown(_pages(spark, sf, ("page_id", "html")))
+    fp = md.select("page_id", fingerprint("md").alias("fingerprint"))
+    return fp.select("page_id", "fingerprint",
+                     F.concat(F.lit(run_stamp(P.run_ts) + "_"), F.col("fingerprint")).alias("entry_key"))
