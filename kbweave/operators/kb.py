@@ -3,13 +3,11 @@ atomicity, dimension constraint and hashed term-frequency embeddings."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbweave.functions.text import md5_bucket, tokens
+from kbweave.functions.text import tokens
 
 ORD_BITS = 20  # doc_id = page_id * 2^20 + ord (ord 0 title, 1 content, 2.. links)
 
@@ -48,32 +46,20 @@ def entries_struct(df: DataFrame) -> DataFrame:
 
 
 def hashed_tf(df: DataFrame, key: str, text_col: str, dim: int) -> DataFrame:
-    """Sparse hashed term frequencies ``(key, bucket, tf)``; partial
-    aggregation collapses each text to <= dim rows before the shuffle."""
-    return (df.select(key, F.explode(tokens(text_col)).alias("_t"))
-            .select(key, md5_bucket("_t", dim).cast("int").alias("bucket"))
-            .groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("tf")))
-
-
-def dense_tf_udf(dim: int):
-    """Bucket list -> dense ``ARRAY<DOUBLE>`` of term frequencies (one
-    vectorised scatter-add per Arrow batch)."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dense(buckets: pd.Series) -> pd.Series:
-        n = len(buckets)
-        lens = np.fromiter((0 if b is None else len(b) for b in buckets), dtype=np.int64, count=n)
-        m = np.zeros((n, dim))
-        if lens.sum():
-            flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in buckets if b is not None and len(b)])
-            np.add.at(m, (np.repeat(np.arange(n), lens), flat), 1.0)
-        return pd.Series(list(m))
-    return dense
+    """Sparse hashed term frequencies ``(key, bucket, tf)``. A text's tokens
+    all live in its row, so the counts are made inside the row (memoised md5
+    buckets + bincount in Arrow batches): a map-only job, no shuffle."""
+    from kbweave.operators.hashing import sparse_tf_udf
+    tf = sparse_tf_udf(dim)(tokens(text_col))
+    return (df.select(key, tf.alias("_tf"))
+            .select(key, F.inline(F.arrays_zip(F.col("_tf.bucket").alias("bucket"),
+                                               F.col("_tf.tf").alias("tf")))))
 
 
 def embed_hashed(df: DataFrame, text_col: str, dim: int, out: str = "embedding") -> DataFrame:
     """Default embedder: dense hashed term-frequency vector per text."""
-    b = F.transform(tokens(text_col), lambda t: md5_bucket(t, dim).cast("int"))
-    return df.withColumn(out, dense_tf_udf(dim)(b))
+    from kbweave.operators.hashing import dense_tf_udf
+    return df.withColumn(out, dense_tf_udf(dim)(tokens(text_col)))
 
 
 def embed_with(df: DataFrame, fn, text_col: str, dim: int, out: str = "embedding",

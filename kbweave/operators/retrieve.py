@@ -19,7 +19,6 @@ ties by ascending document id.
 
 from __future__ import annotations
 
-import hashlib
 from functools import partial, reduce
 
 import numpy as np
@@ -31,6 +30,7 @@ from pyspark.sql import types as T
 from kbweave.config import Params
 from kbweave.functions import vectors as V
 from kbweave.functions.text import md5_bucket, tokens
+from kbweave.operators.hashing import TokenBuckets
 
 SIM_DECIMALS = 12
 SCORE_BYTES = 32 * 1024 * 1024   # bound on one (docs x queries) float64 score matrix
@@ -67,27 +67,7 @@ def _local_topk(qidx: np.ndarray, sim: np.ndarray, did: np.ndarray, k: int):
     return qs[keep], ss[keep], ds[keep]
 
 
-class _Buckets:
-    """md5 token buckets (first 32 bits mod dim, same rule as ``md5_bucket``)
-    with a bounded memo: token frequencies are Zipf-like, so most lookups hit."""
-
-    def __init__(self, dim: int, cap: int = 1 << 20):
-        self.dim, self.cap, self.memo = dim, cap, {}
-
-    def __call__(self, toks) -> np.ndarray:
-        memo, dim = self.memo, self.dim
-        out = np.empty(len(toks), dtype=np.int64)
-        for i, t in enumerate(toks):
-            b = memo.get(t)
-            if b is None:
-                b = int.from_bytes(hashlib.md5(t.encode("utf-8")).digest()[:4], "big") % dim
-                if len(memo) < self.cap:
-                    memo[t] = b
-            out[i] = b
-        return out
-
-
-def _matrix(col: pd.Series, dim: int, kind: str, hasher: "_Buckets | None" = None) -> np.ndarray:
+def _matrix(col: pd.Series, dim: int, kind: str, hasher: "TokenBuckets | None" = None) -> np.ndarray:
     """Dense float64 matrix from a vector column, hashed-bucket lists or
     token lists (hashed here)."""
     n = len(col)
@@ -96,7 +76,7 @@ def _matrix(col: pd.Series, dim: int, kind: str, hasher: "_Buckets | None" = Non
             return np.zeros((0, dim))
         return np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
     if kind == "tokens":
-        h = hasher or _Buckets(dim)
+        h = hasher or TokenBuckets(dim)
         col = pd.Series([h(v) if v is not None and len(v) else np.zeros(0, np.int64) for v in col.values])
     lens = np.fromiter((len(v) for v in col.values), dtype=np.int64, count=n)
     m = np.zeros((n, dim), dtype=np.float64)
@@ -124,7 +104,7 @@ def _score_block(docs: DataFrame, qkeys: pd.DataFrame, qmat: np.ndarray, qok: np
     def score(batches):
         q_keys, q_unit, q_ok = bq.value
         nq = len(q_keys)
-        hasher = _Buckets(dim) if kind == "tokens" else None
+        hasher = TokenBuckets(dim) if kind == "tokens" else None
         acc_q = np.zeros(0, np.int64); acc_s = np.zeros(0); acc_d = np.zeros(0, np.int64)
         # Slice each Arrow batch so one similarity matrix stays within
         # SCORE_BYTES whatever the batch size, dimension or block size.
@@ -167,7 +147,7 @@ def _score_block(docs: DataFrame, qkeys: pd.DataFrame, qmat: np.ndarray, qok: np
 def _dense_udf(dim: int, kind: str):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def to_dense(col: pd.Series) -> pd.Series:
-        m = _matrix(col, dim, kind, _Buckets(dim) if kind == "tokens" else None)
+        m = _matrix(col, dim, kind, TokenBuckets(dim) if kind == "tokens" else None)
         return pd.Series(list(m.astype(np.float32)))
     return to_dense
 

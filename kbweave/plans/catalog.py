@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from kbweave.config import Params
 from kbweave.functions import vectors as V
-from kbweave.functions.text import md5_bucket, tokens
 from kbweave.operators import retrieve as R
 from kbweave.sources.tables import load_table
 
@@ -134,14 +133,11 @@ def _tf_sql(table: str, id_col: str, dim: int, id_alias: str | None = None) -> s
 
 @query("hash_embed", _tf_sql("documents", "doc_id", P.text_dim))
 def hash_embed(spark, sf):
-    """Feature hashing of every document: sparse ``(doc_id, bucket, tf)``.
-    Token rows are pre-aggregated map-side (partial HashAggregate) before the
-    shuffle, so at most ``text_dim`` rows per document cross the network."""
+    """Feature hashing of every document: sparse ``(doc_id, bucket, tf)``,
+    counted inside each document's row (map-only, no shuffle)."""
     from kbweave.operators.partitioning import spread
     d = spread(load_table(spark, sf, "documents", ["doc_id", "text"]))
-    return (d.select("doc_id", F.explode(tokens("text")).alias("t"))
-            .select("doc_id", md5_bucket("t", P.text_dim).cast("int").alias("bucket"))
-            .groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("tf")))
+    return K.hashed_tf(d, "doc_id", "text", P.text_dim)
 
 
 def _text_topk_sql(q_table: str, q_id: str, d_table: str, d_id: str, dim: int, k: int,
