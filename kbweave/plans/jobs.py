@@ -27,10 +27,10 @@ def ingest(spark: SparkSession, pages: DataFrame, kb_path: str, replies: DataFra
     Without ``replies`` entries come from deterministic extraction. With a
     model's JSON ``replies`` (``page_id, reply``) they go through cleaning,
     strict parsing, validation and quarantine, and an entry with any bad part
-    is rejected whole. Returns status counts."""
+    is rejected whole. Returns parse status counts (empty without replies)."""
     if replies is None:
         entries = K.entries_struct(X.page_entries(spread(pages)))
-        status = {"ok": None}
+        status = {}                      # deterministic extraction: no parse statuses
     else:
         parsed = EN.parse_replies(replies)
         good, _ = EN.split_quarantine(parsed)
