@@ -225,6 +225,10 @@ def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
     else:
         q = q.where(F.col("vec").isNotNull())
         d = d.withColumn(doc_vec, F.coalesce(F.col(doc_vec), F.array().cast(d.schema[doc_vec].dataType)))
+    if kind != "dense":
+        # Queries become dense vectors on the executors, so what reaches the
+        # driver is exactly the counted dim-sized vectors, never raw tokens.
+        q = q.withColumn("vec", _dense_udf(dim, kind)("vec"))
     key_fields = [q.schema[c] for c in keys]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
     empty = docs.sparkSession.createDataFrame([], f"{out_schema}, rank int, doc_id long, similarity double")
@@ -240,10 +244,10 @@ def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
     if len(probe) == 0:
         return empty
     if len(probe) <= rows_cap:
-        loaders = [lambda: _block_from_pandas(probe, keys, dim, kind)]
+        loaders = [lambda: _block_from_pandas(probe, keys, dim, "dense")]
     else:
         del probe
-        loaders = [partial(_collect_block, qb, keys, dim, kind) for qb in _pack_blocks(q, keys, rows_cap)]
+        loaders = [partial(_collect_block, qb, keys, dim, "dense") for qb in _pack_blocks(q, keys, rows_cap)]
     doc_kind = kind
     if len(loaders) > 1:
         d, doc_kind = _materialize_docs(d, doc_id, doc_vec, dim, kind), "dense"
