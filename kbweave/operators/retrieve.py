@@ -202,11 +202,16 @@ def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
                query_id: str = "query_id", query_vec: str = "embedding",
                dim: int, kind: str = "dense", params: Params | None = None,
                block_rows: int | None = None) -> DataFrame:
-    """Exact top-k for every query: ``(query_id, rank, doc_id, similarity)``.
-
-    ``kind='dense'`` takes ``ARRAY<FLOAT|DOUBLE>`` vectors of length ``dim``
-    (other lengths are rejected upstream by ``dim_check``); ``kind='buckets'``
-    takes hashed token-bucket lists (term frequencies are counted on the fly).
+    """Exact top-k for every query: ``(query_id, rank, doc_id, similarity)``
+    (``query_id`` may also be a list of key columns, kept by name).
+
+    ``kind`` describes both vector columns: ``'dense'`` = ``ARRAY<FLOAT|DOUBLE>``
+    of length ``dim`` (other lengths are dropped, see ``dim_ok``);
+    ``'buckets'`` = hashed bucket lists; ``'tokens'`` = token lists hashed
+    with the md5 bucket rule. Term frequencies are counted on the fly; query
+    vectors are made dense on the executors before a block is collected.
+    ``block_rows`` overrides the rows per broadcast block (default from
+    ``Params.query_block_bytes``).
     """
     params = params or Params()
     k = params.top_k if k is None else k
