@@ -562,7 +562,11 @@ def session_truncate(spark, sf):
 # Retrieval for dialogue: user messages against the page-derived KB.
 
 def _kb(spark, sf):
-    return kb_documents(spark, sf)
+    """The page-derived KB, cached for the duration of a dialogue query so
+    retrieval and the hit projection share one extraction (a stored KB table
+    needs no cache: it is a column-pruned scan)."""
+    from pyspark import StorageLevel
+    return kb_documents(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _kb_sql():
