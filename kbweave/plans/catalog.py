@@ -752,3 +752,15 @@ def entry_file_key(spark, sf):
     fp = md.select("page_id", fingerprint("md").alias("fingerprint"))
     return fp.select("page_id", "fingerprint",
                      F.concat(F.lit(run_stamp(P.run_ts) + "_"), F.col("fingerprint")).alias("entry_key"))
+
+
+@query("history_window_blocks", ORACLE["history_window"])
+def history_window_blocks(spark, sf):
+    """Same result as ``history_window`` through the skew-safe path forced on:
+    global index + blocks of 100 rows with halos (what a conversation larger
+    than a block would take)."""
+    h = lookback(_conv(spark, sf), "conv_id", "turn", {"h": P.history_len}, ["role", "text"],
+                 block_rows=100, mode="blocks")
+    return h.select("conv_id", "turn", F.size("h").alias("hist_len"),
+                    F.array_join(F.transform("h", lambda m: F.concat(m["role"], F.lit(": "), m["text"])),
+                                 "\n").alias("history"))
