@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
@@ -37,7 +37,6 @@ class Params:
     # Keyed streaming state of a conversation is dropped after this much
     # processing time without new messages (bounds the state store).
     state_idle_ms: int = 30 * 60 * 1000
-    extra: dict = field(default_factory=dict)
 
 
 def get_session(master: str | None = None, app: str = "kbweave",
