@@ -25,3 +25,14 @@ def test_ingest_then_answer(spark):
     out = spark.read.parquet(f"{root}/ans")
     assert out.count() == conv.where("role = 'user'").count()
     assert out.where("reply IS NULL").count() == 0
+
+
+def test_reingest_appends_duplicates_unless_dedup(spark):
+    root = f"{checkpoint_root(spark)}/test-reingest-{uuid.uuid4().hex[:8]}"
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    J.ingest(spark, pages, f"{root}/kb")
+    n = spark.read.parquet(f"{root}/kb").count()
+    J.ingest(spark, pages, f"{root}/kb")                      # the reference appends again
+    assert spark.read.parquet(f"{root}/kb").count() == 2 * n
+    J.ingest(spark, pages, f"{root}/kb", dedup=True)          # opt-in: nothing new to add
+    assert spark.read.parquet(f"{root}/kb").count() == 2 * n
