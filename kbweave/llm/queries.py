@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import chat, sharding, simhash
+from kbweave.llm import chat, repetition, sharding, simhash
 from kbweave.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op7_sharding(spark, sf):
     """Every document's slot and shard among 96 shards."""
     docs = load_table(spark, sf, "documents", ["doc_id", "source", "lang"])
     return sharding.place(docs, "doc_id", SHARDS)
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark, sf):
+    """Repetition rules on every document's whole text."""
+    return repetition.repetition_rules(load_table(spark, sf, "documents", ["doc_id", "text"]))
