@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import chat, repetition, sharding, simhash
+from kbweave.llm import chat, quality, repetition, sharding, simhash
 from kbweave.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,10 @@ def op7_sharding(spark, sf):
 def op8_quality_rules(spark, sf):
     """Repetition rules on every document's whole text."""
     return repetition.repetition_rules(load_table(spark, sf, "documents", ["doc_id", "text"]))
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, sf):
+    """Perplexity and verdict of every document under the model of trusted text."""
+    return quality.quality_classifier(load_table(spark, sf, "documents", ["doc_id", "text", "lang"]),
+                                      load_table(spark, sf, "labels"))
