@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import chat, quality, repetition, sharding, simhash
+from kbweave.llm import chat, linedup, quality, repetition, sharding, simhash
 from kbweave.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,26 @@ def op1_quality_classifier(spark, sf):
     """Perplexity and verdict of every document under the model of trusted text."""
     return quality.quality_classifier(load_table(spark, sf, "documents", ["doc_id", "text", "lang"]),
                                       load_table(spark, sf, "labels"))
+
+
+@query("op9_line_dedup", """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l),
+r AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, pos) AS nr
+  FROM w WHERE nxt IS NOT NULL AND length(line) + length(nxt) >= 50),
+d AS (SELECT DISTINCT doc_id, pos + x AS pos FROM (SELECT doc_id, pos, unnest([0, 1]) AS x FROM r WHERE nr > 1)),
+m AS (SELECT l.doc_id, l.pos, l.line, d.pos IS NOT NULL AS gone,
+             d.pos IS NOT NULL AND NOT coalesce(lag(d.pos IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.pos), false) AS head
+      FROM l LEFT JOIN d ON l.doc_id = d.doc_id AND l.pos = d.pos),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_runs,
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, n_runs, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM g""")
+def op9_line_dedup(spark, sf):
+    """All documents without the later copies of repeated runs of two lines or more."""
+    docs = load_table(spark, sf, "documents", ["doc_id", "text"])
+    out = linedup.drop_repeated_lines(docs, min_lines=2, min_chars=50, report=True)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("kept_chars"),
+                      F.sha2("text", 256).alias("kept_sha256"))
