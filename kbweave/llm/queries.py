@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import chat, linedup, quality, repetition, sharding, simhash
+from kbweave.llm import chat, decontaminate, linedup, quality, repetition, sharding, simhash
 from kbweave.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,10 @@ def op9_line_dedup(spark, sf):
     out = linedup.drop_repeated_lines(docs, min_lines=2, min_chars=50, report=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("kept_chars"),
                       F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, sf):
+    """Documents and the benchmark items whose text they hold or paraphrase."""
+    return decontaminate.benchmark_matches(load_table(spark, sf, "documents", ["doc_id", "text"]),
+                                           load_table(spark, sf, "benchmark"))

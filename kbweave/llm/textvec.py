@@ -19,8 +19,6 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _pow = np.ones(1, np.uint64)
@@ -51,10 +49,10 @@ class Prefix:
     """Hash of any byte range of a buffer in constant time: a polynomial over
     random byte values modulo 2**64, from prefix sums."""
 
-    def __init__(self, buf: np.ndarray, lower: bool = False):
+    def __init__(self, buf: np.ndarray):
         self.p = np.zeros(len(buf) + 1, np.uint64)
         power, self.inv = _powers(len(buf) + 1)
-        np.cumsum((_LOWER if lower else _BYTE)[buf] * power[:len(buf)], out=self.p[1:])
+        np.cumsum(_BYTE[buf] * power[:len(buf)], out=self.p[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.p[end] - self.p[start]) * self.inv[start])
@@ -112,3 +110,29 @@ def covered(starts: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     np.add.at(d, starts, 1)
     np.add.at(d, np.minimum(starts + length, n), -1)
     return np.cumsum(d[:-1]) > 0
+
+
+def add_rows(out: np.ndarray, at: np.ndarray, table: np.ndarray, pick: np.ndarray, rounds: int = 64) -> None:
+    """``out[at] += table[pick]``, also where ``at`` repeats: one round adds the
+    first row of every place, the next the second; what is left after ``rounds``
+    is summed column by column."""
+    if not len(at):
+        return
+    order = np.argsort(at, kind="stable")
+    a = at[order]
+    head = np.concatenate(([True], a[1:] != a[:-1]))
+    nth = np.arange(len(a)) - np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
+    turn = np.argsort(np.minimum(nth, rounds), kind="stable")
+    ends = np.cumsum(np.bincount(np.minimum(nth, rounds), minlength=rounds + 1))
+    start = 0
+    for end in ends[:rounds]:
+        if end == start:
+            break
+        some = order[turn[start:end]]
+        out[at[some]] += table[pick[some]]
+        start = end
+    rest = order[turn[ends[rounds - 1]:]]
+    if len(rest):
+        place, inv = np.unique(at[rest], return_inverse=True)
+        for c in range(table.shape[1]):
+            out[place, c] += np.bincount(inv, table[pick[rest], c])
