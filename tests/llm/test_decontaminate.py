@@ -47,7 +47,7 @@ def test_paraphrases_and_edge_cases(spark):
     for n, b in enumerate(long):
         w = b["text"].split()
         for i in rnd.sample(range(len(w)), len(w) // 8):
-            w[i] = "changed"
+            w[i] = f"changed{n}x{i}"
         rows.append((10_000 + n, filler[n] + " " + " ".join(w).upper().replace(" ", "\n", 3) + "!! " + filler[n + 1], "x", "y"))
         want.add((10_000 + n, b["item_id"]))
         shuffled = b["text"].split()
