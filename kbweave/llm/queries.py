@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbweave.llm import chat, decontaminate, linedup, quality, repetition, sharding, simhash
+from kbweave.llm import sentencepiece_codec as spm
 from kbweave.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,15 @@ def op6_decontamination(spark, sf):
     """Documents and the benchmark items whose text they hold or paraphrase."""
     return decontaminate.benchmark_matches(load_table(spark, sf, "documents", ["doc_id", "text"]),
                                            load_table(spark, sf, "benchmark"))
+
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark, sf):
+    """Every document's token ids (as a digest and a count), parity and round trip."""
+    docs = load_table(spark, sf, "documents", ["doc_id", "text"])
+    out = spm.encode(docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")), MODEL)
+    return out.select("doc_id", "n_chars", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+                      .alias("ids_sha256"), "mended", "round_trip")
