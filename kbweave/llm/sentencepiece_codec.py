@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-NORMAL, USER_DEFINED = 1, 4
+NORMAL, CONTROL, USER_DEFINED = 1, 3, 4
 UNIGRAM, BPE = 1, 2
 
 
@@ -96,10 +96,13 @@ class Codec:
         # Read when the library first runs a batch in this worker process.
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         m = self.model = Model(data)
+        # Control pieces never match text: in the vocabulary a noncharacter stands before them.
+        names = ["\uffff" + p if kind == CONTROL else p for p, _, kind in m.pieces]
+        self.control = {i for i, (*_, kind) in enumerate(m.pieces) if kind == CONTROL}
         if m.kind == UNIGRAM:
-            core = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk, m.byte_fallback)
+            core = models.Unigram([(p, s) for p, (_, s, _) in zip(names, m.pieces, strict=True)], m.unk, m.byte_fallback)
         else:
-            core = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, merges(m.pieces), unk_token=m.pieces[m.unk][0],
+            core = models.BPE({p: i for i, p in enumerate(names)}, merges(m.pieces), unk_token=names[m.unk],
                               fuse_unk=True, byte_fallback=m.byte_fallback)
         steps = []
         if m.charsmap:
@@ -123,7 +126,8 @@ class Codec:
         return [(w, o != w, d == t) for w, o, d, t in zip(want, own, back, texts, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        own = [[i for i in x if i not in self.control] if not self.control.isdisjoint(x) else x for x in ids]
+        return self.whole.decode_batch(own, skip_special_tokens=False)
 
 
 @lru_cache(maxsize=2)
