@@ -2,28 +2,57 @@
 
 Each stage is a function ``(spark, docs, sf_dir) -> DataFrame`` on all rows its
 predecessor kept; ``run`` writes every stage's result as Parquet under the
-shared checkpoint folder and reads it again as the next stage's input.
+shared checkpoint folder and reads it again as the next stage's input. All
+stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbweave.llm import simhash
+from kbweave.llm import decontaminate, linedup, quality, simhash
+from kbweave.llm import sentencepiece_codec as spm
 from kbweave.llm.common import saved
+from kbweave.llm.queries import MODEL
 from kbweave.sources.tables import load_table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the model of trusted text is in their language's range."""
+    verdict = quality.quality_classifier(docs, load_table(spark, sf_dir, "labels"))
+    return quality.drop_rejected(docs, verdict)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the later copies of repeated runs of two lines or more."""
+    return linedup.drop_repeated_lines(docs, min_lines=2, min_chars=50)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (smallest id) of every SimHash group stays."""
+    """One document (smallest id) of every SimHash group."""
     return simhash.near_dedup(docs, shingle=4, max_bits=4)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold or paraphrase no benchmark item."""
+    return decontaminate.drop_contaminated(docs, load_table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids instead of text, with count, parity and round trip."""
+    return spm.encode(docs, MODEL)
+
+
 STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
     ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("sentencepiece", tokenize),
 ]
 
-# No stage is expressible in SQL; see tests/llm for brute-force versions.
+# Perplexities, fingerprints and token ids are not expressible in SQL; the tests
+# hold every stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
