@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import chat, decontaminate, linedup, quality, repetition, sharding, simhash
+from kbweave.llm import chat, decontaminate, html_extract, linedup, quality, repetition, sharding, simhash
 from kbweave.llm import sentencepiece_codec as spm
 from kbweave.sources.tables import load_table
 
@@ -124,3 +124,9 @@ def op5_sentencepiece(spark, sf):
     out = spm.encode(docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")), MODEL)
     return out.select("doc_id", "n_chars", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
                       .alias("ids_sha256"), "mended", "round_trip")
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark, sf):
+    """Main text of every page."""
+    return html_extract.extract_main_text(load_table(spark, sf, "pages", ["page_id", "url", "html"]))
