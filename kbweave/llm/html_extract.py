@@ -108,7 +108,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if stack[i][0] == tag:
                     pop_to(i)
                     break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
+                if tag not in BLOCK and tag not in HIDDEN_TAGS and stack[i][0] in BLOCK:
                     break                              # an inline end tag never closes a block
             continue
         if tag in VOID:
