@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import chat, decontaminate, html_extract, linedup, quality, repetition, sharding, simhash
+from kbweave.llm import chat, decontaminate, html_extract, linedup, quality, repetition, sharding, simhash, suffixdedup
 from kbweave.llm import sentencepiece_codec as spm
 from kbweave.sources.tables import load_table
 
@@ -130,3 +130,9 @@ def op5_sentencepiece(spark, sf):
 def op10_html_extraction(spark, sf):
     """Main text of every page."""
     return html_extract.extract_main_text(load_table(spark, sf, "pages", ["page_id", "url", "html"]))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf):
+    """Every document without the bytes of 200-byte strings that occur twice or more."""
+    return suffixdedup.repeated_strings(load_table(spark, sf, "documents", ["doc_id", "text"]), match=200)
