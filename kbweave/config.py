@@ -64,14 +64,17 @@ def get_session(master: str | None = None, app: str = "kbweave",
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from the session (``spark.checkpoint.dir``); only when it is unset
-    (tests, local runs) a folder under the system temp dir is chosen.
+    Read from the session (``spark.checkpoint.dir``). Only a local master may
+    leave it unset (tests) and gets a folder under the system temp dir; on a
+    cluster that would be a different disk on every machine, so it is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = os.path.join(os.environ.get("TMPDIR", "/tmp"), "kbweave-ckpt")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 
 NL = "\n"
 
-# Character entities decoded, ``&amp;`` last so that
+# Named character entities decoded, ``&amp;`` last so that
 # ``&amp;lt;`` becomes ``&lt;`` (one decoding pass).
 ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
+    ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"),
+    ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"),
+    ("&raquo;", "»"), ("&euro;", "€"), ("&pound;", "£"), ("&yen;", "¥"), ("&sect;", "§"), ("&deg;", "°"),
+    ("&times;", "×"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"),
+    ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"),
+    ("&ntilde;", "ñ"), ("&amp;", "&"),
 ]
+# Marker of the rule that decodes every numeric entity (&#8217; and &#x2019;).
+NUMERIC = "numeric:"
 
 # One pass drops the head, scripts, styles and comments.
 DROP_BLOCKS = [
@@ -45,10 +52,18 @@ INLINE_SPACES = [
     (r"^ +| +$", ""),
 ]
 
+# Attribute values in one quoting style: href, src and alt of links and images,
+# single-quoted or bare, become double-quoted. Twice, as an image has two of them.
+_ATTR = r"(?is)(<(?:a|img)\s(?:[^>]*\s)?(?:href|src|alt)\s*=\s*)"
+QUOTE_RULES = 2 * [(_ATTR + r"'([^'\"]*)'", '$1"$2"'), (_ATTR + r"""([^\s"'>]+)""", '$1"$2"')]
+
 # Markdown: links, images, headings, list items and table cells are kept.
 MARKDOWN_REWRITES = (
-    [(r'(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
-     (r'(?is)<img[^>]*alt="([^"]*)"[^>]*src="([^"]*)"[^>]*>', "![$1]($2)")]
+    QUOTE_RULES
+    + [(r'(?is)<a\s[^>]*href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
+       (r'(?is)<img\s[^>]*alt\s*=\s*"([^"]*)"[^>]*\ssrc\s*=\s*"([^"]*)"[^>]*>', "![$1]($2)"),
+       (r'(?is)<img\s[^>]*src\s*=\s*"([^"]*)"[^>]*\salt\s*=\s*"([^"]*)"[^>]*>', "![$2]($1)"),
+       (r'(?is)<img\s[^>]*src\s*=\s*"([^"]*)"[^>]*>', "![]($1)")]
     + [(rf"(?i)<h{n}( [^>]*)?>", NL + "#" * n + " ") for n in range(1, 7)]
     + [(r"(?i)<li( [^>]*)?>", NL + "* "),
        (r"(?i)<t[dh]( [^>]*)?>", "| ")]
@@ -57,7 +72,7 @@ MARKDOWN_REWRITES = (
 # Entities are literal replacements (no regex engine pass); the marker tells
 # both renderers to use a plain string replace.
 LITERAL = "literal:"
-ENTITY_RULES = [(LITERAL + k, v) for k, v in ENTITIES]
+ENTITY_RULES = [(NUMERIC, ""), *((LITERAL + k, v) for k, v in ENTITIES)]
 
 TEXT_RULES = DROP_BLOCKS + BREAKS + STRIP_TAGS + ENTITY_RULES + SPACES
 MARKDOWN_RULES = DROP_BLOCKS + MARKDOWN_REWRITES + BREAKS + STRIP_TAGS + ENTITY_RULES + SPACES
@@ -68,17 +83,35 @@ H1_RE = r"(?is)<h1[^>]*>(.*?)</h1>"
 ARTICLE_RE = r"(?is)<article[^>]*>(.*?)</article>"
 BODY_RE = r"(?is)<body[^>]*>(.*?)</body>"
 NAV_RE = r"(?is)<nav[^>]*>.*?</nav>"
-LINK_RE = r'(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+LINK_RE = r'(?is)<a\s[^>]*href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'   # after QUOTE_RULES
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def decode_numeric(col) -> Column:
+    """Every numeric character entity (decimal or hexadecimal) as its character;
+    what is no valid code point stays as it stands."""
+    def one(p):
+        num = F.regexp_extract(p, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        code = F.when(F.lower(F.substring(num, 1, 1)) == "x", F.conv(F.substr(num, F.lit(2)), 16, 10)).otherwise(num).try_cast("int")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(F.coalesce(valid, F.lit(False)), F.concat(char, F.substr(p, F.length(num) + 2))).otherwise(
+            F.concat(F.lit("&#"), p))
+    c = _c(col)
+    parts = F.split(c, "&#")
+    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(one(p))), "")
+    return F.when(F.contains(c, F.lit("&#")), joined).otherwise(c)
+
+
 def apply_rules(col, rules) -> Column:
     out = _c(col)
     for pat, rep in rules:
-        if pat.startswith(LITERAL):
+        if pat == NUMERIC:
+            out = decode_numeric(out)
+        elif pat.startswith(LITERAL):
             out = F.replace(out, F.lit(pat[len(LITERAL):]), F.lit(rep))
         else:
             out = F.regexp_replace(out, pat, rep)
@@ -105,9 +138,14 @@ def page_title(html) -> Column:
     return F.when(t != "", t).otherwise(h)
 
 
+def articles(html) -> Column:
+    """The contents of all ``<article>`` blocks, one after the other."""
+    return F.array_join(F.array_remove(F.regexp_extract_all(_c(html), F.lit(ARTICLE_RE), 1), ""), NL)
+
+
 def main_block(html) -> Column:
-    """``<article>`` block if present and non-empty, else ``<body>``, else all."""
-    a = F.regexp_extract(_c(html), ARTICLE_RE, 1)
+    """All ``<article>`` blocks if any has content, else ``<body>``, else all."""
+    a = articles(html)
     b = F.regexp_extract(_c(html), BODY_RE, 1)
     return F.when(a != "", a).when(b != "", b).otherwise(_c(html))
 
@@ -123,8 +161,9 @@ def without_nav(html) -> Column:
 
 def links(html) -> Column:
     """``ARRAY<STRUCT<pos INT, text STRING, url STRING>>`` in document order."""
-    urls = F.regexp_extract_all(_c(html), F.lit(LINK_RE), 1)
-    inner = F.regexp_extract_all(_c(html), F.lit(LINK_RE), 2)
+    quoted = apply_rules(html, QUOTE_RULES)
+    urls = F.regexp_extract_all(quoted, F.lit(LINK_RE), 1)
+    inner = F.regexp_extract_all(quoted, F.lit(LINK_RE), 2)
     return F.transform(
         F.arrays_zip(urls.alias("url"), inner.alias("inner")),
         lambda z, i: F.struct(i.cast("int").alias("pos"),

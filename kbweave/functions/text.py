@@ -41,6 +41,11 @@ def tokens(col) -> Column:
     return F.array_remove(F.split(F.lower(_c(col)), TOKEN_SPLIT), "")
 
 
+def token_lists(texts) -> Column:
+    """``tokens`` of every text of an array."""
+    return F.transform(_c(texts), tokens)
+
+
 def fmt2(col) -> Column:
     """Python ``f"{x:.2f}"`` for |x| <= 1: round half-even on the binary value."""
     return F.format_number(_c(col), 2)

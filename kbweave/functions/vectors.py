@@ -33,8 +33,3 @@ def dim_ok(a, dim: int) -> Column:
     """Dimension constraint of the stored vector column."""
     return F.coalesce(F.size(_c(a)) == F.lit(dim), F.lit(False))
 
-
-def unit(a) -> Column:
-    """Vector scaled to unit length (NULL for a zero vector)."""
-    n = F.nullif(norm(a), F.lit(0.0))
-    return F.transform(_c(a), lambda x: x.cast("double") / n)

@@ -45,7 +45,7 @@ def page_entries(pages: DataFrame) -> DataFrame:
         "page_id", "url", links.alias("links"),
         H.inline_text(F.regexp_extract("html", H.TITLE_RE, 1)).alias("_t"),
         H.inline_text(F.regexp_extract("html", H.H1_RE, 1)).alias("_h"),
-        F.regexp_extract("html", H.ARTICLE_RE, 1).alias("_a"),
+        H.articles("html").alias("_a"),
         F.regexp_extract("html", H.BODY_RE, 1).alias("_b"), "html")
     staged = staged.select(
         "page_id", "url", "links", F.when(F.col("_t") != "", F.col("_t")).otherwise(F.col("_h")).alias("title"),

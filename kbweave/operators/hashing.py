@@ -9,6 +9,7 @@ lookups without hashing.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,30 +42,48 @@ def sparse_tf_udf(dim: int):
     """Token list -> ``STRUCT<bucket ARRAY<INT>, tf ARRAY<LONG>>`` (non-zero
     buckets ascending): one row's term frequencies, counted in the row."""
     @F.pandas_udf(SPARSE_TF)
-    def sparse(toks: pd.Series) -> pd.DataFrame:
+    def sparse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         h = TokenBuckets(dim)
-        bs, tfs = [], []
-        for v in toks:
-            if v is None:
-                bs.append(None)
-                tfs.append(None)
-                continue
-            c = np.bincount(h(v), minlength=dim) if len(v) else np.zeros(dim, np.int64)
-            nz = np.flatnonzero(c)
-            bs.append(nz.astype(np.int32))
-            tfs.append(c[nz].astype(np.int64))
-        return pd.DataFrame({"bucket": bs, "tf": tfs})
+        for toks in batches:
+            bs, tfs = [], []
+            for v in toks:
+                if v is None:
+                    bs.append(None)
+                    tfs.append(None)
+                    continue
+                c = np.bincount(h(v), minlength=dim) if len(v) else np.zeros(dim, np.int64)
+                nz = np.flatnonzero(c)
+                bs.append(nz.astype(np.int32))
+                tfs.append(c[nz].astype(np.int64))
+            yield pd.DataFrame({"bucket": bs, "tf": tfs})
     return sparse
 
 
 def dense_tf_udf(dim: int):
-    """Token list -> dense ``ARRAY<DOUBLE>`` term-frequency vector."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dense(toks: pd.Series) -> pd.Series:
+    """Token list -> dense ``ARRAY<FLOAT>`` term-frequency vector."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         h = TokenBuckets(dim)
-        out = []
-        for v in toks:
-            out.append(None if v is None else np.bincount(h(v), minlength=dim).astype(np.float64)
-                       if len(v) else np.zeros(dim))
-        return pd.Series(out)
+        for toks in batches:
+            yield pd.Series([None if v is None else np.bincount(h(v), minlength=dim).astype(np.float32)
+                             if len(v) else np.zeros(dim, np.float32) for v in toks])
     return dense
+
+
+def dense_texts_udf(dim: int):
+    """Text list -> list of dense term-frequency vectors (null in a list gives null)."""
+    from kbweave.functions.text import token_lists
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+    def dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        h = TokenBuckets(dim)
+        for col in batches:
+            out = []
+            for toks in col:
+                if toks is None or any(t is None for t in toks):
+                    out.append(None)
+                    continue
+                out.append([np.bincount(h(t), minlength=dim).astype(np.float32) if len(t) else np.zeros(dim, np.float32)
+                            for t in toks])
+            yield pd.Series(out)
+    return lambda texts: dense(token_lists(texts))

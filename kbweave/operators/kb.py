@@ -3,13 +3,14 @@ atomicity, dimension constraint and hashed term-frequency embeddings."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbweave.functions.text import tokens
 
-ORD_BITS = 20  # doc_id = page_id * 2^20 + ord (ord 0 title, 1 content, 2.. links)
+ORD_DIGITS = 10   # digits of ``ord`` in a document id (ord 0 title, 1 content, 2.. links)
 
 
 def entry_ok(entry: str = "entry") -> Column:
@@ -19,14 +20,13 @@ def entry_ok(entry: str = "entry") -> Column:
     e = F.col(entry)
     return F.coalesce(
         e["title"].isNotNull() & e["content"].isNotNull() & e["links"].isNotNull()
-        & F.forall(e["links"], lambda l: l["text"].isNotNull() & l["url"].isNotNull())
-        & (F.size(e["links"]) < (1 << ORD_BITS) - 2),
+        & F.forall(e["links"], lambda l: l["text"].isNotNull() & l["url"].isNotNull()),
         F.lit(False))
 
 
-def expand_entries(df: DataFrame, key: str = "page_id", entry: str = "entry") -> DataFrame:
-    """One row per title, content and link (union of three projections, done
-    as one explode of a per-row array)."""
+def expand_entries(df: DataFrame, key: str = "page_id", entry: str = "entry", vectors: str | None = None) -> DataFrame:
+    """One row per title, content and link (one explode of a per-row array).
+    ``vectors`` names the entry's embeddings in the same order, if it has them."""
     e = F.col(entry)
     parts = F.concat(
         F.array(F.struct(F.lit(0).alias("ord"), F.lit("title").alias("doc_type"),
@@ -36,9 +36,60 @@ def expand_entries(df: DataFrame, key: str = "page_id", entry: str = "entry") ->
         F.transform(F.coalesce(e["links"], F.array().cast("array<struct<text:string,url:string>>")),
                     lambda l, i: F.struct((i + 2).alias("ord"), F.lit("link").alias("doc_type"),
                                           l["text"].alias("text"), l["url"].alias("url"))))
-    return (df.select(key, F.inline(parts))
-            .select((F.col(key) * (1 << ORD_BITS) + F.col("ord")).alias("doc_id"), key,
-                    "ord", "doc_type", "text", "url"))
+    cols = ["ord", "doc_type", "text", "url"]
+    if vectors:
+        parts = F.zip_with(parts, vectors, lambda p, v: F.struct(*[p[c].alias(c) for c in cols], v.alias("embedding")))
+        cols = cols + ["embedding"]
+    doc_id = F.concat(F.col(key).cast("string"), F.lit(":"), F.lpad(F.col("ord").cast("string"), ORD_DIGITS, "0"))
+    return df.select(key, F.inline(parts)).select(doc_id.alias("doc_id"), key, *cols)
+
+
+def embed_entries(df: DataFrame, dim: int, fn=None, entry: str = "entry", batch_size: int = 256) -> DataFrame:
+    """Adds ``vectors``: one embedding per title, content and link of an entry.
+
+    ``fn(list[str]) -> list[vector]`` is called with at most ``batch_size`` texts;
+    the default hashes term frequencies. An entry any of whose texts cannot be
+    embedded, or whose vectors have another dimension than ``dim``, gets null and
+    is to be rejected whole: when a call fails, its entries are tried one by one."""
+    e = F.col(entry)
+    texts = F.concat(F.array(e["title"], e["content"]), F.transform(e["links"], lambda l: l["text"]))
+    if fn is None:
+        from kbweave.operators.hashing import dense_texts_udf
+        return df.withColumn("vectors", dense_texts_udf(dim)(texts))
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+    def embed(col: pd.Series) -> pd.Series:
+        def call(some: list[str]):
+            out = []
+            for i in range(0, len(some), batch_size):
+                part = some[i:i + batch_size]
+                got = [[float(x) for x in v] for v in fn(part)]
+                if len(got) != len(part) or any(len(v) != dim for v in got):
+                    raise ValueError("the embedder gave another number or size of vectors")
+                out += got
+            return out
+
+        def alone(entry_texts):
+            try:
+                return call(list(entry_texts))
+            except Exception:  # noqa: BLE001 - a failed embedding rejects its entry
+                return None
+        rows = [None if v is None else list(v) for v in col]
+        flat = [t for v in rows if v is not None for t in v]
+        try:
+            vecs = iter(call(flat))
+            return pd.Series([None if v is None else [next(vecs) for _ in v] for v in rows])
+        except Exception:  # noqa: BLE001
+            return pd.Series([None if v is None else alone(v) for v in rows])
+    return df.withColumn("vectors", embed(texts))
+
+
+def kb_rows(entries: DataFrame, dim: int, embed=None) -> DataFrame:
+    """Entries -> stored rows with embeddings; an entry with any bad part or any
+    text that cannot be embedded is rejected whole."""
+    from kbweave.operators.partitioning import gate
+    good = embed_entries(gate(entries, entry_ok("entry")), dim, embed)
+    return expand_entries(gate(good, F.col("vectors").isNotNull()), vectors="vectors")
 
 
 def entries_struct(df: DataFrame) -> DataFrame:
@@ -60,20 +111,3 @@ def embed_hashed(df: DataFrame, text_col: str, dim: int, out: str = "embedding")
     """Default embedder: dense hashed term-frequency vector per text."""
     from kbweave.operators.hashing import dense_tf_udf
     return df.withColumn(out, dense_tf_udf(dim)(tokens(text_col)))
-
-
-def embed_with(df: DataFrame, fn, text_col: str, dim: int, out: str = "embedding",
-               batch_size: int = 256) -> DataFrame:
-    """User-supplied embedder ``fn(list[str]) -> list[list[float]]`` applied in
-    Arrow batches (the callable sees at most ``batch_size`` texts per call)."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
-
-    def run(batches):
-        for pdf in batches:
-            vecs = []
-            texts = pdf[text_col].tolist()
-            for i in range(0, len(texts), batch_size):
-                vecs.extend(fn(texts[i:i + batch_size]))
-            pdf[out] = [list(map(float, v)) if v is not None else None for v in vecs]
-            yield pdf
-    return df.mapInPandas(run, schema)

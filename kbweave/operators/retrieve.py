@@ -2,16 +2,14 @@
 
 * ``topk_single`` - one query vector, JVM-only: cosine via higher-order
   functions and ``orderBy(...).limit(k)`` (planned as TakeOrderedAndProject).
-* ``topk_batch`` - many queries at once. The query set is split into blocks
-  whose byte size is checked against ``Params.query_block_bytes``; each block
-  is broadcast once and every document partition scores its Arrow batches with
-  one matrix product, keeping only a local top-k per query. A window with
-  ``row_number() <= k`` (planned as WindowGroupLimit, partial before the
-  shuffle) merges the local winners. No pair rows are ever materialised, and
-  no cross join is planned; the document side is never shuffled or collected.
-  Blocks are packed from hashed sub-buckets counted in one aggregation; with
-  more than one block the document vectors are written once to the shared
-  checkpoint folder and every block scans that compact copy.
+* ``topk_batch`` - many queries at once, wholly on the executors. Documents and
+  queries are cut into groups by hash; a grid cell is one document group and one
+  query group, brought together by one shuffle and scored with matrix products.
+  A cell's size is set from row counts, so memory is bounded whatever the two
+  tables' sizes; the plan has the same few nodes for any number of queries, and
+  nothing passes through the driver but two counts. Each cell keeps its local
+  top-k per query; a window with ``row_number() <= k`` (planned as
+  WindowGroupLimit, partial before the shuffle) merges the local winners.
 
 Order rule for every form: similarity descending, NULL (zero vector) last,
 ties by ascending document id.
@@ -19,17 +17,17 @@ ties by ascending document id.
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbweave.config import Params
+from kbweave.config import Params, scratch_path
 from kbweave.functions import vectors as V
-from kbweave.functions.text import md5_bucket, tokens
+from kbweave.functions.text import tokens
 from kbweave.operators.hashing import TokenBuckets
 
 SIM_DECIMALS = 12
@@ -55,16 +53,13 @@ def topk_single(docs: DataFrame, query_vec, k: int | None = None, *, id_col: str
 
 # ---------------------------------------------------------------- batch form
 
-def _local_topk(qidx: np.ndarray, sim: np.ndarray, did: np.ndarray, k: int):
-    """Keep the first k per query under (sim desc, id asc); -inf = NULL."""
+def _local_topk(qidx: np.ndarray, sim: np.ndarray, did: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the first k per query under (sim desc, id asc); -inf = NULL."""
     order = np.lexsort((did, -sim, qidx))
-    qs, ss, ds = qidx[order], sim[order], did[order]
-    if qs.size == 0:
-        return qs, ss, ds
+    qs = qidx[order]
     starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
     group_start = np.repeat(starts, np.diff(np.r_[starts, qs.size]))
-    keep = (np.arange(qs.size) - group_start) < k
-    return qs[keep], ss[keep], ds[keep]
+    return order[(np.arange(qs.size) - group_start) < k]
 
 
 def _matrix(col: pd.Series, dim: int, kind: str, hasher: "TokenBuckets | None" = None) -> np.ndarray:
@@ -94,109 +89,43 @@ def _unit_rows(m: np.ndarray):
     return out, ok
 
 
-def _score_block(docs: DataFrame, qkeys: pd.DataFrame, qmat: np.ndarray, qok: np.ndarray, k: int,
-                 id_col: str, vec_col: str, dim: int, kind: str, key_fields) -> DataFrame:
-    """Score one broadcast query block against every document partition;
-    ``kind`` describes the document column (dense / buckets / tokens)."""
-    spark = docs.sparkSession
-    bq = spark.sparkContext.broadcast((qkeys, qmat, qok))
-
-    def score(batches):
-        q_keys, q_unit, q_ok = bq.value
-        nq = len(q_keys)
-        hasher = TokenBuckets(dim) if kind == "tokens" else None
-        acc_q = np.zeros(0, np.int64); acc_s = np.zeros(0); acc_d = np.zeros(0, np.int64)
-        # Slice each Arrow batch so one similarity matrix stays within
-        # SCORE_BYTES whatever the batch size, dimension or block size.
-        step = max(1, SCORE_BYTES // (8 * max(nq, dim, 1)))
-        for whole in batches:
-            if len(whole) == 0 or nq == 0:
-                continue
-            for lo in range(0, len(whole), step):
-                pdf = whole.iloc[lo:lo + step]
-                d_ids = pdf[id_col].to_numpy(dtype=np.int64)
-                d_unit, d_ok = _unit_rows(_matrix(pdf[vec_col], dim, kind, hasher))
-                # Ranking precision: similarities are compared at 12 decimals, so
-                # mathematically equal scores tie (then doc id decides) instead of
-                # being ordered by floating-point noise that differs per engine.
-                s = np.round(d_unit @ q_unit.T, SIM_DECIMALS)       # (docs, queries)
+def _score_cell(k: int, dim: int, score_bytes: int):
+    """Cogrouped (documents, queries) of one grid cell -> local top-k per query."""
+    def score(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = {"_qid": np.zeros(0, np.int64), "doc_id": d["doc_id"].iloc[:0], "similarity": np.zeros(0)}
+        if len(d) and len(q):
+            q_unit, q_ok = _unit_rows(_matrix(q["vec"], dim, "dense"))
+            _, code = np.unique(d["doc_id"].to_numpy(), return_inverse=True)
+            acc = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]     # query, similarity, row of d
+            step = max(1, score_bytes // (8 * max(len(q), dim, 1)))
+            for lo in range(0, len(d), step):
+                d_unit, d_ok = _unit_rows(_matrix(d["vec"].iloc[lo:lo + step], dim, "dense"))
+                # Similarities are compared at 12 decimals, so mathematically equal
+                # scores tie (then the id decides) whatever the order of summation.
+                s = np.round(d_unit @ q_unit.T, SIM_DECIMALS)
                 s[~d_ok, :] = -np.inf
                 s[:, ~q_ok] = -np.inf
-                b = s.shape[0]
-                if b > k:
-                    kth = np.partition(s, b - k, axis=0)[b - k]      # k-th largest per query
-                    rows, cols = np.nonzero(s >= kth)                # ties kept, fixed below
-                else:
-                    rows, cols = np.nonzero(np.ones_like(s, dtype=bool))
-                acc_q = np.concatenate([acc_q, cols.astype(np.int64)])
-                acc_s = np.concatenate([acc_s, s[rows, cols]])
-                acc_d = np.concatenate([acc_d, d_ids[rows]])
-                acc_q, acc_s, acc_d = _local_topk(acc_q, acc_s, acc_d, k)
-        if acc_q.size:
-            sim = np.where(np.isneginf(acc_s), np.nan, acc_s)
-            res = q_keys.iloc[acc_q].reset_index(drop=True)
-            res["doc_id"] = acc_d
-            res["similarity"] = sim
-            yield res
-
-    out = T.StructType(list(key_fields) + [T.StructField("doc_id", T.LongType()),
-                                           T.StructField("similarity", T.DoubleType())])
-    return docs.select(id_col, vec_col).mapInPandas(score, out)
+                n = s.shape[0]
+                kth = np.partition(s, n - k, axis=0)[n - k] if n > k else np.full(s.shape[1], -np.inf)
+                rows, cols = np.nonzero(s >= kth)
+                acc = [np.concatenate(x) for x in zip(acc, (cols, s[rows, cols], rows + lo))]
+                keep = _local_topk(acc[0], acc[1], code[acc[2]], k)
+                acc = [x[keep] for x in acc]
+            out = {"_qid": q["_qid"].to_numpy()[acc[0]], "doc_id": d["doc_id"].to_numpy()[acc[2]],
+                   "similarity": np.where(np.isneginf(acc[1]), np.nan, acc[1])}
+        return pd.DataFrame(out)
+    return score
 
 
 def _dense_udf(dim: int, kind: str):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def to_dense(col: pd.Series) -> pd.Series:
-        m = _matrix(col, dim, kind, TokenBuckets(dim) if kind == "tokens" else None)
-        return pd.Series(list(m.astype(np.float32)))
+    def to_dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = TokenBuckets(dim) if kind == "tokens" else None
+        for col in batches:
+            yield pd.Series(list(_matrix(col, dim, kind, hasher).astype(np.float32)))
     return to_dense
 
 
-def _materialize_docs(d: DataFrame, doc_id: str, doc_vec: str, dim: int, kind: str) -> DataFrame:
-    """Document vectors written once to the shared checkpoint folder, so that
-    several query blocks scan compact dense vectors instead of re-deriving
-    (re-reading, re-tokenising, re-hashing) the documents per block."""
-    from kbweave.config import scratch_path
-    spark = d.sparkSession
-    path = scratch_path(spark, "docvec")
-    vec = F.col(doc_vec) if kind == "dense" else _dense_udf(dim, kind)(doc_vec)
-    d.select(doc_id, vec.alias(doc_vec)).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def _block_from_pandas(pdf: pd.DataFrame, keys: list[str], dim: int, kind: str):
-    unit, ok = _unit_rows(_matrix(pdf["vec"], dim, kind))
-    return pdf[keys].reset_index(drop=True), unit, ok
-
-
-def _collect_block(qdf: DataFrame, keys: list[str], dim: int, kind: str):
-    return _block_from_pandas(qdf.toPandas(), keys, dim, kind)
-
-
-def _pack_blocks(q: DataFrame, keys: list[str], rows_cap: int) -> list[DataFrame]:
-    """Split the query set into blocks of at most ``rows_cap`` rows with one
-    aggregation: rows are hashed into many small sub-buckets, whose counts
-    (one row per sub-bucket) are packed in order into blocks on the driver.
-    Few, full blocks mean few scans of the document side."""
-    n_sub = 1024
-    while True:
-        sub = F.pmod(F.xxhash64(*keys), F.lit(n_sub))
-        sizes = sorted((r[0], r[1]) for r in q.groupBy(sub.alias("s")).count().collect())
-        if max(c for _, c in sizes) <= rows_cap or n_sub >= (1 << 22):
-            break
-        n_sub *= 8
-    blocks, cur, filled = [], [], 0
-    for sid, c in sizes:
-        if cur and filled + c > rows_cap:
-            blocks.append(cur)
-            cur, filled = [], 0
-        cur.append(sid)
-        filled += c
-    if cur:
-        blocks.append(cur)
-    return [q.where(sub.isin(ids)) for ids in blocks]
-
-
 def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
                doc_id: str = "doc_id", doc_vec: str = "embedding",
                query_id: str = "query_id", query_vec: str = "embedding",
@@ -208,67 +137,53 @@ def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
     ``kind`` describes both vector columns: ``'dense'`` = ``ARRAY<FLOAT|DOUBLE>``
     of length ``dim`` (other lengths are dropped, see ``dim_ok``);
     ``'buckets'`` = hashed bucket lists; ``'tokens'`` = token lists hashed
-    with the md5 bucket rule. Term frequencies are counted on the fly; query
-    vectors are made dense on the executors before a block is collected.
-    ``block_rows`` overrides the rows per broadcast block (default from
-    ``Params.query_block_bytes``).
+    with the md5 bucket rule. Vectors are made dense on the executors. Every
+    query row is answered on its own, also where ids repeat; document ids may
+    be numbers or strings. ``block_rows`` overrides the queries of a cell.
     """
     params = params or Params()
     k = params.top_k if k is None else k
     if k < 0:
         raise ValueError("k must be >= 0")
-    if isinstance(query_id, str):
-        keys = ["query_id"]
-        q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
-    else:
-        keys = list(query_id)
-        q = queries.select(*[F.col(c) for c in keys], F.col(query_vec).alias("vec"))
-    d = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(doc_vec).alias(doc_vec))
+    spark = docs.sparkSession
+    keys = ["query_id"] if isinstance(query_id, str) else list(query_id)
+    own = [F.col(query_id).alias("query_id")] if isinstance(query_id, str) else [F.col(c) for c in keys]
+    q = queries.select(*own, F.col(query_vec).alias("vec"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("vec"))
     if kind == "dense":
-        q = q.where(V.dim_ok("vec", dim))
-        d = d.where(V.dim_ok(doc_vec, dim))
+        q, d = q.where(V.dim_ok("vec", dim)), d.where(V.dim_ok("vec", dim))
+        # Single precision stays as it is; other numbers become double.
+        q, d = (x if x.schema["vec"].dataType == T.ArrayType(T.FloatType(), x.schema["vec"].dataType.containsNull)
+                else x.withColumn("vec", F.col("vec").cast("array<double>")) for x in (q, d))
     else:
-        q = q.where(F.col("vec").isNotNull())
-        d = d.withColumn(doc_vec, F.coalesce(F.col(doc_vec), F.array().cast(d.schema[doc_vec].dataType)))
-    if kind != "dense":
-        # Queries become dense vectors on the executors, so what reaches the
-        # driver is exactly the counted dim-sized vectors, never raw tokens.
-        q = q.withColumn("vec", _dense_udf(dim, kind)("vec"))
-    key_fields = [q.schema[c] for c in keys]
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    empty = docs.sparkSession.createDataFrame([], f"{out_schema}, rank int, doc_id long, similarity double")
+        q = q.where(F.col("vec").isNotNull()).withColumn("vec", _dense_udf(dim, kind)("vec"))
+        none = F.array().cast(d.schema["vec"].dataType)
+        d = d.withColumn("vec", _dense_udf(dim, kind)(F.coalesce("vec", none)))
+    id_type = d.schema["doc_id"].dataType.simpleString()
     if k == 0:
-        return empty
-    # Size check of what is broadcast: a block holds at most rows_cap query
-    # vectors (dense float64 copy plus its unit-length copy). The first probe
-    # collects at most rows_cap + 1 rows: if the whole set fits, that single
-    # bounded job is the only one; otherwise the set is split into hashed
-    # blocks whose sizes are counted before any of them is collected.
+        fields = ", ".join(f"`{c}` {q.schema[c].dataType.simpleString()}" for c in keys)
+        return spark.createDataFrame([], f"{fields}, rank int, doc_id {id_type}, similarity double")
+    # Query rows get a number of their own; writing them fixes it for good.
+    path = scratch_path(spark, "queries")
+    q.withColumn("_qid", F.monotonically_increasing_id()).write.parquet(path)
+    q = spark.read.schema(q.withColumn("_qid", F.lit(0).cast("long")).schema).parquet(path)
     rows_cap = block_rows or max(1, params.query_block_bytes // (dim * 8 * 2))
-    probe = q.limit(rows_cap + 1).toPandas()
-    if len(probe) == 0:
-        return empty
-    if len(probe) <= rows_cap:
-        loaders = [lambda: _block_from_pandas(probe, keys, dim, "dense")]
-    else:
-        del probe
-        loaders = [partial(_collect_block, qb, keys, dim, "dense") for qb in _pack_blocks(q, keys, rows_cap)]
-    doc_kind = kind
-    if len(loaders) > 1:
-        d, doc_kind = _materialize_docs(d, doc_id, doc_vec, dim, kind), "dense"
-    parts = []
-    for load in loaders:
-        qkeys, unit, ok = load()
-        parts.append(_score_block(d, qkeys, unit, ok, k, doc_id, doc_vec, dim, doc_kind, key_fields))
-    local = reduce(lambda a, b: a.unionByName(b), parts)
-    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("similarity"), F.asc("doc_id"))
-    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(*keys, F.col("rank").cast("int").alias("rank"), "doc_id", "similarity"))
-
-
-def token_buckets(text, dim: int) -> Column:
-    """Hashed token buckets of a text (feature hashing over md5)."""
-    return F.transform(tokens(text), lambda t: md5_bucket(t, dim).cast("int"))
+    n_q, n_d = q.count(), docs.select(doc_id).count()
+    cols = max(1, -(-n_q // rows_cap))
+    fit = max(1, params.query_block_bytes // (dim * 8 * 2))
+    rows = max(-(-n_d // fit), -(-spark.sparkContext.defaultParallelism // cols))
+    d = d.withColumn("_r", F.pmod(F.xxhash64("doc_id", "vec"), F.lit(rows))).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    g = q.withColumn("_c", F.pmod(F.col("_qid") + F.shiftright("_qid", 33), F.lit(cols)).cast("int")).withColumn(
+        "_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
+    n = rows * cols
+    d, g = (x.select("_r", "_c", *[c for c in ("doc_id", "_qid", "vec") if c in x.columns])
+            .repartition(min(n, 100_000), "_r", "_c") for x in (d, g))
+    local = d.groupBy("_r", "_c").cogroup(g.groupBy("_r", "_c")).applyInPandas(
+        _score_cell(k, dim, SCORE_BYTES), f"_qid long, doc_id {id_type}, similarity double")
+    w = Window.partitionBy("_qid").orderBy(F.desc_nulls_last("similarity"), F.asc("doc_id"))
+    top = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.join(q.select("_qid", *keys), "_qid").select(*keys, F.col("rank").cast("int").alias("rank"), "doc_id", "similarity")
 
 
 def topk_text(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
@@ -276,8 +191,8 @@ def topk_text(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
               query_id: str = "query_id", query_text: str = "text",
               dim: int = 256, params: Params | None = None) -> DataFrame:
     """Text-to-text retrieval over hashed term-frequency vectors."""
-    # Tokens are split JVM-side; md5 buckets are computed inside the Arrow
-    # scorer (memoised per task), the same rule as ``token_buckets``.
+    # Tokens are split JVM-side; md5 buckets are computed in Arrow batches
+    # (memoised per task).
     d = docs.select(F.col(doc_id).alias(doc_id), tokens(doc_text).alias("_b"))
     # A NULL query text has no embedding: it is dropped, like a failed embed.
     qcols = [query_id] if isinstance(query_id, str) else list(query_id)
@@ -286,6 +201,28 @@ def topk_text(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
                       query_vec="_b", dim=dim, kind="tokens", params=params)
 
 
+def topk_stored(kb: DataFrame, queries: DataFrame, k: int | None = None, *, query_id="query_id",
+                query_text: str = "text", dim: int = 256, embed=None, params: Params | None = None) -> DataFrame:
+    """Retrieval over the vectors stored in the knowledge base: only the queries
+    are embedded, with the embedder of the ingest (``embed(list[str])``, default
+    hashed). A query that cannot be embedded has no answer."""
+    qcols = [query_id] if isinstance(query_id, str) else list(query_id)
+    if embed is None:
+        q = queries.select(*qcols, _dense_udf(dim, "tokens")(tokens(query_text)).alias("_v"), F.col(query_text).alias("_t"))
+        q = q.where(F.col("_t").isNotNull())
+    else:
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
+        def vec(col: pd.Series) -> pd.Series:
+            def one(t):
+                try:
+                    return None if t is None else [float(x) for x in embed([t])[0]]
+                except Exception:  # noqa: BLE001 - no vector, no answer
+                    return None
+            return pd.Series([one(t) for t in col])
+        q = queries.select(*qcols, vec(query_text).alias("_v"))
+    return topk_batch(kb, q, k, doc_id="doc_id", doc_vec="embedding", query_id=query_id, query_vec="_v", dim=dim, params=params)
+
+
 def attach_hits(topk: DataFrame, docs: DataFrame, doc_id: str = "doc_id",
                 cols: tuple[str, ...] = ("text", "url")) -> DataFrame:
     """Hit projection ``{text, url, similarity}``: join winners to their rows.

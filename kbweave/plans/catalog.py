@@ -187,7 +187,9 @@ def _pages(spark, sf, cols=("page_id", "url", "html")):
 _TITLE_SQL = (f"CASE WHEN {S.rules(S.extract('html', H.TITLE_RE), H.INLINE_RULES)} <> '' "
               f"THEN {S.rules(S.extract('html', H.TITLE_RE), H.INLINE_RULES)} "
               f"ELSE {S.rules(S.extract('html', H.H1_RE), H.INLINE_RULES)} END")
-_MAIN_SQL = (f"CASE WHEN {S.extract('html', H.ARTICLE_RE)} <> '' THEN {S.extract('html', H.ARTICLE_RE)} "
+_ARTICLES = f"array_to_string(list_filter(regexp_extract_all(html, {S.lit(H.ARTICLE_RE)}, 1), lambda x: x <> ''), chr(10))"
+_QUOTED = f"(SELECT page_id, url, {S.rules('html', H.QUOTE_RULES)} AS html FROM pages)"
+_MAIN_SQL = (f"CASE WHEN {_ARTICLES} <> '' THEN {_ARTICLES} "
              f"WHEN {S.extract('html', H.BODY_RE)} <> '' THEN {S.extract('html', H.BODY_RE)} ELSE html END")
 _CONTENT_SQL = S.rules(f"({_MAIN_SQL})", H.TEXT_RULES)
 
@@ -199,7 +201,7 @@ def _links_sql(src: str) -> str:
             f"{S.rules('inner_html[i]', H.INLINE_RULES)} AS text, urls[i] AS url FROM ("
             f"SELECT page_id, urls, inner_html, unnest(generate_series(1, len(urls))) AS i FROM ("
             f"SELECT page_id, regexp_extract_all({src}, {lr}, 1) AS urls, "
-            f"regexp_extract_all({src}, {lr}, 2) AS inner_html FROM pages))")
+            f"regexp_extract_all({src}, {lr}, 2) AS inner_html FROM {_QUOTED}))")
 
 
 @query("page_scan", """
@@ -310,7 +312,7 @@ SELECT page_id, {_TITLE_SQL} AS title, {_CONTENT_SQL} AS content,
             unnest(regexp_extract_all(html, {S.lit(H.LINK_RE)}, 2)) AS raw_t,
             unnest(generate_series(1, len(regexp_extract_all(html, {S.lit(H.LINK_RE)}, 1)))) AS i)
      CROSS JOIN LATERAL (SELECT {S.rules('raw_t', H.INLINE_RULES)} AS t)) AS links
-FROM pages"""
+FROM {_QUOTED}"""
 
 
 @query("kb_documents", f"""
@@ -320,11 +322,12 @@ parts AS (
   UNION ALL SELECT page_id, 1, 'content', content, '' FROM e
   UNION ALL SELECT page_id, CAST(i + 1 AS INTEGER), 'link', links[i].text, links[i].url
             FROM (SELECT page_id, links, unnest(generate_series(1, len(links))) AS i FROM e))
-SELECT page_id * {1 << K.ORD_BITS} + ord AS doc_id, page_id, CAST(ord AS INTEGER) AS ord, doc_type, text, url FROM parts""")
+SELECT page_id || ':' || lpad(CAST(ord AS VARCHAR), {K.ORD_DIGITS}, '0') AS doc_id, page_id, CAST(ord AS INTEGER) AS ord, doc_type, text, url FROM parts""")
 def kb_documents(spark, sf):
     """Flagship: pages -> entries -> typed knowledge-base rows."""
+    from kbweave.operators.partitioning import gate
     e = K.entries_struct(X.page_entries(_pages(spark, sf)))
-    return K.expand_entries(e)
+    return K.expand_entries(gate(e, K.entry_ok("entry")))
 FLAGSHIP = "kb_documents"
 
 
@@ -433,7 +436,7 @@ good AS (SELECT * FROM ok WHERE title IS NOT NULL AND content IS NOT NULL AND js
 parts AS (SELECT page_id, 0 AS ord, 'title' AS doc_type, title AS text, '' AS url FROM good
   UNION ALL SELECT page_id, 1, 'content', content, '' FROM good
   UNION ALL SELECT li.page_id, CAST(i + 1 AS INTEGER), 'link', lk ->> 'text', lk ->> 'url' FROM li JOIN good USING (page_id))
-SELECT page_id * {1 << K.ORD_BITS} + ord AS doc_id, page_id, CAST(ord AS INTEGER) AS ord, doc_type, text, url FROM parts""")
+SELECT page_id || ':' || lpad(CAST(ord AS VARCHAR), {K.ORD_DIGITS}, '0') AS doc_id, page_id, CAST(ord AS INTEGER) AS ord, doc_type, text, url FROM parts""")
 def kb_atomic(spark, sf):
     """Entries from the JSON path; an entry with any bad part is rejected whole."""
     good, _ = EN.split_quarantine(_parsed(spark, sf))
@@ -550,23 +553,34 @@ def transcript(spark, sf):
 _STRIP_SQL = f"regexp_replace(text, {S.lit('^' + PY_SPACE_CLASS + '+|' + PY_SPACE_CLASS + '+$')}, '', 'g')"
 
 
+# Exit messages derived from the table: in every conversation whose id leaves 3
+# modulo 5 the user message at turn 2 becomes one (the table itself has none).
+_EXITS = """(SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 3 AND turn = 2 AND role = 'user' THEN chr(12288) || ' Exit '
+             ELSE text END AS text FROM conversations)"""
+
+
 @query("session_truncate", f"""
-WITH ex AS (SELECT conv_id, min(turn) AS first_exit FROM conversations
+WITH conv AS {_EXITS},
+ex AS (SELECT conv_id, min(turn) AS first_exit FROM conv
             WHERE role = 'user' AND lower({_STRIP_SQL}) IN ('quit', 'exit') GROUP BY conv_id)
-SELECT c.conv_id, c.turn, c.role FROM conversations c LEFT JOIN ex USING (conv_id)
+SELECT c.conv_id, c.turn, c.role FROM conv c LEFT JOIN ex USING (conv_id)
 WHERE ex.first_exit IS NULL OR c.turn < ex.first_exit""")
 def session_truncate(spark, sf):
-    return D.truncate_sessions(_conv(spark, sf)).select("conv_id", "turn", "role")
+    """Conversations cut before their exit message."""
+    leaves = (F.col("conv_id") % 5 == 3) & (F.col("turn") == 2) & (F.col("role") == "user")
+    conv = _conv(spark, sf).withColumn("text", F.when(leaves, F.lit("\u3000 Exit ")).otherwise(F.col("text")))
+    return D.truncate_sessions(conv).select("conv_id", "turn", "role")
 
 
 # Retrieval for dialogue: user messages against the page-derived KB.
 
 def _kb(spark, sf):
-    """The page-derived KB, cached for the duration of a dialogue query so
-    retrieval and the hit projection share one extraction (a stored KB table
-    needs no cache: it is a column-pruned scan)."""
-    from pyspark import StorageLevel
-    return kb_documents(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    """The page-derived KB as an ingest stores it: one table with embeddings, so
+    retrieval and hit projection are column-pruned scans of it."""
+    from kbweave.config import scratch_path
+    path = scratch_path(spark, "kb")
+    K.kb_rows(K.entries_struct(X.page_entries(_pages(spark, sf))), P.text_dim).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _kb_sql():
@@ -677,7 +691,7 @@ from kbweave.streaming import jobs as ST  # noqa: E402
 def stream_kb(spark, sf):
     """Incremental KB ingest (file stream, availableNow); equals kb_documents."""
     out = ST.ingest_kb_stream(spark, f"{sf.rstrip('/')}/pages.parquet")
-    return spark.read.parquet(out).select("doc_id", "page_id", "ord", "doc_type", "text", "url")
+    return spark.read.parquet(out).drop("embedding")
 
 
 @query("stream_history", ORACLE["history_window"])
@@ -709,10 +723,28 @@ def topk_by_type(spark, sf):
     """Retrieval scoped to one document type (titles) of the page-derived KB."""
     kb = _kb(spark, sf).where(F.col("doc_type") == "title")
     q = load_table(spark, sf, "benchmark", ["item_id", "text"])
-    top = R.topk_text(kb, q, P.top_k, doc_id="doc_id", query_id="item_id", dim=P.text_dim)
+    top = R.topk_stored(kb, q, P.top_k, query_id="item_id", dim=P.text_dim)
     return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
 
 
+@query("topk_stored", f"""
+WITH kb AS ({_kb_sql()}),
+{_topk_ctes('benchmark', 'item_id', 'kb', 'doc_id', P.text_dim, P.top_k)}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(sim, 6) AS similarity FROM top""")
+def topk_stored(spark, sf):
+    """Every benchmark text against the vectors stored at ingest (default k)."""
+    q = load_table(spark, sf, "benchmark", ["item_id", "text"])
+    top = R.topk_stored(_kb(spark, sf), q, query_id="item_id", dim=P.text_dim)
+    return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
+
+
+@query("kb_embedded", f"WITH kb AS ({_kb_sql()}) {_tf_sql('kb', 'doc_id', P.text_dim)}")
+def kb_embedded(spark, sf):
+    """The non-zero entries of the embeddings that an ingest stores."""
+    v = _kb(spark, sf).select("doc_id", F.posexplode("embedding").alias("bucket", "x")).where("x <> 0")
+    return v.select("doc_id", "bucket", F.col("x").cast("long").alias("tf"))
+
+
 _GEN_SQL = f"""
 WITH {_dialog_ctes(ALT_INTENTS)},
 rep AS (SELECT conv_id, turn, text, intent, context,
@@ -760,7 +792,81 @@ def history_window_blocks(spark, sf):
     global index + blocks of 100 rows with halos (what a conversation larger
     than a block would take)."""
     h = lookback(_conv(spark, sf), "conv_id", "turn", {"h": P.history_len}, ["role", "text"],
-                 block_rows=100, mode="blocks")
+                 block_rows=100)
     return h.select("conv_id", "turn", F.size("h").alias("hist_len"),
                     F.array_join(F.transform("h", lambda m: F.concat(m["role"], F.lit(": "), m["text"])),
                                  "\n").alias("history"))
+
+
+# ------------------------------------------------- model step with a callable
+
+def _failing(texts):
+    """Deterministic model: upper-cases the query; refuses prompts of even length."""
+    if any(len(t) % 2 == 0 for t in texts):
+        raise ValueError("refused")
+    return [t.split("\n")[1].removeprefix("User Query: ").upper() for t in texts]
+
+
+@query("failed_turns", f"""
+WITH {_dialog_ctes(ALT_INTENTS)},
+p AS (SELECT *, {_prompt_sql()} AS prompt FROM d)
+SELECT conv_id, turn, CASE WHEN intent IS NULL THEN 'retrieval' ELSE 'template' END AS route,
+       CASE WHEN intent IS NULL AND length(prompt) % 2 = 1 THEN upper(string_split(prompt, chr(10))[2][13:]) END AS answer,
+       CASE WHEN intent IS NULL AND length(prompt) % 2 = 0 THEN 'ValueError: refused' END AS answer_error FROM p""")
+def failed_turns(spark, sf):
+    """The model step with a callable that fails on some prompts, retried and told apart."""
+    a = A.answer_messages(_conv(spark, sf), _kb(spark, sf), P, ALT_INTENTS, model=_failing, sleep=lambda _: None)
+    return a.select("conv_id", "turn", "route", "answer", "answer_error")
+
+
+def _structuring(texts):
+    """Deterministic model: an entry of the first line; broken JSON for short pages, no links for some."""
+    import json
+    out = []
+    for t in texts:
+        e = {"title": t.split("\n")[0], "content": t, "links": []}
+        if len(t) % 5 == 0:
+            del e["links"]
+        j = json.dumps(e)
+        out.append(j[:-2] if len(t) % 7 == 0 else f"```json\n{j}\n```" if len(t) % 3 == 0 else j)
+    return out
+
+
+@query("model_structuring", f"""
+WITH m AS (SELECT page_id, {S.rules('html', H.MARKDOWN_RULES)} AS md FROM pages),
+s AS (SELECT *, length(md) % 7 <> 0 AND length(md) % 5 <> 0 AS ok FROM m)
+SELECT page_id, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status,
+       CASE WHEN ok THEN string_split(md, chr(10))[1] END AS title, CASE WHEN ok THEN md END AS content FROM s""")
+def model_structuring(spark, sf):
+    """Markdown -> model -> clean -> parse -> validate, retried as one unit."""
+    from kbweave.operators.model import structure_pages
+    md = X.page_markdown(_pages(spark, sf, ("page_id", "html")))
+    parsed = EN.parse_replies(structure_pages(md, _structuring, sleep=lambda _: None))
+    return parsed.select("page_id", F.when(F.col("status") == "ok", "ok").otherwise("failed").alias("status"),
+                         F.col("entry.title").alias("title"), F.col("entry.content").alias("content"))
+
+
+@query("file_round_trip", f"""
+WITH e AS ({_ENTRY_SQL})
+SELECT substr(md5(content), 1, 8) AS fingerprint, title, content, CAST(len(links) AS INTEGER) AS n_links FROM e""")
+def file_round_trip(spark, sf):
+    """Entries written as JSON files and read back."""
+    from kbweave.config import scratch_path
+    from kbweave.functions.text import fingerprint
+    from kbweave.sources import files as FS
+    path = scratch_path(spark, "entries-json")
+    e = X.page_entries(_pages(spark, sf)).withColumn("fingerprint", fingerprint("content"))
+    FS.write_entries_json(e, path)
+    return FS.read_entries_json(spark, path, lines=True).select(
+        fingerprint("content").alias("fingerprint"), "title", "content", F.size("links").alias("n_links"))
+
+
+@query("kb_append_dedup", ORACLE["kb_documents"])
+def kb_append_dedup(spark, sf):
+    """The pages ingested twice with dedup: every row is stored once."""
+    from kbweave.config import scratch_path
+    from kbweave.plans import jobs as J
+    path = scratch_path(spark, "kb-append")
+    for _ in range(2):
+        J.ingest(spark, load_table(spark, sf, "pages"), path, dedup=True)
+    return spark.read.parquet(path).drop("embedding")

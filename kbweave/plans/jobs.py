@@ -1,7 +1,7 @@
 """End-to-end jobs over table paths (what the reference's menu does, as
 batch jobs): ingest pages into the knowledge base, and answer messages.
 
-    python -m kbweave.plans.jobs ingest  --pages P --kb KB
+    python -m kbweave.plans.jobs ingest  --pages P --kb KB [--replies R] [--out O] [--dedup]
     python -m kbweave.plans.jobs answer  --conversations C --kb KB --out O [--generating]
 """
 
@@ -10,33 +10,51 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kbweave.config import Params, get_session
+from kbweave.config import Params, get_session, scratch_path
+from kbweave.functions.text import fingerprint
 from kbweave.operators import entries as EN
 from kbweave.operators import extract as X
 from kbweave.operators import kb as K
+from kbweave.operators.model import structure_pages
 from kbweave.operators.partitioning import gate, spread
 from kbweave.plans import answer as A
-from kbweave.sources.files import append_kb
+from kbweave.sources import files as FS
 
 
 def ingest(spark: SparkSession, pages: DataFrame, kb_path: str, replies: DataFrame | None = None,
-           dedup: bool = False) -> dict:
-    """pages -> entries -> KB rows appended at ``kb_path``.
+           dedup: bool = False, model=None, embed=None, out: str | None = None, params: Params = Params(),
+           sleep=None) -> dict:
+    """pages -> entries -> embedded KB rows appended at ``kb_path``.
 
-    Without ``replies`` entries come from deterministic extraction. With a
-    model's JSON ``replies`` (``page_id, reply``) they go through cleaning,
-    strict parsing, validation and quarantine, and an entry with any bad part
-    is rejected whole. Returns parse status counts (empty without replies)."""
-    if replies is None:
-        entries = K.entries_struct(X.page_entries(spread(pages)))
-        status = {}                      # deterministic extraction: no parse statuses
+    Without ``replies`` and ``model`` entries come from deterministic extraction.
+    With a model's JSON ``replies`` (``page_id, reply``), or a ``model`` callable
+    on the pages' markdown, they go through cleaning, strict parsing, validation
+    and quarantine. An entry with any bad part is rejected whole. ``out`` also
+    gets the markdown, the entries (JSON) and the quarantine. Returns parse
+    status counts (empty for deterministic extraction)."""
+    pages = spread(pages)
+    if replies is None and model is None:
+        entries = K.entries_struct(X.page_entries(pages))
+        status, bad = {}, None
     else:
-        parsed = EN.parse_replies(replies)
-        good, _ = EN.split_quarantine(parsed)
-        entries = gate(good, K.entry_ok("entry"))
+        if replies is None:
+            import time
+            replies = structure_pages(X.page_markdown(pages), model, sleep=sleep or time.sleep)
+        path = scratch_path(spark, "parsed")
+        EN.parse_replies(replies).write.parquet(path)        # parsed once; three readers below
+        parsed = spark.read.parquet(path)
+        entries, bad = EN.split_quarantine(parsed)
         status = {r["status"]: r["n"] for r in EN.batch_status(parsed).collect()}
-    append_kb(K.expand_entries(entries), kb_path, dedup_key="doc_id" if dedup else None)
+    FS.append_kb(K.kb_rows(entries, params.text_dim, embed), kb_path, dedup=dedup)
+    if out:
+        FS.write_markdown(X.source_keys(pages, params).select("page_id", "page_key").join(
+            X.page_markdown(pages), "page_id").select(F.col("page_key").alias("source_key"), "md"), f"{out}/markdown")
+        FS.write_entries_json(gate(entries, K.entry_ok("entry")).select("entry.*").withColumn(
+            "fingerprint", fingerprint("content")), f"{out}/entries")
+        if bad is not None:
+            bad.write.mode("append").parquet(f"{out}/quarantine")
     return status
 
 
@@ -56,6 +74,8 @@ def main(argv=None) -> None:
     a = sub.add_parser("ingest")
     a.add_argument("--pages", required=True)
     a.add_argument("--kb", required=True)
+    a.add_argument("--replies")
+    a.add_argument("--out")
     a.add_argument("--dedup", action="store_true")
     b = sub.add_parser("answer")
     b.add_argument("--conversations", required=True)
@@ -66,7 +86,8 @@ def main(argv=None) -> None:
     ns = ap.parse_args(argv)
     spark = get_session()
     if ns.cmd == "ingest":
-        print(ingest(spark, spark.read.parquet(ns.pages), ns.kb, dedup=ns.dedup))
+        replies = spark.read.parquet(ns.replies) if ns.replies else None
+        print(ingest(spark, spark.read.parquet(ns.pages), ns.kb, replies, ns.dedup, out=ns.out))
     else:
         answer(spark, spark.read.parquet(ns.conversations), spark.read.parquet(ns.kb), ns.out,
                Params(top_k=ns.top_k), ns.generating)

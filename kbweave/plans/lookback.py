@@ -10,8 +10,8 @@ would then be one task. Instead:
    cut, stable row ids that survive executor loss and retries);
 3. turn the row ids into a dense global index ``g`` from per-partition
    counts (one small row per partition, broadcast by construction);
-4. cut ``g`` into fixed blocks of ``block_rows`` rows and copy only the last
-   ``n-1`` rows of each block into the next one (the halo); the window then
+4. cut ``g`` into fixed blocks of ``block_rows`` rows and copy each row into
+   the blocks of the ``n-1`` rows after it (the halo); the window then
    partitions by block, so no task sees more than ``block_rows + n - 1`` rows,
    whatever the key distribution.
 """
@@ -27,10 +27,11 @@ from kbweave.operators.partitioning import gate
 _LOW33 = (1 << 33) - 1
 
 
-def global_index(df: DataFrame, key: str, order: str, num_partitions: int | None = None) -> DataFrame:
-    """Adds ``_g``: the dense 0-based rank of each row under (key, order)."""
+def global_index(df: DataFrame, key: str, order: str, block_rows: int, num_partitions: int | None = None) -> DataFrame:
+    """Adds ``_g``: the dense 0-based rank of each row under (key, order). The
+    number of range partitions follows the input unless it is given."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // block_rows))
     path = scratch_path(spark, "lookback")
     (df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
        .withColumn("_mid", F.monotonically_increasing_id())
@@ -47,34 +48,18 @@ def global_index(df: DataFrame, key: str, order: str, num_partitions: int | None
              .drop("_pid", "_mid", "_off"))
 
 
-def largest_group(df: DataFrame, key: str) -> int:
-    """Rows of the biggest key (partial aggregation; reads the key column only)."""
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(r or 0)
-
-
 def lookback(df: DataFrame, key: str, order: str, frames: dict[str, int], payload: list[str],
-             block_rows: int = 1_000_000, mode: str = "auto") -> DataFrame:
+             block_rows: int = 1_000_000) -> DataFrame:
     """For each row, ``frames[name]`` = list of the last n rows of its key
-    (itself included, oldest first) as structs of ``[order] + payload``.
-
-    ``mode='auto'`` measures the largest key first: when every key fits in one
-    block the plain keyed window is used (one shuffle, a task never holds more
-    than a block's worth of one key); otherwise, or with ``mode='blocks'``,
-    the global-index block/halo plan runs. Output: input columns + frames.
-    """
-    if mode == "auto" and largest_group(df, key) <= block_rows:
-        return plain_lookback(df, key, order, frames, payload)
-    s = global_index(df, key, order)
-    width = max(frames.values())
-    halo = width - 1
+    (itself included, oldest first) as structs of ``[order] + payload``. A null
+    key is a key like any other. Output: input columns + frames."""
+    s = global_index(df, key, order, block_rows)
+    halo = max(frames.values()) - 1
     blk = F.floor(F.col("_g") / F.lit(block_rows)).cast("long")
-    # One scan: every row is emitted for its own block, and rows in the last
-    # n-1 positions of a block are emitted once more, as halo, for the next.
-    own = F.struct(blk.alias("_blk"), F.lit(False).alias("_halo"))
-    copy = F.struct((blk + 1).alias("_blk"), F.lit(True).alias("_halo"))
-    in_tail = (F.col("_g") % F.lit(block_rows)) >= F.lit(block_rows - halo)
-    targets = F.array(own) if halo == 0 else F.when(in_tail, F.array(own, copy)).otherwise(F.array(own))
+    # One scan: a row goes to its own block and, as halo, to every later block
+    # that holds one of the ``halo`` rows after it.
+    last = F.floor((F.col("_g") + F.lit(halo)) / F.lit(block_rows)).cast("long")
+    targets = F.transform(F.sequence(blk, last), lambda b: F.struct(b.alias("_blk"), (b > blk).alias("_halo")))
     base = s.select("*", F.inline(targets))
     w = Window.partitionBy("_blk").orderBy("_g")
     item = F.struct(F.col(key).alias("_k"), *[F.col(c) for c in [order] + payload])
@@ -84,14 +69,14 @@ def lookback(df: DataFrame, key: str, order: str, frames: dict[str, int], payloa
         out = out.withColumn(name, lst)
     out = gate(out, ~F.col("_halo"))
     for name in frames:
-        out = out.withColumn(name, F.transform(F.filter(name, lambda m: m["_k"] == F.col(key)),
+        out = out.withColumn(name, F.transform(F.filter(name, lambda m: m["_k"].eqNullSafe(F.col(key))),
                                                lambda m: m.dropFields("_k")))
     return out.drop("_blk", "_halo", "_g")
 
 
 def plain_lookback(df: DataFrame, key: str, order: str, frames: dict[str, int],
                    payload: list[str]) -> DataFrame:
-    """Window form, for keys known to be small (one task per key)."""
+    """The same as a keyed window (one task per key): the tests' reference."""
     w = Window.partitionBy(key).orderBy(order)
     item = F.struct(*[F.col(c) for c in [order] + payload])
     out = df

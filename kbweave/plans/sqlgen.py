@@ -19,11 +19,23 @@ def _rep(r: str) -> str:
     return re.sub(r"\$(\d)", r"\\\1", r)
 
 
+def numeric(expr: str) -> str:
+    """Numeric character entities, decoded piece by piece."""
+    num = "regexp_extract(p, '^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});', 1)"
+    code = (f"CASE WHEN lower({num}[1]) = 'x' THEN try_cast('0x' || {num}[2:] AS INTEGER) "
+            f"ELSE try_cast({num} AS INTEGER) END")
+    ok = f"coalesce({code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343, false)"
+    return (f"array_to_string(list_transform(string_split({expr}, '&#'), lambda p, i: CASE WHEN i = 1 THEN p "
+            f"WHEN {ok} THEN chr(CAST({code} AS INTEGER)) || p[length({num}) + 2:] ELSE '&#' || p END), '')")
+
+
 def rules(expr: str, rule_list) -> str:
-    from kbweave.functions.html import LITERAL
+    from kbweave.functions.html import LITERAL, NUMERIC
     out = expr
     for pat, rep in rule_list:
-        if pat.startswith(LITERAL):
+        if pat == NUMERIC:
+            out = numeric(out)
+        elif pat.startswith(LITERAL):
             out = f"replace({out}, {lit(pat[len(LITERAL):])}, {lit(rep)})"
         else:
             out = f"regexp_replace({out}, {lit(pat)}, {lit(_rep(rep))}, 'g')"

@@ -14,14 +14,17 @@ ENTRY = T.StructType([
     T.StructField("links", T.ArrayType(LINK)),
 ])
 
-# Knowledge-base document row: one per title, content and link of an entry.
+# Knowledge-base document row: one per title, content and link of an entry. The
+# key is (page_id, ord); ``doc_id`` spells it as one string, so any page id and
+# any number of links fit. ``embedding`` is made at ingest and searched as stored.
 KB_DOCUMENT = T.StructType([
-    T.StructField("doc_id", T.LongType(), False),
+    T.StructField("doc_id", T.StringType(), False),
     T.StructField("page_id", T.LongType()),
     T.StructField("ord", T.IntegerType()),
     T.StructField("doc_type", T.StringType()),
     T.StructField("text", T.StringType()),
     T.StructField("url", T.StringType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
 PAGES = T.StructType([
@@ -36,24 +39,3 @@ CONVERSATIONS = T.StructType([
     T.StructField("role", T.StringType()),
     T.StructField("text", T.StringType()),
 ])
-
-MESSAGE = T.StructType([
-    T.StructField("turn", T.LongType()),
-    T.StructField("role", T.StringType()),
-    T.StructField("text", T.StringType()),
-])
-
-HIT = T.StructType([
-    T.StructField("rank", T.IntegerType()),
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("similarity", T.DoubleType()),
-])
-
-TOPK_RESULT = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("rank", T.IntegerType()),
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("similarity", T.DoubleType()),
-])

@@ -17,11 +17,3 @@ def load_table(spark: SparkSession, sf_dir: str, name: str,
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
-
-def read_stream_table(spark: SparkSession, sf_dir: str, name: str, schema,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Incremental scan of a table folder / file (Structured Streaming source)."""
-    r = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

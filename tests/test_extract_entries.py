@@ -131,3 +131,15 @@ def test_damaged_replies_keep_every_row(spark):
     assert r.count() == 39
     st = {x.page_id: x.status for x in EN.parse_replies(r).collect()}
     assert st[1] == "ok" and st[11] == "bad_json" and st[7] == "missing_fields" and st[5] == "ok"
+
+
+def test_any_quoting_order_and_entities(spark):
+    html = ("<body><article>one &#8217;x&#x2019; &#65;&#0; &rsquo;&amp;lt; <a href='/one'>1</a> <a class=k href=/two>2</a></article>"
+            '<article>two <img src="/i.png" alt="pic"><img alt=\'q p\' src=/j.png><a data-x="y" href = "/three" >3</a></article></body>')
+    p = spark.createDataFrame([(1, "http://h/x", html)], "page_id long, url string, html string")
+    assert [(r.text, r.url) for r in X.page_links(p).orderBy("link_pos").collect()] == [("1", "/one"), ("2", "/two"), ("3", "/three")]
+    md = X.page_markdown(p).first().md
+    assert all(x in md for x in ("[1](/one)", "[2](/two)", "[3](/three)", "![pic](/i.png)", "![q p](/j.png)"))
+    e = X.page_entries(p).first()
+    assert e.content == "one ’x’ A&#0; ’&lt; 1 2\ntwo 3"
+    assert p.select(H.html_to_text(H.main_block("html")).alias("t")).first().t == e.content

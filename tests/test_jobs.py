@@ -18,7 +18,10 @@ def test_ingest_then_answer(spark):
     n_pages = pages.count()
     assert kb.where("doc_type = 'title'").count() == n_pages
     replies = EN.damaged_replies(X.page_entries(pages))
-    status = J.ingest(spark, pages, f"{root}/kb2", replies=replies)
+    status = J.ingest(spark, pages, f"{root}/kb2", replies=replies, out=f"{root}/out")
+    assert spark.read.parquet(f"{root}/out/quarantine").count() == n_pages - status["ok"]
+    assert spark.read.parquet(f"{root}/out/markdown").count() == n_pages
+    assert spark.read.json(f"{root}/out/entries").count() == spark.read.parquet(f"{root}/kb2").where("ord = 0").count()
     assert sum(status.values()) == n_pages and status["ok"] < n_pages
     conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
     J.answer(spark, conv, kb, f"{root}/ans", generating=True)

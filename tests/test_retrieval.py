@@ -14,8 +14,8 @@ def _docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, embedding array<float>")
 
 
-def test_reference_order_three_vectors(spark):
-    # query [0.1,0.2,0.3]; Doc1 identical, Doc2 opposite, Doc3 close; k=2
+def test_order_of_three_vectors(spark):
+    # Fixed fixture values: identical, opposite and close to the query; k = 2.
     d = _docs(spark, [(1, [0.1, 0.2, 0.3]), (2, [-0.1, -0.2, -0.3]), (3, [0.05, 0.15, 0.25])])
     top = R.topk_single(d, [0.1, 0.2, 0.3], 2).orderBy("rank").collect()
     assert [r.doc_id for r in top] == [1, 3]

@@ -1,29 +1,38 @@
-"""Helpers the scale claims rest on: block packing, global index, spread, gate."""
+"""Helpers the scale claims rest on: query grid, global index, spread, gate."""
 
 from pyspark.sql import functions as F
 
 from kbweave.operators.partitioning import gate, spread
-from kbweave.operators.retrieve import _pack_blocks
-from kbweave.plans.lookback import global_index, largest_group
+from kbweave.operators import retrieve as R
+from kbweave.plans.lookback import global_index, lookback, plain_lookback
 
 
-def test_pack_blocks_bounded_and_exact_cover(spark):
-    q = spark.range(0, 5000).withColumnRenamed("id", "query_id")
-    blocks = _pack_blocks(q, ["query_id"], 700)
-    sizes = [b.count() for b in blocks]
-    assert max(sizes) <= 700 and sum(sizes) == 5000
-    assert len(blocks) <= 9                                   # nearly full: ceil(5000/700) = 8
-    ids = [r.query_id for b in blocks for r in b.collect()]
-    assert sorted(ids) == list(range(5000))
+def test_topk_plan_does_not_grow_with_queries(spark):
+    def nodes(n):
+        docs = spark.createDataFrame([(str(i), [float(i % 5), 1.0]) for i in range(60)], "doc_id string, embedding array<float>")
+        q = spark.createDataFrame([(i % 3, [1.0, float(i)]) for i in range(n)], "query_id long, embedding array<float>")
+        top = R.topk_batch(docs, q, 2, dim=2, block_rows=4)
+        assert top.count() == 2 * n                            # repeated query ids are answered each
+        return top._jdf.queryExecution().sparkPlan().toString().count("\n")
+    assert nodes(6) == nodes(60)
 
 
 def test_global_index_dense_in_key_order(spark):
     rows = [(k, t) for k in (3, 1, 2) for t in range(0, 50, 5)] + [(9, t) for t in range(400)]
     df = spark.createDataFrame(rows, "k long, t long").repartition(7)
-    g = global_index(df, "k", "t", num_partitions=5).select("k", "t", "_g").collect()
+    g = global_index(df, "k", "t", 100, num_partitions=5).select("k", "t", "_g").collect()
     got = [(r.k, r.t) for r in sorted(g, key=lambda r: r._g)]
     assert got == sorted(rows) and sorted(r._g for r in g) == list(range(len(rows)))
-    assert largest_group(df, "k") == 400
+
+
+def test_lookback_null_key_and_blocks_smaller_than_the_frame(spark):
+    rows = [(k, t) for k in (None, 1, None, 2) for t in range(3)] + [(None, 9), (1, 40)]
+    rows = sorted(set(rows), key=str) + [(7, t) for t in range(50)]
+    df = spark.createDataFrame(rows, "k long, t long")
+    want = {(r.k, r.t): [m.t for m in r.h] for r in plain_lookback(df, "k", "t", {"h": 6}, []).collect()}
+    for block in (1, 3, 1000):
+        got = {(r.k, r.t): [m.t for m in r.h] for r in lookback(df, "k", "t", {"h": 6}, [], block_rows=block).collect()}
+        assert got == want
 
 
 def test_spread_is_noop_with_enough_splits(spark):

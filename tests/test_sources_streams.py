@@ -40,20 +40,60 @@ def test_json_object_or_array(spark):
 
 
 def test_kb_append_keeps_duplicates_unless_asked(spark):
-    from kbweave.operators.kb import expand_entries
+    from kbweave.operators.kb import kb_rows
     from kbweave.schemas import ENTRY
-    e = spark.createDataFrame([(1, ("t", "c", [("a", "u")]))], f"page_id long, entry {ENTRY.simpleString()}")
-    docs = expand_entries(e)
+    schema = f"page_id long, entry {ENTRY.simpleString()}"
+    docs = kb_rows(spark.createDataFrame([(2**62, ("t", "c", [("a", "u")]))], schema), 8)
+    changed = kb_rows(spark.createDataFrame([(2**62, ("t", "new", [("a", "u")]))], schema), 8)
     p = _tmp(spark, "kb")
-    FS.append_kb(docs, p)
+    FS.append_kb(docs, p, dedup=True)                         # nothing stored yet
     FS.append_kb(docs, p)
     assert spark.read.parquet(p).count() == 6
-    FS.append_kb(docs, p, dedup_key="doc_id")
+    FS.append_kb(docs, p, dedup=True)
     assert spark.read.parquet(p).count() == 6
+    FS.append_kb(changed, p, dedup=True)                      # an updated page is stored
+    stored = [r.text for r in spark.read.parquet(p).where("ord = 1").collect()]
+    assert sorted(stored) == ["c", "c", "new"]
     with pytest.raises(ValueError):
         FS.assert_schema(docs.drop("url"))
 
 
+def test_failed_embedding_rejects_its_entry_whole(spark):
+    from kbweave.operators.kb import kb_rows
+    from kbweave.schemas import ENTRY
+    e = spark.createDataFrame([(1, ("t", "c", [("a", "u")])), (2, ("bad", "c", [])), (3, ("t", "wide", [])), (4, (None, "c", []))],
+                              f"page_id long, entry {ENTRY.simpleString()}").coalesce(1)
+
+    def embed(texts):
+        if "bad" in texts:
+            raise RuntimeError("down")
+        return [[1.0] * (3 if t == "wide" else 2) for t in texts]
+    rows = kb_rows(e, 2, embed).collect()
+    assert [(r.page_id, r.ord, r.embedding) for r in rows] == [(1, i, [1.0, 1.0]) for i in range(3)]
+
+
+def test_stream_history_over_shuffled_files_and_small_chunks(spark):
+    from pyspark.sql import functions as F
+    from kbweave.plans.lookback import plain_lookback
+    d = _tmp(spark, "conv-many")
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for c in range(2) for t in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.orderBy(F.xxhash64("conv_id", "turn")).repartition(4).write.parquet(d)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    out, ckpt = _tmp(spark, "hist-out"), _tmp(spark, "hist-ckpt")
+    try:
+        assert ST.history_stream(spark, d, out=out, ckpt=ckpt) == out
+        ST.history_stream(spark, d, out=out, ckpt=ckpt)       # a restart has nothing left to do
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = plain_lookback(df, "conv_id", "turn", {"h": 6}, ["role", "text"]).select(
+        "conv_id", "turn", F.size("h").alias("n"),
+        F.array_join(F.transform("h", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("s"))
+    got = sorted((r.conv_id, r.turn, r.hist_len, r.history) for r in spark.read.parquet(out).collect())
+    assert got == sorted(tuple(r) for r in want.collect())
+
+
 def test_stream_history_state_is_bounded(spark):
     from pyspark.sql import functions as F
     from kbweave.plans.lookback import plain_lookback
@@ -83,7 +123,7 @@ def test_markdown_and_entry_sinks_roundtrip(spark):
     FS.write_entries_json(e, j)
     raw = "".join(r.value for r in spark.read.text(j).collect())
     assert "Tï" in raw and '"content":null' in raw          # UTF-8 kept, nulls written
-    back = FS.read_entries_json(spark, j).first()
+    back = FS.read_entries_json(spark, j, lines=True).first()
     assert back.title == "Tï" and back.links[0].url == "u"
 
 
@@ -100,12 +140,13 @@ def test_dense_hashing_matches_sparse_counts(spark):
 
 def test_user_embedder_in_batches(spark):
     from kbweave.operators import kb as K
+    from kbweave.schemas import ENTRY
 
     def embed(texts):                     # runs in the Python worker
         return [[float(len(t)), float(len(texts))] for t in texts]
-    df = spark.createDataFrame([(i, "x" * i) for i in range(1, 8)], "doc_id long, text string").coalesce(1)
-    out = {r.doc_id: r.embedding for r in K.embed_with(df, embed, "text", 2, batch_size=3).collect()}
-    assert out[5][0] == 5.0 and max(v[1] for v in out.values()) <= 3
+    e = spark.createDataFrame([(i, ("x" * i, "c", [])) for i in range(1, 8)], f"page_id long, entry {ENTRY.simpleString()}").coalesce(1)
+    out = {r.page_id: r.vectors for r in K.embed_entries(e, 2, embed, batch_size=3).collect()}
+    assert out[5][0][0] == 5.0 and max(v[1] for vs in out.values() for v in vs) <= 3
 
 
 def test_foreach_batch_sink_is_idempotent(spark):
