@@ -801,17 +801,17 @@ def history_window_blocks(spark, sf):
 # ------------------------------------------------- model step with a callable
 
 def _failing(texts):
-    """Deterministic model: upper-cases the query; refuses prompts of even length."""
+    """Deterministic model: repeats the query's first line; refuses prompts of even length."""
     if any(len(t) % 2 == 0 for t in texts):
         raise ValueError("refused")
-    return [t.split("\n")[1].removeprefix("User Query: ").upper() for t in texts]
+    return ["Re: " + t.split("\n")[1].removeprefix("User Query: ") for t in texts]
 
 
 @query("failed_turns", f"""
 WITH {_dialog_ctes(ALT_INTENTS)},
 p AS (SELECT *, {_prompt_sql()} AS prompt FROM d)
 SELECT conv_id, turn, CASE WHEN intent IS NULL THEN 'retrieval' ELSE 'template' END AS route,
-       CASE WHEN intent IS NULL AND length(prompt) % 2 = 1 THEN upper(string_split(prompt, chr(10))[2][13:]) END AS answer,
+       CASE WHEN intent IS NULL AND length(prompt) % 2 = 1 THEN 'Re: ' || string_split(prompt, chr(10))[2][13:] END AS answer,
        CASE WHEN intent IS NULL AND length(prompt) % 2 = 0 THEN 'ValueError: refused' END AS answer_error FROM p""")
 def failed_turns(spark, sf):
     """The model step with a callable that fails on some prompts, retried and told apart."""
