@@ -4,8 +4,9 @@ The model is over bytes (order 5 by default): its grams are exact integer keys,
 every language and script fits, and a partition of text has few distinct grams,
 so counts are merged per task before any shuffle.
 
-1. Documents meet the labels once; each task counts its grams, and the counts of
-   trusted and of all text are summed by gram.
+1. Each task counts the grams of its text, and the counts of all and of trusted
+   text are summed by gram. Trusted text is found by a join with the labels, before
+   which a semi-join on a bounded number of hash buckets keeps other text in place.
 2. Per order, continuation counts, discounts, context sums and interpolated
    probabilities are joins of count tables sharded by gram, context or suffix.
    They run over every distinct gram of the corpus, seen in trusted text or not.
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbweave.llm.common import saved, text_bytes
-from kbweave.llm.textvec import mix, slices
+from kbweave.llm.textvec import slices
 
 ORDER = 5
 FOLDS = 5
-HEAD_GRAMS = 1 << 18     # grams broadcast at most
-HEAD_SLOTS = 1 << 20     # slots of the table they are put into: 12 bytes each
+HEAD_SLOTS = 1048573     # slots (a prime) of the broadcast table: 16 bytes each, whatever the corpus
+ID_BUCKETS = 1 << 20     # hash buckets of trusted ids broadcast at most
 FLUSH = 1 << 21          # distinct grams a task holds before it passes them on
 TRUST, CALIBRATE, OTHER = 2, 1, 0
 
@@ -129,25 +130,25 @@ def gram_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return saved(counts.join(lower, "g").select("g", "total", F.log("p").alias("lp")), "kn-lp")
 
 
-def _slot(g: np.ndarray) -> np.ndarray:
-    return (mix(g) & np.uint64(HEAD_SLOTS - 1)).astype(np.int64)
+def _slot(g: np.ndarray, slots: int) -> np.ndarray:
+    return (g % np.uint64(slots)).astype(np.int64)
 
 
-def head_table(probs: DataFrame, head: int = HEAD_GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent grams in a direct-mapped table of fixed size; of two
-    grams with one slot the more frequent stays, the other is joined."""
-    top = probs.orderBy(F.desc("total"), "g").limit(head).toPandas()
-    g, lp = top["g"].to_numpy().view(np.uint64), top["lp"].to_numpy()
-    key = np.full(HEAD_SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    val = np.zeros(HEAD_SLOTS)
-    at = _slot(g)[::-1]
-    key[at], val[at] = g[::-1], lp[::-1]
+def head_table(probs: DataFrame, slots: int = HEAD_SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """Direct-mapped table of ``slots`` grams: of those that share a slot the
+    most frequent one; the others are joined."""
+    top = probs.groupBy((F.col("g") % slots).alias("slot")).agg(F.max(F.struct("total", "g", "lp")).alias("x")).select(
+        "slot", "x.g", "x.lp").toArrow()
+    key = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
+    val = np.zeros(slots)
+    at = top.column("slot").to_numpy()
+    key[at], val[at] = top.column("g").to_numpy().view(np.uint64), top.column("lp").to_numpy()
     return key, val
 
 
-def _score(docs: DataFrame, probs: DataFrame, order: int, head: int) -> DataFrame:
+def _score(docs: DataFrame, probs: DataFrame, order: int, slots: int) -> DataFrame:
     """``(id, lang, fold, n, lp)`` per row of ``docs(id, lang, fold, text)``."""
-    table = docs.sparkSession.sparkContext.broadcast(head_table(probs, head))
+    table = docs.sparkSession.sparkContext.broadcast(head_table(probs, slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, val = table.value
@@ -158,7 +159,7 @@ def _score(docs: DataFrame, probs: DataFrame, order: int, head: int) -> DataFram
                 n_row = len(off) - 1
                 g = grams(buf, off, order)
                 row = np.repeat(np.arange(n_row), np.diff(off))
-                slot = _slot(g)
+                slot = _slot(g, slots)
                 hit = key[slot] == g
                 lp = np.bincount(row[hit], val[slot[hit]], n_row)
                 miss = np.flatnonzero(~hit)
@@ -170,12 +171,12 @@ def _score(docs: DataFrame, probs: DataFrame, order: int, head: int) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.diff(off)), pa.array(lp),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(m[first].view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(times))],
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32)))],
                     ["id", "lang", "n", "lp", "g", "times"])
 
     t = docs.schema["id"].dataType.simpleString()
     scored = docs.select("id", "lang", "text").mapInArrow(
-        run, f"id {t}, lang string, n long, lp double, g array<long>, times array<long>")
+        run, f"id {t}, lang string, n long, lp double, g array<long>, times array<int>")
     scored = saved(scored.withColumn("key", F.monotonically_increasing_id()), "kn-scored")
     rest = (scored.where(F.size("g") > 0).select("key", F.explode(F.arrays_zip("g", "times")).alias("x"))
             .select("key", F.col("x.g").alias("g"), F.col("x.times").alias("times")))
@@ -185,7 +186,7 @@ def _score(docs: DataFrame, probs: DataFrame, order: int, head: int) -> DataFram
             .select("id", "lang", "n", (F.col("lp") + F.coalesce("more", F.lit(0.0))).alias("lp")))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, head: int = HEAD_GRAMS, id_col: str = "doc_id",
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int = HEAD_SLOTS, id_col: str = "doc_id",
                  text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(id, lang, n, perplexity, fold)`` per row; ``fold`` is 2 for text the
     model was trained on, 1 for trusted text held out, else 0."""
@@ -195,28 +196,38 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, head: i
                .select("lid", F.when(F.pmod(F.xxhash64("lid"), F.lit(FOLDS)) == 0, CALIBRATE).otherwise(TRUST).alias("fold")))
     src = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
                       F.col(text_col).cast("string").alias("text"))
-    marked = src.select("id", "text").join(trusted, src["id"] == trusted["lid"], "left").select(
-        "text", F.coalesce("fold", F.lit(OTHER)).alias("fold"))
-    probs = gram_probabilities(saved(count_grams(marked, order), "kn-counts"), order)
-    scored = _score(src, probs, order, head)
+    # Only text that may be trusted moves to its label: its id's hash bucket is one of a trusted id's.
+    bucket = F.pmod(F.xxhash64("id"), F.lit(ID_BUCKETS))
+    train = trusted.where(F.col("fold") == TRUST)
+    own = train.select(F.pmod(F.xxhash64("lid"), F.lit(ID_BUCKETS)).alias("bucket")).distinct()
+    likely = src.select("id", "text", bucket.alias("bucket")).join(F.broadcast(own), "bucket", "left_semi")
+    marked = likely.join(train.hint("merge"), likely["id"] == train["lid"]).select("text", "fold")
+    everything = src.select("text", F.lit(OTHER).alias("fold"))
+    counts = count_grams(everything, order).select("g", "total").join(
+        count_grams(marked, order).select("g", "trusted"), "g", "left").select(
+        "g", "total", F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    probs = gram_probabilities(saved(counts, "kn-counts"), order)
+    scored = _score(src, probs, order, slots)
     return scored.join(trusted, scored["id"] == trusted["lid"], "left").select(
         "id", "lang", "n", F.when(F.col("n") > 0, F.exp(-F.col("lp") / F.col("n"))).alias("perplexity"),
         F.coalesce("fold", F.lit(OTHER)).alias("fold"))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.1,
-                       least_trusted: int = 20, order: int = ORDER, head: int = HEAD_GRAMS, id_col: str = "doc_id",
+def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = 0.95, slack: float = 1.05,
+                       margin: float = 2.0, least_trusted: int = 20, order: int = ORDER, slots: int = HEAD_SLOTS, id_col: str = "doc_id",
                        text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(id_col, lang, n_bytes, perplexity, threshold, kept)``, one row per input row.
 
     Trusted: every label row of the id has quality 1 and none toxic 1; rows with a
     null id or label id match nothing. ``threshold`` is the ``quantile`` of the
-    held-out trusted perplexities of the language times ``slack``; a language
+    held-out trusted perplexities of the language times ``slack``. A text is kept
+    up to ``threshold * exp(margin / sqrt(bytes))``: the mean of few bytes is a
+    noisy figure, which alone is no ground to reject a short text. A language
     (null is one) with fewer than ``least_trusted`` of them takes the quantile over
     all. Without any the threshold is null and nothing is rejected for its
     perplexity. Null or empty text has no perplexity and is not kept. Repeated
     rows score alike; an empty table gives no rows; other columns are ignored."""
-    p = saved(perplexities(docs, labels, order, head, id_col, text_col, lang_col), "kn-perplexity")
+    p = saved(perplexities(docs, labels, order, slots, id_col, text_col, lang_col), "kn-perplexity")
     held = p.where((F.col("fold") == CALIBRATE) & F.col("perplexity").isNotNull())
     at = F.percentile_approx("perplexity", quantile, 100_000)
     overall = held.agg(at.alias("all_t"))
@@ -226,7 +237,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = 0.9
     out = out.withColumn("threshold", F.coalesce("lang_t", "all_t") * slack)
     return out.select(F.col("id").alias(id_col), F.col("lang"), F.col("n").alias("n_bytes"), "perplexity", "threshold",
                       (F.col("perplexity").isNotNull()
-                       & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))
+                       & F.coalesce(F.col("perplexity") <= F.col("threshold") * F.exp(margin / F.sqrt("n")), F.lit(True)))
+                      .alias("kept"))
 
 
 def drop_rejected(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id") -> DataFrame:

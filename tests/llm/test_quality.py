@@ -67,8 +67,8 @@ def corpus():
 def test_perplexities_match(spark):
     docs, labels = corpus()
     df, lab = spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(labels, LABELS)
-    for head in (1, 1 << 18):                       # nearly all grams joined; all grams broadcast
-        got = perplexities(df, lab, head=head).collect()
+    for slots in (1, 1048573):                       # nearly all grams joined; nearly all broadcast
+        got = perplexities(df, lab, slots=slots).collect()
         assert len(got) == len(docs)
         fold = {r["id"]: r["fold"] for r in got}
         text = {d[0]: d[1] or "" for d in docs}
