@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-NORMAL, CONTROL, USER_DEFINED = 1, 3, 4
+NORMAL, CONTROL, USER_DEFINED, BYTE = 1, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
 
@@ -98,6 +98,7 @@ class Codec:
         m = self.model = Model(data)
         # Control pieces never match text: in the vocabulary a noncharacter stands before them.
         names = ["\uffff" + p if kind == CONTROL else p for p, _, kind in m.pieces]
+        self.spell = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
         self.control = {i for i, (*_, kind) in enumerate(m.pieces) if kind == CONTROL}
         if m.kind == UNIGRAM:
             core = models.Unigram([(p, s) for p, (_, s, _) in zip(names, m.pieces, strict=True)], m.unk, m.byte_fallback)
@@ -122,8 +123,14 @@ class Codec:
         """``(ids, differed from the reference, decodes to the text)`` of each text."""
         own = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         want = self.reference.encode(texts)
-        back = self.decode(want)
-        return [(w, o != w, d == t) for w, o, d, t in zip(want, own, back, texts, strict=True)]
+        lead = b" " * self.model.dummy_prefix
+        # Pieces and byte pieces spell the text's bytes; what does not goes through the decoder.
+        spelt = [b"".join([self.spell[i] for i in w]).removeprefix(lead) for w in want]
+        same = [s == t.encode() for s, t in zip(spelt, texts, strict=True)]
+        odd = [i for i, ok in enumerate(same) if not ok]
+        for i, d in zip(odd, self.decode([want[i] for i in odd]), strict=True):
+            same[i] = d == texts[i]
+        return [(w, o != w, ok) for w, o, ok in zip(want, own, same, strict=True)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         own = [[i for i in x if i not in self.control] if not self.control.isdisjoint(x) else x for x in ids]
