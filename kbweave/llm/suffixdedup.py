@@ -40,7 +40,7 @@ from kbweave.llm.textvec import Prefix, covered
 # A perfect difference cover, every residue is a difference of two of them.
 PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-BLOCK = 4 << 20          # text bytes of a block (a longer text is a block of its own)
+BLOCK = 2 << 20          # text bytes of a block (a longer text is a block of its own)
 BUCKET = 32 << 20        # key bytes that one bucket is planned for
 PIECE_BITS = 8           # pieces have 2**8 suffixes on average
 ANCHOR = 16              # bytes that decide whether a piece starts
