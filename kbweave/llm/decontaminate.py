@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import cores, text_bytes
+from kbweave.llm.common import shuffle_n, text_bytes
 from kbweave.llm.textvec import SPACE, Prefix, add_rows, slices
 
 # Bytes that separate terms: white space and ASCII punctuation.
@@ -119,7 +119,7 @@ def latent_basis(docs: DataFrame, w: np.ndarray, s: Settings, text_col: str = "t
     their singular values (the usual folding-in of new text, which keeps a few
     strong directions from making all cosines alike), each row times the
     bucket's weight."""
-    k, rows = s.rank + s.extra, 512
+    k, rows = s.rank + s.extra, 64
     omega = np.random.default_rng(11).standard_normal((s.buckets, k)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((w, omega * w[:, None]))
 
@@ -140,19 +140,20 @@ def latent_basis(docs: DataFrame, w: np.ndarray, s: Settings, text_col: str = "t
         b_sum *= w[:, None]
         for blk in range(s.buckets // rows):
             part = b_sum[blk * rows:(blk + 1) * rows]
-            yield pa.RecordBatch.from_arrays([pa.array([blk]), pa.array([part.tobytes()], pa.binary())], ["blk", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([blk]), pa.array([part.astype(np.float32).tobytes()], pa.binary())],
+                                              ["blk", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for blk, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m = np.frombuffer(part)
+                m = np.frombuffer(part, np.float32).astype(np.float64)
                 total[blk] = total[blk] + m if blk in total else m
         for blk, m in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([blk]), pa.array([m.tobytes()], pa.binary())], ["blk", "part"])
 
     parts = (_spread(docs, text_col).mapInArrow(run, "blk long, part binary")
-             .repartition(min(s.buckets // rows, cores(docs.sparkSession)), "blk").mapInArrow(add, "blk long, part binary"))
+             .repartition(min(s.buckets // rows, shuffle_n(docs.sparkSession)), "blk").mapInArrow(add, "blk long, part binary"))
     b = np.zeros((s.buckets, k))
     for r in parts.collect():                      # buckets x k numbers, whatever the input
         b[r["blk"] * rows:(r["blk"] + 1) * rows] = np.frombuffer(r["part"]).reshape(rows, k)
