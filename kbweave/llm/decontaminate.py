@@ -9,7 +9,9 @@
    the small eigenproblem, holds the leading right singular vectors. Size
    depends on the parameters alone.
 3. Every document's sliding windows are projected and compared by cosine with
-   the items, in blocks of items. Candidates are checked on words: the longest
+   the items, in blocks of items. Beside them, every place that shares three
+   words in a row with an item is a candidate, so an item copied as it is gets
+   found however often it is leaked. Candidates are checked on words: the longest
    common subsequence with the item, and that of the item's answer part (its
    closing words), both as shares of the item. So a match needs the item's words
    in the item's order, with room for changed, added and dropped ones.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbweave.llm.common import shuffle_n, text_bytes
-from kbweave.llm.textvec import SPACE, Prefix, add_rows, slices
+from kbweave.llm.textvec import SPACE, Prefix, add_rows, mix, slices
 
 # Bytes that separate terms: white space and ASCII punctuation.
 _BREAK = SPACE.copy()
@@ -41,8 +43,7 @@ class Settings:
     extra: int = 8              # oversampling of the random matrix
     passage: int = 32           # words of a passage of the matrix
     scales: tuple[int, ...] = (16, 32, 64)   # words of the search windows; each twice the last
-    stop_share: float = 0.002   # terms in more than this share of the passages,
-    stop_base: int = 16         # and this many besides, have no weight
+    shingle: int = 3            # words in a row that make a place a candidate of its own
     min_cosine: float = 0.6
     min_lcs: float = 0.7        # share of the item's words in common, in order
     answer: float = 0.25        # closing share of the item that counts as its answer
@@ -108,10 +109,18 @@ def passage_frequencies(docs: DataFrame, s: Settings, text_col: str = "text") ->
     return df, n
 
 
-def weights(df: np.ndarray, n: int, s: Settings) -> np.ndarray:
-    w = np.log((n + 1) / (df + 1))
-    w[df > s.stop_base + s.stop_share * n] = 0
-    return w.astype(np.float32)
+def weights(df: np.ndarray, n: int) -> np.ndarray:
+    """IDF, above zero for every term: a leaked item's own terms are frequent."""
+    return np.log((n + 2) / (df + 1)).astype(np.float32)
+
+
+def _piece_sums(table: np.ndarray, t: np.ndarray, edge: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``table[t]`` over pieces of at most ``size`` places that start at ``edge``."""
+    end, out = np.append(edge[1:], len(t)), table[t[edge]]
+    for k in range(1, size):
+        some = np.flatnonzero(edge + k < end)
+        out[some] += table[t[edge[some] + k]]
+    return out
 
 
 def latent_basis(docs: DataFrame, w: np.ndarray, s: Settings, text_col: str = "text") -> np.ndarray:
@@ -129,14 +138,11 @@ def latent_basis(docs: DataFrame, w: np.ndarray, s: Settings, text_col: str = "t
         for b in batches:
             for at, to in slices(b, 0):
                 h, row = terms(b.slice(at, to - at).column(0))
-                p, t = passage_ids(row, s.passage), _bucket(h, s.buckets)
-                live = w[t] > 0
-                p, t = p[live], t[live]
-                if not len(p):
+                if not len(h):
                     continue
-                y = np.zeros((int(p[-1]) + 1, k), np.float32)
-                add_rows(y, p, wo, t)
-                add_rows(b_sum, t, y, p)
+                p, t = passage_ids(row, s.passage), _bucket(h, s.buckets)
+                edge = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+                add_rows(b_sum, t, _piece_sums(wo, t, edge, s.passage), p)
         b_sum *= w[:, None]
         for blk in range(s.buckets // rows):
             part = b_sum[blk * rows:(blk + 1) * rows]
@@ -207,6 +213,15 @@ def check(item: np.ndarray, region: np.ndarray, s: Settings) -> tuple[float, flo
     return n / len(item), float(taken[-closing:].mean())
 
 
+def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the ``k`` terms from each place on."""
+    n = max(0, len(h) - k + 1)
+    x = np.zeros(n, np.uint64)
+    for i in range(k):
+        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n])
+    return x
+
+
 class Items:
     """A block of items: words, latent vectors and the scale of each."""
 
@@ -220,11 +235,43 @@ class Items:
         size = np.array([len(x) for x in self.words])
         gap = np.abs(np.log(np.maximum(size, 1))[:, None] - np.log(np.array(s.scales))[None, :])
         usable = np.einsum("ij,ij->i", vec, vec) > 1e-12
+        # Shingles of the items with their item and first place there; shorter items are one shingle.
+        self.shingles = {}
+        for k in np.unique(np.minimum(size[size > 0], s.shingle)).tolist():
+            own = np.flatnonzero(np.minimum(size, s.shingle) == k)
+            key = [np.unique(shingle_hashes(self.words[i], k), return_index=True) for i in own]
+            key, at = np.concatenate([x[0] for x in key]), np.concatenate([x[1] for x in key])
+            of = np.repeat(own, [len(np.unique(shingle_hashes(self.words[i], k))) for i in own])
+            order = np.argsort(key, kind="stable")
+            self.shingles[k] = key[order], of[order], at[order]
         # An item meets the windows of the nearest scale and of any less than a factor of two off.
         near = (gap < np.log(2) - 1e-9) | (gap == gap.min(axis=1, keepdims=True))
         self.by_scale = [np.flatnonzero(near[:, i] & usable) for i in range(len(s.scales))]
 
 
+def shared_shingles(h: np.ndarray, row: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """``(row, item, from, to)``: the place where an item would stand for each
+    shingle that a row shares with it, widened by a quarter on both sides."""
+    rows = np.arange(int(row[-1]) + 1)
+    first, last = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
+    for k, (key, of, at) in items.shingles.items():
+        x = shingle_hashes(h, k)
+        lo = np.searchsorted(key, x, "left")
+        n = np.searchsorted(key, x, "right") - lo
+        n[row[:len(x)] != row[k - 1:]] = 0
+        place = np.flatnonzero(n)
+        lo, n = lo[place], n[place]
+        pick = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        place, item = np.repeat(place, n), of[pick]
+        size = np.array([len(w) for w in items.words])[item]
+        cell = np.maximum(1, size // 8)
+        start = (place - at[pick] - first[row[place]]) // cell
+        found = np.unique(np.stack([row[place], item, start, cell, size]), axis=1)
+        for r, i, c, w, m in found.T.tolist():
+            a = int(first[r]) + c * w
+            yield r, i, int(max(first[r], a - m // 4)), int(min(last[r], a + w + m + m // 4))
+
+
 def candidates(h: np.ndarray, row: np.ndarray, basis: np.ndarray, items: Items, s: Settings,
                min_cosine: float) -> Iterator[tuple[int, int, float, int, int]]:
     """``(row, item, cosine, from, to)``: of each run of windows of a row that
@@ -234,9 +281,7 @@ def candidates(h: np.ndarray, row: np.ndarray, basis: np.ndarray, items: Items,
     blk = passage_ids(row, step)
     edge = np.flatnonzero(np.concatenate(([True], blk[1:] != blk[:-1])))
     t = _bucket(h, s.buckets)
-    live = np.flatnonzero(basis.any(axis=1)[t])
-    sums = np.zeros((len(edge), basis.shape[1]), np.float32)
-    add_rows(sums, blk[live], basis, t[live])
+    sums = _piece_sums(basis, t, edge, step)
     brow = row[edge]
     rows = np.arange(int(row[-1]) + 1)
     first, last = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
@@ -278,11 +323,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Setti
     that match, the best region of each pair.
 
     Whole texts are searched, items in blocks of ``block_words`` words. Null or
-    word-less texts and items, and items without any weighted term, match
-    nothing. A null id is carried on. Rows that share an id give one row per
+    word-less texts and items match nothing. A null id is carried on. Rows that share an id give one row per
     item, the best; empty tables give none; other columns are ignored."""
     spark = docs.sparkSession
-    w = weights(*passage_frequencies(docs, s, text_col), s)
+    w = weights(*passage_frequencies(docs, s, text_col))
     basis = spark.sparkContext.broadcast(latent_basis(docs, w, s, text_col))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_t = src.schema["id"].dataType.simpleString()
@@ -303,6 +347,11 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Setti
                         share, answer = check(items.words[i], h[lo:hi], s)
                         if share >= s.min_lcs and answer >= s.min_answer:
                             out.append((r, i, cos, share, answer))
+                    for r, i, lo, hi in shared_shingles(h, row, items) if len(h) else ():
+                        share, answer = check(items.words[i], h[lo:hi], s)
+                        if share >= s.min_lcs and answer >= s.min_answer:
+                            v = basis.value[_bucket(h[lo:hi], s.buckets)].sum(axis=0, keepdims=True)
+                            out.append((r, i, float(_unit(v)[0] @ items.vec[i]), share, answer))
                     c = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(c[0], pa.int64())), pa.array([items.ids[i] for i in c[1]], b_type),
