@@ -274,9 +274,9 @@ def shared_shingles(h: np.ndarray, row: np.ndarray, items: Items) -> Iterator[tu
 
 def candidates(h: np.ndarray, row: np.ndarray, basis: np.ndarray, items: Items, s: Settings,
                min_cosine: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """``(row, item, cosine, from, to)``: of each run of windows of a row that
-    reach ``min_cosine`` with an item the best one, widened by a quarter on both
-    sides and by what the item is longer (places in ``h``)."""
+    """``(row, item, cosine, from, to)``: every window of a row that reaches
+    ``min_cosine`` with an item, widened by a quarter on both sides and by what
+    the item is longer (places in ``h``); those of a pair by falling cosine."""
     step = min(s.scales) // 2
     blk = passage_ids(row, step)
     edge = np.flatnonzero(np.concatenate(([True], blk[1:] != blk[:-1])))
@@ -302,18 +302,12 @@ def candidates(h: np.ndarray, row: np.ndarray, basis: np.ndarray, items: Items,
             wi, ii = np.nonzero(cos >= min_cosine)
             if not len(wi):
                 continue
-            r = brow[some[wi]]
-            order = np.lexsort((wi, ii, r))
-            r, ii, wi = r[order], ii[order], wi[order]
-            # Windows of one row and item that are near to each other are one region.
-            new = np.concatenate(([True], (r[1:] != r[:-1]) | (ii[1:] != ii[:-1])
-                                  | (some[wi[1:]] - some[wi[:-1]] > hop)))
-            for a, b in zip(np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(r)), strict=True):
-                item, x = int(own[ii[a]]), int(r[a])
-                best = a + int(np.argmax(cos[wi[a:b], ii[a]]))
+            c = cos[wi, ii]
+            for n in np.lexsort((-c, ii)).tolist():
+                item, x = int(own[ii[n]]), int(brow[some[wi[n]]])
                 pad = scale // 4 + max(0, len(items.words[item]) - scale)
-                at_word = edge[some[wi[best]]]
-                yield (x, item, float(cos[wi[best], ii[a]]), int(max(first[x], at_word - pad)),
+                at_word = edge[some[wi[n]]]
+                yield (x, item, float(c[n]), int(max(first[x], at_word - pad)),
                        int(min(last[x], at_word + scale + pad)))
 
 
@@ -342,16 +336,19 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Setti
                 for at, to in slices(b, 1):
                     part = b.slice(at, to - at)
                     h, row = terms(part.column(1))
-                    out = []
+                    best: dict[tuple[int, int], tuple[float, float, float]] = {}
                     for r, i, cos, lo, hi in candidates(h, row, basis.value, items, s, s.min_cosine) if len(h) else ():
+                        if best.get((r, i), (0.0,)) >= (1.0, 1.0, cos):
+                            continue
                         share, answer = check(items.words[i], h[lo:hi], s)
                         if share >= s.min_lcs and answer >= s.min_answer:
-                            out.append((r, i, cos, share, answer))
+                            best[r, i] = max(best.get((r, i), (0.0, 0.0, 0.0)), (share, answer, cos))
                     for r, i, lo, hi in shared_shingles(h, row, items) if len(h) else ():
                         share, answer = check(items.words[i], h[lo:hi], s)
                         if share >= s.min_lcs and answer >= s.min_answer:
                             v = basis.value[_bucket(h[lo:hi], s.buckets)].sum(axis=0, keepdims=True)
-                            out.append((r, i, float(_unit(v)[0] @ items.vec[i]), share, answer))
+                            best[r, i] = max(best.get((r, i), (0.0, 0.0, 0.0)), (share, answer, float(_unit(v)[0] @ items.vec[i])))
+                    out = [(r, i, cos, share, answer) for (r, i), (share, answer, cos) in best.items()]
                     c = list(zip(*out, strict=True)) if out else [[], [], [], [], []]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(c[0], pa.int64())), pa.array([items.ids[i] for i in c[1]], b_type),

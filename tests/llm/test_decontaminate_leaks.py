@@ -2,7 +2,7 @@
 
 import random
 
-from kbweave.llm.decontaminate import benchmark_matches
+from kbweave.llm.decontaminate import Settings, benchmark_matches
 from kbweave.sources.tables import load_table
 
 SF = "/root/testdata/sf0.01"
@@ -21,3 +21,21 @@ def test_an_item_in_a_third_of_the_documents_is_found_in_all(spark):
     items = spark.createDataFrame([tuple(b) for b in bench], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in benchmark_matches(table, items).collect()}
     assert {(d, bench[3]["item_id"]) for d, _ in rows} <= got
+
+
+def test_a_copy_beside_a_decoy_of_the_same_words_is_found(spark):
+    bench, docs, filler = sources(spark)
+    rnd = random.Random(4)
+    rows, want = [], set()
+    for n, b in enumerate(bench):
+        w = b["text"].split()
+        decoy = rnd.sample(w, len(w))
+        for i in range(2, len(w), 3):        # no three words in a row are the item's
+            w[i] = f"changed{n}x{i}" if i % 2 else w[i].upper()
+        text = filler[n][:30] + decoy * 2 + w + filler[n][30:60]
+        rows.append((1_000_000 + n, " ".join(text)))
+        want.add((1_000_000 + n, b["item_id"]))
+    table = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    items = spark.createDataFrame([tuple(b) for b in bench], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in benchmark_matches(table, items, Settings(shingle=64)).collect()}
+    assert len(want & got) >= 0.9 * len(want), len(want & got)
