@@ -42,7 +42,7 @@ class Settings:
     rank: int = 64              # latent dimensions
     extra: int = 8              # oversampling of the random matrix
     passage: int = 32           # words of a passage of the matrix
-    scales: tuple[int, ...] = (16, 32, 64)   # words of the search windows; each twice the last
+    scales: tuple[int, ...] | None = None    # words of the search windows, each twice the last; None: by the items' lengths
     shingle: int = 3            # words in a row that make a place a candidate of its own
     min_cosine: float = 0.6
     min_lcs: float = 0.7        # share of the item's words in common, in order
@@ -213,6 +213,16 @@ def check(item: np.ndarray, region: np.ndarray, s: Settings) -> tuple[float, flo
     return n / len(item), float(taken[-closing:].mean())
 
 
+def window_scales(size: np.ndarray) -> tuple[int, ...]:
+    """Powers of two from the one nearest to the shortest item (4 at least) to
+    the longest item or more."""
+    size = size[size > 0]
+    if not len(size):
+        return ()
+    low = max(2, round(float(np.log2(size.min()))))
+    return tuple(1 << e for e in range(low, max(low, int(size.max() - 1).bit_length()) + 1))
+
+
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the ``k`` terms from each place on."""
     n = max(0, len(h) - k + 1)
@@ -232,8 +242,9 @@ class Items:
         vec = np.zeros((len(ids), basis.shape[1]), np.float32)
         np.add.at(vec, row, basis[_bucket(h, s.buckets)])
         self.vec = _unit(vec)
-        size = np.array([len(x) for x in self.words])
-        gap = np.abs(np.log(np.maximum(size, 1))[:, None] - np.log(np.array(s.scales))[None, :])
+        self.size = size = np.array([len(x) for x in self.words], np.int64)
+        self.scales = window_scales(size) if s.scales is None else s.scales
+        gap = np.abs(np.log(np.maximum(size, 1))[:, None] - np.log(np.array(self.scales, np.int64))[None, :])
         usable = np.einsum("ij,ij->i", vec, vec) > 1e-12
         # Shingles of the items with their item and first place there; shorter items are one shingle.
         self.shingles = {}
@@ -245,8 +256,8 @@ class Items:
             order = np.argsort(key, kind="stable")
             self.shingles[k] = key[order], of[order], at[order]
         # An item meets the windows of the nearest scale and of any less than a factor of two off.
-        near = (gap < np.log(2) - 1e-9) | (gap == gap.min(axis=1, keepdims=True))
-        self.by_scale = [np.flatnonzero(near[:, i] & usable) for i in range(len(s.scales))]
+        near = (gap < np.log(2) - 1e-9) | (gap == gap.min(axis=1, keepdims=True, initial=np.inf))
+        self.by_scale = [np.flatnonzero(near[:, i] & usable) for i in range(len(self.scales))]
 
 
 def shared_shingles(h: np.ndarray, row: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
@@ -263,7 +274,7 @@ def shared_shingles(h: np.ndarray, row: np.ndarray, items: Items) -> Iterator[tu
         lo, n = lo[place], n[place]
         pick = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         place, item = np.repeat(place, n), of[pick]
-        size = np.array([len(w) for w in items.words])[item]
+        size = items.size[item]
         cell = np.maximum(1, size // 8)
         start = (place - at[pick] - first[row[place]]) // cell
         found = np.unique(np.stack([row[place], item, start, cell, size]), axis=1)
@@ -277,7 +288,9 @@ def candidates(h: np.ndarray, row: np.ndarray, basis: np.ndarray, items: Items,
     """``(row, item, cosine, from, to)``: every window of a row that reaches
     ``min_cosine`` with an item, widened by a quarter on both sides and by what
     the item is longer (places in ``h``); those of a pair by falling cosine."""
-    step = min(s.scales) // 2
+    if not items.scales:
+        return
+    step = min(items.scales) // 2
     blk = passage_ids(row, step)
     edge = np.flatnonzero(np.concatenate(([True], blk[1:] != blk[:-1])))
     t = _bucket(h, s.buckets)
@@ -287,7 +300,7 @@ def candidates(h: np.ndarray, row: np.ndarray, basis: np.ndarray, items: Items,
     first, last = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
     in_row = np.arange(len(brow)) - np.searchsorted(brow, brow, "left")
     win, m = sums, 1
-    for scale, own in zip(s.scales, items.by_scale, strict=True):
+    for scale, own in zip(items.scales, items.by_scale, strict=True):
         while m * step < scale:                    # windows of 2m blocks from windows of m
             longer = win.copy()
             longer[:-m] += win[m:] * (brow[m:] == brow[:-m])[:, None] if m < len(win) else 0

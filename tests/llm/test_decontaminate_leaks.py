@@ -2,7 +2,9 @@
 
 import random
 
-from kbweave.llm.decontaminate import Settings, benchmark_matches
+import numpy as np
+
+from kbweave.llm.decontaminate import Settings, benchmark_matches, window_scales
 from kbweave.sources.tables import load_table
 
 SF = "/root/testdata/sf0.01"
@@ -39,3 +41,27 @@ def test_a_copy_beside_a_decoy_of_the_same_words_is_found(spark):
     items = spark.createDataFrame([tuple(b) for b in bench], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in benchmark_matches(table, items, Settings(shingle=64)).collect()}
     assert len(want & got) >= 0.9 * len(want), len(want & got)
+
+
+def test_short_copies_and_altered_long_items_are_found(spark):
+    _, docs, filler = sources(spark)
+    rnd = random.Random(5)
+    vocabulary = sorted({w for f in filler for w in f})
+    bench, rows, want = [], [], set()
+    for n in range(60):
+        w = rnd.sample(vocabulary, (4, 5, 200, 400, 800, 1500)[n % 6])
+        bench.append((n, " ".join(w)))
+        w = [f"changed{n}x{i}" if len(w) > 5 and i % 8 == 2 else x for i, x in enumerate(w)]
+        rows.append((1_000_000 + n, " ".join(filler[n][:30] + w + filler[n][30:60])))
+        want.add((1_000_000 + n, n))
+    table = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    found = benchmark_matches(table, items, Settings(shingle=1500))     # a shingle is a whole item
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert want <= got, sorted(len(bench[i][1].split()) for _, i in want - got)
+
+
+def test_scales_follow_the_items():
+    assert window_scales(np.array([0, 14, 59])) == (16, 32, 64)
+    assert window_scales(np.array([2, 5, 800])) == (4, 8, 16, 32, 64, 128, 256, 512, 1024)
+    assert window_scales(np.array([0])) == ()
