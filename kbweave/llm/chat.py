@@ -87,16 +87,14 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
          .withColumn("start", F.sum(size.cast("long")).over(order.rowsBetween(W.unboundedPreceding, -1))))
     t = t.withColumn("start", F.coalesce("start", F.lit(0)) + F.length("r") + F.lit(len(START) + 1))
     g = t.groupBy("conv").agg(
-        F.array_sort(F.collect_list(F.struct("no", "r", "b"))).alias("turns"),
+        F.array_sort(F.collect_list(F.struct("no", "r", "b", "h"))).alias("turns"),
         F.array_sort(F.collect_list(F.when(F.col("learn"), F.struct(
-            "start", F.length("b").cast("long").alias("length"))))).alias("loss_spans"),
-        F.count("*").alias("n"), F.bit_xor("h").alias("h"))
+            "start", F.length("b").cast("long").alias("length"))))).alias("loss_spans"))
     g = g.select(F.col("conv").alias(conv), F.array_join(F.transform(
-        "turns", lambda x: render(x["r"], x["b"])), "").alias("formatted"), "loss_spans", "n", "h")
+        "turns", lambda x: render(x["r"], x["b"])), "").alias("formatted"), "loss_spans", F.col("turns.h").alias("h"))
     got = parse(F.col("formatted"))
-    same = ((F.size(got) == F.col("n")) & F.forall(got, lambda x: x["ok"])
-            & (F.aggregate(got, F.lit(0).cast("long"),
-                           lambda a, x: a.bitwiseXOR(F.xxhash64(x["role"], x["text"]))) == F.col("h")))
+    same = (F.forall(got, lambda x: x["ok"])
+            & (F.transform(got, lambda x: F.xxhash64(x["role"], x["text"])) == F.col("h")))
     return g.select(conv, "formatted", "loss_spans", same.alias("round_trip_ok"))
 
 
