@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import chat, decontaminate, html_extract, linedup, quality, repetition, sharding, simhash, suffixdedup
+from kbweave.llm import (chat, decontaminate, html_extract, linedup, quality, repetition, resampling, sharding,
+                         simhash, suffixdedup)
 from kbweave.llm import sentencepiece_codec as spm
 from kbweave.sources.tables import load_table
 
@@ -136,3 +137,52 @@ def op10_html_extraction(spark, sf):
 def op3_suffix_dedup(spark, sf):
     """Every document without the bytes of 200-byte strings that occur twice or more."""
     return suffixdedup.repeated_strings(load_table(spark, sf, "documents", ["doc_id", "text"]), match=200)
+
+
+# CRC-32 in SQL: the table of 256 entries, then one list_reduce over a feature's bytes.
+_HALF = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+_STEPS = "".join(f", c{i + 1} AS (SELECT n, {_HALF.format('c')} AS c FROM c{i})" for i in range(8))
+
+
+@query("op11_importance_resampling", f"""
+WITH c0 AS (SELECT n, n AS c FROM range(256) r(n)){_STEPS},
+tab AS (SELECT list(c ORDER BY n) AS tab FROM c8),
+texts AS (
+  SELECT 'd' AS side, doc_id AS id, lower_words AS w FROM (SELECT doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS lower_words FROM documents)
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+feat AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f
+  FROM texts WHERE len(w) > 0),
+crc AS (
+  SELECT f, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(f))),
+      lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM feat), tab),
+fb AS (SELECT side, id, bucket FROM feat JOIN crc USING (f)),
+tot AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM fb GROUP BY bucket),
+al AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM tot),
+gain AS (
+  SELECT bucket, floor(1000 * ln((tot.t + 1)::DOUBLE * (al.s + 10000) / ((tot.s + 1)::DOUBLE * (al.t + 10000))))::BIGINT AS gain
+  FROM tot, al),
+mean AS (
+  SELECT id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM fb JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id),
+sc AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE)
+           / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN mean USING (id) WHERE side = 'd'),
+r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM sc WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+FROM sc LEFT JOIN r USING (doc_id)""")
+def op11_importance_resampling(spark, sf):
+    """Weight, score and rank of every document towards the benchmark texts."""
+    return resampling.rank_documents(load_table(spark, sf, "documents", ["doc_id", "text"]),
+                                     load_table(spark, sf, "benchmark"), n=2, buckets=10_000, percent=25,
+                                     min_words=20, seed=7)
