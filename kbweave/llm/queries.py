@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbweave.llm import (chat, decontaminate, html_extract, linedup, quality, repetition, resampling, sharding,
+from kbweave.config import scratch_path
+from kbweave.llm import (chat, decontaminate, html_extract, linedup, packed_tokens, quality, repetition, resampling, sharding,
                          simhash, suffixdedup)
 from kbweave.llm import sentencepiece_codec as spm
 from kbweave.sources.tables import load_table
@@ -186,3 +187,13 @@ def op11_importance_resampling(spark, sf):
     return resampling.rank_documents(load_table(spark, sf, "documents", ["doc_id", "text"]),
                                      load_table(spark, sf, "benchmark"), n=2, buckets=10_000, percent=25,
                                      min_words=20, seed=7)
+
+
+@query("op12_packed_tokens")
+def op12_packed_tokens(spark, sf):
+    """All documents' ids in packed files in the order of doc_id, and what the files say of each document."""
+    import public_tokenizers
+    path = scratch_path(spark, "packed-tokens")
+    packed_tokens.write_tokens(load_table(spark, sf, "documents", ["doc_id", "text"]), path,
+                               public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return packed_tokens.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
