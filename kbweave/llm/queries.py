@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbweave.config import scratch_path
-from kbweave.llm import (chat, decontaminate, html_extract, linedup, packed_tokens, quality, repetition, resampling, sharding,
+from kbweave.llm import (chat, decontaminate, html_extract, linedup, packed_tokens, phrases, quality, repetition, resampling, sharding,
                          simhash, suffixdedup)
 from kbweave.llm import sentencepiece_codec as spm
 from kbweave.sources.tables import load_table
@@ -197,3 +197,39 @@ def op12_packed_tokens(spark, sf):
     packed_tokens.write_tokens(load_table(spark, sf, "documents", ["doc_id", "text"]), path,
                                public_tokenizers.path("byte_bpe_50k.json"), end=2)
     return packed_tokens.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+_GRAMS = " UNION ALL ".join(f"""
+  SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase
+  FROM pieces WHERE len(w) >= {k}""" for k in range(1, 5))
+_CUTS = " UNION ALL ".join(f"""
+  SELECT lang, phrase, a, {c} AS cut, array_to_string(w[1:{c}], ' ') AS p, array_to_string(w[{c + 1}:k], ' ') AS q
+  FROM cand WHERE k > {c}""" for c in (1, 2, 3))
+_INNER = " UNION ALL ".join(f"SELECT lang, array_to_string(w[{b}:{b + m - 1}], ' ') AS phrase, a FROM cand WHERE k = {k}"
+                            for k in (3, 4) for m in range(2, k) for b in range(1, k - m + 2))
+
+
+@query("op13_phrases", f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM ({_GRAMS}) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 30),
+cuts AS ({_CUTS}),
+scores AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.n AS l, y.n AS r, CAST((2000000::HUGEINT * a) // (x.n + y.n) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.p JOIN f y ON y.lang = c.lang AND y.phrase = c.q),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM ({_INNER}) GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 80 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, total.n AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
+def op13_phrases(spark, sf):
+    """Each language's first 2,000 collocations of 2 to 4 words."""
+    return phrases.collocations(load_table(spark, sf, "documents", ["doc_id", "text", "lang"]), longest=4, min_count=30,
+                                inside_percent=80, top=2000)
