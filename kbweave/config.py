@@ -30,8 +30,10 @@ class Params:
     chunk_chars: int = 1000            # chunk size for text chunking
     run_ts: str = "2024-01-01 00:00:00"   # run timestamp used in source keys
     reader_prefix: str = "https://reader.invalid/"
-    # Upper bound, in bytes, for one broadcast block of query vectors.
-    query_block_bytes: int = 64 * 1024 * 1024
+    # Bytes of the vectors that a block of documents holds (one row of packed vectors).
+    block_bytes: int = 8 * 1024 * 1024
+    # Tasks that the pages of an ingest are dealt over; None keeps the scan's own splits.
+    scan_partitions: int | None = None
     # Rows per block for the skew-safe bounded look-back windows.
     lookback_block_rows: int = 1_000_000
     # Keyed streaming state of a conversation is dropped after this much

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from kbweave.config import scratch_path
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer splits than the
-    cluster has cores (e.g. one big parquet row group). On a large input with
-    many splits this is a no-op, so no shuffle is added at scale."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal rows out over ``partitions`` tasks: for a table whose files are fewer
+    than the cores that expensive row-local work should use. None: as it is."""
+    return df.repartition(partitions) if partitions else df
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back: lineage is
+    cut, and an executor lost later costs no recomputation."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def gate(df: DataFrame, cond) -> DataFrame:

@@ -2,14 +2,11 @@
 
 * ``topk_single`` - one query vector, JVM-only: cosine via higher-order
   functions and ``orderBy(...).limit(k)`` (planned as TakeOrderedAndProject).
-* ``topk_batch`` - many queries at once, wholly on the executors. Documents and
-  queries are cut into groups by hash; a grid cell is one document group and one
-  query group, brought together by one shuffle and scored with matrix products.
-  A cell's size is set from row counts, so memory is bounded whatever the two
-  tables' sizes; the plan has the same few nodes for any number of queries, and
-  nothing passes through the driver but two counts. Each cell keeps its local
-  top-k per query; a window with ``row_number() <= k`` (planned as
-  WindowGroupLimit, partial before the shuffle) merges the local winners.
+* ``topk_batch`` - many queries at once, wholly on the executors: documents in
+  packed blocks grouped by direction, queries in packs that visit only the blocks
+  that can hold one of their k best (``operators.vector_blocks``). Each pair of
+  rows is one matrix product; a window with ``row_number() <= k`` (planned as
+  WindowGroupLimit, partial before the shuffle) merges the pairs' winners.
 
 Order rule for every form: similarity descending, NULL (zero vector) last,
 ties by ascending document id.
@@ -17,21 +14,17 @@ ties by ascending document id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbweave.config import Params, scratch_path
+from kbweave.config import Params
 from kbweave.functions import vectors as V
 from kbweave.functions.text import tokens
-from kbweave.operators.hashing import TokenBuckets
-
-SIM_DECIMALS = 12
-SCORE_BYTES = 32 * 1024 * 1024   # bound on one (docs x queries) float64 score matrix
+from kbweave.operators import vector_blocks as B
+from kbweave.operators.partitioning import saved
+from kbweave.operators.vector_blocks import SIM_DECIMALS
 
 
 def topk_single(docs: DataFrame, query_vec, k: int | None = None, *, id_col: str = "doc_id",
@@ -53,137 +46,69 @@ def topk_single(docs: DataFrame, query_vec, k: int | None = None, *, id_col: str
 
 # ---------------------------------------------------------------- batch form
 
-def _local_topk(qidx: np.ndarray, sim: np.ndarray, did: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the first k per query under (sim desc, id asc); -inf = NULL."""
-    order = np.lexsort((did, -sim, qidx))
-    qs = qidx[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
-    group_start = np.repeat(starts, np.diff(np.r_[starts, qs.size]))
-    return order[(np.arange(qs.size) - group_start) < k]
-
-
-def _matrix(col: pd.Series, dim: int, kind: str, hasher: "TokenBuckets | None" = None) -> np.ndarray:
-    """Dense float64 matrix from a vector column, hashed-bucket lists or
-    token lists (hashed here)."""
-    n = len(col)
-    if kind == "dense":
-        if n == 0:
-            return np.zeros((0, dim))
-        return np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
-    if kind == "tokens":
-        h = hasher or TokenBuckets(dim)
-        col = pd.Series([h(v) if v is not None and len(v) else np.zeros(0, np.int64) for v in col.values])
-    lens = np.fromiter((len(v) for v in col.values), dtype=np.int64, count=n)
-    m = np.zeros((n, dim), dtype=np.float64)
-    if lens.sum():
-        flat = np.concatenate([np.asarray(v, dtype=np.int64) for v in col.values if len(v)])
-        np.add.at(m, (np.repeat(np.arange(n), lens), flat), 1.0)
-    return m
-
-
-def _unit_rows(m: np.ndarray):
-    norms = np.sqrt(np.einsum("ij,ij->i", m, m))
-    ok = norms > 0
-    out = np.zeros_like(m)
-    out[ok] = m[ok] / norms[ok, None]
-    return out, ok
-
-
-def _score_cell(k: int, dim: int, score_bytes: int):
-    """Cogrouped (documents, queries) of one grid cell -> local top-k per query."""
-    def score(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = {"_qid": np.zeros(0, np.int64), "doc_id": d["doc_id"].iloc[:0], "similarity": np.zeros(0)}
-        if len(d) and len(q):
-            q_unit, q_ok = _unit_rows(_matrix(q["vec"], dim, "dense"))
-            _, code = np.unique(d["doc_id"].to_numpy(), return_inverse=True)
-            acc = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]     # query, similarity, row of d
-            step = max(1, score_bytes // (8 * max(len(q), dim, 1)))
-            for lo in range(0, len(d), step):
-                d_unit, d_ok = _unit_rows(_matrix(d["vec"].iloc[lo:lo + step], dim, "dense"))
-                # Similarities are compared at 12 decimals, so mathematically equal
-                # scores tie (then the id decides) whatever the order of summation.
-                s = np.round(d_unit @ q_unit.T, SIM_DECIMALS)
-                s[~d_ok, :] = -np.inf
-                s[:, ~q_ok] = -np.inf
-                n = s.shape[0]
-                kth = np.partition(s, n - k, axis=0)[n - k] if n > k else np.full(s.shape[1], -np.inf)
-                rows, cols = np.nonzero(s >= kth)
-                acc = [np.concatenate(x) for x in zip(acc, (cols, s[rows, cols], rows + lo))]
-                keep = _local_topk(acc[0], acc[1], code[acc[2]], k)
-                acc = [x[keep] for x in acc]
-            out = {"_qid": q["_qid"].to_numpy()[acc[0]], "doc_id": d["doc_id"].to_numpy()[acc[2]],
-                   "similarity": np.where(np.isneginf(acc[1]), np.nan, acc[1])}
-        return pd.DataFrame(out)
-    return score
-
-
-def _dense_udf(dim: int, kind: str):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def to_dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hasher = TokenBuckets(dim) if kind == "tokens" else None
-        for col in batches:
-            yield pd.Series(list(_matrix(col, dim, kind, hasher).astype(np.float32)))
-    return to_dense
+def vector_rows(df: DataFrame, id_col: str, vec_col: str, dim: int, kind: str = "dense") -> DataFrame:
+    """``(id, vec)`` with vectors of ``dim`` numbers. Single precision stays, other
+    numbers become double; rows of another length or with a null number are left
+    out. ``kind`` ``tokens`` or ``buckets``: lists to be hashed or counted."""
+    out = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    if kind != "dense":
+        return B.dense(out, dim, kind)
+    if "float" not in out.schema["vec"].dataType.simpleString():
+        out = out.withColumn("vec", F.col("vec").cast("array<double>"))
+    return out.where(V.dim_ok("vec", dim) & ~F.exists("vec", lambda x: x.isNull()))
 
 
 def topk_batch(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
                doc_id: str = "doc_id", doc_vec: str = "embedding",
                query_id: str = "query_id", query_vec: str = "embedding",
                dim: int, kind: str = "dense", params: Params | None = None,
-               block_rows: int | None = None) -> DataFrame:
+               block_rows: int | None = None, cells: int | None = None, n_probe: int | None = None) -> DataFrame:
     """Exact top-k for every query: ``(query_id, rank, doc_id, similarity)``
     (``query_id`` may also be a list of key columns, kept by name).
 
     ``kind`` describes both vector columns: ``'dense'`` = ``ARRAY<FLOAT|DOUBLE>``
     of length ``dim`` (other lengths are dropped, see ``dim_ok``);
     ``'buckets'`` = hashed bucket lists; ``'tokens'`` = token lists hashed
-    with the md5 bucket rule. Vectors are made dense on the executors. Every
-    query row is answered on its own, also where ids repeat; document ids may
-    be numbers or strings. ``block_rows`` overrides the queries of a cell.
-    """
+    with the md5 bucket rule. Every query row is answered on its own, also where
+    ids repeat; document ids may be numbers or strings.
+
+    Documents are packed in blocks of ``block_rows`` rows (by default
+    ``Params.block_bytes`` of vectors) and grouped in ``cells`` by direction (by
+    default one per four blocks, at most ``MAX_CELLS``); each query visits its
+    ``n_probe`` nearest cells (default an eighth) and then only the cells that can
+    hold a better document. The result does not depend on these three. One count
+    of the documents is run when the plan is built; grouping in more than one cell
+    also writes them once. Nothing but cell centres passes through the driver."""
     params = params or Params()
     k = params.top_k if k is None else k
     if k < 0:
         raise ValueError("k must be >= 0")
     spark = docs.sparkSession
     keys = ["query_id"] if isinstance(query_id, str) else list(query_id)
-    own = [F.col(query_id).alias("query_id")] if isinstance(query_id, str) else [F.col(c) for c in keys]
-    q = queries.select(*own, F.col(query_vec).alias("vec"))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("vec"))
+    own = [query_id] if isinstance(query_id, str) else keys
+    named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keys)]
+    q = queries.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(own)], F.col(query_vec).alias("v"))
     if kind == "dense":
-        q, d = q.where(V.dim_ok("vec", dim)), d.where(V.dim_ok("vec", dim))
-        # Single precision stays as it is; other numbers become double.
-        q, d = (x if x.schema["vec"].dataType == T.ArrayType(T.FloatType(), x.schema["vec"].dataType.containsNull)
-                else x.withColumn("vec", F.col("vec").cast("array<double>")) for x in (q, d))
+        q = q.where(V.dim_ok("v", dim) & ~F.exists("v", lambda x: x.isNull()))
+        q = q if "float" in q.schema["v"].dataType.simpleString() else q.withColumn("v", F.col("v").cast("array<double>"))
     else:
-        q = q.where(F.col("vec").isNotNull()).withColumn("vec", _dense_udf(dim, kind)("vec"))
-        none = F.array().cast(d.schema["vec"].dataType)
-        d = d.withColumn("vec", _dense_udf(dim, kind)(F.coalesce("vec", none)))
-    id_type = d.schema["doc_id"].dataType.simpleString()
+        q = B.dense(q.where(F.col("v").isNotNull()), dim, kind)
+    d = vector_rows(docs, doc_id, doc_vec, dim, kind)
+    id_type = d.schema["id"].dataType.simpleString()
     if k == 0:
-        fields = ", ".join(f"`{c}` {q.schema[c].dataType.simpleString()}" for c in keys)
+        fields = ", ".join(f"`{c}` {q.schema[f'k{i}'].dataType.simpleString()}" for i, c in enumerate(keys))
         return spark.createDataFrame([], f"{fields}, rank int, doc_id {id_type}, similarity double")
-    # Query rows get a number of their own; writing them fixes it for good.
-    path = scratch_path(spark, "queries")
-    q.withColumn("_qid", F.monotonically_increasing_id()).write.parquet(path)
-    q = spark.read.schema(q.withColumn("_qid", F.lit(0).cast("long")).schema).parquet(path)
-    rows_cap = block_rows or max(1, params.query_block_bytes // (dim * 8 * 2))
-    n_q, n_d = q.count(), docs.select(doc_id).count()
-    cols = max(1, -(-n_q // rows_cap))
-    fit = max(1, params.query_block_bytes // (dim * 8 * 2))
-    rows = max(-(-n_d // fit), -(-spark.sparkContext.defaultParallelism // cols))
-    d = d.withColumn("_r", F.pmod(F.xxhash64("doc_id", "vec"), F.lit(rows))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    g = q.withColumn("_c", F.pmod(F.col("_qid") + F.shiftright("_qid", 33), F.lit(cols)).cast("int")).withColumn(
-        "_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
-    n = rows * cols
-    d, g = (x.select("_r", "_c", *[c for c in ("doc_id", "_qid", "vec") if c in x.columns])
-            .repartition(min(n, 100_000), "_r", "_c") for x in (d, g))
-    local = d.groupBy("_r", "_c").cogroup(g.groupBy("_r", "_c")).applyInPandas(
-        _score_cell(k, dim, SCORE_BYTES), f"_qid long, doc_id {id_type}, similarity double")
-    w = Window.partitionBy("_qid").orderBy(F.desc_nulls_last("similarity"), F.asc("doc_id"))
-    top = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(q.select("_qid", *keys), "_qid").select(*keys, F.col("rank").cast("int").alias("rank"), "doc_id", "similarity")
+    q = saved(q.withColumn("qid", F.monotonically_increasing_id()), "queries")     # fixes each query row's number
+    ask = q.select("qid", F.col("v").alias("vec"))
+    block = block_rows or max(1, params.block_bytes // (dim * (4 if B.vector_type(d) == "<f4" else 8)))
+    rows = docs.count()
+    n = cells if cells is not None else min(B.MAX_CELLS, rows // (4 * block))
+    grouped, cells_ = (d.withColumn("cell", F.lit(0)), B.one_cell(dim, rows)) if n <= 1 else B.group(d, rows, n, dim)
+    stored = B.blocks(grouped, cells_, dim, block)
+    if cells_.n > 1:
+        stored = saved(stored, "vector-blocks")                                    # read by both rounds
+    top = B.search_pruned(stored, ask, cells_, k, dim, block, B.vector_type(d), n_probe or max(1, cells_.n // 8))
+    return top.join(q.drop("v"), "qid").select(*named, F.col("rank").cast("int").alias("rank"), "doc_id", "similarity")
 
 
 def topk_text(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
@@ -191,8 +116,7 @@ def topk_text(docs: DataFrame, queries: DataFrame, k: int | None = None, *,
               query_id: str = "query_id", query_text: str = "text",
               dim: int = 256, params: Params | None = None) -> DataFrame:
     """Text-to-text retrieval over hashed term-frequency vectors."""
-    # Tokens are split JVM-side; md5 buckets are computed in Arrow batches
-    # (memoised per task).
+    # Tokens are split JVM-side; their distinct words are hashed once per Arrow batch.
     d = docs.select(F.col(doc_id).alias(doc_id), tokens(doc_text).alias("_b"))
     # A NULL query text has no embedding: it is dropped, like a failed embed.
     qcols = [query_id] if isinstance(query_id, str) else list(query_id)
@@ -208,8 +132,7 @@ def topk_stored(kb: DataFrame, queries: DataFrame, k: int | None = None, *, quer
     hashed). A query that cannot be embedded has no answer."""
     qcols = [query_id] if isinstance(query_id, str) else list(query_id)
     if embed is None:
-        q = queries.select(*qcols, _dense_udf(dim, "tokens")(tokens(query_text)).alias("_v"), F.col(query_text).alias("_t"))
-        q = q.where(F.col("_t").isNotNull())
+        q = B.dense(queries.where(F.col(query_text).isNotNull()).select(*qcols, tokens(query_text).alias("_v")), dim, "tokens")
     else:
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def vec(col: pd.Series) -> pd.Series:

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from kbweave.config import Params
 from kbweave.functions import vectors as V
 from kbweave.operators import retrieve as R
+from kbweave.operators import vector_index as VI
+from kbweave.operators.partitioning import spread
 from kbweave.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +33,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Over as many tasks as the session's ``kbweave.scan.partitions`` says (unset: the
+    scan's own splits). The bench sets it: its tables are one row group each."""
+    return spread(df, int(df.sparkSession.conf.get("kbweave.scan.partitions", "0")) or None)
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -109,14 +117,48 @@ def topk_batch(spark, sf):
 
 @query("topk_blocked", _TOPK_SELF)
 def topk_blocked(spark, sf):
-    """Same result as ``topk_batch`` with the query set forced into many
-    broadcast blocks (256 queries each): proves the blocked path is exact."""
+    """Same result as ``topk_batch`` with the documents forced into 16 cells and small
+    blocks, of which a query visits two cells first: the pruned path is exact."""
     e = load_table(spark, sf, "embeddings", ["vec_id", "embedding"])
     top = R.topk_batch(e, e, P.top_k, doc_id="vec_id", doc_vec="embedding",
-                       query_id="vec_id", query_vec="embedding", dim=P.dim, block_rows=256)
+                       query_id="vec_id", query_vec="embedding", dim=P.dim, block_rows=128, cells=16, n_probe=2)
+    return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
+
+
+def _index(spark, sf):
+    """An index of all stored vectors in 16 cells, with small blocks so that cells have several."""
+    from kbweave.config import scratch_path
+    e = load_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    return e, VI.build_index(e, scratch_path(spark, "vector-index"), id_col="vec_id", dim=P.dim, cells=16, block_rows=100)
+
+
+@query("topk_indexed", _TOPK_SELF)
+def topk_indexed(spark, sf):
+    """Every stored vector against the stored index, all cells probed (exact)."""
+    e, index = _index(spark, sf)
+    top = VI.topk_indexed(index, e, P.top_k, query_id="vec_id")
     return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
 
 
+@query("topk_indexed_pruned", _TOPK_SELF)
+def topk_indexed_pruned(spark, sf):
+    """The same from two cells and then the cells that can hold a better vector."""
+    e, index = _index(spark, sf)
+    top = VI.topk_indexed(index, e, P.top_k, query_id="vec_id", n_probe=2, exact=True)
+    return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
+
+
+@query("index_recall", f"SELECT count(*) AS wanted, true AS recall_reached FROM ({_TOPK_SELF})")
+def index_recall(spark, sf):
+    """Approximate search with as many cells as a tenth of the queries asks for: does it
+    find 0.9 of the exact neighbours of all queries?"""
+    e, index = _index(spark, sf)
+    n = VI.choose_probes(index, e.where("vec_id % 10 = 0"), P.top_k, query_id="vec_id", recall=0.93)
+    exact = VI.topk_indexed(index, e, P.top_k, query_id="vec_id")
+    share = VI.found_share(VI.topk_indexed(index, e, P.top_k, query_id="vec_id", n_probe=n), exact)
+    return share.select("wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("recall_reached"))
+
+
 # --------------------------------------------------------- hashed term freq
 
 def _bucket_sql(tok: str, dim: int) -> str:
@@ -135,8 +177,7 @@ def _tf_sql(table: str, id_col: str, dim: int, id_alias: str | None = None) -> s
 def hash_embed(spark, sf):
     """Feature hashing of every document: sparse ``(doc_id, bucket, tf)``,
     counted inside each document's row (map-only, no shuffle)."""
-    from kbweave.operators.partitioning import spread
-    d = spread(load_table(spark, sf, "documents", ["doc_id", "text"]))
+    d = _dealt(load_table(spark, sf, "documents", ["doc_id", "text"]))
     return K.hashed_tf(d, "doc_id", "text", P.text_dim)
 
 
@@ -162,8 +203,7 @@ SELECT query_id, CAST(rn AS INTEGER) AS rank, doc_id, round(sim, 6) AS similarit
 @query("topk_text", _text_topk_sql("benchmark", "item_id", "documents", "doc_id", P.text_dim, P.top_k))
 def topk_text(spark, sf):
     """Every benchmark text as a query against every document text."""
-    from kbweave.operators.partitioning import spread
-    d = spread(load_table(spark, sf, "documents", ["doc_id", "text"]))
+    d = _dealt(load_table(spark, sf, "documents", ["doc_id", "text"]))
     q = load_table(spark, sf, "benchmark", ["item_id", "text"])
     top = R.topk_text(d, q, P.top_k, doc_id="doc_id", query_id="item_id", dim=P.text_dim)
     return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
@@ -180,8 +220,7 @@ from kbweave.plans import sqlgen as S  # noqa: E402
 
 
 def _pages(spark, sf, cols=("page_id", "url", "html")):
-    from kbweave.operators.partitioning import spread
-    return spread(load_table(spark, sf, "pages", list(cols)))
+    return _dealt(load_table(spark, sf, "pages", list(cols)))
 
 
 _TITLE_SQL = (f"CASE WHEN {S.rules(S.extract('html', H.TITLE_RE), H.INLINE_RULES)} <> '' "
@@ -298,8 +337,7 @@ SELECT doc_id, CAST(start // {P.chunk_chars} AS INTEGER) AS chunk_id, CAST(count
        string_agg(line, chr(10) ORDER BY pos) AS text
 FROM o GROUP BY 1, 2""")
 def text_chunks(spark, sf):
-    from kbweave.operators.partitioning import spread
-    d = spread(load_table(spark, sf, "documents", ["doc_id", "text"]))
+    d = _dealt(load_table(spark, sf, "documents", ["doc_id", "text"]))
     return X.text_chunks(d, "doc_id", "text", P.chunk_chars)
 
 
@@ -704,8 +742,7 @@ def stream_history(spark, sf):
 @query("stream_topk", ORACLE["topk_text"])
 def stream_topk(spark, sf):
     """Benchmark queries as a stream against the documents snapshot."""
-    from kbweave.operators.partitioning import spread
-    docs = spread(load_table(spark, sf, "documents", ["doc_id", "text"]))
+    docs = _dealt(load_table(spark, sf, "documents", ["doc_id", "text"]))
     out = ST.topk_stream(spark, f"{sf.rstrip('/')}/benchmark.parquet",
                          T.StructType([T.StructField("item_id", T.LongType()),
                                        T.StructField("text", T.StringType())]),

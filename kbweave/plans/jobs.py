@@ -34,7 +34,7 @@ def ingest(spark: SparkSession, pages: DataFrame, kb_path: str, replies: DataFra
     and quarantine. An entry with any bad part is rejected whole. ``out`` also
     gets the markdown, the entries (JSON) and the quarantine. Returns parse
     status counts (empty for deterministic extraction)."""
-    pages = spread(pages)
+    pages = spread(pages, params.scan_partitions)
     if replies is None and model is None:
         entries = K.entries_struct(X.page_entries(pages))
         status, bad = {}, None

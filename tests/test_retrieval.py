@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kbweave.functions import vectors as V
 from kbweave.operators import retrieve as R
+from kbweave.operators import vector_blocks as B
 
 
 def _docs(spark, rows):
@@ -55,7 +56,7 @@ def test_wrong_dimension_rejected(spark):
 @pytest.mark.parametrize("block_rows,score_bytes", [(None, None), (7, None), (None, 8 * 25 * 3)])
 def test_batch_equals_brute_force(spark, monkeypatch, block_rows, score_bytes):
     if score_bytes:                      # tiny budget: every batch is scored in 3-row slices
-        monkeypatch.setattr(R, "SCORE_BYTES", score_bytes)
+        monkeypatch.setattr(B, "SCORE_BYTES", score_bytes)
     rng = np.random.default_rng(3)
     base = rng.integers(-3, 4, size=(60, 4)).astype(float)   # small integers: many exact ties
     base[5] = 0.0

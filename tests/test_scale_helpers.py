@@ -35,11 +35,10 @@ def test_lookback_null_key_and_blocks_smaller_than_the_frame(spark):
         assert got == want
 
 
-def test_spread_is_noop_with_enough_splits(spark):
-    many = spark.range(0, 1000, numPartitions=16)
-    assert spread(many, 8) is many
-    few = spark.range(0, 1000, numPartitions=1)
-    assert spread(few, 8).rdd.getNumPartitions() == 8
+def test_spread_only_on_request(spark):
+    df = spark.range(0, 1000, numPartitions=1)
+    assert spread(df, None) is df
+    assert spread(df, 8).rdd.getNumPartitions() == 8
 
 
 def test_gate_keeps_rows_without_filter_node(spark):
