@@ -1,171 +1,84 @@
-"""HTML to text / markdown and block extraction as chained regex rewrites.
+"""HTML as columns: text, markdown, title, main content and links of pages.
 
-Each rewrite list is plain data, ``(pattern, replacement)`` with ``$n`` group
-references, so the same contract can be rendered for another SQL engine.
-Patterns stay inside the subset Java regex and RE2 agree on: no look-around,
-no back-references; ``(?is)`` inline flags only.
-Contract: flat tags; nested tags of the same name are out of contract.
+Every function is one Arrow-batched pass of ``functions.markup`` over the column,
+inside the task that read the page. Null stays null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kbweave.functions.markup import Page
+from kbweave.schemas import LINK
 
-NL = "\n"
-
-# Named character entities decoded, ``&amp;`` last so that
-# ``&amp;lt;`` becomes ``&lt;`` (one decoding pass).
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
-    ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&euro;", "€"), ("&pound;", "£"), ("&yen;", "¥"), ("&sect;", "§"), ("&deg;", "°"),
-    ("&times;", "×"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"),
-    ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"),
-    ("&ntilde;", "ñ"), ("&amp;", "&"),
-]
-# Marker of the rule that decodes every numeric entity (&#8217; and &#x2019;).
-NUMERIC = "numeric:"
-
-# One pass drops the head, scripts, styles and comments.
-DROP_BLOCKS = [
-    (r"(?is)<head( [^>]*)?>.*?</head>|<script( [^>]*)?>.*?</script>|<style( [^>]*)?>.*?</style>|<!--.*?-->", ""),
-]
-
-_BLOCK_TAGS = "p|div|h[1-6]|li|ul|ol|tr|table|thead|tbody|article|nav|section|header|footer|main|body|html|title|blockquote|pre"
-
-BREAKS = [
-    (rf"(?i)<br( [^>]*)?/?>|</?({_BLOCK_TAGS})( [^>]*)?>", NL),
-]
-
-STRIP_TAGS = [(r"<[^>]*>", "")]
-
-SPACES = [
-    (r"[ \t\r\f]+", " "),
-    (r" *\n[ \n]*", NL),
-    (r"^[ \n]+|[ \n]+$", ""),
-]
-
-INLINE_SPACES = [
-    (r"[ \t\r\f\n]+", " "),
-    (r"^ +| +$", ""),
-]
-
-# Attribute values in one quoting style: href, src and alt of links and images,
-# single-quoted or bare, become double-quoted. Twice, as an image has two of them.
-_ATTR = r"(?is)(<(?:a|img)\s(?:[^>]*\s)?(?:href|src|alt)\s*=\s*)"
-QUOTE_RULES = 2 * [(_ATTR + r"'([^'\"]*)'", '$1"$2"'), (_ATTR + r"""([^\s"'>]+)""", '$1"$2"')]
-
-# Markdown: links, images, headings, list items and table cells are kept.
-MARKDOWN_REWRITES = (
-    QUOTE_RULES
-    + [(r'(?is)<a\s[^>]*href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
-       (r'(?is)<img\s[^>]*alt\s*=\s*"([^"]*)"[^>]*\ssrc\s*=\s*"([^"]*)"[^>]*>', "![$1]($2)"),
-       (r'(?is)<img\s[^>]*src\s*=\s*"([^"]*)"[^>]*\salt\s*=\s*"([^"]*)"[^>]*>', "![$2]($1)"),
-       (r'(?is)<img\s[^>]*src\s*=\s*"([^"]*)"[^>]*>', "![]($1)")]
-    + [(rf"(?i)<h{n}( [^>]*)?>", NL + "#" * n + " ") for n in range(1, 7)]
-    + [(r"(?i)<li( [^>]*)?>", NL + "* "),
-       (r"(?i)<t[dh]( [^>]*)?>", "| ")]
-)
-
-# Entities are literal replacements (no regex engine pass); the marker tells
-# both renderers to use a plain string replace.
-LITERAL = "literal:"
-ENTITY_RULES = [(NUMERIC, ""), *((LITERAL + k, v) for k, v in ENTITIES)]
-
-TEXT_RULES = DROP_BLOCKS + BREAKS + STRIP_TAGS + ENTITY_RULES + SPACES
-MARKDOWN_RULES = DROP_BLOCKS + MARKDOWN_REWRITES + BREAKS + STRIP_TAGS + ENTITY_RULES + SPACES
-INLINE_RULES = STRIP_TAGS + ENTITY_RULES + INLINE_SPACES
-
-TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
-H1_RE = r"(?is)<h1[^>]*>(.*?)</h1>"
-ARTICLE_RE = r"(?is)<article[^>]*>(.*?)</article>"
-BODY_RE = r"(?is)<body[^>]*>(.*?)</body>"
-NAV_RE = r"(?is)<nav[^>]*>.*?</nav>"
-LINK_RE = r'(?is)<a\s[^>]*href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'   # after QUOTE_RULES
+PAGE_LINK = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType()),
+                          T.StructField("url", T.StringType()), T.StructField("is_nav", T.BooleanType())])
+PARTS = T.StructType([T.StructField("title", T.StringType()), T.StructField("content", T.StringType()),
+                      T.StructField("links", T.ArrayType(LINK))])
 
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def decode_numeric(col) -> Column:
-    """Every numeric character entity (decimal or hexadecimal) as its character;
-    what is no valid code point stays as it stands."""
-    def one(p):
-        num = F.regexp_extract(p, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        code = F.when(F.lower(F.substring(num, 1, 1)) == "x", F.conv(F.substr(num, F.lit(2)), 16, 10)).otherwise(num).try_cast("int")
-        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(F.coalesce(valid, F.lit(False)), F.concat(char, F.substr(p, F.length(num) + 2))).otherwise(
-            F.concat(F.lit("&#"), p))
-    c = _c(col)
-    parts = F.split(c, "&#")
-    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(one(p))), "")
-    return F.when(F.contains(c, F.lit("&#")), joined).otherwise(c)
-
-
-def apply_rules(col, rules) -> Column:
-    out = _c(col)
-    for pat, rep in rules:
-        if pat == NUMERIC:
-            out = decode_numeric(out)
-        elif pat.startswith(LITERAL):
-            out = F.replace(out, F.lit(pat[len(LITERAL):]), F.lit(rep))
-        else:
-            out = F.regexp_replace(out, pat, rep)
-    return out
+def _strings(of: Callable[[Page], str]):
+    @F.arrow_udf(T.StringType())
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else of(Page(s)) for s in col.to_pylist()], pa.string())
+    return run
 
 
 def html_to_text(col) -> Column:
-    return apply_rules(col, TEXT_RULES)
+    return _strings(Page.text)(_c(col))
 
 
 def html_to_markdown(col) -> Column:
-    return apply_rules(col, MARKDOWN_RULES)
-
-
-def inline_text(col) -> Column:
-    """Text of an inline fragment (title, anchor): tags dropped, one line."""
-    return apply_rules(col, INLINE_RULES)
+    return _strings(Page.markdown)(_c(col))
 
 
-def page_title(html) -> Column:
+def page_title(col) -> Column:
     """``<title>`` text, falling back to the first ``<h1>``."""
-    t = inline_text(F.regexp_extract(_c(html), TITLE_RE, 1))
-    h = inline_text(F.regexp_extract(_c(html), H1_RE, 1))
-    return F.when(t != "", t).otherwise(h)
+    return _strings(Page.title)(_c(col))
 
 
-def articles(html) -> Column:
-    """The contents of all ``<article>`` blocks, one after the other."""
-    return F.array_join(F.array_remove(F.regexp_extract_all(_c(html), F.lit(ARTICLE_RE), 1), ""), NL)
+def main_text(col) -> Column:
+    """Text of all articles, else of the body, else of the page."""
+    return _strings(Page.main_text)(_c(col))
 
 
-def main_block(html) -> Column:
-    """All ``<article>`` blocks if any has content, else ``<body>``, else all."""
-    a = articles(html)
-    b = F.regexp_extract(_c(html), BODY_RE, 1)
-    return F.when(a != "", a).when(b != "", b).otherwise(_c(html))
+def main_markdown(col) -> Column:
+    return _strings(Page.main_markdown)(_c(col))
 
 
-def nav_html(html) -> Column:
-    """All ``<nav>`` blocks concatenated (in page order)."""
-    return F.array_join(F.regexp_extract_all(_c(html), F.lit(NAV_RE), 0), "")
+def links(col) -> Column:
+    """``ARRAY<STRUCT<pos, text, url, is_nav>>`` in document order."""
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("text", pa.string()), ("url", pa.string()), ("is_nav", pa.bool_())]))
 
+    @F.arrow_udf(T.ArrayType(PAGE_LINK))
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else [{"pos": i, "text": t, "url": u, "is_nav": nav}
+                                                 for i, (t, u, nav) in enumerate(Page(s).links)] for s in col.to_pylist()], kind)
+    return run(_c(col))
 
-def without_nav(html) -> Column:
-    return F.regexp_replace(_c(html), NAV_RE, "")
 
+def entry_parts(col) -> Column:
+    """``STRUCT<title, content, links>`` of a page in one pass."""
+    kind = pa.struct([("title", pa.string()), ("content", pa.string()),
+                      ("links", pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())])))])
 
-def links(html) -> Column:
-    """``ARRAY<STRUCT<pos INT, text STRING, url STRING>>`` in document order."""
-    quoted = apply_rules(html, QUOTE_RULES)
-    urls = F.regexp_extract_all(quoted, F.lit(LINK_RE), 1)
-    inner = F.regexp_extract_all(quoted, F.lit(LINK_RE), 2)
-    return F.transform(
-        F.arrays_zip(urls.alias("url"), inner.alias("inner")),
-        lambda z, i: F.struct(i.cast("int").alias("pos"),
-                              inline_text(z["inner"]).alias("text"),
-                              z["url"].alias("url")))
+    @F.arrow_udf(PARTS)
+    def run(col: pa.Array) -> pa.Array:
+        out = []
+        for s in col.to_pylist():
+            if s is None:
+                out.append(None)
+                continue
+            p = Page(s)
+            out.append({"title": p.title(), "content": p.main_text(), "links": [{"text": t, "url": u} for t, u, _ in p.links]})
+        return pa.array(out, kind)
+    return run(_c(col))

@@ -40,18 +40,8 @@ def page_markdown(pages: DataFrame) -> DataFrame:
 
 def page_entries(pages: DataFrame) -> DataFrame:
     """Deterministic structured entry per page: title, main content, links."""
-    links = F.transform(H.links("html"), lambda l: F.struct(l["text"].alias("text"), l["url"].alias("url")))
-    staged = pages.select(
-        "page_id", "url", links.alias("links"),
-        H.inline_text(F.regexp_extract("html", H.TITLE_RE, 1)).alias("_t"),
-        H.inline_text(F.regexp_extract("html", H.H1_RE, 1)).alias("_h"),
-        H.articles("html").alias("_a"),
-        F.regexp_extract("html", H.BODY_RE, 1).alias("_b"), "html")
-    staged = staged.select(
-        "page_id", "url", "links", F.when(F.col("_t") != "", F.col("_t")).otherwise(F.col("_h")).alias("title"),
-        F.when(F.col("_a") != "", F.col("_a")).when(F.col("_b") != "", F.col("_b"))
-        .otherwise(F.col("html")).alias("_main"))
-    return staged.select("page_id", "url", "title", H.html_to_text("_main").alias("content"), "links")
+    return pages.select("page_id", "url", H.entry_parts("html").alias("_e")).select(
+        "page_id", "url", "_e.title", "_e.content", "_e.links")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -60,13 +50,13 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def nav_links(pages: DataFrame) -> DataFrame:
-    """Links flagged by whether they sit inside a ``<nav>`` block."""
-    nav = pages.select("page_id", F.lit(True).alias("is_nav"),
-                       F.explode(H.links(H.nav_html("html"))).alias("l"))
-    rest = pages.select("page_id", F.lit(False).alias("is_nav"),
-                        F.explode(H.links(H.without_nav("html"))).alias("l"))
-    return (nav.unionByName(rest)
-            .select("page_id", "is_nav", F.col("l.pos").alias("link_pos"), "l.text", "l.url"))
+    """Links flagged by whether they sit inside a ``<nav>`` block, numbered within each kind."""
+    def kind(nav: bool):
+        own = F.filter("_l", lambda x: x["is_nav"] == F.lit(nav))
+        return F.transform(own, lambda x, i: F.struct(x["is_nav"].alias("is_nav"), i.cast("int").alias("link_pos"),
+                                                      x["text"].alias("text"), x["url"].alias("url")))
+    return (pages.select("page_id", H.links("html").alias("_l"))
+            .select("page_id", F.inline(F.concat(kind(True), kind(False)))))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -125,7 +115,7 @@ def sections(md_df: DataFrame, md_col: str = "md", key: str = "page_id") -> Data
 
 
 def page_sections(pages: DataFrame) -> DataFrame:
-    md = pages.select("page_id", H.html_to_markdown(H.main_block("html")).alias("md"))
+    md = pages.select("page_id", H.main_markdown("html").alias("md"))
     return sections(md)
 
 

@@ -223,21 +223,21 @@ def _pages(spark, sf, cols=("page_id", "url", "html")):
     return _dealt(load_table(spark, sf, "pages", list(cols)))
 
 
-_TITLE_SQL = (f"CASE WHEN {S.rules(S.extract('html', H.TITLE_RE), H.INLINE_RULES)} <> '' "
-              f"THEN {S.rules(S.extract('html', H.TITLE_RE), H.INLINE_RULES)} "
-              f"ELSE {S.rules(S.extract('html', H.H1_RE), H.INLINE_RULES)} END")
-_ARTICLES = f"array_to_string(list_filter(regexp_extract_all(html, {S.lit(H.ARTICLE_RE)}, 1), lambda x: x <> ''), chr(10))"
-_QUOTED = f"(SELECT page_id, url, {S.rules('html', H.QUOTE_RULES)} AS html FROM pages)"
+_TITLE_SQL = (f"CASE WHEN {S.rules(S.extract('html', S.TITLE_RE), S.INLINE_RULES)} <> '' "
+              f"THEN {S.rules(S.extract('html', S.TITLE_RE), S.INLINE_RULES)} "
+              f"ELSE {S.rules(S.extract('html', S.H1_RE), S.INLINE_RULES)} END")
+_ARTICLES = f"array_to_string(list_filter(regexp_extract_all(html, {S.lit(S.ARTICLE_RE)}, 1), lambda x: x <> ''), chr(10))"
+_QUOTED = f"(SELECT page_id, url, {S.rules('html', S.QUOTE_RULES)} AS html FROM pages)"
 _MAIN_SQL = (f"CASE WHEN {_ARTICLES} <> '' THEN {_ARTICLES} "
-             f"WHEN {S.extract('html', H.BODY_RE)} <> '' THEN {S.extract('html', H.BODY_RE)} ELSE html END")
-_CONTENT_SQL = S.rules(f"({_MAIN_SQL})", H.TEXT_RULES)
+             f"WHEN {S.extract('html', S.BODY_RE)} <> '' THEN {S.extract('html', S.BODY_RE)} ELSE html END")
+_CONTENT_SQL = S.rules(f"({_MAIN_SQL})", S.TEXT_RULES)
 
 
 def _links_sql(src: str) -> str:
     """Links of ``src`` (an html expression over table alias p) in order."""
-    lr = S.lit(H.LINK_RE)
+    lr = S.lit(S.LINK_RE)
     return (f"SELECT page_id, CAST(i - 1 AS INTEGER) AS link_pos, "
-            f"{S.rules('inner_html[i]', H.INLINE_RULES)} AS text, urls[i] AS url FROM ("
+            f"{S.rules('inner_html[i]', S.INLINE_RULES)} AS text, urls[i] AS url FROM ("
             f"SELECT page_id, urls, inner_html, unnest(generate_series(1, len(urls))) AS i FROM ("
             f"SELECT page_id, regexp_extract_all({src}, {lr}, 1) AS urls, "
             f"regexp_extract_all({src}, {lr}, 2) AS inner_html FROM {_QUOTED}))")
@@ -267,12 +267,12 @@ def content_fingerprint(spark, sf):
     return d.select("doc_id", fingerprint("text").alias("fingerprint"))
 
 
-@query("html_text", f"SELECT page_id, {S.rules('html', H.TEXT_RULES)} AS text FROM pages")
+@query("html_text", f"SELECT page_id, {S.rules('html', S.TEXT_RULES)} AS text FROM pages")
 def html_text(spark, sf):
     return X.page_text(_pages(spark, sf, ("page_id", "html")))
 
 
-@query("html_markdown", f"SELECT page_id, {S.rules('html', H.MARKDOWN_RULES)} AS md FROM pages")
+@query("html_markdown", f"SELECT page_id, {S.rules('html', S.MARKDOWN_RULES)} AS md FROM pages")
 def html_markdown(spark, sf):
     return X.page_markdown(_pages(spark, sf, ("page_id", "html")))
 
@@ -285,7 +285,7 @@ def page_title(spark, sf):
 @query("main_content", f"SELECT page_id, {_CONTENT_SQL} AS content FROM pages")
 def main_content(spark, sf):
     p = _pages(spark, sf, ("page_id", "html"))
-    return p.select("page_id", H.html_to_text(H.main_block("html")).alias("content"))
+    return p.select("page_id", H.main_text("html").alias("content"))
 
 
 @query("page_links", _links_sql("html"))
@@ -293,8 +293,8 @@ def page_links(spark, sf):
     return X.page_links(_pages(spark, sf, ("page_id", "html")))
 
 
-_NAV_ALL = f"array_to_string(regexp_extract_all(html, {S.lit(H.NAV_RE)}, 0), '')"
-_NO_NAV = f"regexp_replace(html, {S.lit(H.NAV_RE)}, '', 'g')"
+_NAV_ALL = f"array_to_string(regexp_extract_all(html, {S.lit(S.NAV_RE)}, 0), '')"
+_NO_NAV = f"regexp_replace(html, {S.lit(S.NAV_RE)}, '', 'g')"
 
 
 @query("nav_links", f"""
@@ -305,7 +305,7 @@ def nav_links(spark, sf):
     return X.nav_links(_pages(spark, sf, ("page_id", "html")))
 
 
-_MD_MAIN_SQL = S.rules(f"({_MAIN_SQL})", H.MARKDOWN_RULES)
+_MD_MAIN_SQL = S.rules(f"({_MAIN_SQL})", S.MARKDOWN_RULES)
 
 
 @query("page_sections", f"""
@@ -346,10 +346,10 @@ def text_chunks(spark, sf):
 _ENTRY_SQL = f"""
 SELECT page_id, {_TITLE_SQL} AS title, {_CONTENT_SQL} AS content,
   (SELECT list({{'text': t, 'url': u}} ORDER BY i) FROM (
-     SELECT unnest(regexp_extract_all(html, {S.lit(H.LINK_RE)}, 1)) AS u,
-            unnest(regexp_extract_all(html, {S.lit(H.LINK_RE)}, 2)) AS raw_t,
-            unnest(generate_series(1, len(regexp_extract_all(html, {S.lit(H.LINK_RE)}, 1)))) AS i)
-     CROSS JOIN LATERAL (SELECT {S.rules('raw_t', H.INLINE_RULES)} AS t)) AS links
+     SELECT unnest(regexp_extract_all(html, {S.lit(S.LINK_RE)}, 1)) AS u,
+            unnest(regexp_extract_all(html, {S.lit(S.LINK_RE)}, 2)) AS raw_t,
+            unnest(generate_series(1, len(regexp_extract_all(html, {S.lit(S.LINK_RE)}, 1)))) AS i)
+     CROSS JOIN LATERAL (SELECT {S.rules('raw_t', S.INLINE_RULES)} AS t)) AS links
 FROM {_QUOTED}"""
 
 
@@ -810,8 +810,8 @@ def stream_dialog(spark, sf):
 
 
 @query("entry_file_key", f"""
-SELECT page_id, substr(md5({S.rules('html', H.MARKDOWN_RULES)}), 1, 8) AS fingerprint,
-       '{run_stamp(P.run_ts)}_' || substr(md5({S.rules('html', H.MARKDOWN_RULES)}), 1, 8) AS entry_key
+SELECT page_id, substr(md5({S.rules('html', S.MARKDOWN_RULES)}), 1, 8) AS fingerprint,
+       '{run_stamp(P.run_ts)}_' || substr(md5({S.rules('html', S.MARKDOWN_RULES)}), 1, 8) AS entry_key
 FROM pages""")
 def entry_file_key(spark, sf):
     """Key of each page's structured-entry file: run stamp + fingerprint of
@@ -870,7 +870,7 @@ def _structuring(texts):
 
 
 @query("model_structuring", f"""
-WITH m AS (SELECT page_id, {S.rules('html', H.MARKDOWN_RULES)} AS md FROM pages),
+WITH m AS (SELECT page_id, {S.rules('html', S.MARKDOWN_RULES)} AS md FROM pages),
 s AS (SELECT *, length(md) % 7 <> 0 AND length(md) % 5 <> 0 AS ok FROM m)
 SELECT page_id, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status,
        CASE WHEN ok THEN string_split(md, chr(10))[1] END AS title, CASE WHEN ok THEN md END AS content FROM s""")

@@ -142,4 +142,4 @@ def test_any_quoting_order_and_entities(spark):
     assert all(x in md for x in ("[1](/one)", "[2](/two)", "[3](/three)", "![pic](/i.png)", "![q p](/j.png)"))
     e = X.page_entries(p).first()
     assert e.content == "one ’x’ A&#0; ’&lt; 1 2\ntwo 3"
-    assert p.select(H.html_to_text(H.main_block("html")).alias("t")).first().t == e.content
+    assert p.select(H.main_text("html").alias("t")).first().t == e.content
