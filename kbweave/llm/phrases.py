@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from kbweave.llm.common import saved, text_bytes
 from kbweave.llm.wordscan import LOWER, byte_set, find_words, tiles
 
-TILE = 16 << 20
+TILE = 4 << 20                   # bytes of text counted at once
+SHARE_BYTES = 4 << 20            # bytes of text per share of the phrases that one group adds up
 GAP = byte_set((0x09, 0x09), (0x20, 0x20))
 BREAK = byte_set((0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?"))
 WORD = ~(GAP | BREAK)
@@ -90,8 +91,8 @@ class Bitmap:
 
 
 def _tile_counts(buf: np.ndarray, off: np.ndarray, lang: bytes, longest: int, now: Bitmap | None,
-                 before: Bitmap | None, words_too: bool) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """``(words, phrases, counts)`` of one tile, one level after the other.
+                 before: Bitmap | None, words_too: bool) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """``(words, phrases, hashes, counts)`` of one tile, one level after the other.
 
     A phrase is reached if both its parts are on, and on if it is reached and
     stands in the bitmap (a word needs no parts). Reached phrases are counted, but
@@ -100,14 +101,14 @@ def _tile_counts(buf: np.ndarray, off: np.ndarray, lang: bytes, longest: int, no
     vocab, code, start = find_words(low, WORD[low], off)
     if not start.size:
         return
+    word_h = _hashes(vocab, lang)
     if words_too:
-        yield 1, vocab, np.bincount(code, minlength=len(vocab))
+        yield 1, vocab, word_h, np.bincount(code, minlength=len(vocab))
     if now is None or longest < 2:
         return
     wall = BREAK[low]
     wall[off[off < wall.size]] = True                       # a text's first byte begins a piece
     piece = np.cumsum(wall)[start]
-    word_h = _hashes(vocab, lang)
     h, words = word_h, np.arange(len(vocab))[:, None]       # of each distinct phrase: hash, word codes
     on, was = now.has(h), before.has(h) if before else np.zeros(h.size, bool)
     at = np.where(on[code], code, -1)
@@ -127,7 +128,7 @@ def _tile_counts(buf: np.ndarray, off: np.ndarray, lang: bytes, longest: int, no
         was = was[left] & was[right]
         if not was.all():
             new = np.flatnonzero(~was)
-            yield (k, pc.binary_join_element_wise(*[vocab.take(pa.array(words[new, j])) for j in range(k)], b" "),
+            yield (k, pc.binary_join_element_wise(*[vocab.take(pa.array(words[new, j])) for j in range(k)], b" "), h[new],
                    np.bincount(key, minlength=distinct.size)[new])
         if before:
             was &= before.has(h)
@@ -135,12 +136,12 @@ def _tile_counts(buf: np.ndarray, off: np.ndarray, lang: bytes, longest: int, no
         at[place] = np.where(now.has(h)[key], key, -1)
 
 
-_COUNTED = "lang string, phrase string, k tinyint, n long"
-
-
-def _count(docs: DataFrame, longest: int, now, before, words_too: bool, min_count: int, name: str) -> DataFrame:
+def _count(docs: DataFrame, longest: int, now, before, words_too: bool, min_count: int, shares: int, name: str) -> DataFrame:
     """``(lang, phrase, k, n)`` of what a pass counts, from ``min_count`` on; where
-    words are counted too, the row with k = 0 holds a language's words in all."""
+    words are counted too, the row with k = 0 holds a language's words in all.
+
+    A tile's counts travel in packed rows, one per share of the phrases (by their
+    hash); a share's rows are added up by the phrases themselves."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt, old = now.value if now else None, before.value if before else None
         for b in batches:
@@ -151,18 +152,43 @@ def _count(docs: DataFrame, longest: int, now, before, words_too: bool, min_coun
                 cut[inner[inner > 0] - 1] = True
                 for lo, hi in tiles(cut, TILE):
                     edges = off[np.searchsorted(off, lo):np.searchsorted(off, hi)] - lo
-                    for k, phrase, n in _tile_counts(data[lo:hi], edges, lang.encode(), longest, filt, old, words_too):
+                    for k, phrase, h, n in _tile_counts(data[lo:hi], edges, lang.encode(), longest, filt, old, words_too):
                         if k == 1:
-                            yield _rows(lang, pa.array([""]), 0, np.array([n.sum()]))
-                        yield _rows(lang, phrase.view(pa.string()), k, n)
-    rows = docs.select("lang", "text").mapInArrow(run, _COUNTED)
-    summed = rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
-    return saved(summed.where((F.col("n") >= min_count) | (F.col("k") == 0)), name)
-
-
-def _rows(lang: str, phrase: pa.Array, k: int, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrase, pa.repeat(pa.scalar(k, pa.int8()), len(n)),
-                                       pa.array(n.astype(np.int64))], ["lang", "phrase", "k", "n"])
+                            yield _packed(lang, pa.array([b""]), np.zeros(1, np.uint64), np.array([n.sum()]), shares)
+                        yield _packed(lang, phrase, h, n, shares)
+    rows = docs.select("lang", "text").mapInArrow(run, "lang string, share int, data binary, size binary, n binary")
+
+    def add(group: pa.Table) -> pa.Table:
+        size = np.frombuffer(b"".join(group["size"].to_pylist()), "<i4")
+        n = np.frombuffer(b"".join(group["n"].to_pylist()), "<i8")
+        off = np.zeros(size.size + 1, np.int32)
+        np.cumsum(size, out=off[1:])
+        data = b"".join(group["data"].to_pylist())
+        coded = pa.Array.from_buffers(pa.string(), size.size, [None, pa.py_buffer(off), pa.py_buffer(data)]).dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        total = np.add.reduceat(n[order], np.searchsorted(code[order], np.arange(len(coded.dictionary))))
+        keep = (total >= min_count) | (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) == 0)
+        phrase = coded.dictionary.filter(pa.array(keep))
+        k = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int8())
+        return pa.table([pa.repeat(group["lang"][0], len(phrase)), phrase, k, pa.array(total[keep])], ["lang", "phrase", "k", "n"])
+    return saved(rows.groupBy("lang", "share").applyInArrow(add, "lang string, phrase string, k tinyint, n long"), name)
+
+
+def _packed(lang: str, phrases: pa.Array, h: np.ndarray, n: np.ndarray, shares: int) -> pa.RecordBatch:
+    """Phrases with their counts, one row per share: their bytes, sizes (i32) and counts (i64)."""
+    share = (h >> np.uint64(32)).astype(np.int64) % shares
+    order = np.argsort(share, kind="stable")
+    share = share[order]
+    cut = np.r_[0, np.flatnonzero(np.diff(share)) + 1, share.size].tolist()
+    data, off = text_bytes(phrases.take(pa.array(order)))
+    size, n = np.diff(off).astype("<i4"), n[order].astype("<i8")
+    spans = list(zip(cut[:-1], cut[1:], strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.repeat(lang, len(spans)), pa.array(share[cut[:-1]].astype(np.int32)),
+         pa.array([data[off[a]:off[b]].tobytes() for a, b in spans], pa.binary()),
+         pa.array([size[a:b].tobytes() for a, b in spans], pa.binary()),
+         pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())], ["lang", "share", "data", "size", "n"])
 
 
 def _grown(old, phrases: DataFrame, longest: int, bits: int):
@@ -198,18 +224,20 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, min_count: int = 30, sam
     with the threshold ``sample_count``; it has no influence on the result."""
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(id_col).alias("id"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shares, fewer = (max(16, int(-(-x // SHARE_BYTES))) for x in (total, total * sample))
     part = src.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(sample * (1 << 20)))
     past = now = None
     for level in range(1, longest):
-        got = _count(part, level, now, past, level == 1, sample_count, f"phrases-sample-{level}")
+        got = _count(part, level, now, past, level == 1, sample_count, fewer, f"phrases-sample-{level}")
         past, now = now, _grown(now, got, longest, filter_bits)
-    found, past = _count(src, longest, now, None, True, min_count, "phrases-full"), now
+    found, past = _count(src, longest, now, None, True, min_count, shares, "phrases-full"), now
     while longest > 1:
         # Frequent phrases outside the bitmap are the border's failures.
         now = _grown(past, found, longest, filter_bits)
         if now is past:
             break
-        found = found.unionByName(_count(src, longest, now, past, False, min_count, "phrases-closing"))
+        found = found.unionByName(_count(src, longest, now, past, False, min_count, shares, "phrases-closing"))
         past = now
     return found
 

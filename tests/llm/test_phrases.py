@@ -96,7 +96,7 @@ def test_tiles_and_hashes():
         got = Counter()
         for lo, hi in P.tiles(cut, size):
             edges = off[np.searchsorted(off, lo):np.searchsorted(off, hi)] - lo
-            for _, phrase, n in P._tile_counts(data[lo:hi], edges, b"en", 3, full, None, True):
+            for _, phrase, _, n in P._tile_counts(data[lo:hi], edges, b"en", 3, full, None, True):
                 for p, c in zip(phrase.to_pylist(), n):
                     got[tuple(p.decode().split(" "))] += int(c)
         assert got == want
