@@ -15,10 +15,12 @@ hold it, and a block is unpacked by numpy at once. Files are written by Spark's
 file writer (each block and the footer is one binary "line"), so they are
 committed with the job, on any file system, and a lost executor leaves none behind.
 
-The tokenizers library encodes byte-level BPE texts by independent pieces: a
-single space between two visible ASCII characters always begins a new piece, so
-each distinct stretch between such spaces is encoded once per tile of text and
-its ids are put in all its places. Other tokenizers get whole texts.
+The tokenizers library encodes byte-level BPE texts by independent pieces. A single
+space between two visible characters (ASCII, or U+00C0 to U+07FF) always begins a new
+piece, and so does one of ``,.;:!?`` behind a letter of ASCII or up to U+00FF. Each distinct stretch between such places
+is encoded once per tile of text, short ones once per worker as long as they fit
+a bounded table, and its ids are put in all its places. Other tokenizers get
+whole texts.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +43,12 @@ from kbweave.llm.common import saved, text_bytes
 MAGIC = b"KBWTOK01"
 TRAILER = struct.Struct("<QQQIIH8s")
 BLOCK = 1 << 16                  # ids in a block
-TILE = 16 << 20                  # bytes of text whose stretches are encoded once
+TILE = 8 << 20                   # bytes of text whose stretches are encoded once
+CALL = 16_384                    # texts handed to the tokenizer at once
+KNOWN = 1 << 20                  # stretches that a worker remembers, of up to KNOWN_BYTES bytes
+KNOWN_BYTES = 48
+STOPS = b",.;:!?"
+_STOP = np.isin(np.arange(256), list(STOPS))
 
 
 # ------------------------------------------------------------------ packing
@@ -139,7 +148,7 @@ class Encoder:
     def __init__(self, data: bytes, end: int):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # Spark runs one task per core
         self.tok = Tokenizer.from_str(data.decode("utf-8"))
         self.end = end
@@ -149,16 +158,63 @@ class Encoder:
         spec = json.loads(data)
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []
-        self.by_piece = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.by_piece = (spec["model"].get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                          and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
                          and not spec["model"].get("dropout")
-                         and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in added))
+                         and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or not set(a["content"].encode()).isdisjoint(b" " + STOPS)
+                                 for a in added))
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = {}
+        for c in (" ", *map(chr, range(0x80, 0x800))):
+            self.alphabet.update(zip(c.encode(), spelt.pre_tokenize_str(c)[0][0], strict=True))
+        self.known, self.ids, self.ends = pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of each text's."""
-        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        parts, sizes = [], np.zeros(len(texts), np.int64)
+        for lo in range(0, len(texts), CALL):               # the library's result objects are far larger than the ids
+            got = [e.ids for e in self.tok.encode_batch_fast(texts[lo:lo + CALL], add_special_tokens=False)]
+            sizes[lo:lo + len(got)] = list(map(len, got))
+            parts.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), sizes
+
+    def _pieces(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ids``, of stretches. One of letters alone (and a space before them) is
+        one piece, which the library's model takes as it is, spelt in its byte alphabet."""
+        word, alphabet = self.tok.model.tokenize, self.alphabet
+        got: list = [None] * len(stretches)
+        rest = []
+        for i, x in enumerate(stretches):
+            letters = x[1:] if x[0] == " " else x
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0800"):
+                got[i] = [t.id for t in word(x.encode().decode("latin-1").translate(alphabet))]
+            else:
+                rest.append(i)
+        for lo in range(0, len(rest), CALL):                # the library's result objects are far larger than the ids
+            some = rest[lo:lo + CALL]
+            for i, e in zip(some, self.tok.encode_batch_fast([stretches[i] for i in some], add_special_tokens=False), strict=True):
+                got[i] = e.ids
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def _stretches(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, begin, size)``: the ids of stretch ``i`` are ``ids[begin[i]:][:size[i]]``."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(at < 0)
+        words = distinct.take(pa.array(new))
+        ids, sizes = self._pieces([x.decode("utf-8") for x in words.to_pylist()])
+        begin, size = self.ends[at], np.diff(self.ends, append=0)[at]
+        begin[new], size[new] = self.ids.size + np.cumsum(sizes) - sizes, sizes
+        both = np.concatenate([self.ids, ids])
+        short = pc.less_equal(pc.binary_length(words), KNOWN_BYTES)
+        if len(self.known) + len(words) > KNOWN:
+            self.known, self.ids, self.ends = self.known[:0], self.ids[:0], self.ends[:1]
+        if len(self.known) + len(words) <= KNOWN:
+            keep = short.to_numpy(zero_copy_only=False)
+            self.known = pa.concat_arrays([self.known, words.filter(short)])
+            self.ids = np.concatenate([self.ids, ids[np.repeat(keep, sizes)]])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes[keep])])
+        return both, begin, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by the end id, and the number of each text's."""
@@ -168,22 +224,31 @@ class Encoder:
             ids, sizes = self._ids([bytes(data[a:b]).decode("utf-8") for a, b in zip(off[:-1], off[1:], strict=True)])
         else:
             seen = (data > 0x20) & (data < 0x7F)
+            # Characters of two bytes from U+00C0 to U+07FF are no white space either.
+            lead, tail = (data >= 0xC3) & (data <= 0xDF), np.zeros(data.size, bool)
+            tail[1:] = lead[:-1]
             cut = np.zeros(data.size + 1, bool)
             if data.size > 2:
-                cut[1:-2] = (data[1:-1] == 0x20) & seen[:-2] & seen[2:]
+                cut[1:-2] = (data[1:-1] == 0x20) & (seen | tail)[:-2] & (seen | lead)[2:]
+                low = data | 0x20
+                letter = (low >= 0x61) & (low <= 0x7A)
+                letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+                cut[1:-1] |= _STOP[data[1:]] & letter[:-1]
             cut[first] = True
             start = np.flatnonzero(cut[:data.size])
             ends = np.r_[start, data.size].astype(np.int64)
             if data.size < 1 << 31:
                 parts = pa.Array.from_buffers(pa.binary(), start.size, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
             else:
-                parts = pa.Array.from_buffers(pa.large_binary(), start.size, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+                parts = pa.Array.from_buffers(pa.large_binary(), start.size, [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
             coded = parts.dictionary_encode()
-            known, n_known = self._ids([x.decode("utf-8") for x in coded.dictionary.to_pylist()])
-            begin, code = np.cumsum(n_known) - n_known, coded.indices.to_numpy(zero_copy_only=False)
-            each = n_known[code]
+            stock, begin, size = self._stretches(coded.dictionary)
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            each = size[code]
             place = np.cumsum(each) - each
-            ids = known[np.repeat(begin[code] - place, each) + np.arange(int(each.sum()))] if start.size else known
+            at = np.repeat((begin[code] - place).astype(np.int32), each)      # a tile's ids are fewer than 2**31
+            at += np.arange(at.size, dtype=np.int32)
+            ids = stock[at]
             total = np.r_[0, np.cumsum(each)]
             sizes = np.diff(total[np.searchsorted(start, off)]) if start.size else np.zeros(len(texts), np.int64)
         ends = np.cumsum(sizes)

@@ -69,8 +69,9 @@ def test_pieces_give_the_ids_of_whole_texts():
     e = Encoder(open(PATH, "rb").read(), 2)
     assert e.by_piece and not Encoder(open(WORDS, "rb").read(), 2).by_piece
     rng = np.random.default_rng(4)
-    bits = ["a", " ", "  ", "\n", "'s", "é", ".", "7", "<|endoftext|>", "the", "\t", " ", "Zq"]
+    bits = ["a", " ", "  ", "\n", "'s", "é", ".", "7", "<|endoftext|>", "the", "\t", " ", "Zq", ",", "!?", ";x", "'", "ß", "×", "÷,", "ж", "\xa0", "\u3000", "世", "\u0345", "\u2028"]
     texts = HARD + ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(2000)]
+    e.encode(pa.array(texts[::7]))                # what is known already gives the same ids
     ids, sizes = e.encode(pa.array(texts))
     at = 0
     for text, n in zip(texts, sizes):
@@ -108,3 +109,13 @@ def test_table(spark, tmp_path):
     write_tokens(docs, str(tmp_path / "t"), PATH, 2, file_bytes=1 << 17)
     got = read_index(spark, str(tmp_path / "t")).orderBy("file", "place").collect()
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == brute([tuple(r) for r in docs.collect()])
+
+
+def test_bounded_memory_of_stretches(monkeypatch):
+    from kbweave.llm import packed_tokens as K
+    monkeypatch.setattr(K, "KNOWN", 40)
+    t, e = Tokenizer.from_file(PATH), Encoder(open(PATH, "rb").read(), 2)
+    for i in range(30):
+        text = " ".join(f"w{i}x{j}" for j in range(i * 2)) + " " + "long" * 40
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids + [2] and len(e.known) <= 40
