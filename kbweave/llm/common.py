@@ -18,6 +18,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken, stem: str) -> str:
+    """A column name with this stem that is not among ``taken`` (compared without case)."""
+    low, name = {c.lower() for c in taken}, f"_{stem}"
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def shuffle_n(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

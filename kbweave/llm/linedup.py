@@ -1,107 +1,308 @@
-"""Repeated line runs, found by prefix doubling over line-ID sequences.
-
-A line's ID is a 96-bit hash of its text. The name of the ``2h`` lines from a
-place on is made of the names of the ``h`` lines there and ``h`` lines further
-on, so doubling needs no global ranking: equal names are equal runs wherever they
-stand, and ``k`` lines (any k) are two overlapping runs of the largest power of
-two below. Places whose k-line names agree form the intervals of the suffix array
-with a common prefix of k lines or more; the union of the k-line windows of an
-interval's later places is exactly what the maximal repeated runs of at least k
-lines cover, and those lines are deleted.
-
-One shuffle gives each name its first place (a partial aggregate, so a run that
-a third of all documents share is one row per task), a join marks the later
-places, and a document gets its places back by id and text hash.
+r"""Repeated line runs: suffixes of line-ID sequences, prefix doubling, LCP intervals.
+
+A line's ID is a 128-bit hash of its text; a document is the sequence of its IDs.
+Suffixes begin at every line and end with their document. The name of the ``2h`` lines
+from a place on is made of the names of the ``h`` lines there and ``h`` lines further on,
+and the name of any number of lines between ``2h`` and ``4h`` of two overlapping runs of
+``2h``; so names come from doubling alone, and equal names are equal runs wherever
+they stand. Suffixes that share a name form an interval of the suffix array whose
+common prefix has at least that many lines. Sorting is by shuffles on names; no
+interval is ever gathered in one task:
+
+1. lines that stand twice or more;
+2. doubling inside runs of such lines, until names are unique: for every place the
+   largest power of two that an earlier place shares;
+3. descent from there to the exact length, four bits a round: which of the next
+   lengths does an interval of two or more suffixes have? In an interval only
+   its first place goes on below (all others share more with it), and all of
+   them go on above; so the places of a round are those of the interval tree's nodes.
+
+What an earlier place shares with a place at most, its longest common prefix with any
+of them, is a maximal repeated run; it is deleted at the later place if it reaches the
+limits. Each round is a partial aggregate by name (a run that a third of all documents
+share is one row a task) and a join of the names that occur twice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kbweave.llm.common import fresh, saved
 
-def _combine(a: Column, b: Column) -> Column:
-    return F.struct(F.xxhash64(a["hi"], a["lo"], b["hi"], b["lo"]).alias("hi"),
-                    F.hash(a["hi"], a["lo"], b["hi"], b["lo"]).alias("lo"))
+_BITS = 4                         # of a run's length that one round of the descent settles
+_STATE = "hits binary, nodes binary"
 
 
-def _doubled(names: Column, h: int) -> Column:
-    """Names of runs of some length and the next one ``h`` places on -> names of both together."""
-    n = F.size(names) - h
-    left, right = F.slice(names, 1, F.greatest(n, F.lit(0))), F.slice(names, h + 1, F.greatest(n, F.lit(0)))
-    return F.zip_with(left, right, _combine)
+def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """Two-lane 64-bit names of pairs of two-lane names."""
+    with np.errstate(over="ignore"):
+        x = (a ^ np.uint64(0x9E3779B97F4A7C15 + salt)) * np.uint64(0xFF51AFD7ED558CCD) + b * np.array(
+            [0xC4CEB9FE1A85EC53, 0x165667B19E3779F9], np.uint64)
+        x ^= x >> np.uint64(29)
+        x = (x + x[:, ::-1] * np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
 
 
-def run_names(df: DataFrame, lines: str, out: str, k: int) -> DataFrame:
-    """Adds ``out``: the names of the k-line runs from each place on."""
-    df = df.withColumn(out, F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hi"), F.hash(x).alias("lo"))))
-    h = 1
-    while 2 * h <= k:
-        df = df.withColumn(out, _doubled(F.col(out), h))
-        h *= 2
-    return df.withColumn(out, _doubled(F.col(out), k - h)) if h < k else df
+def _levels(ids: np.ndarray, top: int) -> list[np.ndarray]:
+    """Names of the runs of 1, 2, 4 ... ``2**top`` lines from each place on (as far as they fit)."""
+    out = [ids]
+    for k in range(1, top + 1):
+        h = 1 << (k - 1)
+        if len(ids) < 2 * h:
+            break
+        out.append(_mix(out[-1][:-h], out[-1][h:], k))
+    return out
 
 
-_RESULT = T.StructType([T.StructField("text", T.StringType()),
-                        *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs"))])
+def _run_ends(repeated: np.ndarray) -> np.ndarray:
+    """For each place the end of the run of repeated lines it stands in (itself, if it is none)."""
+    n = len(repeated)
+    stop = np.where(repeated, n, np.arange(n))
+    return np.minimum.accumulate(stop[::-1])[::-1]
+
 
+def _tests(ids: np.ndarray, hits: np.ndarray | None, nodes: np.ndarray | None, step: int | None):
+    """``(pos, lines, names)`` that a document asks about in a round: ``step`` None
+    without hits the lines, with hits all doublings; else lengths of the descent."""
+    if hits is None:
+        return np.arange(len(ids)), np.ones(len(ids), np.int64), ids
+    repeated = np.zeros(len(ids), bool)
+    repeated[hits[hits[:, 1] == 1, 0]] = True
+    end = _run_ends(repeated)
+    room = end - np.arange(len(ids))
+    if step is None:
+        pos, size, names = [], [], []
+        for k, level in enumerate(_levels(ids, int(room.max(initial=1)).bit_length() - 1)[1:], 1):
+            at = np.flatnonzero(room[:len(level)] >= 1 << k)
+            pos.append(at)
+            size.append(np.full(at.size, 1 << k))
+            names.append(level[at])
+        return (np.concatenate(pos or [np.zeros(0, np.int64)]), np.concatenate(size or [np.zeros(0, np.int64)]),
+                np.concatenate(names or [ids[:0]]))
+    p, t, m = nodes[:, 0], nodes[:, 1], nodes[:, 2]
+    levels = _levels(ids, int(t.max(initial=0)))
+    pos, size, names = [], [], []
+    for k in np.unique(t[t > step]).tolist():
+        own = np.flatnonzero(t == k)
+        for i in range(1, min(1 << _BITS, 1 << (k - step))):
+            length = m[own] + (i << step)
+            fits = own[length <= room[p[own]]]
+            q, want = p[fits], m[fits] + (i << step)
+            pos.append(q)
+            size.append(want)
+            names.append(_mix(levels[k][q], levels[k][q + want - (1 << k)], 64) ^ want.astype(np.uint64)[:, None])
+    if not pos:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), ids[:0]
+    # A place may stand in several nodes that ask about the same run.
+    pos, size, names = np.concatenate(pos), np.concatenate(size), np.concatenate(names)
+    _, one = np.unique(pos * (1 << 32) + size, return_index=True)
+    return pos[one], size[one], names[one]
 
-@F.pandas_udf(_RESULT)
-def _without(text: pd.Series, starts: pd.Series, k: pd.Series) -> pd.DataFrame:
+
+def _first_nodes(hits: np.ndarray) -> np.ndarray:
+    """Nodes ``(pos, level, lines, later)`` to begin the descent with: from the highest
+    power of two that an earlier place shares up to the highest that any place shares."""
+    level = np.frexp(hits[:, 1].astype(np.float64))[1] - 1
+    top, low = (np.full(int(hits[:, 0].max(initial=-1)) + 1, -1) for _ in range(2))
+    np.maximum.at(top, hits[:, 0], level)
+    np.maximum.at(low, hits[:, 0], np.where(hits[:, 2] == 1, level, -1))
+    begin = np.maximum(low, 0)
+    each = np.maximum(top - begin + 1, 0)
+    pos = np.repeat(np.arange(len(top)), each)
+    k = np.arange(len(pos)) - np.repeat(np.cumsum(each) - each, each) + begin[pos]
+    return np.stack([pos, k, 1 << k, (k == low[pos]).astype(np.int64)], axis=1)
+
+
+def _descend(nodes: np.ndarray, hits: np.ndarray, step: int) -> np.ndarray:
+    """Nodes after a round: a place stays where it is the first of every longer
+    interval, and stands in every longer interval it is in up to the longest."""
+    said = {(int(p), int(m)): int(later) for p, m, later in hits}
     out = []
-    for t, s, kk in zip(text, starts, k, strict=True):
-        parts = (t or "").split("\n")
-        if s is None or not len(s):
-            out.append((t, len(parts), 0, 0))
+    for p, t, m, later in nodes.tolist():
+        if t <= step:
+            out.append((p, t, m, later))
             continue
-        gone = np.zeros(len(parts) + 1, bool)
-        gone[(np.asarray(s)[:, None] + np.arange(kk)).ravel()] = True
-        runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
-        out.append(("\n".join(p for p, g in zip(parts, gone, strict=False) if not g), len(parts), int(gone.sum()), runs))
-    return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_runs"])
+        now, flag, above = m, later, []
+        for i in range(1, min(1 << _BITS, 1 << (t - step))):
+            got = said.get((p, m + (i << step)))
+            if got is None:
+                break
+            if got:
+                now, flag = m + (i << step), 1
+            else:
+                above.append((p, t, m + (i << step), 0))
+        out.append((p, t, now, flag))
+        out += above
+    return np.unique(np.array(out, np.int64).reshape(-1, 4), axis=0)
+
+
+def _ints(x, width: int) -> np.ndarray | None:
+    return None if x is None else np.frombuffer(x, "<i8").reshape(-1, width)
+
+
+def _round(state: DataFrame, step: int | None, first: bool, name: str) -> DataFrame:
+    """One round over the documents' ``(id, h, ids, lens, hits, nodes)``."""
+    id_t = state.schema["id"].dataType.simpleString()
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                rows, pos, size, hi, low = [], [], [], [], []
+                for i, (ids, hits, nodes) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
+                    p, n, names = _tests(np.frombuffer(ids, "<u8").reshape(-1, 2), None if first else _ints(hits, 3), _ints(nodes, 4), step)
+                    rows.append(np.full(len(p), i))
+                    pos.append(p)
+                    size.append(n)
+                    hi.append(names[:, 0])
+                    low.append(names[:, 1])
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(pos)), pa.array(np.concatenate(size).astype(np.int64)),
+                     pa.array(np.concatenate(hi).view(np.int64)), pa.array(np.concatenate(low).view(np.int64))], ["id", "h", "pos", "n", "hi", "lo"])
+    asked = state.select("id", "h", "ids", "hits", "nodes").mapInArrow(ask, f"id {id_t}, h long, pos long, n long, hi long, lo long")
+    place = F.struct("id", "h", "pos")
+    twice = (asked.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first"))
+             .where(F.col("c") > 1).select("hi", "lo", "first"))
+    said = (asked.join(twice, ["hi", "lo"]).select("id", "h", "pos", "n", (~place.eqNullSafe(F.col("first"))).cast("long").alias("later"))
+            .groupBy("id", "h").agg(F.collect_list(F.struct("pos", "n", "later")).alias("said")))
+    s, a = state.alias("s"), said.alias("a")
+    joined = s.join(a, F.col("s.id").eqNullSafe(F.col("a.id")) & (F.col("s.h") == F.col("a.h")), "inner" if first else "left") \
+        .select("s.id", "s.h", "s.ids", "s.lens", "s.hits", "s.nodes", "a.said")
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 50, id_col: str = "doc_id",
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits_out, nodes_out = [], []
+            said = b.column(6)
+            off = said.offsets.to_numpy()
+            flat = np.stack([said.values.field(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            for i, (hits, nodes) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                got = flat[off[i]:off[i + 1]].astype("<i8")
+                if first:
+                    hits_out.append(got.tobytes())
+                    nodes_out.append(None)
+                elif step is None:
+                    nodes_out.append(_first_nodes(np.concatenate([_ints(hits, 3), got])).astype("<i8").tobytes())
+                    hits_out.append(hits)
+                else:
+                    nodes_out.append(_descend(_ints(nodes, 4), got, step).astype("<i8").tobytes())
+                    hits_out.append(hits)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(hits_out, pa.binary()), pa.array(nodes_out, pa.binary())],
+                                             ["id", "h", "ids", "lens", "hits", "nodes"])
+    return saved(joined.mapInArrow(settle, f"id {id_t}, h long, ids binary, lens binary, {_STATE}"), name)
+
+
+def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, h, lens, runs)`` of every document with a repeated line (``h``: hash of the
+    text): ``runs`` packs ``(place, lines)`` pairs (i64), the longest run from each
+    place on that also begins at an earlier place. Documents go by id (null
+    first), then text hash; rows equal in both are one document."""
+    id_t = docs.schema[id_col].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lens = [], []
+            for t in b.column(2).to_pylist():
+                lines = t.split("\n")
+                ids.append(b"".join(xxhash.xxh3_128_digest(x) for x in lines))
+                lens.append(np.fromiter(map(len, lines), "<i4", len(lines)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(lens, pa.binary()),
+                                              pa.nulls(b.num_rows, pa.binary()), pa.nulls(b.num_rows, pa.binary())],
+                                             ["id", "h", "ids", "lens", "hits", "nodes"])
+    src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"),
+                                                         F.col(text_col).cast("string").alias("t"))
+    cutted = saved(src.mapInArrow(cut, f"id {id_t}, h long, ids binary, lens binary, {_STATE}"), "line-ids")
+    state = _round(cutted.dropDuplicates(["id", "h"]), None, True, "line-names")
+    state = _round(state, None, False, "line-doublings")
+
+    @F.pandas_udf("long")
+    def level(col: pd.Series) -> pd.Series:
+        return col.map(lambda x: int(_ints(x, 4)[:, 1].max(initial=0)))
+    top = state.agg(F.max(level("nodes"))).first()[0] or 0
+    for step in range((max(top, 1) - 1) // _BITS * _BITS, -1, -_BITS):
+        if top > step:
+            state = _round(state, step, False, f"line-descent-{step}")
+
+    @F.pandas_udf("binary")
+    def runs(col: pd.Series) -> pd.Series:
+        def one(x):
+            n = _ints(x, 4)
+            n = n[n[:, 3] == 1]
+            n = n[np.lexsort((-n[:, 2], n[:, 0]))]
+            keep = np.r_[True, n[1:, 0] != n[:-1, 0]] if len(n) else np.zeros(0, bool)
+            return np.ascontiguousarray(n[keep][:, [0, 2]], "<i8").tobytes()
+        return col.map(one)
+    return state.select("id", "h", "lens", runs("nodes").alias("runs"))
+
+
+def deleted(lens: np.ndarray, runs: np.ndarray, min_lines: int, min_chars: int) -> np.ndarray:
+    """Mask of a document's lines that a run within the limits covers."""
+    total = np.r_[0, np.cumsum(lens, dtype=np.int64)]
+    end = runs[:, 0] + runs[:, 1]
+    ok = (runs[:, 1] >= min_lines) & (total[end] - total[runs[:, 0]] >= min_chars)
+    edge = np.zeros(len(lens) + 1, np.int64)
+    np.add.at(edge, runs[ok, 0], 1)
+    np.add.at(edge, end[ok], -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+_RESULT = T.StructType([T.StructField("text", T.StringType()),
+                        *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs"))])
+
+
+def drop_repeated_lines(docs: DataFrame, min_lines: int = 1, min_chars: int = 50, id_col: str = "doc_id",
                         text_col: str = "text", chars_col: str | None = "n_chars", report: bool = False) -> DataFrame:
-    r"""``docs`` with the later copies of repeated line runs deleted from its text.
+    r"""``docs`` with the later copies of maximal repeated line runs deleted from its text.
 
-    Lines are ``\n``-split. A window of ``min_lines`` lines with ``min_chars`` code
-    points or more in all (line breaks not counted) is deleted when an equal one
-    stands earlier, in the same document or one before it; documents go by id
-    (null first), equal ids by text hash. Windows are judged on the input.
+    Lines are ``\n``-split. For every line the longest run from it on that begins at an
+    earlier place too (in the same document or one before it) is deleted if it has
+    ``min_lines`` lines and ``min_chars`` code points or more (line breaks not
+    counted); one long line is a run. Runs are judged on the input and may overlap.
+    Documents go by id (null first), equal ids by text hash.
     Rows equal in id and text are one document and keep the same lines. A text of
     which every line goes becomes empty; a null text stays null; an empty table
-    stays empty. Other columns stay; ``chars_col``, if the table has it, becomes
-    the new length of a changed text. ``report`` adds n_lines, n_removed and
-    n_runs (maximal deleted runs), replacing columns of those names."""
-    lines = F.split(F.col(text_col), "\n")
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), lines.alias("lines"))
-    base = run_names(base.withColumn("len", F.transform("lines", F.length)), "lines", "names", min_lines)
-    total = F.lit(0)
-    for i in range(min_lines):
-        total = total + F.try_element_at("len", F.col("pos") + (i + 1))
-    places = (base.select("id", "h", "len", F.posexplode("names").alias("pos", "name"))
-              .where(total >= min_chars).select("name", "id", "h", "pos"))
-    at = F.struct("id", "h", "pos")
-    first = (places.groupBy("name").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-             .where(F.col("first") != F.col("last")).select("name", "first"))
-    later = (places.join(first, "name").where(~at.eqNullSafe(F.col("first")))
-             .groupBy("id", "h").agg(F.collect_set("pos").alias("starts")))
-    joined = docs.join(later, docs[id_col].eqNullSafe(later["id"]) & (F.xxhash64(docs[text_col]) == later["h"]), "left")
-    new = {c: F.col(f"_new.{c}") for c in ("n_lines", "n_removed", "n_runs")} if report else {}
+    stays empty. Other columns stay, whatever their names; ``chars_col``, if the table
+    has it, becomes the new length of a changed text. ``report`` adds n_lines,
+    n_removed and n_runs (maximal deleted spans), replacing columns of those names.
+    A document's line IDs (16 bytes a line) and its nodes are held by one task."""
+    @F.pandas_udf("binary")
+    def gone(lens: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([np.packbits(deleted(np.frombuffer(a, "<i4"), _ints(r, 2), min_lines, min_chars)).tobytes()
+                          for a, r in zip(lens, runs, strict=True)], dtype=object)
+
+    @F.pandas_udf(_RESULT)
+    def without(text: pd.Series, mask: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, m in zip(text, mask, strict=True):
+            parts = (t or "").split("\n")
+            if m is None or t is None:
+                out.append((t, len(parts), 0, 0))
+                continue
+            g = np.unpackbits(np.frombuffer(m, np.uint8), count=len(parts)).astype(bool)
+            spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0])
+            out.append(("\n".join(p for p, x in zip(parts, g, strict=True) if not x), len(parts), int(g.sum()), spans))
+        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_runs"])
+    found = maximal_runs(docs, id_col, text_col)
+    key, hsh, mask, new = (fresh(docs.columns, c) for c in ("id", "h", "mask", "new"))
+    found = found.where(F.length("runs") > 0).select(F.col("id").alias(key), F.col("h").alias(hsh), gone("lens", "runs").alias(mask))
+    joined = docs.join(found, docs[id_col].eqNullSafe(found[key]) & (F.xxhash64(docs[text_col]) == found[hsh]), "left")
+    made = ("n_lines", "n_removed", "n_runs") if report else ()
     cols = []
     for c in docs.columns:
-        if c in new:
+        if c in made:
             continue
         if c == text_col:
-            cols.append(F.col("_new.text").alias(c))
+            cols.append(F.col(f"{new}.text").alias(c))
         elif c == chars_col:
-            changed = F.length("_new.text").cast(docs.schema[c].dataType)
-            cols.append(F.when(F.col("_new.n_removed") > 0, changed).otherwise(docs[c]).alias(c))
+            cols.append(F.when(F.col(f"{new}.n_removed") > 0, F.length(f"{new}.text").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
         else:
             cols.append(docs[c])
-    return (joined.withColumn("_new", _without(docs[text_col], later["starts"], F.lit(min_lines)))
-            .select(*cols, *[x.alias(c) for c, x in new.items()]))
+    return joined.withColumn(new, without(docs[text_col], found[mask])).select(*cols, *[F.col(f"{new}.{c}").alias(c) for c in made])

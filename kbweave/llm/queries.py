@@ -86,15 +86,23 @@ def op1_quality_classifier(spark, sf):
                                       load_table(spark, sf, "labels"))
 
 
+# Longest run from each line on that begins at an earlier line too: all pairs of
+# equal lines, followed as long as the next ones are equal.
 @query("op9_line_dedup", """
-WITH l AS (
+WITH RECURSIVE l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM l),
-r AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, pos) AS nr
-  FROM w WHERE nxt IS NOT NULL AND length(line) + length(nxt) >= 50),
-d AS (SELECT DISTINCT doc_id, pos + x AS pos FROM (SELECT doc_id, pos, unnest([0, 1]) AS x FROM r WHERE nr > 1)),
+same AS (
+  SELECT a.doc_id AS d, a.pos AS p, b.doc_id AS e, b.pos AS q, 1 AS n FROM l a JOIN l b
+    ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.pos < a.pos))
+  UNION ALL
+  SELECT s.d, s.p, s.e, s.q, s.n + 1 FROM same s
+    JOIN w x ON x.doc_id = s.d AND x.pos = s.p + s.n - 1 JOIN w y ON y.doc_id = s.e AND y.pos = s.q + s.n - 1 AND x.nxt = y.nxt),
+r AS (SELECT d AS doc_id, p, max(n) AS n FROM same GROUP BY ALL),
+ok AS (SELECT r.doc_id, p, n FROM r JOIN l ON l.doc_id = r.doc_id AND l.pos BETWEEN p AND p + n - 1
+       GROUP BY ALL HAVING sum(length(line)) >= 50),
+d AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS pos FROM ok),
 m AS (SELECT l.doc_id, l.pos, l.line, d.pos IS NOT NULL AS gone,
              d.pos IS NOT NULL AND NOT coalesce(lag(d.pos IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.pos), false) AS head
       FROM l LEFT JOIN d ON l.doc_id = d.doc_id AND l.pos = d.pos),
@@ -102,9 +110,9 @@ g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, c
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, n_runs, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM g""")
 def op9_line_dedup(spark, sf):
-    """All documents without the later copies of repeated runs of two lines or more."""
+    """All documents without the later copies of maximal repeated line runs of 50 characters or more."""
     docs = load_table(spark, sf, "documents", ["doc_id", "text"])
-    out = linedup.drop_repeated_lines(docs, min_lines=2, min_chars=50, report=True)
+    out = linedup.drop_repeated_lines(docs, min_lines=1, min_chars=50, report=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.length("text").cast("long").alias("kept_chars"),
                       F.sha2("text", 256).alias("kept_sha256"))
 
