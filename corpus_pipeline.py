@@ -24,8 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the later copies of repeated runs of two lines or more."""
-    return linedup.drop_repeated_lines(docs, min_lines=2, min_chars=50)
+    """All documents, without the later copies of maximal repeated line runs of 50 characters or more."""
+    return linedup.drop_repeated_lines(docs, min_lines=1, min_chars=50)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
