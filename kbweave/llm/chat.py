@@ -78,10 +78,10 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
                      F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     plain = F.col("plain")
     t = t.withColumn("plain", _reads_back(F.col("role"), F.col("text")))
-    t = t.select("conv", "turn", (F.col("role") == learn).alias("learn"), F.xxhash64("role", "text").alias("h"),
+    t = t.select("conv", "turn", "role", "text", (F.col("role") == learn).alias("learn"), F.xxhash64("role", "text").alias("h"),
                  F.when(plain, F.col("role")).otherwise(escape_role(F.col("role"))).alias("r"),
                  F.when(plain, F.col("text")).otherwise(escape(F.col("text"))).alias("b"))
-    order = W.partitionBy("conv").orderBy("turn", "r", "b")
+    order = W.partitionBy("conv").orderBy("turn", "role", "text")     # as in the source, not as escaped
     size = F.length("r") + F.length("b") + F.lit(len(START) + len(END) + 2)
     t = (t.withColumn("no", F.row_number().over(order))
          .withColumn("start", F.sum(size.cast("long")).over(order.rowsBetween(W.unboundedPreceding, -1))))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbweave.llm.common import fresh
 from kbweave.llm.textvec import slices
 from kbweave.llm.webpages import PageMaker
 
@@ -344,7 +345,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str =
     names are replaced; an empty table stays empty. No shuffle."""
     shared = pages.sparkSession.sparkContext.broadcast((net or trained()).w)
     keep = [c for c in pages.columns if c not in (html_col, text_col, chars_col)]
-    src = pages.select(*keep, F.col(html_col).cast("string").alias("_html"))
+    src = pages.select(*keep, F.col(html_col).cast("string").alias(fresh(pages.columns, "html")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[:-1]), f"`{text_col}` string", f"`{chars_col}` long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

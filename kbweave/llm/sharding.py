@@ -19,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kbweave.llm.common import fresh
+
 TABLE_SIZE = 65537
 MAX_TABLE = 1 << 22
 
@@ -66,15 +68,17 @@ def place(df: DataFrame, key: str, shards: Sequence[str] | Mapping[str, int], si
 
     Equal keys always share a shard; a null key hashes like any value and all
     null keys share one shard. Repeated rows stay, an empty table stays empty,
-    and existing columns of the two output names are replaced."""
+    and existing columns of the two output names are replaced, whatever the others
+    are called."""
     spark = df.sparkSession
     names = sorted(shards)
     own = build_table(shards, size)
-    owners = spark.createDataFrame([(i, names[s]) for i, s in enumerate(own)], "_slot int, _shard string")
+    at, to = fresh(df.columns, "slot"), fresh(df.columns, "shard")
+    owners = spark.createDataFrame([(i, names[s]) for i, s in enumerate(own)], f"`{at}` int, `{to}` string")
     rest = [F.col(c) for c in df.columns if c not in (slot_col, shard_col)]
-    keyed = df.select(*rest, slot(F.col(key), size).alias("_slot"))
-    return (keyed.join(F.broadcast(owners), "_slot")
-            .select(*rest, F.col("_slot").alias(slot_col), F.col("_shard").alias(shard_col)))
+    keyed = df.select(*rest, slot(F.col(key), size).alias(at))
+    return (keyed.join(F.broadcast(owners), at)
+            .select(*rest, F.col(at).alias(slot_col), F.col(to).alias(shard_col)))
 
 
 def write_shards(df: DataFrame, key: str, shards: Sequence[str] | Mapping[str, int], path: str,

@@ -89,3 +89,8 @@ def test_given_pages(spark, net):
     assert {k: r["text"] for k, r in got.items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert extract_main_text(pages.limit(0), net=net).count() == 0
+
+
+def test_clashing_column(spark, net):
+    df = spark.createDataFrame([(1, "<article><p>some words here</p></article>", "keep")], "page_id long, html string, _html string")
+    assert extract_main_text(df, net=net).first()["_html"] == "keep"

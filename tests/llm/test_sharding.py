@@ -47,3 +47,32 @@ def test_write(spark, tmp_path):
     df = spark.createDataFrame([(i, "x") for i in range(200)], "doc_id long, text string")
     write_shards(df, "doc_id", NAMES, str(tmp_path / "out"), 251)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+
+
+def filled(names, size):
+    """The table filled slot by slot: every shard's whole permutation is written out, turns are counted off."""
+    import hashlib
+    order = []
+    for n in names:
+        d = hashlib.sha256(n.encode()).hexdigest()
+        first, skip = int(d[:16], 16) % size, int(d[16:32], 16) % (size - 1) + 1
+        order.append([(first + i * skip) % size for i in range(size)])
+        assert sorted(order[-1]) == list(range(size))
+    owner, turn = {}, 0
+    while len(owner) < size:
+        who = turn % len(names)
+        slot = next(s for s in order[who] if s not in owner)
+        owner[slot] = who
+        turn += 1
+    return [owner[s] for s in range(size)]
+
+
+def test_table_against_written_out_permutations():
+    for names, size in ((sorted(NAMES), 251), (["a"], 3), (["x", "y", "zz"], 101)):
+        assert build_table(names, size) == filled(names, size)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, _slot string, _shard string, __ string")
+    got = place(df, "doc_id", NAMES, 251)
+    assert got.columns == ["doc_id", "_slot", "_shard", "__", "slot", "shard"] and tuple(got.first())[1:4] == ("a", "b", "c")
