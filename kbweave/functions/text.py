@@ -41,6 +41,12 @@ def tokens(col) -> Column:
     return F.array_remove(F.split(F.lower(_c(col)), TOKEN_SPLIT), "")
 
 
+def py_tokens(text: str) -> list[str]:
+    """``tokens`` of one text in Python."""
+    import regex
+    return [t for t in regex.split(TOKEN_SPLIT, text.lower()) if t]
+
+
 def token_lists(texts) -> Column:
     """``tokens`` of every text of an array."""
     return F.transform(_c(texts), tokens)

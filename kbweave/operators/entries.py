@@ -3,14 +3,15 @@ validation, quarantine and batch status counts. All row-local expressions."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kbweave.config import REQUIRED_ENTRY_FIELDS
+from kbweave.functions import strictjson as J
+from kbweave.functions.strictjson import FENCE
 from kbweave.schemas import ENTRY
 
-FENCE = "```"
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -24,38 +25,35 @@ def clean_fence(s) -> Column:
     return F.when(s.startswith(FENCE), F.array_join(kept, "\n")).otherwise(s)
 
 
-def strict_json(s) -> Column:
-    """Exactly one JSON value and nothing else (trailing text rejected).
-
-    ``[s]`` must hold one element and ``[s,0]`` two: text that closes the
-    wrapper early (``{..}],[{..}``) makes both probes stop at the same first
-    array, so it cannot pass both."""
-    one = F.json_array_length(F.concat(F.lit("["), _c(s), F.lit("]")))
-    two = F.json_array_length(F.concat(F.lit("["), _c(s), F.lit(",0]")))
-    return F.coalesce((one == 1) & (two == 2), F.lit(False))
+REPLY = T.StructType([T.StructField("status", T.StringType()), T.StructField("entry", ENTRY)])
 
 
-def has_fields(s, fields=REQUIRED_ENTRY_FIELDS) -> Column:
-    """Key presence only (a null value passes); the value must be an object."""
-    keys = F.json_object_keys(_c(s))
-    return F.coalesce(F.forall(F.array(*[F.lit(f) for f in fields]),
-                               lambda k: F.array_contains(keys, k)), F.lit(False))
+@F.arrow_udf(REPLY)
+def _parsed(col: pa.Array) -> pa.Array:
+    out = []
+    for s in col.to_pylist():
+        status, value = ("bad_json", None) if s is None else J.read(s)
+        out.append({"status": status, "entry": J.entry(value) if status == "ok" else None})
+    return pa.array(out, pa.struct([("status", pa.string()), ("entry", pa.struct([
+        ("title", pa.string()), ("content", pa.string()),
+        ("links", pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())])))]))]))
 
 
 def entry_status(s) -> Column:
-    s = _c(s)
-    return (F.when(~strict_json(s), "bad_json")
-            .when(F.json_object_keys(s).isNull(), "not_object")
-            .when(~has_fields(s), "missing_fields")
-            .otherwise("ok"))
+    """ok, bad_json, not_object or missing_fields (see ``functions.strictjson``); null is bad_json."""
+    return _parsed(_c(s))["status"]
+
+
+def has_fields(s) -> Column:
+    """Key presence only (a null value passes); the value must be an object."""
+    return entry_status(s) == "ok"
 
 
 def parse_replies(df: DataFrame, reply_col: str = "reply") -> DataFrame:
     """Adds ``json`` (cleaned), ``status`` and the parsed ``entry`` struct."""
-    j = clean_fence(reply_col)
-    return (df.withColumn("json", j)
-            .withColumn("status", entry_status("json"))
-            .withColumn("entry", F.when(F.col("status") == "ok", F.from_json("json", ENTRY))))
+    named = df.withColumn("json", clean_fence(reply_col)).withColumn("_p", _parsed("json"))
+    return named.select(*[c for c in named.columns if c not in ("_p", "status", "entry")], F.col("_p.status").alias("status"),
+                        F.col("_p.entry").alias("entry"))
 
 
 def split_quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

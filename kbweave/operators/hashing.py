@@ -87,3 +87,13 @@ def dense_texts_udf(dim: int):
                             for t in toks])
             yield pd.Series(out)
     return lambda texts: dense(token_lists(texts))
+
+
+def hashed_vectors(dim: int):
+    """The default embedder as a callable ``list[str] -> list[vector]``."""
+    def embed(texts: list[str]) -> list[np.ndarray]:
+        from kbweave.functions.text import py_tokens
+        h = TokenBuckets(dim)
+        return [np.bincount(h(t), minlength=dim).astype(np.float32) if t else np.zeros(dim, np.float32)
+                for t in map(py_tokens, texts)]
+    return embed

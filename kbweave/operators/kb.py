@@ -13,15 +13,21 @@ from kbweave.functions.text import tokens
 ORD_DIGITS = 10   # digits of ``ord`` in a document id (ord 0 title, 1 content, 2.. links)
 
 
-def entry_ok(entry: str = "entry") -> Column:
-    """Entry-level atomicity: one bad part (null title/content/links, or a link
-    without text or url) rejects the whole entry, decided on the entry row
+def reject_reason(entry: str = "entry") -> Column:
+    """Why an entry cannot be stored: ``null_title``, ``null_content``, ``null_links``,
+    ``link_without_text`` or ``link_without_url`` (the first that holds), null if it
+    can. Atomicity: one bad part rejects the whole entry, decided on the entry row
     itself, before it is expanded, so no window or shuffle is needed."""
     e = F.col(entry)
-    return F.coalesce(
-        e["title"].isNotNull() & e["content"].isNotNull() & e["links"].isNotNull()
-        & F.forall(e["links"], lambda l: l["text"].isNotNull() & l["url"].isNotNull()),
-        F.lit(False))
+    none = F.lit(False)
+    return (F.when(e["title"].isNull(), "null_title").when(e["content"].isNull(), "null_content")
+            .when(e["links"].isNull(), "null_links")
+            .when(F.coalesce(F.exists(e["links"], lambda x: x["text"].isNull()), none), "link_without_text")
+            .when(F.coalesce(F.exists(e["links"], lambda x: x["url"].isNull()), none), "link_without_url"))
+
+
+def entry_ok(entry: str = "entry") -> Column:
+    return reject_reason(entry).isNull()
 
 
 def expand_entries(df: DataFrame, key: str = "page_id", entry: str = "entry", vectors: str | None = None) -> DataFrame:
@@ -44,52 +50,82 @@ def expand_entries(df: DataFrame, key: str = "page_id", entry: str = "entry", ve
     return df.select(key, F.inline(parts)).select(doc_id.alias("doc_id"), key, *cols)
 
 
+class WrongDimension(ValueError):
+    """An embedder's vector has another length than the table's."""
+
+
+VECTORS = T.StructType([T.StructField("vectors", T.ArrayType(T.ArrayType(T.FloatType()))), T.StructField("error", T.StringType())])
+
+
 def embed_entries(df: DataFrame, dim: int, fn=None, entry: str = "entry", batch_size: int = 256) -> DataFrame:
-    """Adds ``vectors``: one embedding per title, content and link of an entry.
+    """Adds ``vectors``, one embedding per title, content and link of an entry, and
+    ``vector_error``. Entries that cannot be stored anyway are not embedded.
 
     ``fn(list[str]) -> list[vector]`` is called with at most ``batch_size`` texts;
     the default hashes term frequencies. An entry any of whose texts cannot be
-    embedded, or whose vectors have another dimension than ``dim``, gets null and
-    is to be rejected whole: when a call fails, its entries are tried one by one."""
+    embedded (``embedding_failed``), or whose vectors have another dimension than
+    ``dim`` (``wrong_dimension``), has null vectors and is to be rejected whole: when a
+    call fails, its entries are tried one by one."""
     e = F.col(entry)
-    texts = F.concat(F.array(e["title"], e["content"]), F.transform(e["links"], lambda l: l["text"]))
+    texts = F.when(entry_ok(entry), F.concat(F.array(e["title"], e["content"]), F.transform(e["links"], lambda x: x["text"])))
     if fn is None:
         from kbweave.operators.hashing import dense_texts_udf
-        return df.withColumn("vectors", dense_texts_udf(dim)(texts))
+        return df.withColumn("vectors", dense_texts_udf(dim)(texts)).withColumn("vector_error", F.lit(None).cast("string"))
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
-    def embed(col: pd.Series) -> pd.Series:
+    @F.pandas_udf(VECTORS)
+    def embed(col: pd.Series) -> pd.DataFrame:
         def call(some: list[str]):
             out = []
             for i in range(0, len(some), batch_size):
                 part = some[i:i + batch_size]
                 got = [[float(x) for x in v] for v in fn(part)]
-                if len(got) != len(part) or any(len(v) != dim for v in got):
-                    raise ValueError("the embedder gave another number or size of vectors")
+                if len(got) != len(part):
+                    raise ValueError("the embedder gave another number of vectors")
+                if any(len(v) != dim for v in got):
+                    raise WrongDimension
                 out += got
             return out
 
         def alone(entry_texts):
             try:
-                return call(list(entry_texts))
+                return call(list(entry_texts)), None
+            except WrongDimension:
+                return None, "wrong_dimension"
             except Exception:  # noqa: BLE001 - a failed embedding rejects its entry
-                return None
+                return None, "embedding_failed"
         rows = [None if v is None else list(v) for v in col]
-        flat = [t for v in rows if v is not None for t in v]
         try:
-            vecs = iter(call(flat))
-            return pd.Series([None if v is None else [next(vecs) for _ in v] for v in rows])
+            vecs = iter(call([t for v in rows if v is not None for t in v]))
+            out = [(None if v is None else [next(vecs) for _ in v], None) for v in rows]
         except Exception:  # noqa: BLE001
-            return pd.Series([None if v is None else alone(v) for v in rows])
-    return df.withColumn("vectors", embed(texts))
+            out = [(None, None) if v is None else alone(v) for v in rows]
+        return pd.DataFrame(out, columns=["vectors", "error"])
+    got = df.withColumn("_v", embed(texts))
+    return got.withColumn("vectors", F.col("_v.vectors")).withColumn("vector_error", F.col("_v.error")).drop("_v")
+
+
+def judged(entries: DataFrame, dim: int, embed=None) -> DataFrame:
+    """Entries with ``vectors`` and ``reason`` (null: to be stored). Write it once, then
+    take ``stored_rows`` and ``rejected`` from it."""
+    out = embed_entries(entries, dim, embed).withColumn("reason", F.coalesce(reject_reason(), F.col("vector_error")))
+    return out.drop("vector_error")
+
+
+def stored_rows(judged_entries: DataFrame) -> DataFrame:
+    """Knowledge-base rows of the entries without a reason against them."""
+    from kbweave.operators.partitioning import gate
+    return expand_entries(gate(judged_entries, F.col("reason").isNull()), vectors="vectors")
+
+
+def rejected(judged_entries: DataFrame, key: str = "page_id") -> DataFrame:
+    """``(key, reason, entry)`` of the entries that are not stored."""
+    return judged_entries.where(F.col("reason").isNotNull()).select(key, "reason", "entry")
 
 
 def kb_rows(entries: DataFrame, dim: int, embed=None) -> DataFrame:
     """Entries -> stored rows with embeddings; an entry with any bad part or any
     text that cannot be embedded is rejected whole."""
-    from kbweave.operators.partitioning import gate
-    good = embed_entries(gate(entries, entry_ok("entry")), dim, embed)
-    return expand_entries(gate(good, F.col("vectors").isNotNull()), vectors="vectors")
+    return stored_rows(judged(entries, dim, embed))
 
 
 def entries_struct(df: DataFrame) -> DataFrame:

@@ -907,3 +907,214 @@ def kb_append_dedup(spark, sf):
     for _ in range(2):
         J.ingest(spark, load_table(spark, sf, "pages"), path, dedup=True)
     return spark.read.parquet(path).drop("embedding")
+
+
+# ------------------------------------ strict replies, rejections, stores, files
+
+_HOSTILE = 8      # kinds of replies that json_strict makes of the pages
+
+
+def _hostile(entries: DataFrame) -> DataFrame:
+    """A reply per page, of the kind that its id says: what a JSON parser may take by mistake."""
+    k = F.col("page_id") % _HOSTILE
+    t = F.regexp_replace("title", r"[^A-Za-z0-9 ]", "")
+    whole = F.concat(F.lit('{"title":"'), t, F.lit('","content":"c","links":[]}'))
+    return entries.select("page_id", F.when(k == 1, F.replace(whole, F.lit('"'), F.lit("'")))
+                          .when(k == 2, F.concat(F.lit('[["title","'), t, F.lit('"],["content","c"],["links",[]]]')))
+                          .when(k == 3, F.replace(whole, F.lit('"c"'), F.lit("NaN")))
+                          .when(k == 4, F.replace(whole, F.lit('{"title"'), F.lit('{"title":"first","title"')))
+                          .when(k == 5, F.concat(whole, F.lit(" and more")))
+                          .when(k == 6, F.concat(whole, F.lit('],[{"x":1}')))
+                          .when(k == 7, F.replace(whole, F.lit('"links":[]'), F.lit('"links":null'))).otherwise(whole).alias("reply"))
+
+
+@query("json_strict", f"""
+SELECT page_id, CASE page_id % {_HOSTILE} WHEN 0 THEN 'ok' WHEN 4 THEN 'ok' WHEN 7 THEN 'ok' WHEN 2 THEN 'not_object' ELSE 'bad_json' END AS status,
+       CASE WHEN page_id % {_HOSTILE} IN (0, 4, 7) THEN regexp_replace(title, '[^A-Za-z0-9 ]', '', 'g') END AS title
+FROM ({_ENTRY_SQL})""")
+def json_strict(spark, sf):
+    """Single quotes, pairs, NaN, repeated keys, trailing text and closed wrappers, parsed strictly."""
+    p = EN.parse_replies(_hostile(X.page_entries(_pages(spark, sf))))
+    return p.select("page_id", "status", F.col("entry.title").alias("title"))
+
+
+def _touchy(texts):
+    """Embedder that fails on some titles and gives others a vector of the wrong size."""
+    if any(len(t) % 7 == 3 for t in texts):
+        raise ValueError("refused")
+    return [[1.0] * (P.text_dim + (len(t) % 11 == 5)) for t in texts]
+
+
+@query("kb_rejected", f"""
+WITH {_REPLY_SQL},
+ok AS (SELECT page_id, json ->> 'title' AS title, json ->> 'content' AS content, json -> '$.links' AS lj FROM st WHERE status = 'ok'),
+li AS (SELECT page_id, i, lj -> ('$[' || (i - 1) || ']') AS lk
+       FROM (SELECT page_id, lj, unnest(generate_series(1, CASE WHEN json_type(lj) = 'ARRAY' THEN CAST(json_array_length(lj) AS BIGINT) ELSE 0 END)) AS i FROM ok)),
+texts AS (SELECT page_id, title AS t FROM ok UNION ALL SELECT page_id, content FROM ok UNION ALL SELECT page_id, lk ->> 'text' FROM li),
+f AS (SELECT page_id, bool_or(length(t) % 7 = 3) AS failed, bool_or(length(t) % 11 = 5) AS wide FROM texts GROUP BY 1),
+u AS (SELECT page_id, bool_or(lk ->> 'text' IS NULL) AS no_text, bool_or(lk ->> 'url' IS NULL) AS no_url FROM li GROUP BY 1),
+r AS (SELECT ok.page_id, CASE WHEN title IS NULL THEN 'null_title' WHEN content IS NULL THEN 'null_content'
+        WHEN json_type(lj) <> 'ARRAY' THEN 'null_links' WHEN no_text THEN 'link_without_text' WHEN no_url THEN 'link_without_url'
+        WHEN failed THEN 'embedding_failed' WHEN wide THEN 'wrong_dimension' END AS reason
+      FROM ok LEFT JOIN f USING (page_id) LEFT JOIN u USING (page_id))
+SELECT page_id, reason FROM r WHERE reason IS NOT NULL""")
+def kb_rejected(spark, sf):
+    """Parsed entries that are not stored, with the reason of each (null parts, failing embedder)."""
+    good, _ = EN.split_quarantine(_parsed(spark, sf))
+    return K.rejected(K.judged(good.select("page_id", "entry"), P.text_dim, _touchy)).select("page_id", "reason")
+
+
+@query("kb_vector_store", """
+WITH kb AS (""" + ORACLE["kb_documents"] + """), n AS (SELECT count(DISTINCT text) AS n FROM kb)
+SELECT 1 AS run, n AS embedded, n AS stored FROM n UNION ALL SELECT 2, 0, n FROM n""")
+def kb_vector_store(spark, sf):
+    """Texts embedded and stored by an ingest, and by the same ingest once more."""
+    from kbweave.config import scratch_path
+    from kbweave.operators import vector_store as VS
+    from kbweave.operators.hashing import hashed_vectors
+    e = K.entries_struct(X.page_entries(_pages(spark, sf))).select("page_id", "entry")
+    path, out = scratch_path(spark, "vectors"), None
+    for run in (1, 2):
+        before = VS.read_store(spark, path).count()
+        VS.judged_by_store(e, path, P.text_dim, hashed_vectors(P.text_dim))
+        row = VS.read_store(spark, path).select(F.count(F.lit(1)).alias("stored")).select(
+            F.lit(run).alias("run"), (F.col("stored") - before).alias("embedded"), "stored")
+        row = spark.createDataFrame(row.collect(), row.schema)           # one row, counted now
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("kb_versions", ORACLE["kb_documents"])
+def kb_versions(spark, sf):
+    """Pages stored as two batches, the second after a broken attempt and twice, read as their latest version."""
+    from kbweave.config import scratch_path
+    from kbweave.sources import kb_store as KS
+    rows = K.kb_rows(K.entries_struct(X.page_entries(_pages(spark, sf))), P.text_dim)
+    path = scratch_path(spark, "kb-batches")
+    KS.append_batch(rows.withColumn("text", F.lit("old")), path, "b1")
+    KS.write_data(rows.withColumn("text", F.lit("never committed")), path, "b2")
+    for _ in range(2):
+        KS.append_batch(rows, path, "b2")
+    KS.write_data(rows, path, "b3")                                        # dies before its commit
+    return KS.latest(KS.read_kb(spark, path)).drop("embedding")
+
+
+@query("markdown_files", f"""
+SELECT page_id, length(md) AS md_chars, md5(md) AS md_md5 FROM (SELECT page_id, {S.rules('html', S.MARKDOWN_RULES)} AS md FROM pages)""")
+def markdown_files(spark, sf):
+    """Every page's markdown written as a text file of its own (a row per source key in the table
+    sink beside it), and the files read back whole."""
+    from kbweave.config import scratch_path
+    from kbweave.sources import files as FS
+    path = scratch_path(spark, "markdown")
+    md = X.source_keys(_pages(spark, sf), P).select("page_id", "page_key").join(X.page_markdown(_pages(spark, sf)), "page_id")
+    FS.write_markdown(md.select(F.col("page_key").alias("source_key"), "md"), f"{path}/table")
+    FS.write_markdown_files(md.select("page_id", "md"), f"{path}/files", "page_id")
+    back = FS.read_text_files(spark, f"{path}/files")
+    n = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long")
+    text = F.regexp_replace("md", r"\n$", "")                              # the line sink ends the file
+    return back.select(n.alias("page_id"), F.length(text).cast("long").alias("md_chars"), F.md5(F.encode(text, "UTF-8")).alias("md_md5"))
+
+
+# A lexicon of many keywords: every word of six letters or more of the documents.
+_LEXICON_SQL = """
+words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS keyword FROM documents),
+lex AS (SELECT keyword, ('0x' || substr(md5(keyword), 1, 7))::BIGINT AS priority,
+               ['greeting', 'farewell', 'small_talk', 'off_topic'][CAST(('0x' || substr(md5(keyword), 8, 4))::BIGINT % 8 + 1 AS INTEGER)] AS intent
+        FROM words)"""
+
+
+@query("intent_lexicon_large", f"""
+WITH {_LEXICON_SQL},
+hits AS (SELECT c.conv_id, c.turn, min(struct_pack(p := priority, i := intent)) AS h
+         FROM conversations c JOIN lex ON contains(c.text, lex.keyword) WHERE c.role = 'user' AND lex.intent IS NOT NULL GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, CASE WHEN h IS NULL THEN 'business' ELSE 'conversational' END AS intent_type, h.i AS intent, h IS NULL AS requires_search
+FROM conversations c LEFT JOIN hits USING (conv_id, turn) WHERE c.role = 'user'""")
+def intent_lexicon_large(spark, sf):
+    """Every user message against a lexicon of all long words of the documents, in one pass each."""
+    from kbweave.operators import lexicon as LX
+    w = load_table(spark, sf, "documents", ["text"]).select(
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), 0)).alias("keyword")).distinct()
+    def u(start, n):
+        return F.conv(F.substring(F.md5("keyword"), start, n), 16, 10).cast("long")
+    names = F.array(*[F.lit(x) for x in ("greeting", "farewell", "small_talk", "off_topic")])
+    lex = w.select("keyword", u(1, 7).alias("priority"), F.get(names, (u(8, 4) % 8).cast("int")).alias("intent")).where(F.col("intent").isNotNull())
+    c = LX.classify_by_lexicon(_conv(spark, sf).where(F.col("role") == "user"), lex)
+    return c.select("conv_id", "turn", "cls.intent_type", "cls.intent", "cls.requires_search")
+
+
+@query("template_reply_table", ORACLE["template_reply"])
+def template_reply_table(spark, sf):
+    """``template_reply`` with lexicon and variants as tables."""
+    lex = spark.createDataFrame([(i, name, w) for i, (name, ws) in enumerate(ALT_INTENTS) for w in ws], "priority int, intent string, keyword string")
+    variants = spark.createDataFrame([(n, i, t) for n, vs in D.DEFAULT_TEMPLATES.items() for i, t in enumerate(vs)], "intent string, variant int, text string")
+    u = _conv(spark, sf).where(F.col("role") == "user")
+    c = D.classify_by_table(u, lex).where(F.col("cls.intent").isNotNull()).select("conv_id", "turn", F.col("cls.intent").alias("intent"))
+    return D.template_reply_by_table(c, variants).select("conv_id", "turn", "intent", "reply")
+
+
+# ------------------------------------------------------- streams and recurrences
+
+@query("stream_history_blocks", ORACLE["history_window"])
+def stream_history_blocks(spark, sf):
+    """Bounded history from stored tails: the conversations arrive as four files, one a micro-batch,
+    cut by turn so that most conversations go on in a later one."""
+    from kbweave.config import scratch_path
+    path = scratch_path(spark, "conversation-files")
+    conv = _conv(spark, sf)
+    for i in range(4):
+        lo, hi = 2 * i, 2 * i + 2 if i < 3 else 1 << 60
+        conv.where((F.col("turn") >= lo) & (F.col("turn") < hi)).coalesce(1).write.mode("append").parquet(path)
+    out = ST.history_blocks_stream(spark, path, P, files_per_trigger=1)
+    return spark.read.parquet(out).select("conv_id", "turn", "hist_len", "history")
+
+
+@query("stream_topk_maintained", _TOPK_SELF)
+def stream_topk_maintained(spark, sf):
+    """Every stored vector as a standing query while the vectors arrive in four micro-batches."""
+    from kbweave.config import scratch_path
+    path = scratch_path(spark, "vector-files")
+    e = load_table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    e.repartition(4, "vec_id").write.parquet(path)
+    out = ST.topk_maintained_stream(spark, path, e.schema, e, doc_id="vec_id", query_id="vec_id", dim=P.dim, files_per_trigger=1)
+    return ST.latest_epoch(spark, out).select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
+
+
+def _recalling(prompts):
+    """Deterministic model whose answer depends on the whole prompt; refuses some prompts."""
+    import hashlib
+    out = []
+    for p in prompts:
+        h = hashlib.md5(p.encode()).hexdigest()
+        if h[0] in "01":
+            raise ValueError("refused")
+        out.append(f"Re {h[:12]}")
+    return out
+
+
+_MODEL_SHOWN = "array_to_string(list_transform(h[greatest(len(h) - 2, 1):len(h)], lambda x: x), chr(10))"
+_MODEL_SQL = f"""
+WITH RECURSIVE {_dialog_ctes(ALT_INTENTS)},
+msgs AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS no FROM (
+  SELECT conv_id, turn, text, intent, context, nh, refs, CASE WHEN intent IS NOT NULL THEN {_template_sql()} END AS fixed FROM d)),
+rounds AS (
+  SELECT CAST(0 AS BIGINT) AS no, conv_id, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS prompt, CAST(NULL AS VARCHAR) AS reply,
+         CAST(NULL AS VARCHAR) AS answer_error, CAST([] AS VARCHAR[]) AS hist FROM (SELECT DISTINCT conv_id FROM msgs)
+  UNION ALL
+  SELECT no, conv_id, turn, prompt, reply, CASE WHEN intent IS NULL AND reply IS NULL THEN 'ValueError: refused' END,
+         CASE WHEN reply IS NULL THEN h ELSE list_append(h, 'Assistant: ' || reply) END
+  FROM (
+    SELECT *, CASE WHEN intent IS NOT NULL THEN fixed WHEN md5(prompt)[1] IN ('0', '1') THEN NULL
+                   ELSE 'Re ' || md5(prompt)[1:12] || chr(10) || chr(10) || CASE WHEN coalesce(nh, 0) > 0 THEN {S.lit(D.LINKS_HEADER + chr(10))} || refs ELSE '' END END AS reply
+    FROM (
+      SELECT *, {_prompt_sql()} AS prompt
+      FROM (SELECT *, {_MODEL_SHOWN} AS transcript FROM (
+        SELECT m.*, list_append(r.hist, 'User: ' || m.text) AS h FROM rounds r JOIN msgs m ON m.conv_id = r.conv_id AND m.no = r.no + 1)))))
+SELECT conv_id, turn, prompt, reply, answer_error FROM rounds WHERE no > 0"""
+
+
+@query("dialog_model", _MODEL_SQL)
+def dialog_model(spark, sf):
+    """Generating mode in batch with a model that answers the prompt it is shown, two turns a round."""
+    from kbweave.plans.wavefront import generated_dialog_with_model
+    return generated_dialog_with_model(_conv(spark, sf), _kb(spark, sf), _recalling, P, ALT_INTENTS, turns_per_round=2, sleep=lambda _: None)
