@@ -673,8 +673,8 @@ def _reply_sql():
             f"{S.lit(D.LINKS_HEADER + chr(10))} || refs ELSE '' END")
 
 
-def _answers(spark, sf, intents=D.DEFAULT_INTENTS):
-    return A.answer_messages(_conv(spark, sf), _kb(spark, sf), P, intents)
+def _answers(spark, sf, intents=D.DEFAULT_INTENTS, kb=None):
+    return A.answer_messages(_conv(spark, sf), _kb(spark, sf) if kb is None else kb, P, intents)
 
 
 @query("context_lines", f"""
@@ -715,9 +715,9 @@ SELECT conv_id, turn, CASE WHEN intent IS NULL THEN 'business' ELSE 'conversatio
        CASE WHEN intent IS NULL THEN 'retrieval' ELSE 'template' END AS route,
        CASE WHEN intent IS NULL THEN {_reply_sql()} ELSE {_template_sql()} END AS reply
 FROM d""")
-def dialog_answers(spark, sf):
-    """End to end: every user message answered (template or retrieval)."""
-    a = _answers(spark, sf, ALT_INTENTS)
+def dialog_answers(spark, sf, kb=None):
+    """End to end: every user message answered (template or retrieval) from ``kb`` (default: one ingested now)."""
+    a = _answers(spark, sf, ALT_INTENTS, kb)
     return a.select("conv_id", "turn", "intent_type", "intent", "route", "reply")
 
 
@@ -768,10 +768,10 @@ def topk_by_type(spark, sf):
 WITH kb AS ({_kb_sql()}),
 {_topk_ctes('benchmark', 'item_id', 'kb', 'doc_id', P.text_dim, P.top_k)}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(sim, 6) AS similarity FROM top""")
-def topk_stored(spark, sf):
+def topk_stored(spark, sf, kb=None):
     """Every benchmark text against the vectors stored at ingest (default k)."""
     q = load_table(spark, sf, "benchmark", ["item_id", "text"])
-    top = R.topk_stored(_kb(spark, sf), q, query_id="item_id", dim=P.text_dim)
+    top = R.topk_stored(_kb(spark, sf) if kb is None else kb, q, query_id="item_id", dim=P.text_dim)
     return top.select("query_id", "rank", "doc_id", r6(F.col("similarity")).alias("similarity"))
 
 

@@ -183,3 +183,131 @@ def test_continuous_history_stream_with_idle_timeout(spark):
     got = spark.read.parquet(out)
     assert got.count() == 16
     assert got.where((F.col("conv_id") == 1) & (F.col("turn") == 7)).first().hist_len == 6
+
+
+def _history(rows, n=6):
+    """Histories of rows in order of (turn, position); equal rows each add one."""
+    out, seen = [], {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        seen.setdefault(c, []).append(f"{role}: {text}")
+        win = seen[c][-n:]
+        out.append((c, t, len(win), "\n".join(win)))
+    return sorted(out, key=repr)
+
+
+def test_history_of_repeated_rows(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 1, "user", "b"), (1, 2, "user", "c")]
+    d = _tmp(spark, "conv-repeated")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(d)
+    got = sorted((r.turn, r.hist_len) for r in spark.read.parquet(ST.history_stream(spark, d)).collect())
+    assert got == [(0, 1), (1, 2), (1, 3), (2, 4)]
+
+
+def test_history_blocks_hot_conversation_repeated_rows_restart(spark):
+    from kbweave.config import Params
+    rows = [(7, t, "user", f"m{t}") for t in range(150)] + [(c, t, "user", f"x{t}") for c in (1, 2, None) for t in range(9)]
+    rows += [(1, 3, "user", "x3"), (None, 8, "user", "x8")]
+    d, out, ckpt = _tmp(spark, "conv-hot"), _tmp(spark, "hb-out"), _tmp(spark, "hb-ckpt")
+    first = [r for r in rows if r[1] < 5 or (r[0] == 7 and r[1] < 60)]
+    rest = [r for r in rows if r not in first]
+    schema = "conv_id long, turn long, role string, text string"
+    p = Params(lookback_block_rows=20)
+    spark.createDataFrame(first, schema).repartition(3).write.parquet(d)
+    ST.history_blocks_stream(spark, d, p, out=out, ckpt=ckpt)
+    spark.createDataFrame(rest, schema).repartition(2).write.mode("append").parquet(d)
+    ST.history_blocks_stream(spark, d, p, out=out, ckpt=ckpt)          # goes on after a restart
+    ST.history_blocks_stream(spark, d, p, out=out, ckpt=ckpt)          # and has nothing left to do
+    got = sorted(((r.conv_id, r.turn, r.hist_len, r.history) for r in spark.read.parquet(out).collect()), key=repr)
+    assert got == _history(rows)
+
+
+def test_live_kb_and_maintained_winners(spark):
+    from pyspark.sql import types as T
+    from kbweave.operators import retrieve as R
+    kb, qs, out, ckpt = (_tmp(spark, x) for x in ("live-kb", "live-q", "live-out", "live-ckpt"))
+    vec = "doc_id string, embedding array<float>"
+    from kbweave.operators.hashing import hashed_vectors
+    def rows(texts):
+        return spark.createDataFrame([(t, v.tolist()) for t, v in zip(texts, hashed_vectors(256)(texts))], vec)
+    rows(["red apples", "blue sky"]).write.parquet(kb)
+    qt = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())])
+    def ask(n):
+        spark.createDataFrame([(n, "green pears")], qt).write.mode("append").parquet(qs)
+        ST.topk_stream(spark, qs, qt, lambda: spark.read.parquet(kb), "item_id", out=out, ckpt=ckpt)
+    ask(1)
+    rows(["green pears and more"]).write.mode("append").parquet(kb)    # between two micro-batches
+    ask(2)
+    best = {r.query_id: r.doc_id for r in spark.read.parquet(out).where("rank = 1").collect()}
+    assert best[2] == "green pears and more" and best[1] != best[2]
+    # Standing queries: the table's files one by one, then all at once.
+    queries = rows(["green pears", "apples", "nothing like it"]).withColumnRenamed("doc_id", "query_id")
+    schema = spark.read.parquet(kb).schema
+    o = ST.topk_maintained_stream(spark, kb, schema, queries, dim=256, k=2, files_per_trigger=1)
+    got = sorted(tuple(r) for r in ST.latest_epoch(spark, o).select("query_id", "rank", "doc_id").collect())
+    want = R.topk_batch(spark.read.parquet(kb), queries, 2, dim=256).select("query_id", "rank", "doc_id")
+    assert got == sorted(tuple(r) for r in want.collect())
+
+
+def test_rejected_pages_leave_a_record_in_batch_and_stream(spark):
+    from kbweave.plans import jobs as J
+    from kbweave.schemas import PAGES
+    root = _tmp(spark, "rejected")
+    pages = spark.createDataFrame([(1, "http://a/1", "<title>ok</title><p>x"), (2, "http://a/2", None), (3, "http://a/3", "<title>bad</title>y"),
+                                   (4, "http://a/4", "<title>wide</title>z")], PAGES)
+
+    def embed(texts):
+        if "bad" in texts:
+            raise RuntimeError("down")
+        return [[1.0] * (257 if t == "wide" else 256) for t in texts]
+    status = J.ingest(spark, pages, f"{root}/kb", embed=embed, out=f"{root}/out")
+    want = {2: "null_title", 3: "embedding_failed", 4: "wrong_dimension"}
+    assert status == {"ok": 1, "null_title": 1, "embedding_failed": 1, "wrong_dimension": 1}
+    assert {r.page_id: r.reason for r in spark.read.parquet(f"{root}/out/rejected").collect()} == want
+    assert spark.read.json(f"{root}/out/entries").count() == 1
+    assert {r.page_id for r in spark.read.parquet(f"{root}/kb").collect()} == {1}
+    pages.write.parquet(f"{root}/pages")
+    ST.ingest_kb_stream(spark, f"{root}/pages", f"{root}/skb", f"{root}/ckpt", embed=embed, rejected=f"{root}/srej")
+    assert {r.page_id: r.reason for r in spark.read.parquet(f"{root}/srej").collect()} == want
+    assert {r.page_id for r in spark.read.parquet(f"{root}/skb").collect()} == {1}
+
+
+def test_committed_batches(spark):
+    from kbweave.operators.kb import kb_rows
+    from kbweave.schemas import ENTRY
+    from kbweave.sources import kb_store as KS
+    schema = f"page_id long, entry {ENTRY.simpleString()}"
+    def rows(*pages):
+        return kb_rows(spark.createDataFrame([(p, (t, "c", [])) for p, t in pages], schema), 8)
+    p = _tmp(spark, "batches")
+    assert KS.read_kb(spark, p).count() == 0
+    assert KS.append_batch(rows((1, "one"), (2, "two")), p, "a")
+    assert not KS.append_batch(rows((1, "again")), p, "a")                # a retried job stores nothing
+    KS.write_data(rows((1, "half")), p, "b")                                # died before its commit
+    assert KS.read_kb(spark, p).count() == 4
+    assert KS.append_batch(rows((1, "new")), p, "b")
+    assert sorted(r.text for r in KS.latest(KS.read_kb(spark, p)).where("ord = 0").collect()) == ["new", "two"]
+    assert sorted((r.batch, r.seq, r.rows) for r in KS.commits(spark, p).collect()) == [("a", 1, 4), ("b", 2, 2)]
+    with pytest.raises(ValueError):
+        KS.append_batch(rows((1, "x")), p, "../x")
+
+
+def test_stored_vectors_call_the_embedder_once_a_text(spark):
+    from kbweave.operators import vector_store as VS
+    from kbweave.schemas import ENTRY
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        if "down" in texts:
+            raise RuntimeError("down")
+        return [[float(len(t)), 1.0, 0.0][: 3 if t == "wide" else 2] for t in texts]
+    e = spark.createDataFrame([(1, ("t", "same", [("same", "u"), ("same", "v")])), (2, ("t2", "same", [])), (3, (None, "c", [])),
+                               (4, ("down", "same", [])), (5, ("wide", "same", []))], f"page_id long, entry {ENTRY.simpleString()}")
+    p = _tmp(spark, "vectors")
+    first = {r.page_id: (r.reason, r.vectors) for r in VS.judged_by_store(e, p, 2, embed).collect()}
+    assert first[1] == (None, [[1.0, 1.0], [4.0, 1.0], [4.0, 1.0], [4.0, 1.0]]) and first[2][0] is None
+    assert [first[i][0] for i in (3, 4, 5)] == ["null_title", "embedding_failed", "wrong_dimension"]
+    assert sorted(r.embedding[0] for r in VS.read_store(spark, p).collect()) == [1.0, 2.0, 4.0]
+    before = calls.value
+    VS.judged_by_store(e.where("page_id < 3"), p, 2, embed).collect()
+    assert calls.value == before                                            # nothing is embedded again
