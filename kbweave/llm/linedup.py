@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,106 +70,132 @@ def _run_ends(repeated: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(stop[::-1])[::-1]
 
 
-def _tests(ids: np.ndarray, hits: np.ndarray | None, nodes: np.ndarray | None, step: int | None):
-    """``(pos, lines, names)`` that a document asks about in a round: ``step`` None
-    without hits the lines, with hits all doublings; else lengths of the descent."""
-    if hits is None:
-        return np.arange(len(ids)), np.ones(len(ids), np.int64), ids
-    repeated = np.zeros(len(ids), bool)
-    repeated[hits[hits[:, 1] == 1, 0]] = True
-    end = _run_ends(repeated)
-    room = end - np.arange(len(ids))
-    if step is None:
-        pos, size, names = [], [], []
-        for k, level in enumerate(_levels(ids, int(room.max(initial=1)).bit_length() - 1)[1:], 1):
+class _Lines:
+    """The lines of a batch of documents as one sequence, no run of which crosses a
+    document's end; ``hits`` (place, lines, later) and ``nodes`` (place, level, lines,
+    later) are told by place in the sequence."""
+
+    def __init__(self, ids: list[bytes], hits: list | None, nodes: list | None):
+        self.ids = np.frombuffer(b"".join(ids), "<u8").reshape(-1, 2)
+        size = np.fromiter((len(x) // 16 for x in ids), np.int64, len(ids))
+        self.off = np.r_[0, np.cumsum(size)]
+        self.limit = np.repeat(self.off[1:], size)
+        self.hits, self.nodes = self._placed(hits, 3), self._placed(nodes, 4)
+
+    def _placed(self, packed: list | None, width: int) -> np.ndarray:
+        if packed is None or all(x is None for x in packed):
+            return np.zeros((0, width), np.int64)
+        parts = [b"" if x is None else x for x in packed]
+        out = np.frombuffer(b"".join(parts), "<i8").reshape(-1, width).copy()
+        out[:, 0] += np.repeat(self.off[:-1], [len(x) // (8 * width) for x in parts])
+        return out
+
+    def by_document(self, rows: np.ndarray) -> list[bytes]:
+        """``rows`` (place first) packed per document, places counted from its first line."""
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        cut = np.searchsorted(rows[:, 0], self.off)
+        rows[:, 0] -= np.repeat(self.off[:-1], np.diff(cut))
+        return [np.ascontiguousarray(rows[a:b], "<i8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def room(self) -> np.ndarray:
+        """Lines from each place on to the end of its run of repeated lines."""
+        repeated = np.zeros(len(self.ids), bool)
+        repeated[self.hits[self.hits[:, 1] == 1, 0]] = True
+        return np.minimum(_run_ends(repeated), self.limit) - np.arange(len(self.ids))
+
+    def doublings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place, lines, name)`` of all runs of 2, 4, 8 ... repeated lines."""
+        room, pos, size, names = self.room(), [], [], []
+        for k, level in enumerate(_levels(self.ids, int(room.max(initial=1)).bit_length() - 1)[1:], 1):
             at = np.flatnonzero(room[:len(level)] >= 1 << k)
             pos.append(at)
             size.append(np.full(at.size, 1 << k))
             names.append(level[at])
-        return (np.concatenate(pos or [np.zeros(0, np.int64)]), np.concatenate(size or [np.zeros(0, np.int64)]),
-                np.concatenate(names or [ids[:0]]))
-    p, t, m = nodes[:, 0], nodes[:, 1], nodes[:, 2]
-    levels = _levels(ids, int(t.max(initial=0)))
-    pos, size, names = [], [], []
-    for k in np.unique(t[t > step]).tolist():
-        own = np.flatnonzero(t == k)
-        for i in range(1, min(1 << _BITS, 1 << (k - step))):
-            length = m[own] + (i << step)
-            fits = own[length <= room[p[own]]]
-            q, want = p[fits], m[fits] + (i << step)
-            pos.append(q)
-            size.append(want)
-            names.append(_mix(levels[k][q], levels[k][q + want - (1 << k)], 64) ^ want.astype(np.uint64)[:, None])
-    if not pos:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), ids[:0]
-    # A place may stand in several nodes that ask about the same run.
-    pos, size, names = np.concatenate(pos), np.concatenate(size), np.concatenate(names)
-    _, one = np.unique(pos * (1 << 32) + size, return_index=True)
-    return pos[one], size[one], names[one]
-
-
-def _first_nodes(hits: np.ndarray) -> np.ndarray:
-    """Nodes ``(pos, level, lines, later)`` to begin the descent with: from the highest
-    power of two that an earlier place shares up to the highest that any place shares."""
-    level = np.frexp(hits[:, 1].astype(np.float64))[1] - 1
-    top, low = (np.full(int(hits[:, 0].max(initial=-1)) + 1, -1) for _ in range(2))
-    np.maximum.at(top, hits[:, 0], level)
-    np.maximum.at(low, hits[:, 0], np.where(hits[:, 2] == 1, level, -1))
-    begin = np.maximum(low, 0)
-    each = np.maximum(top - begin + 1, 0)
-    pos = np.repeat(np.arange(len(top)), each)
-    k = np.arange(len(pos)) - np.repeat(np.cumsum(each) - each, each) + begin[pos]
-    return np.stack([pos, k, 1 << k, (k == low[pos]).astype(np.int64)], axis=1)
-
-
-def _descend(nodes: np.ndarray, hits: np.ndarray, step: int) -> np.ndarray:
-    """Nodes after a round: a place stays where it is the first of every longer
-    interval, and stands in every longer interval it is in up to the longest."""
-    said = {(int(p), int(m)): int(later) for p, m, later in hits}
-    out = []
-    for p, t, m, later in nodes.tolist():
-        if t <= step:
-            out.append((p, t, m, later))
-            continue
-        now, flag, above = m, later, []
-        for i in range(1, min(1 << _BITS, 1 << (t - step))):
-            got = said.get((p, m + (i << step)))
-            if got is None:
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *pos]), np.concatenate([none, *size]), np.concatenate([self.ids[:0], *names])
+
+    def questions(self, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place, lines, name)`` of the next lengths of all nodes, ``2**step`` lines apart."""
+        p, t, m = self.nodes[:, 0], self.nodes[:, 1], self.nodes[:, 2]
+        room, levels = self.room(), _levels(self.ids, int(t.max(initial=0)))
+        none = np.zeros(0, np.int64)
+        pos, size, names = [none], [none], [self.ids[:0]]
+        for k in np.unique(t[t > step]).tolist():
+            own = np.flatnonzero(t == k)
+            for i in range(1, min(1 << _BITS, 1 << (k - step))):
+                own = own[m[own] + (i << step) <= room[p[own]]]
+                q, want = p[own], m[own] + (i << step)
+                pos.append(q)
+                size.append(want)
+                names.append(_mix(levels[k][q], levels[k][q + want - (1 << k)], 64) ^ want.astype(np.uint64)[:, None])
+        # A place may stand in several nodes that ask about the same run.
+        pos, size, names = np.concatenate(pos), np.concatenate(size), np.concatenate(names)
+        _, one = np.unique(pos * (1 << 32) + size, return_index=True)
+        return pos[one], size[one], names[one]
+
+    def first_nodes(self, doubled: np.ndarray) -> np.ndarray:
+        """Nodes to begin the descent with: from the highest power of two that an
+        earlier place shares up to the highest that any place shares."""
+        hits = np.concatenate([self.hits, doubled])
+        level = np.frexp(hits[:, 1].astype(np.float64))[1] - 1
+        top, low = (np.full(len(self.ids), -1) for _ in range(2))
+        np.maximum.at(top, hits[:, 0], level)
+        np.maximum.at(low, hits[:, 0], np.where(hits[:, 2] == 1, level, -1))
+        begin = np.maximum(low, 0)
+        each = np.maximum(top - begin + 1, 0)
+        pos = np.repeat(np.arange(len(top)), each)
+        k = np.arange(len(pos)) - np.repeat(np.cumsum(each) - each, each) + begin[pos]
+        return np.stack([pos, k, 1 << k, (k == low[pos]).astype(np.int64)], axis=1)
+
+    def descend(self, said: np.ndarray, step: int) -> np.ndarray:
+        """Nodes after a round: a place stays where it is the first of every longer
+        interval, and stands in every longer interval it is in up to the longest."""
+        key = said[:, 0] * (1 << 32) + said[:, 1]
+        order = np.argsort(key)
+        key, later = np.append(key[order], -1), np.append(said[order, 2], 0)
+        p, t, m = self.nodes[:, 0], self.nodes[:, 1], self.nodes[:, 2]
+        now, flag = m.copy(), self.nodes[:, 3].copy()
+        on, above = t > step, []
+        for i in range(1, 1 << _BITS):
+            want = p * (1 << 32) + m + (i << step)
+            at = np.searchsorted(key[:-1], want)               # behind the last: the key that matches nothing
+            on = on & (i < np.left_shift(1, np.maximum(t - step, 0))) & (key[at] == want)
+            if not on.any():
                 break
-            if got:
-                now, flag = m + (i << step), 1
-            else:
-                above.append((p, t, m + (i << step), 0))
-        out.append((p, t, now, flag))
-        out += above
-    return np.unique(np.array(out, np.int64).reshape(-1, 4), axis=0)
+            deeper = on & (later[at] == 1)
+            now[deeper], flag[deeper] = m[deeper] + (i << step), 1
+            first = np.flatnonzero(on & (later[at] == 0))
+            above.append(np.stack([p[first], t[first], m[first] + (i << step), np.zeros(first.size, np.int64)], axis=1))
+        return np.unique(np.concatenate([np.stack([p, t, now, flag], axis=1), *above]), axis=0)
 
 
-def _ints(x, width: int) -> np.ndarray | None:
-    return None if x is None else np.frombuffer(x, "<i8").reshape(-1, width)
+def _ints(x, width: int) -> np.ndarray:
+    return np.frombuffer(x, "<i8").reshape(-1, width)
 
 
 def _round(state: DataFrame, step: int | None, first: bool, name: str) -> DataFrame:
-    """One round over the documents' ``(id, h, ids, lens, hits, nodes)``."""
+    """One round over the documents' ``(id, h, ids, lens, hits, nodes)``: the lines
+    (``first``), their doublings (``step`` None) or a part of the descent."""
     id_t = state.schema["id"].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows, pos, size, hi, low = [], [], [], [], []
-                for i, (ids, hits, nodes) in enumerate(zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
-                    p, n, names = _tests(np.frombuffer(ids, "<u8").reshape(-1, 2), None if first else _ints(hits, 3), _ints(nodes, 4), step)
-                    rows.append(np.full(len(p), i))
-                    pos.append(p)
-                    size.append(n)
-                    hi.append(names[:, 0])
-                    low.append(names[:, 1])
-                at = pa.array(np.concatenate(rows))
+            for lo in range(0, b.num_rows, 2048):
+                part = b.slice(lo, 2048)
+                seq = _Lines(*(part.column(c).to_pylist() for c in (2, 3, 4)))
+                if first:
+                    pos, size, names = np.arange(len(seq.ids)), np.ones(len(seq.ids), np.int64), seq.ids
+                else:
+                    pos, size, names = seq.doublings() if step is None else seq.questions(step)
+                doc = np.searchsorted(seq.off, pos, "right") - 1
+                at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(pos)), pa.array(np.concatenate(size).astype(np.int64)),
-                     pa.array(np.concatenate(hi).view(np.int64)), pa.array(np.concatenate(low).view(np.int64))], ["id", "h", "pos", "n", "hi", "lo"])
-    asked = state.select("id", "h", "ids", "hits", "nodes").mapInArrow(ask, f"id {id_t}, h long, pos long, n long, hi long, lo long")
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(pos - seq.off[doc]), pa.array(size.astype(np.int64)),
+                     pa.array(np.ascontiguousarray(names[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(names[:, 1]).view(np.int64))],
+                    ["id", "h", "pos", "n", "hi", "lo"])
+    # Written once: it is grouped by name, and its places are looked up among the names that occur twice.
+    asked = saved(state.select("id", "h", "ids", "hits", "nodes").mapInArrow(
+        ask, f"id {id_t}, h long, pos long, n long, hi long, lo long"), f"{name}-asked")
     place = F.struct("id", "h", "pos")
     twice = (asked.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first"))
              .where(F.col("c") > 1).select("hi", "lo", "first"))
@@ -180,23 +207,22 @@ def _round(state: DataFrame, step: int | None, first: bool, name: str) -> DataFr
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits_out, nodes_out = [], []
-            said = b.column(6)
-            off = said.offsets.to_numpy()
-            flat = np.stack([said.values.field(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
-            for i, (hits, nodes) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                got = flat[off[i]:off[i + 1]].astype("<i8")
-                if first:
-                    hits_out.append(got.tobytes())
-                    nodes_out.append(None)
-                elif step is None:
-                    nodes_out.append(_first_nodes(np.concatenate([_ints(hits, 3), got])).astype("<i8").tobytes())
-                    hits_out.append(hits)
-                else:
-                    nodes_out.append(_descend(_ints(nodes, 4), got, step).astype("<i8").tobytes())
-                    hits_out.append(hits)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(hits_out, pa.binary()), pa.array(nodes_out, pa.binary())],
-                                             ["id", "h", "ids", "lens", "hits", "nodes"])
+            if not b.num_rows:
+                continue
+            seq = _Lines(*(b.column(c).to_pylist() for c in (2, 4, 5)))
+            lists = b.column(6)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            got = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1).astype(np.int64)
+            got[:, 0] += np.repeat(seq.off[:-1], size)
+            if first:
+                hits, nodes = seq.by_document(got), [None] * b.num_rows
+            else:
+                hits = b.column(4)
+                nodes = seq.by_document(seq.first_nodes(got) if step is None else seq.descend(got, step))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:4], hits if isinstance(hits, pa.Array) else pa.array(hits, pa.binary()), pa.array(nodes, pa.binary())],
+                ["id", "h", "ids", "lens", "hits", "nodes"])
     return saved(joined.mapInArrow(settle, f"id {id_t}, h long, ids binary, lens binary, {_STATE}"), name)
 
 
