@@ -18,28 +18,42 @@ from kbweave.sources.tables import load_table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under the model of trusted text is in their language's range."""
+    """Documents whose perplexity under the model of trusted text is in their language's range.
+
+    Null and empty texts are judged like other short ones, a null language is one of its
+    own, rows of one id (a null id too) stay or go together; an empty table stays empty."""
     verdict = quality.quality_classifier(docs, load_table(spark, sf_dir, "labels"))
     return quality.drop_rejected(docs, verdict)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the later copies of maximal repeated line runs of 50 characters or more."""
+    """All documents, without the later copies of maximal repeated line runs of 50 characters or more.
+
+    A null text stays null, one whose lines all go becomes empty; rows equal in id and
+    text keep the same lines; ``n_chars`` follows a changed text."""
     return linedup.drop_repeated_lines(docs, min_lines=1, min_chars=50)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (smallest id) of every SimHash group."""
+    """One document (smallest id) of every SimHash group.
+
+    Texts without words (null, empty) have fingerprint zero and are one group; rows of
+    the id that stays all stay."""
     return simhash.near_dedup(docs, shingle=4, max_bits=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold or paraphrase no benchmark item."""
+    """Documents that hold or paraphrase no benchmark item.
+
+    Null and empty texts match nothing; rows of one id go together; an empty table or
+    benchmark drops nothing."""
     return decontaminate.drop_contaminated(docs, load_table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids instead of text, with count, parity and round trip."""
+    """Token ids instead of text, with count, parity and round trip.
+
+    A null or empty text has no ids; every row stays, with all its other columns."""
     return spm.encode(docs, MODEL)
 
 
