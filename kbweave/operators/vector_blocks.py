@@ -34,7 +34,8 @@ SIM_DECIMALS = 12
 SCORE_BYTES = 32 * 1024 * 1024   # bound on one (documents x queries) float64 score matrix
 BLOCK_BYTES = 8 * 1024 * 1024    # vectors of one block, and of one pack
 MAX_CELLS = 4096
-SAMPLE_ROWS = 65_536             # rows that the centres are fitted on, at most
+SAMPLE_ROWS = 65_536             # rows that the centres are fitted on, at most,
+SAMPLE_BYTES = 128 * 1024 * 1024  # and bytes of their vectors (in double precision)
 SLACK = 1e-9                     # room for rounding in the cosine bounds
 
 
@@ -165,8 +166,9 @@ def measured(assigned: DataFrame, centers: np.ndarray) -> Cells:
     return Cells(centers, cos - SLACK, rows)
 
 
-def sample(docs: DataFrame, rows: int, dim: int, limit: int = SAMPLE_ROWS) -> np.ndarray:
-    """About ``limit`` of the ``rows`` vectors (never more), chosen by a hash of the row."""
+def sample(docs: DataFrame, rows: int, dim: int) -> np.ndarray:
+    """Of the ``rows`` vectors about as many as the two bounds allow (never more), chosen by a hash of the row."""
+    limit = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
     share = min(1.0, limit / max(rows, 1))
     some = docs.where(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < int(share * (1 << 30)))
     got = some.select("vec").limit(limit).toArrow()["vec"].combine_chunks()
