@@ -44,6 +44,27 @@ def page_entries(pages: DataFrame) -> DataFrame:
         "page_id", "url", "_e.title", "_e.content", "_e.links")
 
 
+# Markdown: a link is [text](url), an image the same behind "!"; headings begin with #.
+MD_LINK = r"(?:^|[^!])\[([^\]\[]*)\]\(([^)\s]*)\)"
+MD_TARGET = r"!?\[([^\]\[]*)\]\([^)\s]*\)"
+MD_HEADING = r"(?m)^#{1,6} +(.*)$"
+
+
+def markdown_entries(files: DataFrame, key: str = "page_id", md: str = "md") -> DataFrame:
+    """Structured entry of each markdown text: the first heading (else the first line) as
+    title, the text without heading marks and link targets as content, all links in
+    order. Built-in expressions only; a null text gives null parts."""
+    def plain(c):
+        return F.regexp_replace(c, MD_TARGET, "$1")
+    head = F.regexp_extract(md, MD_HEADING, 1)
+    title = F.trim(plain(F.when(head != "", head).otherwise(F.split(md, "\n")[0])))
+    content = F.regexp_replace(plain(F.col(md)), r"(?m)^#{1,6} +", "")
+    links = F.transform(F.arrays_zip(F.regexp_extract_all(md, F.lit(MD_LINK), 1).alias("text"),
+                                     F.regexp_extract_all(md, F.lit(MD_LINK), 2).alias("url")),
+                        lambda x: F.struct(x["text"].alias("text"), x["url"].alias("url")))
+    return files.select(key, title.alias("title"), content.alias("content"), links.alias("links"))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     return (pages.select("page_id", F.explode(H.links("html")).alias("l"))
             .select("page_id", F.col("l.pos").alias("link_pos"), "l.text", "l.url"))

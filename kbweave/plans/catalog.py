@@ -1016,6 +1016,23 @@ def markdown_files(spark, sf):
     return back.select(n.alias("page_id"), F.length(text).cast("long").alias("md_chars"), F.md5(F.encode(text, "UTF-8")).alias("md_md5"))
 
 
+_MD_PLAIN = "regexp_replace(md, '!?\\[([^\\]\\[]*)\\]\\([^)\\s]*\\)', '\\1', 'g')"
+
+
+@query("markdown_entries", rf"""
+WITH m AS (SELECT page_id, {S.rules('html', S.MARKDOWN_RULES)} AS md FROM pages),
+h AS (SELECT *, list_filter(string_split(md, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}} +')) AS heads FROM m)
+SELECT page_id, trim(regexp_replace(regexp_replace(CASE WHEN len(heads) > 0 THEN heads[1] ELSE string_split(md, chr(10))[1] END,
+         '^#{{1,6}} +', ''), '!?\[([^\]\[]*)\]\([^)\s]*\)', '\1', 'g')) AS title,
+       md5(array_to_string(list_transform(string_split({_MD_PLAIN}, chr(10)), lambda x: regexp_replace(x, '^#{{1,6}} +', '')), chr(10))) AS content_md5,
+       CAST(len(regexp_extract_all(md, '\[[^\]\[]*\]\([^)\s]*\)')) - len(regexp_extract_all(md, '!\[[^\]\[]*\]\([^)\s]*\)')) AS INTEGER) AS n_links
+FROM h""")
+def markdown_entries(spark, sf):
+    """Entries of the pages' markdown, as an ingest of markdown files makes them."""
+    e = X.markdown_entries(X.page_markdown(_pages(spark, sf, ("page_id", "html"))))
+    return e.select("page_id", "title", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), F.size("links").alias("n_links"))
+
+
 # A lexicon of many keywords: every word of six letters or more of the documents.
 _LEXICON_SQL = """
 words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS keyword FROM documents),

@@ -1,7 +1,7 @@
 """End-to-end jobs over table paths (what the reference's menu does, as
 batch jobs): ingest pages into the knowledge base, and answer messages.
 
-    python -m kbweave.plans.jobs ingest  --pages P --kb KB [--replies R] [--out O] [--dedup] [--batch B] [--vectors V]
+    python -m kbweave.plans.jobs ingest  (--pages P | --markdown M) --kb KB [--model module:function] [--replies R] [--out O] [--dedup] [--batch B] [--vectors V]
     python -m kbweave.plans.jobs answer  --conversations C --kb KB --out O [--generating]
 """
 
@@ -55,11 +55,40 @@ def ingest(spark: SparkSession, pages: DataFrame, kb_path: str, replies: DataFra
         entries = K.entries_struct(X.page_entries(pages))
     else:
         if replies is None:
-            import time
-            replies = structure_pages(X.page_markdown(pages), model, sleep=sleep or time.sleep)
-        parsed = saved(EN.parse_replies(replies), "parsed")         # parsed once; three readers below
-        entries, bad = EN.split_quarantine(parsed)
-        status = {r["status"]: r["n"] for r in EN.batch_status(parsed).collect()}
+            replies = _structured(X.page_markdown(pages), model, sleep)
+        entries, bad, status = _read_replies(replies)
+    if out:
+        FS.write_markdown(X.source_keys(pages, params).select("page_id", "page_key").join(
+            X.page_markdown(pages), "page_id").select(F.col("page_key").alias("source_key"), "md"), f"{out}/markdown")
+    return _store(entries, bad, status, kb_path, dedup, embed, out, params, batch, vector_store)
+
+
+def ingest_markdown(spark: SparkSession, path: str, kb_path: str, dedup: bool = False, model=None, embed=None,
+                    out: str | None = None, params: Params = Params(), sleep=None, batch: str | None = None,
+                    vector_store: str | None = None) -> Counts:
+    """As ``ingest``, of the markdown files in ``path``: one entry per file, by ``model`` or
+    by ``extract.markdown_entries``. A file's page id is a hash of its path."""
+    files = FS.read_text_files(spark, path).select(F.xxhash64("path").alias("page_id"), "md")
+    if model is None:
+        return _store(K.entries_struct(X.markdown_entries(files)), None, {}, kb_path, dedup, embed, out, params, batch, vector_store)
+    entries, bad, status = _read_replies(_structured(files, model, sleep))
+    return _store(entries, bad, status, kb_path, dedup, embed, out, params, batch, vector_store)
+
+
+def _structured(md: DataFrame, model, sleep) -> DataFrame:
+    import time
+    return structure_pages(md, model, sleep=sleep or time.sleep)
+
+
+def _read_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    parsed = saved(EN.parse_replies(replies), "parsed")             # parsed once; three readers
+    entries, bad = EN.split_quarantine(parsed)
+    return entries, bad, {r["status"]: r["n"] for r in EN.batch_status(parsed).collect()}
+
+
+def _store(entries: DataFrame, bad: DataFrame | None, status: dict, kb_path: str, dedup: bool, embed, out: str | None,
+           params: Params, batch: str | None, vector_store: str | None) -> Counts:
+    """Judge entries, append the rows of those that are stored, record the others."""
     entries = entries.select("page_id", "entry")
     if vector_store is None:
         judged = K.judged(entries, params.text_dim, embed)
@@ -76,8 +105,6 @@ def ingest(spark: SparkSession, pages: DataFrame, kb_path: str, replies: DataFra
     else:
         KS.append_batch(rows, kb_path, batch)
     if out:
-        FS.write_markdown(X.source_keys(pages, params).select("page_id", "page_key").join(
-            X.page_markdown(pages), "page_id").select(F.col("page_key").alias("source_key"), "md"), f"{out}/markdown")
         FS.write_entries_json(judged.where(F.col("reason").isNull()).select("entry.*").withColumn(
             "fingerprint", fingerprint("content")), f"{out}/entries")
         K.rejected(judged).write.mode("append").parquet(f"{out}/rejected")
@@ -96,11 +123,23 @@ def answer(spark: SparkSession, conversations: DataFrame, kb: DataFrame, out_pat
     res.write.mode("overwrite").parquet(out_path)
 
 
+def _callable(name: str | None):
+    """The function that ``module:function`` names."""
+    import importlib
+    if name is None:
+        return None
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="kbweave")
     sub = ap.add_subparsers(dest="cmd", required=True)
     a = sub.add_parser("ingest")
-    a.add_argument("--pages", required=True)
+    source = a.add_mutually_exclusive_group(required=True)
+    source.add_argument("--pages", help="page table")
+    source.add_argument("--markdown", help="folder of markdown files")
+    a.add_argument("--model", help="module:function, list of texts to list of JSON replies")
     a.add_argument("--kb", required=True)
     a.add_argument("--replies")
     a.add_argument("--out")
@@ -116,9 +155,12 @@ def main(argv=None) -> None:
     ns = ap.parse_args(argv)
     spark = get_session()
     if ns.cmd == "ingest":
-        replies = spark.read.parquet(ns.replies) if ns.replies else None
-        print(ingest(spark, spark.read.parquet(ns.pages), ns.kb, replies, ns.dedup, out=ns.out,
-                     batch=ns.batch, vector_store=ns.vectors))
+        options = {"out": ns.out, "batch": ns.batch, "vector_store": ns.vectors, "dedup": ns.dedup, "model": _callable(ns.model)}
+        if ns.markdown:
+            print(ingest_markdown(spark, ns.markdown, ns.kb, **options))
+        else:
+            replies = spark.read.parquet(ns.replies) if ns.replies else None
+            print(ingest(spark, spark.read.parquet(ns.pages), ns.kb, replies, **options))
     else:
         answer(spark, spark.read.parquet(ns.conversations), spark.read.parquet(ns.kb), ns.out,
                Params(top_k=ns.top_k), ns.generating)
