@@ -5,9 +5,15 @@ The model file (a protobuf) is parsed here; its normaliser, the metaspace marker
 ``tokenizers`` pipeline: a unigram model keeps its scores, a BPE model gets its
 merges from them (a piece's two halves merge in the order of the piece's score).
 
-Whole texts are encoded in multithreaded batches; every text is encoded by the
-sentencepiece library as well, whose ids win (and are counted) where the two
-differ, and is decoded again and compared.
+Texts are encoded in multithreaded batches by that pipeline, whose ids are decoded
+again by its decoder and compared with the text; the sentencepiece library encodes
+the same texts, and where its ids differ they are given instead and counted.
+
+A BPE model whose pieces hold the marker only in front joins nothing across a
+single space between two visible characters. Then a text is the sequence of its
+stretches between such spaces: each distinct stretch is encoded, compared and
+decoded once (short ones once per worker, in a bounded table), and a text's ids and
+verdicts are those of its stretches. Other models get whole texts.
 """
 
 from __future__ import annotations
@@ -15,16 +21,21 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbweave.llm.common import text_bytes
+
 MARK = "▁"
 NORMAL, CONTROL, USER_DEFINED, BYTE = 1, 3, 4, 6
 UNIGRAM, BPE = 1, 2
+TILE = 4 << 20                    # bytes of text whose stretches are encoded once
+CALL = 16_384                     # texts handed to the libraries at once
+KNOWN, KNOWN_BYTES = 1 << 19, 48  # stretches that a worker remembers, and their size at most
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,7 +109,6 @@ class Codec:
         m = self.model = Model(data)
         # Control pieces never match text: in the vocabulary a noncharacter stands before them.
         names = ["\uffff" + p if kind == CONTROL else p for p, _, kind in m.pieces]
-        self.spell = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
         self.control = {i for i, (*_, kind) in enumerate(m.pieces) if kind == CONTROL}
         if m.kind == UNIGRAM:
             core = models.Unigram([(p, s) for p, (_, s, _) in zip(names, m.pieces, strict=True)], m.unk, m.byte_fallback)
@@ -118,19 +128,85 @@ class Codec:
         ends = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         self.whole.decoder = decoders.Sequence(ends + ([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []))
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.by_stretch = (m.kind == BPE and m.dummy_prefix
+                           and not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED)))
+        self._forget()
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
-        """``(ids, differed from the reference, decodes to the text)`` of each text."""
+        """``(ids, differed from the sentencepiece library, decodes to the text)`` of each text."""
         own = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         want = self.reference.encode(texts)
-        lead = b" " * self.model.dummy_prefix
-        # Pieces and byte pieces spell the text's bytes; what does not goes through the decoder.
-        spelt = [b"".join([self.spell[i] for i in w]).removeprefix(lead) for w in want]
-        same = [s == t.encode() for s, t in zip(spelt, texts, strict=True)]
-        odd = [i for i, ok in enumerate(same) if not ok]
-        for i, d in zip(odd, self.decode([want[i] for i in odd]), strict=True):
-            same[i] = d == texts[i]
-        return [(w, o != w, ok) for w, o, ok in zip(want, own, same, strict=True)]
+        ids = [o if o == w else w for o, w in zip(own, want, strict=True)]
+        back = self.decode(ids)
+        return [(i, i is not o, d == t) for i, o, d, t in zip(ids, own, back, texts, strict=True)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in order, and for each text (null: empty) its number of ids, whether the
+        libraries differed on it, and whether the ids decode to it."""
+        data, off = text_bytes(texts)
+        cut = self._cuts(data, off)
+        kept = np.r_[0, np.cumsum(~cut)]                       # the space between two stretches belongs to none
+        full = np.diff(off) > 0
+        start = np.sort(np.r_[off[:-1][full], np.flatnonzero(cut) + 1])
+        row = np.searchsorted(off, start, "right") - 1
+        parts = pa.Array.from_buffers(pa.large_string(), start.size, [
+            None, pa.py_buffer(np.append(kept[start], kept[-1])), pa.py_buffer(data[~cut])]).dictionary_encode()
+        stock, begin, size, differ, same = self._stretches(parts.dictionary)
+        code = parts.indices.to_numpy(zero_copy_only=False)
+        each = size[code]
+        place = np.cumsum(each) - each
+        at = np.repeat(begin[code] - place, each) + np.arange(int(each.sum()))
+        n = len(texts)
+        return (stock[at], np.bincount(row, weights=each, minlength=n).astype(np.int64),
+                np.bincount(row, weights=differ[code], minlength=n) > 0, np.bincount(row, weights=~same[code], minlength=n) == 0)
+
+    def _cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Single spaces between two visible characters: of ASCII, or (without a
+        normaliser's table) from U+00C0 to U+07FF."""
+        cut = np.zeros(data.size, bool)
+        if not self.by_stretch or data.size < 3:
+            return cut
+        seen = (data > 0x20) & (data < 0x7F)
+        before, after = seen.copy(), seen.copy()
+        if not self.model.charsmap:
+            lead = (data >= 0xC3) & (data <= 0xDF)
+            before[1:] |= lead[:-1]
+            after |= lead
+        cut[1:-1] = (data[1:-1] == 0x20) & before[:-2] & after[2:]
+        inner = off[(off > 0) & (off < data.size)]
+        cut[inner] = False                                     # a text's first byte, or its last
+        cut[inner - 1] = False
+        return cut
+
+    def _stretches(self, distinct: pa.Array):
+        """``(ids, begin, size, differed, same)``: the ids of stretch ``i`` are ``ids[begin[i]:][:size[i]]``."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(at < 0)
+        words, got = distinct.take(pa.array(new)), []
+        texts = words.to_pylist()
+        for lo in range(0, len(texts), CALL):                  # the libraries' result objects are far larger than the ids
+            got += [(np.array(i, np.int32), d, ok) for i, d, ok in self.encode(texts[lo:lo + CALL])]
+        size_new = np.fromiter((len(g[0]) for g in got), np.int64, len(got))
+        ids = np.concatenate([np.zeros(0, np.int32), *(g[0] for g in got)])
+        flags = np.array([(g[1], g[2]) for g in got], bool).reshape(-1, 2)
+        begin, size, said = self.ends[at], np.diff(self.ends, append=0)[at], np.zeros((len(at), 2), bool)
+        said[at >= 0] = self.flags[at[at >= 0]]
+        begin[new], size[new], said[new] = self.ids.size + np.cumsum(size_new) - size_new, size_new, flags
+        stock = np.concatenate([self.ids, ids])
+        if len(self.known) + len(words) > KNOWN:
+            self._forget()
+        short = pc.less_equal(pc.binary_length(words), KNOWN_BYTES)
+        keep = short.to_numpy(zero_copy_only=False).astype(bool)
+        if len(self.known) + len(words) <= KNOWN:
+            self.known = pa.concat_arrays([self.known, words.filter(short)])
+            self.ids = np.concatenate([self.ids, ids[np.repeat(keep, size_new)]])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size_new[keep])])
+            self.flags = np.concatenate([self.flags, flags[keep]])
+        return stock, begin, size, said[:, 0], said[:, 1]
+
+    def _forget(self) -> None:
+        self.known, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.int32)
+        self.ends, self.flags = np.zeros(1, np.int64), np.zeros((0, 2), bool)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         own = [[i for i in x if i not in self.control] if not self.control.isdisjoint(x) else x for x in ids]
@@ -165,19 +241,18 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value, threads)
         for b in batches:
-            sizes = np.cumsum([0, *((len(t) if t else 0) for t in b.column(len(keep)).to_pylist())])
+            col = b.column(len(keep))
+            _, off = text_bytes(col)
             at = 0
             while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + (1 << 20), "right")) - 1)
-                part = b.slice(at, min(to, b.num_rows) - at)
-                at = min(to, b.num_rows)
-                got = codec.encode([t or "" for t in part.column(len(keep)).to_pylist()])
-                ends = np.cumsum([0, *(len(g[0]) for g in got)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(g[0] for g in got), np.int32, int(ends[-1]))
+                to = min(max(at + 1, int(np.searchsorted(off, off[at] + TILE, "right")) - 1), b.num_rows)
+                part = b.slice(at, to - at)
+                ids, sizes, differ, same = codec.encode_column(col.slice(at, to - at))
+                at = to
+                ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                     pa.array(np.diff(ends).astype(np.int64)), pa.array([g[1] for g in got], pa.bool_()),
-                     pa.array([g[2] for g in got], pa.bool_())], [*keep, *added])
+                    [*part.columns[:len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
+                     pa.array(sizes), pa.array(differ), pa.array(same)], [*keep, *added])
     return src.mapInArrow(run, schema)
 
 

@@ -79,3 +79,22 @@ def test_model_is_parsed():
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert len(m.pieces) == sp.get_piece_size() and m.kind == 2 and m.byte_fallback
     assert all(m.pieces[i][0] == sp.id_to_piece(i) and m.pieces[i][1] == sp.get_score(i) for i in range(0, len(m.pieces), 97))
+
+
+def test_stretches_give_the_ids_of_whole_texts():
+    import random
+
+    import pyarrow as pa
+    rnd = random.Random(4)
+    bits = ["a", " ", "  ", "the", "é", "ß ", "世界", ".", "\n", "Zq", "▁", "<s>", "\u0301", "😀", "\t", "\xa0", "ж", "x y"]
+    texts = ["", None, " ", "a b", " a  b ", "end "] + ["".join(rnd.choices(bits, k=rnd.randrange(25))) for _ in range(1500)]
+    codec = Codec(read_model(MODEL))
+    assert codec.by_stretch
+    whole = codec.encode([t or "" for t in texts])
+    for _ in range(2):                                 # the second time most is known
+        ids, sizes, differ, same = codec.encode_column(pa.array(texts))
+        at = 0
+        for (want, _, ok), n, d, s, t in zip(whole, sizes, differ, same, texts):
+            assert ids[at:at + n].tolist() == want, t
+            assert s == ok or d, t
+            at += n
