@@ -161,7 +161,7 @@ def _score(docs: DataFrame, probs: DataFrame, order: int, slots: int) -> DataFra
                 row = np.repeat(np.arange(n_row), np.diff(off))
                 slot = _slot(g, slots)
                 hit = key[slot] == g
-                lp = np.bincount(row[hit], val[slot[hit]], n_row)
+                lp = np.bincount(row[hit], val[slot[hit]], n_row).astype(np.float64)     # whole numbers, if nothing hits
                 miss = np.flatnonzero(~hit)
                 miss = miss[np.lexsort((g[miss], row[miss]))]
                 r, m = row[miss], g[miss]
