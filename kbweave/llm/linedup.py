@@ -40,6 +40,7 @@ from kbweave.llm.common import fresh, saved
 
 _BITS = 4                         # of a run's length that one round of the descent settles
 _STATE = "hits binary, nodes binary"
+_DOCS = 256                       # documents worked off at once
 
 
 def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -180,8 +181,8 @@ def _round(state: DataFrame, step: int | None, first: bool, name: str) -> DataFr
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
+            for lo in range(0, b.num_rows, _DOCS):
+                part = b.slice(lo, _DOCS)
                 seq = _Lines(*(part.column(c).to_pylist() for c in (2, 3, 4)))
                 if first:
                     pos, size, names = np.arange(len(seq.ids)), np.ones(len(seq.ids), np.int64), seq.ids
@@ -206,9 +207,7 @@ def _round(state: DataFrame, step: int | None, first: bool, name: str) -> DataFr
         .select("s.id", "s.h", "s.ids", "s.lens", "s.hits", "s.nodes", "a.said")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x.slice(lo, _DOCS) for x in batches for lo in range(0, x.num_rows, _DOCS)):
             seq = _Lines(*(b.column(c).to_pylist() for c in (2, 4, 5)))
             lists = b.column(6)
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -234,7 +233,7 @@ def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_t = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, _DOCS) for x in batches for lo in range(0, x.num_rows, _DOCS)):
             ids, lens = [], []
             for t in b.column(2).to_pylist():
                 lines = t.split("\n")
