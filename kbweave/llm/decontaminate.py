@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -95,7 +96,7 @@ def passage_frequencies(docs: DataFrame, s: Settings, text_col: str = "text") ->
                 if not len(h):
                     continue
                 p = passage_ids(row, s.passage)
-                pair = np.unique(p * s.buckets + _bucket(h, s.buckets))
+                pair = pd.unique(p * s.buckets + _bucket(h, s.buckets))
                 df += np.bincount(pair & (s.buckets - 1), minlength=s.buckets)
                 n += int(p[-1]) + 1
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(df), -1)),
@@ -309,13 +310,16 @@ def candidates(h: np.ndarray, row: np.ndarray, basis: np.ndarray, items: Items,
             continue
         hop = max(1, m // 4)                       # windows start every quarter of their length
         starts = np.flatnonzero((in_row % hop) == 0)
-        for at in range(0, len(starts), 8192):
-            some = starts[at:at + 8192]
-            cos = _unit(win[some]) @ items.vec[own].T
-            wi, ii = np.nonzero(cos >= min_cosine)
-            if not len(wi):
+        for at in range(0, len(starts), 2048):
+            some = starts[at:at + 2048]
+            w = win[some]
+            norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-12)
+            dots = w @ items.vec[own].T
+            hit = np.flatnonzero((dots >= min_cosine * norm[:, None]).ravel())
+            if not len(hit):
                 continue
-            c = cos[wi, ii]
+            wi, ii = np.divmod(hit, len(own))
+            c = dots.ravel()[hit] / norm[wi]
             for n in np.lexsort((-c, ii)).tolist():
                 item, x = int(own[ii[n]]), int(brow[some[wi[n]]])
                 pad = scale // 4 + max(0, len(items.words[item]) - scale)

@@ -112,27 +112,12 @@ def covered(starts: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
-def add_rows(out: np.ndarray, at: np.ndarray, table: np.ndarray, pick: np.ndarray, rounds: int = 64) -> None:
-    """``out[at] += table[pick]``, also where ``at`` repeats: one round adds the
-    first row of every place, the next the second; what is left after ``rounds``
-    is summed column by column."""
-    if not len(at):
-        return
-    order = np.argsort(at, kind="stable")
-    a = at[order]
-    head = np.concatenate(([True], a[1:] != a[:-1]))
-    nth = np.arange(len(a)) - np.maximum.accumulate(np.where(head, np.arange(len(a)), 0))
-    turn = np.argsort(np.minimum(nth, rounds), kind="stable")
-    ends = np.cumsum(np.bincount(np.minimum(nth, rounds), minlength=rounds + 1))
-    start = 0
-    for end in ends[:rounds]:
-        if end == start:
-            break
-        some = order[turn[start:end]]
-        out[at[some]] += table[pick[some]]
-        start = end
-    rest = order[turn[ends[rounds - 1]:]]
-    if len(rest):
-        place, inv = np.unique(at[rest], return_inverse=True)
-        for c in range(table.shape[1]):
-            out[place, c] += np.bincount(inv, table[pick[rest], c])
+def add_rows(out: np.ndarray, at: np.ndarray, table: np.ndarray, pick: np.ndarray, step: int = 1 << 12) -> None:
+    """``out[at] += table[pick]``, also where ``at`` repeats: rows
+    are brought in the order of their places and summed by runs, in double precision."""
+    order = np.argsort(at.astype(np.uint16) if len(out) <= 1 << 16 else at, kind="stable")
+    for lo in range(0, len(order), step):
+        some = order[lo:lo + step]
+        a = at[some]
+        first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        out[a[first]] += np.add.reduceat(table[pick[some]], first, axis=0, dtype=np.float64)
