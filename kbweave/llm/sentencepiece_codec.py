@@ -33,9 +33,9 @@ from kbweave.llm.common import text_bytes
 MARK = "▁"
 NORMAL, CONTROL, USER_DEFINED, BYTE = 1, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-TILE = 4 << 20                    # bytes of text whose stretches are encoded once
-CALL = 16_384                     # texts handed to the libraries at once
-KNOWN, KNOWN_BYTES = 1 << 19, 48  # stretches that a worker remembers, and their size at most
+TILE = 1 << 20                    # bytes of text whose stretches are encoded once
+CALL = 2_048                      # texts handed to the libraries at once
+KNOWN, KNOWN_BYTES = 1 << 18, 48  # stretches that a worker remembers, and their size at most
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
