@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbweave.llm.common import fresh, saved
+from kbweave.llm.common import fresh, give_back, saved
 
 _BITS = 4                         # of a run's length that one round of the descent settles
 _STATE = "hits binary, nodes binary"
@@ -194,6 +194,7 @@ def _round(state: DataFrame, step: int | None, first: bool, name: str) -> DataFr
                     [part.column(0).take(at), part.column(1).take(at), pa.array(pos - seq.off[doc]), pa.array(size.astype(np.int64)),
                      pa.array(np.ascontiguousarray(names[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(names[:, 1]).view(np.int64))],
                     ["id", "h", "pos", "n", "hi", "lo"])
+        give_back()
     # Written once: it is grouped by name, and its places are looked up among the names that occur twice.
     asked = saved(state.select("id", "h", "ids", "hits", "nodes").mapInArrow(
         ask, f"id {id_t}, h long, pos long, n long, hi long, lo long"), f"{name}-asked")
@@ -222,6 +223,7 @@ def _round(state: DataFrame, step: int | None, first: bool, name: str) -> DataFr
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:4], hits if isinstance(hits, pa.Array) else pa.array(hits, pa.binary()), pa.array(nodes, pa.binary())],
                 ["id", "h", "ids", "lens", "hits", "nodes"])
+        give_back()
     return saved(joined.mapInArrow(settle, f"id {id_t}, h long, ids binary, lens binary, {_STATE}"), name)
 
 
@@ -242,6 +244,7 @@ def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(lens, pa.binary()),
                                               pa.nulls(b.num_rows, pa.binary()), pa.nulls(b.num_rows, pa.binary())],
                                              ["id", "h", "ids", "lens", "hits", "nodes"])
+        give_back()
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"),
                                                          F.col(text_col).cast("string").alias("t"))
     cutted = saved(src.mapInArrow(cut, f"id {id_t}, h long, ids binary, lens binary, {_STATE}"), "line-ids")
