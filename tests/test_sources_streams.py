@@ -311,3 +311,13 @@ def test_stored_vectors_call_the_embedder_once_a_text(spark):
     before = calls.value
     VS.judged_by_store(e.where("page_id < 3"), p, 2, embed).collect()
     assert calls.value == before                                            # nothing is embedded again
+
+
+def test_streams_read_a_table_of_several_files(spark, tmp_path):
+    """A folder whose name ends with .parquet is a table; the file beside it is none of its own."""
+    conv = spark.createDataFrame([(c, t, "user", f"m{c}.{t}") for c in range(4) for t in range(3)],
+                                 "conv_id long, turn long, role string, text string")
+    conv.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = ST.history_stream(spark, str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): r.history for r in spark.read.parquet(out).collect()}
+    assert len(got) == 12 and got[(2, 1)] == "user: m2.0\nuser: m2.1"
