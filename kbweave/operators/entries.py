@@ -3,6 +3,8 @@ validation, quarantine and batch status counts. All row-local expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from kbweave.functions import strictjson as J
 from kbweave.functions.strictjson import FENCE
+from kbweave.operators.hashing import sliced
 from kbweave.schemas import ENTRY
 
 
@@ -29,14 +32,16 @@ REPLY = T.StructType([T.StructField("status", T.StringType()), T.StructField("en
 
 
 @F.arrow_udf(REPLY)
-def _parsed(col: pa.Array) -> pa.Array:
-    out = []
-    for s in col.to_pylist():
-        status, value = ("bad_json", None) if s is None else J.read(s)
-        out.append({"status": status, "entry": J.entry(value) if status == "ok" else None})
-    return pa.array(out, pa.struct([("status", pa.string()), ("entry", pa.struct([
+def _parsed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("status", pa.string()), ("entry", pa.struct([
         ("title", pa.string()), ("content", pa.string()),
-        ("links", pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())])))]))]))
+        ("links", pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())])))]))])
+    for col in sliced(batches):
+        out = []
+        for s in col.to_pylist():
+            status, value = ("bad_json", None) if s is None else J.read(s)
+            out.append({"status": status, "entry": J.entry(value) if status == "ok" else None})
+        yield pa.array(out, kind)
 
 
 def entry_status(s) -> Column:

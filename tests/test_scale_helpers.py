@@ -46,3 +46,32 @@ def test_gate_keeps_rows_without_filter_node(spark):
     out = gate(df, F.col("even"))
     assert sorted(r.id for r in out.collect()) == [0, 2, 4, 6, 8]
     assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_see_short_slices(spark):
+    """What a step makes of an Arrow batch is bounded by a slice of it, and slices change no result."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from kbweave.operators import hashing as H
+    assert [len(x) for x in H.sliced(iter([pa.array(range(600)), pa.array([1])]))] == [256, 256, 88, 1]
+    rows = [(i, None if i % 7 == 0 else ["a b", None if i % 5 == 0 else "b b c"]) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, t array<string>").coalesce(1)
+    want = np.array(H.hashed_vectors(16)(["a b", "b b c"]))
+    for r in df.select("i", H.dense_texts_udf(16)("t").alias("v")).collect():
+        assert r.v is None if r.i % 7 == 0 or r.i % 5 == 0 else (np.array(r.v) == want).all()
+    toks = spark.createDataFrame([(i, None if i % 7 == 0 else [] if i % 5 == 0 else ["b", "b", "c"]) for i in range(600)], "i int, t array<string>").coalesce(1)
+    for r in toks.select("i", H.sparse_tf_udf(16)("t").alias("s"), H.dense_tf_udf(16)("t").alias("d")).collect():
+        assert (r.s is None or r.s.bucket is None) == (r.i % 7 == 0) == (r.d is None)
+        if r.d is not None:
+            assert sum(r.d) == (0 if r.i % 5 == 0 else 3) == sum(r.s.tf)
+    seen = []
+    from kbweave.operators import kb as K
+    e = spark.range(600).select(F.col("id").alias("page_id"), F.struct(F.lit("t").alias("title"), F.lit("c").alias("content"),
+        F.array().cast("array<struct<text:string,url:string>>").alias("links")).alias("entry")).coalesce(1)
+
+    def embed(texts):
+        return [[float(len(texts)), 0.0] for _ in texts]
+    seen = {r.vectors[0][0] for r in K.judged(e, 2, embed).select("vectors").collect()}
+    assert max(seen) <= 256
