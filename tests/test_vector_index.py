@@ -1,6 +1,7 @@
 """Pruned blocks and the stored index against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,27 @@ def test_empty_tables(spark):
     assert R.topk_batch(none, frame(spark, v, "query_id"), 3, dim=6).count() == 0
     assert R.topk_batch(frame(spark, v), none.withColumnRenamed("doc_id", "query_id"), 3, dim=6).count() == 0
     assert R.topk_batch(none, frame(spark, v, "query_id"), 3, dim=6, cells=3).count() == 0
+
+
+def test_part_equals_brute_force():
+    """Several chunks of rows, copies, zero vectors, ids out of order."""
+    v = np.concatenate([made(3000, 6, 3), np.random.default_rng(2).normal(size=(3000, 6)).astype(np.float32)])
+    ids = np.random.default_rng(5).permutation(len(v))
+    part = B.Part(pa.array(ids), v)
+    by_id = np.empty_like(v)
+    by_id[ids] = v
+    q = np.concatenate([v[2990:3040], np.zeros((1, 6), np.float32), v[:3]])
+    cols, sim, rows = part.best(q, 5)
+    got = {i: [] for i in range(len(q))}
+    for c, _, r in sorted(zip(cols.tolist(), (-sim).tolist(), rows.tolist(), strict=True)):
+        got[c].append(part.ids[r].as_py())
+    assert got == brute(by_id, q, 5)
+
+
+def test_queries_travel_by_part_not_by_block():
+    """Small blocks do not multiply the queries: a cell's blocks are dealt to a few parts."""
+    cells = B.one_cell(64, 1_000_000)
+    rows = B.part_rows(cells, 64, 128, 24, "<f4")
+    assert cells.shares(rows).sum() - 1 == 24 and cells.shares(128)[0] > 7000
+    assert B.part_rows(B.one_cell(64, 10 ** 9), 64, 128, 24, "<f4") == B.PART_BYTES // 256
+    assert B.part_rows(B.one_cell(64, 10), 64, 128, 24, "<f4") == 128
