@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import shuffle_n, text_bytes
+from kbweave.llm.common import give_back, shuffle_n, text_bytes
 from kbweave.llm.textvec import SPACE, Prefix, add_rows, mix, slices
 
 # Bytes that separate terms: white space and ASCII punctuation.
@@ -37,6 +37,11 @@ _BREAK = SPACE.copy()
 _BREAK[np.frombuffer(bytes(c for c in range(128) if not chr(c).isalnum()), np.uint8)] = True
 
 
+TILE = 1 << 19                    # bytes of text whose windows are searched at once
+SIGNS = 1 << 24                   # bytes of the word signatures of a block of items, at most
+CHECKED = 1 << 11                 # windows whose words are counted at once
+
+
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 14      # hashed terms
@@ -101,6 +106,7 @@ def passage_frequencies(docs: DataFrame, s: Settings, text_col: str = "text") ->
                 n += int(p[-1]) + 1
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(df), -1)),
                                           pa.array(np.append(df[df > 0], n))], ["bucket", "n"])
+        give_back()
 
     found = (_spread(docs, text_col).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())
     df = np.zeros(s.buckets, np.int64)
@@ -149,6 +155,8 @@ def latent_basis(docs: DataFrame, w: np.ndarray, s: Settings, text_col: str = "t
             part = b_sum[blk * rows:(blk + 1) * rows]
             yield pa.RecordBatch.from_arrays([pa.array([blk]), pa.array([part.astype(np.float32).tobytes()], pa.binary())],
                                               ["blk", "part"])
+        del b_sum, wo
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -256,6 +264,10 @@ class Items:
             of = np.repeat(own, [len(np.unique(shingle_hashes(self.words[i], k))) for i in own])
             order = np.argsort(key, kind="stable")
             self.shingles[k] = key[order], of[order], at[order]
+        # Signatures: a flag for each hash of a word modulo a power of two. Words may share a flag, so a
+        # region has at most as many of an item's words as flags say.
+        self.signs = np.zeros((len(ids), 1 << min(12, max(6, (SIGNS // max(1, len(ids))).bit_length() - 1))), bool)
+        self.signs[row, (h & np.uint64(self.signs.shape[1] - 1)).astype(np.int64)] = True
         # An item meets the windows of the nearest scale and of any less than a factor of two off.
         near = (gap < np.log(2) - 1e-9) | (gap == gap.min(axis=1, keepdims=True, initial=np.inf))
         self.by_scale = [np.flatnonzero(near[:, i] & usable) for i in range(len(self.scales))]
@@ -284,17 +296,33 @@ def shared_shingles(h: np.ndarray, row: np.ndarray, items: Items) -> Iterator[tu
             yield r, i, int(max(first[r], a - m // 4)), int(min(last[r], a + w + m + m // 4))
 
 
+def enough_words(sign: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, items: Items, s: Settings) -> np.ndarray:
+    """Which regions ``[lo, hi)`` may hold the words of their item that ``check`` asks for; those
+    left out lack them. ``sign`` is the flag's number of each place."""
+    ok = np.empty(len(lo), bool)
+    flat, width = items.signs.ravel(), items.signs.shape[1]
+    for at in range(0, len(lo), CHECKED):
+        a, n, i = lo[at:at + CHECKED], (hi - lo)[at:at + CHECKED], item[at:at + CHECKED]
+        end = np.cumsum(n)
+        place = np.repeat(a - (end - n), n) + np.arange(int(n.sum()))
+        got = np.concatenate(([0], np.cumsum(flat[np.repeat(i * width, n) + sign[place]])))
+        ok[at:at + CHECKED] = got[end] - got[end - n] >= s.min_lcs * items.size[i]
+    return ok
+
+
 def candidates(h: np.ndarray, row: np.ndarray, basis: np.ndarray, items: Items, s: Settings,
                min_cosine: float) -> Iterator[tuple[int, int, float, int, int]]:
     """``(row, item, cosine, from, to)``: every window of a row that reaches
     ``min_cosine`` with an item, widened by a quarter on both sides and by what
-    the item is longer (places in ``h``); those of a pair by falling cosine."""
+    the item is longer (places in ``h``); those of a pair by falling cosine. Windows
+    with too few of the item's words for ``check`` are left out."""
     if not items.scales:
         return
     step = min(items.scales) // 2
     blk = passage_ids(row, step)
     edge = np.flatnonzero(np.concatenate(([True], blk[1:] != blk[:-1])))
     t = _bucket(h, s.buckets)
+    sign = (h & np.uint64(items.signs.shape[1] - 1)).astype(np.int64)
     sums = _piece_sums(basis, t, edge, step)
     brow = row[edge]
     rows = np.arange(int(row[-1]) + 1)
@@ -319,13 +347,14 @@ def candidates(h: np.ndarray, row: np.ndarray, basis: np.ndarray, items: Items,
             if not len(hit):
                 continue
             wi, ii = np.divmod(hit, len(own))
-            c = dots.ravel()[hit] / norm[wi]
-            for n in np.lexsort((-c, ii)).tolist():
-                item, x = int(own[ii[n]]), int(brow[some[wi[n]]])
-                pad = scale // 4 + max(0, len(items.words[item]) - scale)
-                at_word = edge[some[wi[n]]]
-                yield (x, item, float(c[n]), int(max(first[x], at_word - pad)),
-                       int(min(last[x], at_word + scale + pad)))
+            item, at_word, x = own[ii], edge[some[wi]], brow[some[wi]]
+            pad = scale // 4 + np.maximum(0, items.size[item] - scale)
+            lo, hi = np.maximum(first[x], at_word - pad), np.minimum(last[x], at_word + scale + pad)
+            ok = np.flatnonzero(enough_words(sign, lo, hi, item, items, s))
+            c = (dots.ravel()[hit[ok]] / norm[wi[ok]])
+            order = np.lexsort((-c, ii[ok]))
+            ok = ok[order]
+            yield from zip(x[ok].tolist(), item[ok].tolist(), c[order].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True)
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id",
@@ -350,7 +379,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Setti
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(*block.value, basis.value, s)
             for b in batches:
-                for at, to in slices(b, 1):
+                for at, to in slices(b, 1, TILE):
                     part = b.slice(at, to - at)
                     h, row = terms(part.column(1))
                     best: dict[tuple[int, int], tuple[float, float, float]] = {}
@@ -370,6 +399,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Setti
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0).take(pa.array(c[0], pa.int64())), pa.array([items.ids[i] for i in c[1]], b_type),
                          *(pa.array(x, pa.float64()) for x in c[2:])], ["id", "item", "cosine", "lcs", "answer"])
+            del items
+            give_back()
         from pyspark.sql.pandas.types import to_arrow_type
         b_type = to_arrow_type(item_type)
         return src.mapInArrow(run, f"id {id_t}, item {item_t}, cosine double, lcs double, answer double")
