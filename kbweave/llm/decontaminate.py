@@ -29,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import give_back, shuffle_n, text_bytes
-from kbweave.llm.textvec import SPACE, Prefix, add_rows, mix, slices
+from kbweave.llm.common import shuffle_n, text_bytes
+from kbweave.llm.textvec import SPACE, Prefix, add_rows, let_go, mix, slices
 
 # Bytes that separate terms: white space and ASCII punctuation.
 _BREAK = SPACE.copy()
@@ -106,7 +106,7 @@ def passage_frequencies(docs: DataFrame, s: Settings, text_col: str = "text") ->
                 n += int(p[-1]) + 1
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(df), -1)),
                                           pa.array(np.append(df[df > 0], n))], ["bucket", "n"])
-        give_back()
+        let_go()
 
     found = (_spread(docs, text_col).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())
     df = np.zeros(s.buckets, np.int64)
@@ -156,7 +156,7 @@ def latent_basis(docs: DataFrame, w: np.ndarray, s: Settings, text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array([blk]), pa.array([part.astype(np.float32).tobytes()], pa.binary())],
                                               ["blk", "part"])
         del b_sum, wo
-        give_back()
+        let_go()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -400,7 +400,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Setti
                         [part.column(0).take(pa.array(c[0], pa.int64())), pa.array([items.ids[i] for i in c[1]], b_type),
                          *(pa.array(x, pa.float64()) for x in c[2:])], ["id", "item", "cosine", "lcs", "answer"])
             del items
-            give_back()
+            let_go()
         from pyspark.sql.pandas.types import to_arrow_type
         b_type = to_arrow_type(item_type)
         return src.mapInArrow(run, f"id {id_t}, item {item_t}, cosine double, lcs double, answer double")

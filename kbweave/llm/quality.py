@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import saved, text_bytes
+from kbweave.llm.common import give_back, saved, text_bytes
 from kbweave.llm.textvec import slices
 
 ORDER = 5
@@ -79,6 +79,8 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         held, size = [], 0
         if held:
             yield _rows(_merge(held))
+        held.clear()
+        give_back()
 
     def _rows(m):
         return pa.RecordBatch.from_arrays([pa.array(m[0].view(np.int64)), pa.array(m[1]), pa.array(m[2])],
@@ -173,6 +175,7 @@ def _score(docs: DataFrame, probs: DataFrame, order: int, slots: int) -> DataFra
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(m[first].view(np.int64))),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32)))],
                     ["id", "lang", "n", "lp", "g", "times"])
+        give_back()
 
     t = docs.schema["id"].dataType.simpleString()
     scored = docs.select("id", "lang", "text").mapInArrow(

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import text_bytes
+from kbweave.llm.common import give_back, text_bytes
 
 MARK = "▁"
 NORMAL, CONTROL, USER_DEFINED, BYTE = 1, 3, 4, 6
@@ -106,7 +106,8 @@ class Codec:
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers
         # Read when the library first runs a batch in this worker process.
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
-        m = self.model = Model(data)
+        self.threads, m = threads, Model(data)
+        self.model = m
         # Control pieces never match text: in the vocabulary a noncharacter stands before them.
         names = ["\uffff" + p if kind == CONTROL else p for p, _, kind in m.pieces]
         self.control = {i for i, (*_, kind) in enumerate(m.pieces) if kind == CONTROL}
@@ -135,7 +136,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
         """``(ids, differed from the sentencepiece library, decodes to the text)`` of each text."""
         own = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        want = self.reference.encode(texts)
+        want = self.reference.encode(texts, num_threads=self.threads)
         ids = [o if o == w else w for o, w in zip(own, want, strict=True)]
         back = self.decode(ids)
         return [(i, i is not o, d == t) for i, o, d, t in zip(ids, own, back, texts, strict=True)]
@@ -253,6 +254,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:len(keep)], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
                      pa.array(sizes), pa.array(differ), pa.array(same)], [*keep, *added])
+                del part, ids, sizes, differ, same
+                give_back()                            # the libraries' objects of a tile, before the next
     return src.mapInArrow(run, schema)
 
 

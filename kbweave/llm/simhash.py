@@ -25,10 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbweave.llm.common import saved
+from kbweave.llm.common import give_back, saved
 from kbweave.llm.components import connected_components
 
 SEED = 42
+_DOCS = 256          # texts that are Python objects at once
 SEGMENTS = 2
 
 
@@ -62,10 +63,11 @@ def fingerprint_bytes(text: bytes, shingle: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp long)`` for each row; whole texts, null counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, _DOCS) for x in batches for lo in range(0, x.num_rows, _DOCS)):
             fps = [fingerprint_bytes(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
             fp = np.array(fps, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
+        give_back()
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from kbweave.llm.common import text_bytes
+from kbweave.llm.common import give_back, text_bytes
 
 # White space between words: space and the five controls from tab to carriage return.
 SPACE = np.zeros(256, bool)
@@ -26,11 +26,11 @@ _inv = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Base powers and their inverses modulo 2**64; grown as needed and kept by
-    the worker process (at most twice the largest slice)."""
+    """Base powers and their inverses modulo 2**64; grown as needed (to steps of 2**18) and
+    kept by the worker process until ``let_go``."""
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 2 * len(_pow))
+        size = -(-n >> 18) << 18
         _pow, _inv = np.full(size, _BASE, np.uint64), np.full(size, _INV, np.uint64)
         _pow[0] = _inv[0] = 1
         np.cumprod(_pow, out=_pow)
@@ -38,6 +38,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow, _inv
 
 
+def let_go() -> None:
+    """Forget the powers and return freed memory: what a task calls at its end."""
+    global _pow, _inv
+    _pow, _inv = np.ones(1, np.uint64), np.ones(1, np.uint64)
+    give_back()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (all bits depend on all bits)."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
