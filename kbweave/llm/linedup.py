@@ -252,22 +252,26 @@ def maximal_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     state = _round(state, None, False, "line-doublings")
 
     @F.pandas_udf("long")
-    def level(col: pd.Series) -> pd.Series:
-        return col.map(lambda x: int(_ints(x, 4)[:, 1].max(initial=0)))
+    def level(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for col in batches:
+            yield col.map(lambda x: int(_ints(x, 4)[:, 1].max(initial=0)))
+        give_back()
     top = state.agg(F.max(level("nodes"))).first()[0] or 0
     for step in range((max(top, 1) - 1) // _BITS * _BITS, -1, -_BITS):
         if top > step:
             state = _round(state, step, False, f"line-descent-{step}")
 
     @F.pandas_udf("binary")
-    def runs(col: pd.Series) -> pd.Series:
+    def runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(x):
             n = _ints(x, 4)
             n = n[n[:, 3] == 1]
             n = n[np.lexsort((-n[:, 2], n[:, 0]))]
             keep = np.r_[True, n[1:, 0] != n[:-1, 0]] if len(n) else np.zeros(0, bool)
             return np.ascontiguousarray(n[keep][:, [0, 2]], "<i8").tobytes()
-        return col.map(one)
+        for col in batches:
+            yield col.map(one)
+        give_back()
     return state.select("id", "h", "lens", runs("nodes").alias("runs"))
 
 
@@ -302,22 +306,26 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = 1, min_chars: int = 50
     n_removed and n_runs (maximal deleted spans), replacing columns of those names.
     A document's line IDs (16 bytes a line) and its nodes are held by one task."""
     @F.pandas_udf("binary")
-    def gone(lens: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([np.packbits(deleted(np.frombuffer(a, "<i4"), _ints(r, 2), min_lines, min_chars)).tobytes()
-                          for a, r in zip(lens, runs, strict=True)], dtype=object)
+    def gone(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for lens, runs in batches:
+            yield pd.Series([np.packbits(deleted(np.frombuffer(a, "<i4"), _ints(r, 2), min_lines, min_chars)).tobytes()
+                             for a, r in zip(lens, runs, strict=True)], dtype=object)
+        give_back()
 
     @F.pandas_udf(_RESULT)
-    def without(text: pd.Series, mask: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, m in zip(text, mask, strict=True):
-            parts = (t or "").split("\n")
-            if m is None or t is None:
-                out.append((t, len(parts), 0, 0))
-                continue
-            g = np.unpackbits(np.frombuffer(m, np.uint8), count=len(parts)).astype(bool)
-            spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0])
-            out.append(("\n".join(p for p, x in zip(parts, g, strict=True) if not x), len(parts), int(g.sum()), spans))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_runs"])
+    def without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, mask in ((x.iloc[lo:lo + _DOCS], y.iloc[lo:lo + _DOCS]) for x, y in batches for lo in range(0, len(x), _DOCS)):
+            out = []
+            for t, m in zip(text, mask, strict=True):
+                parts = (t or "").split("\n")
+                if m is None or t is None:
+                    out.append((t, len(parts), 0, 0))
+                    continue
+                g = np.unpackbits(np.frombuffer(m, np.uint8), count=len(parts)).astype(bool)
+                spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0])
+                out.append(("\n".join(p for p, x in zip(parts, g, strict=True) if not x), len(parts), int(g.sum()), spans))
+            yield pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_runs"])
+        give_back()
     found = maximal_runs(docs, id_col, text_col)
     key, hsh, mask, new = (fresh(docs.columns, c) for c in ("id", "h", "mask", "new"))
     found = found.where(F.length("runs") > 0).select(F.col("id").alias(key), F.col("h").alias(hsh), gone("lens", "runs").alias(mask))

@@ -34,6 +34,7 @@ ORDER = 5
 FOLDS = 5
 HEAD_SLOTS = 1048573     # slots (a prime) of the broadcast table: 16 bytes each, whatever the corpus
 ID_BUCKETS = 1 << 20     # hash buckets of trusted ids broadcast at most
+TILE = 1 << 19           # bytes of text whose grams are made at once
 FLUSH = 1 << 21          # distinct grams a task holds before it passes them on
 TRUST, CALIBRATE, OTHER = 2, 1, 0
 
@@ -63,7 +64,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
         held: list = []
         size = 0
         for b in batches:
-            for at, to in slices(b, 0):
+            for at, to in slices(b, 0, TILE):
                 part = b.slice(at, to - at)
                 buf, off = text_bytes(part.column(0))
                 train = np.repeat(part.column(1).to_numpy(zero_copy_only=False) == TRUST, np.diff(off))
@@ -155,7 +156,7 @@ def _score(docs: DataFrame, probs: DataFrame, order: int, slots: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, val = table.value
         for b in batches:
-            for at, to in slices(b, 2):
+            for at, to in slices(b, 2, TILE):
                 part = b.slice(at, to - at)
                 buf, off = text_bytes(part.column(2))
                 n_row = len(off) - 1

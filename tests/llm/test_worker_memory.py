@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from kbweave.llm import sentencepiece_codec, simhash, textvec
+from kbweave.llm import linedup, sentencepiece_codec, simhash, textvec
 from kbweave.llm.queries import MODEL
 
 
@@ -39,3 +39,12 @@ def test_the_reference_library_keeps_to_the_threads_given():
     codec.reference = Counted()
     ids, sizes, *_ = codec.encode_column(pa.array(["a word or two", None, "grüße 東京"]))
     assert asked == [1] and sizes.tolist()[1] == 0 and len(ids) == sizes.sum()
+
+
+def test_line_dedup_of_many_short_slices(spark):
+    """More rows than a step takes at once, in one batch: every text keeps its place, nulls and empty texts too."""
+    line = "this line of more than fifty characters stands in many of the texts"
+    texts = [None if i % 97 == 5 else "" if i % 89 == 7 else f"{line}\nown words of text {i}" for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["text"] for r in linedup.drop_repeated_lines(docs).collect()}
+    assert got == {i: t if i == 0 or not t else f"own words of text {i}" for i, t in enumerate(texts)}
