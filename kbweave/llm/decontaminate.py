@@ -37,7 +37,7 @@ _BREAK = SPACE.copy()
 _BREAK[np.frombuffer(bytes(c for c in range(128) if not chr(c).isalnum()), np.uint8)] = True
 
 
-TILE = 1 << 19                    # bytes of text whose windows are searched at once
+TILE = 1 << 19                    # bytes of text that are counted or searched at once
 SIGNS = 1 << 24                   # bytes of the word signatures of a block of items, at most
 CHECKED = 1 << 11                 # windows whose words are counted at once
 
@@ -96,7 +96,7 @@ def passage_frequencies(docs: DataFrame, s: Settings, text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(s.buckets, np.int64), 0
         for b in batches:
-            for at, to in slices(b, 0):
+            for at, to in slices(b, 0, TILE):
                 h, row = terms(b.slice(at, to - at).column(0))
                 if not len(h):
                     continue
