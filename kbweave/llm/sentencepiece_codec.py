@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -135,11 +136,16 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], bool, bool]]:
         """``(ids, differed from the sentencepiece library, decodes to the text)`` of each text."""
+        return list(zip(*self._compared(texts), strict=True))
+
+    def _compared(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+        """The same as three lists; a batch without a difference is compared at once."""
         own = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         want = self.reference.encode(texts, num_threads=self.threads)
-        ids = [o if o == w else w for o, w in zip(own, want, strict=True)]
+        differ = [False] * len(own) if own == want else [o != w for o, w in zip(own, want, strict=True)]
+        ids = own if own == want else want                     # equal where they do not differ
         back = self.decode(ids)
-        return [(i, i is not o, d == t) for i, o, d, t in zip(ids, own, back, texts, strict=True)]
+        return ids, differ, [True] * len(back) if back == texts else [d == t for d, t in zip(back, texts, strict=True)]
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids in order, and for each text (null: empty) its number of ids, whether the
@@ -186,10 +192,10 @@ class Codec:
         words, got = distinct.take(pa.array(new)), []
         texts = words.to_pylist()
         for lo in range(0, len(texts), CALL):                  # the libraries' result objects are far larger than the ids
-            got += [(np.array(i, np.int32), d, ok) for i, d, ok in self.encode(texts[lo:lo + CALL])]
-        size_new = np.fromiter((len(g[0]) for g in got), np.int64, len(got))
-        ids = np.concatenate([np.zeros(0, np.int32), *(g[0] for g in got)])
-        flags = np.array([(g[1], g[2]) for g in got], bool).reshape(-1, 2)
+            some, *said = self._compared(texts[lo:lo + CALL])
+            got.append((np.fromiter(chain.from_iterable(some), np.int32), np.fromiter(map(len, some), np.int64, len(some)), np.array(said, bool).T))
+        ids, size_new = (np.concatenate([np.zeros(0, kind), *(g[i] for g in got)]) for i, kind in enumerate((np.int32, np.int64)))
+        flags = np.concatenate([np.zeros((0, 2), bool), *(g[2] for g in got)])
         begin, size, said = self.ends[at], np.diff(self.ends, append=0)[at], np.zeros((len(at), 2), bool)
         said[at >= 0] = self.flags[at[at >= 0]]
         begin[new], size[new], said[new] = self.ids.size + np.cumsum(size_new) - size_new, size_new, flags
@@ -210,8 +216,9 @@ class Codec:
         self.ends, self.flags = np.zeros(1, np.int64), np.zeros((0, 2), bool)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        own = [[i for i in x if i not in self.control] if not self.control.isdisjoint(x) else x for x in ids]
-        return self.whole.decode_batch(own, skip_special_tokens=False)
+        if not self.control.isdisjoint(chain.from_iterable(ids)):
+            ids = [[i for i in x if i not in self.control] for x in ids]
+        return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
 @lru_cache(maxsize=2)

@@ -98,3 +98,29 @@ def test_stretches_give_the_ids_of_whole_texts():
             assert ids[at:at + n].tolist() == want, t
             assert s == ok or d, t
             at += n
+
+
+def test_batches_without_a_difference_make_no_array_per_stretch(monkeypatch):
+    """Ids of a batch are flattened at once; a difference is still told text by text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from kbweave.llm import sentencepiece_codec as S
+    codec = S.Codec(S.read_model(MODEL), 1)
+    words = [f"word{i}" for i in range(500)]
+    texts = pa.array([" ".join(words), None, " ".join(words[:250])])
+    made = []
+    plain = np.array
+    with monkeypatch.context() as m:
+        m.setattr(np, "array", lambda *a, **b: made.append(1) or plain(*a, **b))
+        ids, sizes, differ, same = codec.encode_column(texts)
+    assert len(made) < 100
+    want = codec.encode([x or "" for x in texts.to_pylist()])
+    assert [ids[a:b].tolist() for a, b in zip(np.r_[0, np.cumsum(sizes)[:-1]], np.cumsum(sizes))] == [w[0] for w in want]
+    assert not differ.any() and same.all()
+
+    class Other:
+        def encode(self, some, num_threads):
+            return [[5] if t == "word7" else e.ids for t, e in zip(some, codec.whole.encode_batch_fast(some, add_special_tokens=False))]
+    codec.reference = Other()
+    assert [(d, s) for _, d, s in codec.encode(["word6", "word7"])] == [(False, True), (True, False)]
