@@ -112,14 +112,15 @@ def topk_indexed(index: VectorIndex, queries: DataFrame, k: int | None = None, *
     q = vector_rows(queries, query_id, query_vec, index.dim)
     q = saved(q.withColumn("qid", F.monotonically_increasing_id()), "queries")
     find = B.search_pruned if exact and n_probe else B.search
-    top = find(index.blocks(spark), q.select("qid", "vec"), index.cells, k, index.dim, index.block_rows, index.kind, n_probe)
-    return top.join(q.select("qid", F.col("id").alias("query_id")), "qid").select(
+    top = find(index.blocks(spark), q.select("qid", "vec"), index.cells, k, index.dim, index.block_rows, index.kind, n_probe, asked=q.count())
+    # As many rows as queries: merged, not gathered on the driver for a broadcast.
+    return top.join(q.select("qid", F.col("id").alias("query_id")).hint("merge"), "qid").select(
         "query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "similarity")
 
 
 def found_share(got: DataFrame, exact: DataFrame) -> DataFrame:
     """One row ``(wanted, found)``: neighbours of the exact answer, and how many of them ``got`` holds."""
-    both = exact.select("query_id", "doc_id").join(got.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    both = exact.select("query_id", "doc_id").join(got.select("query_id", "doc_id", F.lit(1).alias("hit")).hint("merge"), ["query_id", "doc_id"], "left")
     return both.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
 
 

@@ -151,3 +151,34 @@ def test_queries_travel_by_part_not_by_block():
     assert cells.shares(rows).sum() - 1 == 24 and cells.shares(128)[0] > 7000
     assert B.part_rows(B.one_cell(64, 10 ** 9), 64, 128, 24, "<f4") == B.PART_BYTES // 256
     assert B.part_rows(B.one_cell(64, 10), 64, 128, 24, "<f4") == 128
+
+
+def test_few_parts_and_lanes_share_the_queries():
+    """As many queries as documents, 24 slots and nothing pruned: neither side is copied once a task."""
+    cells = B.Cells(np.eye(16), np.full(16, -1.0), np.array([3200] * 16 + [0]))
+    rows, lanes = B.grid(cells, 64, 100, 24, "<f4", 51_200, 17)
+    parts = B.part_numbers(cells, rows)[2]
+    assert parts * lanes >= 12 and parts + lanes <= 8
+    rows, lanes = B.grid(cells, 64, 100, 24, "<f4", 51_200, 2)                  # two cells a query: documents travel once
+    assert lanes == 1
+    rows, lanes = B.grid(cells, 64, 100, 24, "<f4", 100, 17)                    # few queries: documents travel once
+    assert lanes == 1 and B.part_numbers(cells, rows)[2] >= 16
+
+
+def test_lanes_answer_like_brute_force(spark, monkeypatch):
+    """Cells of a part together, a large cell in several parts, several lanes."""
+    v = made(500, 6, 11)
+    for rows, lanes in ((60, 3), (500, 5), (90, 1)):
+        monkeypatch.setattr(B, "grid", lambda *a, rows=rows, lanes=lanes: (rows, lanes))
+        got = R.topk_batch(frame(spark, v), frame(spark, v, "query_id"), 5, dim=6, cells=9, n_probe=2, block_rows=20)
+        assert lists(got) == brute(v, v, 5)
+
+
+def test_no_query_goes_through_the_driver(spark, tmp_path):
+    """Joins on the queries are merges whatever the broadcast limit is."""
+    v = made(200)
+    index = VI.build_index(frame(spark, v), str(tmp_path / "i"), dim=6, cells=4, block_rows=25)
+    q = frame(spark, v, "query_id")
+    for top in (VI.topk_indexed(index, q, 3, n_probe=1, exact=True), R.topk_batch(frame(spark, v), q, 3, dim=6, cells=4, n_probe=1),
+                VI.found_share(VI.topk_indexed(index, q, 3), VI.topk_indexed(index, q, 3))):
+        assert "Broadcast" not in top._jdf.queryExecution().executedPlan().toString()
