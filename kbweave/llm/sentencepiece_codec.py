@@ -189,6 +189,7 @@ class Codec:
         """``(ids, begin, size, differed, same)``: the ids of stretch ``i`` are ``ids[begin[i]:][:size[i]]``."""
         at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False)
         new = np.flatnonzero(at < 0)
+        self.met[at[at >= 0]] = True
         words, got = distinct.take(pa.array(new)), []
         texts = words.to_pylist()
         for lo in range(0, len(texts), CALL):                  # the libraries' result objects are far larger than the ids
@@ -201,7 +202,7 @@ class Codec:
         begin[new], size[new], said[new] = self.ids.size + np.cumsum(size_new) - size_new, size_new, flags
         stock = np.concatenate([self.ids, ids])
         if len(self.known) + len(words) > KNOWN:
-            self._forget()
+            self._forget(but=self.met)
         short = pc.less_equal(pc.binary_length(words), KNOWN_BYTES)
         keep = short.to_numpy(zero_copy_only=False).astype(bool)
         if len(self.known) + len(words) <= KNOWN:
@@ -209,11 +210,19 @@ class Codec:
             self.ids = np.concatenate([self.ids, ids[np.repeat(keep, size_new)]])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size_new[keep])])
             self.flags = np.concatenate([self.flags, flags[keep]])
+            self.met = np.r_[self.met, np.zeros(int(keep.sum()), bool)]
         return stock, begin, size, said[:, 0], said[:, 1]
 
-    def _forget(self) -> None:
-        self.known, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.int32)
-        self.ends, self.flags = np.zeros(1, np.int64), np.zeros((0, 2), bool)
+    def _forget(self, but: np.ndarray | None = None) -> None:
+        """Empty the table, but for the stretches told (those met again since it was last cleared)."""
+        if but is None:
+            self.known, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.int32)
+            self.ends, self.flags = np.zeros(1, np.int64), np.zeros((0, 2), bool)
+        else:
+            size = np.diff(self.ends)
+            self.known, self.ids = self.known.filter(pa.array(but)), self.ids[np.repeat(but, size)]
+            self.ends, self.flags = np.r_[0, np.cumsum(size[but])], self.flags[but]
+        self.met = np.zeros(len(self.known), bool)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         if not self.control.isdisjoint(chain.from_iterable(ids)):

@@ -124,3 +124,20 @@ def test_batches_without_a_difference_make_no_array_per_stretch(monkeypatch):
             return [[5] if t == "word7" else e.ids for t, e in zip(some, codec.whole.encode_batch_fast(some, add_special_tokens=False))]
     codec.reference = Other()
     assert [(d, s) for _, d, s in codec.encode(["word6", "word7"])] == [(False, True), (True, False)]
+
+
+def test_a_full_table_keeps_what_is_met_again(monkeypatch):
+    import pyarrow as pa
+
+    from kbweave.llm import sentencepiece_codec as S
+    monkeypatch.setattr(S, "KNOWN", 40)
+    codec = S.Codec(S.read_model(MODEL), 1)
+    sent = []
+    plain = codec._compared
+    monkeypatch.setattr(codec, "_compared", lambda texts: sent.extend(texts) or plain(texts))
+    for i in range(12):
+        text = " ".join(["often", "seen"] + [f"once{i}x{j}" for j in range(9)])
+        ids, *_ = codec.encode_column(pa.array([text]))
+        assert ids.tolist() == plain([text])[0][0]
+        assert len(codec.known) <= 40 and len(codec.met) == len(codec.known) == len(codec.flags) == len(codec.ends) - 1
+    assert sent.count("seen") == 1 and len(sent) <= 12 * 9 + 12
