@@ -15,9 +15,11 @@ query's k-th similarity. No candidate of a visited cell is left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,13 +100,9 @@ def append_index(index: VectorIndex, docs: DataFrame, *, id_col: str = "doc_id",
     return out
 
 
-def topk_indexed(index: VectorIndex, queries: DataFrame, k: int | None = None, *, query_id: str = "query_id",
-                 query_vec: str = "embedding", n_probe: int | None = None, exact: bool = False) -> DataFrame:
-    """``(query_id, rank, doc_id, similarity)`` from the stored index.
-
-    ``n_probe`` nearest cells are searched (None: all, an exact answer). With
-    ``exact``, cells beyond them are visited as far as they can hold a better
-    document. Queries without a vector of the index's dimension have no answer."""
+def _search(index: VectorIndex, queries: DataFrame, k: int | None, query_id: str, query_vec: str,
+            n_probe: int | None, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """The queries ``(id, vec, qid)`` as they were written once, and their ``(qid, rank, doc_id, similarity, cell)``."""
     k = Params().top_k if k is None else k
     if k < 1 or (n_probe is not None and n_probe < 1):
         raise ValueError("k and n_probe must be 1 or more")
@@ -112,7 +110,17 @@ def topk_indexed(index: VectorIndex, queries: DataFrame, k: int | None = None, *
     q = vector_rows(queries, query_id, query_vec, index.dim)
     q = saved(q.withColumn("qid", F.monotonically_increasing_id()), "queries")
     find = B.search_pruned if exact and n_probe else B.search
-    top = find(index.blocks(spark), q.select("qid", "vec"), index.cells, k, index.dim, index.block_rows, index.kind, n_probe, asked=q.count())
+    return q, find(index.blocks(spark), q.select("qid", "vec"), index.cells, k, index.dim, index.block_rows, index.kind, n_probe, asked=q.count())
+
+
+def topk_indexed(index: VectorIndex, queries: DataFrame, k: int | None = None, *, query_id: str = "query_id",
+                 query_vec: str = "embedding", n_probe: int | None = None, exact: bool = False) -> DataFrame:
+    """``(query_id, rank, doc_id, similarity)`` from the stored index.
+
+    ``n_probe`` nearest cells are searched (None: all, an exact answer). With
+    ``exact``, cells beyond them are visited as far as they can hold a better
+    document. Queries without a vector of the index's dimension have no answer."""
+    q, top = _search(index, queries, k, query_id, query_vec, n_probe, exact)
     # As many rows as queries: merged, not gathered on the driver for a broadcast.
     return top.join(q.select("qid", F.col("id").alias("query_id")).hint("merge"), "qid").select(
         "query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "similarity")
@@ -124,16 +132,41 @@ def found_share(got: DataFrame, exact: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
 
 
+def probes_needed(index: VectorIndex, queries: DataFrame, found: DataFrame) -> DataFrame:
+    """``(probes, n)``: how many of the ``found`` rows ``(qid, cell)`` a search meets from ``probes`` cells on.
+
+    A row is met when its cell is among the query's ``probes`` nearest; cells as near
+    as it count as nearer, and the zero vectors' cell comes with all cells only."""
+    shared = queries.sparkSession.sparkContext.broadcast(index.cells.centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        step = max(1, B.SCORE_BYTES // (16 * len(c)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
+                u, _ = B.unit_rows(B.matrix(b.column(0), index.dim))
+                sim = np.c_[u @ c.T, np.full(len(u), -np.inf)]                  # last: the zero vectors' cell
+                own = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                need = np.count_nonzero(sim >= sim[np.arange(len(u)), own][:, None], axis=1)
+                probes, n = np.unique(np.minimum(need, len(c)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(probes.astype(np.int32)), pa.array(n.astype(np.int64))], ["probes", "n"])
+    # As many rows as queries: merged, not gathered on the driver for a broadcast.
+    met = found.select("qid", "cell").join(queries.select("qid", "vec").hint("merge"), "qid").select("vec", "cell")
+    return met.mapInArrow(run, "probes int, n long").groupBy("probes").agg(F.sum("n").alias("n"))
+
+
 def choose_probes(index: VectorIndex, queries: DataFrame, k: int | None = None, *, query_id: str = "query_id",
                   query_vec: str = "embedding", recall: float = 0.9) -> int:
     """Smallest power of two of probed cells (or all) that finds ``recall`` of the
-    exact neighbours of ``queries`` (a small table of typical ones with distinct ids)."""
-    exact = saved(topk_indexed(index, queries, k, query_id=query_id, query_vec=query_vec, n_probe=1, exact=True), "probes-exact")
-    n = 1
+    exact neighbours of ``queries`` (a small table of typical ones with distinct ids).
+
+    One exact search tells it: a neighbour is found as soon as its cell is probed."""
+    q, exact = _search(index, queries, k, query_id, query_vec, 1, True)
+    need = {r["probes"]: r["n"] for r in probes_needed(index, q, exact).collect()}    # at most a row a cell
+    wanted, n = sum(need.values()), 1
     while n < index.cells.n:
-        got = topk_indexed(index, queries, k, query_id=query_id, query_vec=query_vec, n_probe=n)
-        r = found_share(got, exact).first()
-        if r["found"] >= recall * r["wanted"]:
+        if sum(x for probes, x in need.items() if probes <= n) >= recall * wanted:
             return n
         n *= 2
     return index.cells.n

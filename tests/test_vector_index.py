@@ -105,6 +105,21 @@ def test_recall_on_the_given_vectors(spark, tmp_path):
     assert lists(VI.topk_indexed(index, e, 10, query_id="vec_id")) == want
 
 
+def test_probes_are_chosen_by_one_exact_search(spark, tmp_path, monkeypatch):
+    """As many cells as searches with 1, 2, 4... cells would tell, from two rounds of one search."""
+    v = made(400, 6, 8)
+    e = frame(spark, v).withColumn("query_id", F.col("doc_id"))
+    index = VI.build_index(e, str(tmp_path / "i"), dim=6, cells=12, block_rows=25)
+    exact = VI.topk_indexed(index, e, 5)
+    share = {n: VI.found_share(VI.topk_indexed(index, e, 5, n_probe=n), exact).first() for n in (1, 2, 4, 8)}
+    rounds, search = [], B.search
+    monkeypatch.setattr(B, "search", lambda *a, **b: rounds.append(1) or search(*a, **b))
+    for recall in (0.1, 0.6, 0.8, 0.9, 0.97, 1.0):
+        want = next((n for n, r in share.items() if r["found"] >= recall * r["wanted"]), index.cells.n)
+        rounds.clear()
+        assert VI.choose_probes(index, e, 5, recall=recall) == want and len(rounds) <= 2, recall
+
+
 def test_vectors_travel_once(spark):
     """Rows that are shuffled: each document in one block; a query only where it is needed."""
     v = made(400)
