@@ -99,3 +99,19 @@ def test_rounds_of_an_empty_table(spark):
     from kbweave.plans.wavefront import generated_dialog_with_model
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert generated_dialog_with_model(none, _kb(spark), _make_model()).count() == 0
+
+
+def test_dialog_stream_searches_once(spark, monkeypatch):
+    """The columns of the second stage are known without a second search of the whole knowledge base."""
+    import uuid
+
+    from kbweave.config import checkpoint_root
+    from kbweave.operators import retrieve as R
+    from kbweave.streaming.jobs import dialog_stream
+    d = f"{checkpoint_root(spark)}/test-once-{uuid.uuid4().hex[:8]}"
+    spark.createDataFrame([(1, 0, "user", "apples"), (1, 1, "assistant", "yes"), (1, 2, "user", "pears")],
+                          "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(d)
+    asked, search = [], R.topk_stored
+    monkeypatch.setattr(R, "topk_stored", lambda kb, *a, **b: asked.append(kb.isEmpty()) or search(kb, *a, **b))
+    assert spark.read.parquet(dialog_stream(spark, d, _kb(spark))).count() == 2
+    assert asked.count(False) == 1

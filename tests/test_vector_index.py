@@ -197,3 +197,72 @@ def test_no_query_goes_through_the_driver(spark, tmp_path):
     for top in (VI.topk_indexed(index, q, 3, n_probe=1, exact=True), R.topk_batch(frame(spark, v), q, 3, dim=6, cells=4, n_probe=1),
                 VI.found_share(VI.topk_indexed(index, q, 3), VI.topk_indexed(index, q, 3))):
         assert "Broadcast" not in top._jdf.queryExecution().executedPlan().toString()
+
+
+class _Counted(np.ndarray):
+    """Rows that count the pairs they are multiplied for."""
+    pairs = 0
+
+    def __matmul__(self, x):
+        _Counted.pairs += len(self) * x.shape[1]
+        return np.asarray(self) @ x
+
+
+def _peaked(rng, n, dim):
+    """Mostly rows along a coordinate (either way), some along two, some without any direction of their own."""
+    v = np.zeros((n, dim), np.float32)
+    v[np.arange(n), rng.integers(0, dim, n)] = rng.choice([-3.0, 1.0, 2.0], n)
+    v[: n // 10, 0] += rng.integers(0, 3, n // 10)
+    v[n // 10: n // 5] = rng.normal(size=(n // 5 - n // 10, dim))
+    v[-4:] = 0.0
+    return v[rng.permutation(n)]
+
+
+@pytest.mark.parametrize("n,k,box,tile", [(300, 3, 64, 2048), (300, 5, 7, 33), (40, 60, 4, 9), (5, 2, 64, 2048)])
+def test_boxes_leave_out_no_winner(monkeypatch, n, k, box, tile):
+    monkeypatch.setattr(B, "BOX_ROWS", box)
+    monkeypatch.setattr(B, "TILE_ROWS", tile)
+    rng = np.random.default_rng(n + k)
+    v, q = _peaked(rng, n, 8), np.concatenate([_peaked(rng, 30, 8), rng.normal(size=(20, 8)).astype(np.float32)])
+    part = B.Part(pa.array(range(n), pa.int64()), v)
+    cols, sim, rows = part.best(q, k)
+    want = brute(v, q, k)
+    keep = B.local_topk(cols, sim, rows, k)
+    got = {i: rows[keep][cols[keep] == i].tolist() for i in range(len(q))}
+    assert got == want
+    # With what each query has already, rows that reach it are found still, ties too.
+    least = np.array([sorted(sim[cols == i])[0] if (cols == i).any() else -np.inf for i in range(len(q))])
+    cols, sim, rows = part.best(q, k, np.where(np.isfinite(least), least, -np.inf))
+    keep = B.local_topk(cols, sim, rows, k)
+    assert {i: rows[keep][cols[keep] == i].tolist() for i in range(len(q))} == want
+
+
+def test_boxes_that_cannot_win_are_not_compared():
+    rng = np.random.default_rng(5)
+    v = np.zeros((6000, 32), np.float32)
+    v[np.arange(6000), rng.integers(0, 32, 6000)] = 1.0
+    v[:300] = rng.random((300, 32)) + 0.5
+    q = (rng.random((50, 32)) + 0.5).astype(np.float32)
+    part = B.Part(pa.array(range(6000), pa.int64()), v)
+    part.unit, _Counted.pairs = part.unit.view(_Counted), 0
+    cols, _, rows = part.best(q, 3)
+    assert _Counted.pairs < 0.4 * 6000 * 50, _Counted.pairs
+    want = brute(v, q, 3)
+    assert all(sorted(rows[cols == i].tolist()) == sorted(want[i]) for i in range(50))
+
+
+def test_likely_pairs_hold_the_best_of_each_query():
+    rng = np.random.default_rng(6)
+    q, true = rng.integers(0, 7, 400), np.round(rng.random(400), 2)
+    keep = B.likely(q, (true + rng.uniform(-0.01, 0.01, 400)).astype(np.float32), 3, 0.0101)
+    for i in range(7):
+        least = sorted(true[q == i])[-3]
+        assert set(np.flatnonzero((q == i) & (true >= least))) <= set(keep.tolist())
+    assert len(keep) < 200 and len(B.likely(q[:0], np.zeros(0, np.float32), 3, 0.1)) == 0
+
+
+def test_uneven_cells_get_more_lanes():
+    cells = B.Cells(np.zeros((15, 64)), np.ones(15), np.r_[np.full(15, 30_000), 0])
+    rows, lanes = B.grid(cells, 256, 8192, 12, "<f4", 70_000, 16)
+    assert B.part_numbers(cells, rows)[2] * lanes >= 24
+    assert B.grid(cells, 256, 8192, 12, "<f4", 100, 16)[1] == 1                 # few queries: documents travel once
