@@ -28,6 +28,31 @@ def test_text_files_whole(spark):
     assert len(rows) == 1 and rows[0].md.startswith("# Title\nline")
 
 
+def test_many_text_files_by_group(spark, monkeypatch):
+    """The driver lists one group of files at a time; the rows are those of one folder, whatever stood there before."""
+    monkeypatch.setattr(FS, "GROUP_FILES", 10)
+    listed, texts = [], FS._texts
+    monkeypatch.setattr(FS, "_texts", lambda s, at, **o: listed.append(at) or texts(s, at, **o))
+    rows = [(i, f"# page {i}\nä") for i in range(38)] + [(3, "once more"), (None, "no key")]
+    df = spark.createDataFrame(rows, "page_id long, md string").repartition(3)
+    p = _tmp(spark, "md-files")
+    FS.write_markdown_files(df.limit(4), p, "page_id")
+    for _ in range(2):
+        FS.write_markdown_files(df, p, "page_id")                          # in place of the four, and of itself
+        groups, others = FS.file_groups(spark, p)
+        assert others == 0 and 2 <= len(groups) <= 4
+        got = [(r.path, r.md) for r in FS.read_text_files(spark, p).collect()]
+        assert len(got) == 39 and sorted("".join(m for _, m in got).split("\n")) == sorted("".join(m + "\n" for _, m in rows).split("\n"))
+        assert all(f"page_id={m.split()[2]}/" in at for at, m in got if m.startswith("# page") and "once" not in m)
+    assert sorted(listed) == sorted(2 * groups)
+    FS.write_markdown_files(df.where("page_id < 2"), p, "page_id", mode="append")
+    assert FS.read_text_files(spark, p).count() == 41                      # single files beside the groups
+    FS.write_markdown_files(df, p, "page_id", mode="ignore")
+    assert FS.read_text_files(spark, p).count() == 41
+    with pytest.raises(Exception, match="already exists"):
+        FS.write_markdown_files(df, p, "page_id", mode="errorifexists")
+
+
 def test_json_object_or_array(spark):
     d = _local(_tmp(spark, "json"))
     os.makedirs(d)
